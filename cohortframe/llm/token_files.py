@@ -50,7 +50,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         out, lengths, ids = None, [], []
         for batch in batches:
             for part in slices(batch, "text"):
-                out = out or fs.open_output_stream(f"{path}/{name}.ids")
+                out = out or fs.open_output_stream(f"{path}/{name}.ids", compression=None)
                 ids += [NO_ID if x is None else x for x in part.column("doc_id").to_pylist()]
                 for coded in coder.encode(as_bytes(part.column("text"))):
                     found = np.frombuffer(coded, "<u4")
@@ -60,7 +60,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             return
         out.close()
         for what, values in (("offsets", np.cumsum([0, *lengths])), ("docs", np.array(ids))):
-            with fs.open_output_stream(f"{path}/{name}.{what}") as f:
+            with fs.open_output_stream(f"{path}/{name}.{what}", compression=None) as f:
                 f.write(values.astype("<i8").tobytes())
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "name": [name], "width": pa.array([bytes_an_id], pa.int32()), "n_docs": [len(ids)], "n_tokens": [int(sum(lengths))]})
 

@@ -97,7 +97,7 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame
         name, out, size, n = f"{path}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", None, 0, 0
         for batch in batches:
             for part in slices(batch, "html"):
-                out = out or fs.open_output_stream(name)
+                out = out or fs.open_output_stream(name, compression=None)
                 for page_id, url, html, first, again in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "first_id", "again")), strict=True):
                     revisit = first is not None and (first != page_id or again)
                     member = _member("revisit" if revisit else "response", page_id, url, (html or "").encode("utf-8", "surrogatepass"), first if revisit else None)
