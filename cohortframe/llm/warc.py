@@ -11,9 +11,9 @@ member begins inside its range; it reads past the end of the range to finish
 the last of them.
 
 Cases: null html is an empty payload; equal payloads below least_bytes are all
-responses; repeated rows with one page_id and payload are each written, the
-later ones referring to that page_id as well; null page_id is kept and comes
-after all others when the response is chosen; an empty table gives no file."""
+responses; repeated rows of the smallest page_id are each a response; null
+page_id is kept, never the one referred to, and a revisit where another page
+has its payload; an empty table gives no file."""
 
 from __future__ import annotations
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import filesystem, new_dir, slices, stored
@@ -42,11 +42,16 @@ def _digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+#: Repeated payloads up to which their table is broadcast (some 40 bytes each); beyond it the join is shuffled.
+BROADCAST_ROWS = 200_000
+
+
 def first_of_copies(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """pages with first_id (the smallest page_id with the same payload), of revisits alone.
+    """pages with first_id: the smallest page_id with the same payload, null where the payload occurs once.
 
-    Digests are counted before anything is joined: only payloads that occur
-    more than once reach the join, so unique pages carry no match."""
+    Digests alone are shuffled, and only payloads that occur more than once
+    reach the join. Their number is counted first, so pages stay where they
+    are unless the repeated payloads are too many to broadcast."""
     sha = F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
     seen = (
         pages.select("page_id", sha.alias("sha"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n"))
@@ -56,7 +61,9 @@ def first_of_copies(pages: DataFrame, least_bytes: int) -> DataFrame:
         .filter("copies > 1")
         .select("sha", "first_id")
     )
-    return pages.withColumn("sha", sha).join(seen, "sha", "left")
+    seen = stored(seen, "copies")
+    small = seen.count() <= BROADCAST_ROWS
+    return pages.withColumn("sha", sha).join(F.broadcast(seen) if small else seen, "sha", "left")
 
 
 def _member(kind: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
@@ -87,19 +94,14 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame
     filesystem(folder)[0].create_dir(filesystem(folder)[1], recursive=True)
     wanted = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     ready = first_of_copies(wanted, least_bytes)
-    # a repeat of the response's own row is a revisit too, so number the rows of that id
-    again = F.when(F.col("first_id") == F.col("page_id"), F.row_number().over(Window.partitionBy("sha", "page_id").orderBy(F.lit(1))) > 1)
-    once = wanted.groupBy("page_id").count().filter("count > 1 or page_id is null").select("page_id").limit(1).count() == 0
-    ready = ready.withColumn("again", F.lit(False) if once else F.coalesce(again, F.lit(False)))
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(folder)
         name, out, size, n = f"{path}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", None, 0, 0
         for batch in batches:
             for part in slices(batch, "html"):
                 out = out or fs.open_output_stream(name, compression=None)
-                for page_id, url, html, first, again in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "first_id", "again")), strict=True):
-                    revisit = first is not None and (first != page_id or again)
+                for page_id, url, html, first in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "first_id")), strict=True):
+                    revisit = first is not None and first != page_id
                     member = _member("revisit" if revisit else "response", page_id, url, (html or "").encode("utf-8", "surrogatepass"), first if revisit else None)
                     out.write(member)
                     size, n = size + len(member), n + 1
@@ -107,7 +109,7 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [name], "bytes": [size], "n_records": [n]})
 
-    return stored(ready.select("page_id", "url", "html", "first_id", "again").mapInArrow(write, FILES), "warc-files")
+    return stored(ready.select("page_id", "url", "html", "first_id").mapInArrow(write, FILES), "warc-files")
 
 
 class _Range:
@@ -174,9 +176,9 @@ def read_warc(files: DataFrame, range_bytes: int = 8 << 20, with_payload: bool =
 
     A revisit has no payload of its own; its length and digest are those of
     its header. A response's are computed from what was read."""
-    spark = files.sparkSession
     ranges = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start"))
-    ranges = ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = files.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
+    ranges = ranges.repartition(min(int(tasks), 100_000))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
