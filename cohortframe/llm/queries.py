@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language_id import op8_language_id
+from .packing import op6_packing
+from .piece_merges import op9_pieces
 from .token_files import op5_token_files
+from .toxicity import op3_toxicity
 from .warc import op7_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_toxicity": op3_toxicity,
         "op5_token_files": op5_token_files,
+        "op6_packing": op6_packing,
         "op7_warc": op7_warc,
+        "op8_language_id": op8_language_id,
+        "op9_pieces": op9_pieces,
     }
 
 

@@ -101,7 +101,7 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
                         }
                     )
 
-    spread = based.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = based.repartition(min(max(manifest.count(), 1), 100_000))
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
