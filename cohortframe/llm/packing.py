@@ -60,15 +60,23 @@ def cut_pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, keep
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths in the order packed) with the number of sequences of each."""
+    """Patterns (lengths in the order packed) with the number of sequences of each.
+
+    Where no pattern has room, only as many sequences are opened as all pieces
+    still to be placed need; the rest of that length then stacks up on them."""
     by_total: dict[int, list[list]] = defaultdict(list)
+    free = 0
+    todo = sum(length * n for length, n in histogram.items())
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left > 0:
-            total = next((t for t in sorted(by_total) if by_total[t] and t + length <= capacity), None)
+            total = next((t for t in sorted(by_total) if t + length <= capacity), None)
             if total is None:
-                by_total[length].append([(length,), left])
-                break
+                needed = -(-(todo - free) // capacity)
+                opened = max(1, min(left, max(-(-left // (capacity // length)), needed)))
+                by_total[length].append([(length,), opened])
+                left, todo, free = left - opened, todo - length * opened, free + (capacity - length) * opened
+                continue
             entry = by_total[total][-1]
             moved = min(left, entry[1])
             entry[1] -= moved
@@ -77,7 +85,7 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
                 if not by_total[total]:
                     del by_total[total]
             by_total[total + length].append([(*entry[0], length), moved])
-            left -= moved
+            left, todo, free = left - moved, todo - length * moved, free - length * moved
     return [(tuple(pattern), count) for t in sorted(by_total) for pattern, count in by_total[t]]
 
 
