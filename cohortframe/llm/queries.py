@@ -11,11 +11,13 @@ from .packing import op6_packing
 from .piece_merges import op9_pieces
 from .token_files import op5_token_files
 from .toxicity import op3_toxicity
+from .url_filter import op2_url_filter
 from .warc import op7_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_url_filter": op2_url_filter,
         "op3_toxicity": op3_toxicity,
         "op5_token_files": op5_token_files,
         "op6_packing": op6_packing,
