@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language_id import op8_language_id
+from .minhash_dedup import op10_minhash
 from .packing import op6_packing
 from .piece_merges import op9_pieces
 from .token_files import op5_token_files
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_warc": op7_warc,
         "op8_language_id": op8_language_id,
         "op9_pieces": op9_pieces,
+        "op10_minhash": op10_minhash,
     }
 
 
