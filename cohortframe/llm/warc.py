@@ -113,22 +113,27 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame
 
 
 class _Range:
-    """A file read forward in blocks of bounded size."""
+    """A file read in blocks; what lies in the block at hand is not read again."""
 
     def __init__(self, file: pa.NativeFile, size: int, block: int = 1 << 20):
-        self.file, self.size, self.block = file, size, block
+        self.file, self.size, self.block, self.at, self.held = file, size, block, 0, b""
 
     def read(self, at: int, n: int) -> bytes:
         n = min(n, self.size - at)
-        return self.file.read_at(n, at) if n > 0 else b""
+        if n <= 0:
+            return b""
+        if at < self.at or at + n > self.at + len(self.held):
+            self.at, self.held = at, self.file.read_at(min(max(n, self.block), self.size - at), at)
+        return self.held[at - self.at : at - self.at + n]
 
 
 def _inflate(source: _Range, at: int, head_only: bool = False) -> tuple[bytes, int] | None:
     """The member at a position, and where it ends; with head_only its first bytes. Null if it isn't one."""
-    unpack, out, pos = zlib.decompressobj(31), [], at
+    unpack, out, pos, step = zlib.decompressobj(31), [], at, 1024
     try:
         while not unpack.eof:
-            chunk = source.read(pos, 1024 if head_only else 1 << 16)
+            chunk = source.read(pos, step)
+            step = min(2 * step, 1 << 16)
             if not chunk:
                 return None
             out.append(unpack.decompress(chunk, 256 if head_only else 0))
@@ -145,12 +150,12 @@ def records_in(fs: pafs.FileSystem, path: str, size: int, start: int, stop: int)
     with fs.open_input_file(path) as file:
         source, at = _Range(file, size), start
         while at < stop:
-            block = source.read(at, min(source.block, stop - at) + len(MAGIC) - 1)
-            hit = block.find(MAGIC)
-            if hit < 0:
-                at += max(1, len(block) - len(MAGIC) + 1)
-                continue
-            at += hit
+            if source.read(at, len(MAGIC)) != MAGIC:
+                block = source.read(at, min(source.block, stop - at) + len(MAGIC) - 1)
+                hit = block.find(MAGIC)
+                at += hit if hit >= 0 else max(1, len(block) - len(MAGIC) + 1)
+                if hit < 0:
+                    continue
             if at >= stop:
                 return
             head = _inflate(source, at, head_only=True)
