@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 
@@ -10,6 +12,11 @@ import numpy as np
 CACHE_WORDS = 700_000
 #: Words handed to the library as one text.
 JOINED = 200
+#: Letters that composition leaves alone and that have one lower-case form, with a mark behind them or none.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+#: The tokenizer settings under which a run of such letters is one unit whatever stands around it.
+LOWERING = ["NFC", "Replace", "Lowercase"]
+LETTER_RUNS = r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def default_tokenizer() -> str:
@@ -31,23 +38,60 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
+        self.plain = self._plain(path)
         probe = ["The cat, it's 12 o'clock.", "Ünï 中文 x"]
         parts = [self._ids(w) for x in probe for w in x.split(" ")]
         self.by_word = all(self._ids(sep.join(probe)) == sum((self._ids(x) for x in probe), []) for sep in (" ", "\n", "\t ", "  \r\n")) and sum(parts, []) == self._ids(" ".join(probe)) and not self._ids(" \t\n\r\x0b\x0c")
 
+    @staticmethod
+    def _plain(path: str):
+        """The same vocabulary without normalising and splitting, for lower-case letter runs; null where these aren't units."""
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        normal, split = settings.get("normalizer") or {}, settings.get("pre_tokenizer") or {}
+        steps = [x["type"] for x in normal.get("normalizers", [])]
+        first = next(iter(split.get("pretokenizers", [])), {})
+        if steps != LOWERING or not first.get("pattern", {}).get("Regex", "").endswith(LETTER_RUNS):
+            return None
+        settings["normalizer"] = None
+        settings["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+        return Tokenizer.from_str(json.dumps(settings))
+
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def _learn(self, words: list[bytes]) -> None:
+        if self.plain is None:
+            return self._store(self.library, words, [w.decode("utf-8", "replace") for w in words])
+        known, stems, rest = self.words, {}, []
+        later: list[tuple[bytes, bytes, bytes]] = []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            if m := PLAIN.fullmatch(text):
+                stem, mark = m[1].lower(), m[2].encode()
+                key = stem.encode()
+                if key not in known:
+                    stems[key] = stem
+                later.append((w, key, mark))
+            else:
+                rest.append(w)
+        self._store(self.plain, list(stems), list(stems.values()))
+        for mark in {x[2] for x in later if x[2] not in known}:
+            known[mark] = np.array(self._ids(mark.decode()), "<u4").tobytes()
+        known.update((w, known[key] + known[mark]) for w, key, mark in later)
+        self._store(self.library, rest, [w.decode("utf-8", "replace") for w in rest])
+
+    def _store(self, library, words: list[bytes], texts: list[str]) -> None:
         for i in range(0, len(words), JOINED):
-            part = words[i : i + JOINED]
-            texts = [w.decode("utf-8", "replace") for w in part]
-            found = self.library.encode(" ".join(texts), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(x) + 1 for x in texts)])
+            part = texts[i : i + JOINED]
+            found = library.encode(" ".join(part), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(x) + 1 for x in part)])
             ids = np.array(found.ids, "<u4")
-            cuts = np.searchsorted(np.fromiter((a for a, _ in found.offsets), np.int64, len(ids)), starts)
-            for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True):
-                self.words[w] = ids[a:b].tobytes()
+            cuts = np.searchsorted(np.fromiter((a for a, _ in found.offsets), np.int64, len(ids)), starts).tolist()
+            flat = ids.tobytes()
+            self.words.update((w, flat[4 * a : 4 * b]) for w, a, b in zip(words[i : i + JOINED], cuts[:-1], cuts[1:], strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
