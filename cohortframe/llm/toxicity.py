@@ -1,11 +1,13 @@
 """Toxicity by subword-bag embeddings and a linear softmax, trained jointly in numpy.
 
 A word's vector is the mean of the vectors of its character n-grams (3 to 6,
-hashed); a window of words has the mean of its words' vectors; a linear softmax
-scores it, and a text scores as its most toxic window, so one insult in a long
+hashed); a text is taken as its distinct words in the order of their first use,
+so that repeats don't add up; a window of WINDOW places has the mean of its
+words' vectors, an empty place counting as zero; a linear softmax scores it, and a text scores as its most toxic window, so one insult in a long
 text counts as it does in a short one. Training starts with windows of all
 texts and goes on with each toxic text's most toxic window against the worst
-windows of clean texts. Vectors and softmax are trained together. As everything before the softmax is
+windows of clean texts. Vectors and softmax are trained together. A fifth of
+the sample, kept out of that, then sets scale and shift of the score. As everything before the softmax is
 a mean, a trained word is one number, remembered per worker.
 
 Cases: null and empty texts have one empty window, whose score is the bias
@@ -26,13 +28,14 @@ from .common import as_bytes, slices
 from .samples import per_class
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 4, 3, 6
-WINDOW, STEP = 8, 4
-WORD = re.compile(r"\w+")
+WINDOW, STEP, DECAY = 8, 4, 3e-5
+WORD = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 700_000
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Distinct words in the order of their first use."""
+    return list(dict.fromkeys(WORD.findall(text.lower())))
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,11 +68,36 @@ def window_bounds(n: int) -> tuple[np.ndarray, np.ndarray]:
 class SubwordModel:
     """Trained word scores. A word's score is (softmax weight of toxic minus clean) times its vector."""
 
-    def __init__(self, texts: list[str], labels: list[int], rounds: int = 5, seed: int = 7):
+    def __init__(self, texts: list[str], labels: list[int], clean_share: float = 0.9, rounds: int = 5):
         self.known: dict[str, float] = {}
-        self.trained = len(set(labels)) == 2
+        self.trained, self.scale, self.shift = len(set(labels)) == 2, 1.0, 0.0
         if not self.trained:
             return
+        apart = np.arange(len(texts)) % 5 == 4
+        fitted = [i for i in range(len(texts)) if not apart[i]]
+        if len({labels[i] for i in fitted}) < 2:
+            fitted, apart = list(range(len(texts))), np.ones(len(texts), bool)
+        self._fit([texts[i] for i in fitted], [labels[i] for i in fitted], rounds, seed=7)
+        self._calibrate([texts[i] for i in np.flatnonzero(apart)], np.array(labels)[apart], clean_share)
+
+    def _calibrate(self, texts: list[str], y: np.ndarray, clean_share: float) -> None:
+        """Scale and shift of the best window's logit, on texts set apart, with classes weighed as in the corpus."""
+        logit = np.array([self._best(x) for x in texts])
+        if len(set(y.tolist())) < 2:
+            return
+        weight = np.where(y == 1, (1 - clean_share) / (y == 1).sum(), clean_share / (y == 0).sum())
+        a, c = 1.0, 0.0
+        for _ in range(50):  # Newton steps of a weighted logistic regression with a small ridge
+            p = 1 / (1 + np.exp(-np.clip(a * logit + c, -50, 50)))
+            g = np.array([(weight * (p - y) * logit).sum() + 1e-3 * (a - 1), (weight * (p - y)).sum() + 1e-4 * c])
+            w = weight * p * (1 - p)
+            h = np.array([[(w * logit * logit).sum() + 1e-3, (w * logit).sum()], [(w * logit).sum(), w.sum() + 1e-4]])
+            step = np.linalg.solve(h, g)
+            a, c = a - step[0], c - step[1]
+        if a > 0:
+            self.scale, self.shift = float(a), float(c)
+
+    def _fit(self, texts: list[str], labels: list[int], rounds: int, seed: int) -> None:
         vocabulary: dict[str, int] = {}
         docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)), np.int64) for t in texts]
         buckets, self._per_word = subwords([*vocabulary, "-"])  # the last stands where a window has no word
@@ -113,7 +141,7 @@ class SubwordModel:
         out = np.empty(len(windows))
         for a in range(0, len(windows), 50_000):
             part = windows[a : a + 50_000]
-            out[a : a + 50_000] = per_word[part].sum(axis=1) / np.maximum((part != nothing).sum(axis=1), 1)
+            out[a : a + 50_000] = per_word[part].sum(axis=1) / WINDOW
         return out
 
     def _train(self, windows: np.ndarray, y: np.ndarray, share: np.ndarray, nothing: int, steps: int, rate: float) -> None:
@@ -125,21 +153,21 @@ class SubwordModel:
         entries = np.repeat(self._starts[words], spans) + np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)
         used, local = np.unique(self._local[entries], return_inverse=True)
         starts = np.cumsum(spans) - spans
-        vectors, size = self._vectors[used], np.maximum((inner != pad).sum(axis=1), 1)
+        vectors = self._vectors[used]
         share = np.where(y == 1, share / max(share[y == 1].sum(), 1e-9), 2 * share / max(share[y == 0].sum(), 1e-9))
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (vectors, self._weights, self._bias)]
         flat = inner.ravel()
         for step in range(1, steps + 1):
             word_vectors = np.add.reduceat(vectors[local], starts) / spans[:, None]
             word_vectors[pad] = 0
-            logits = (word_vectors @ self._weights)[inner].sum(axis=1) / size[:, None] + self._bias
+            logits = (word_vectors @ self._weights)[inner].sum(axis=1) / WINDOW + self._bias
             toxic = 1 / (1 + np.exp(np.clip(logits[:, 0] - logits[:, 1], -50, 50)))
             error = (toxic - y) * share
-            on_word = np.bincount(flat, np.repeat(error / size, WINDOW), len(words))
+            on_word = np.bincount(flat, np.repeat(error / WINDOW, WINDOW), len(words))
             on_word[pad] = 0
             on_word = np.stack([-on_word, on_word], axis=1)
             on_vectors = np.repeat((on_word @ self._weights.T) / spans[:, None], spans, axis=0)
-            grads = [np.stack([np.bincount(local, on_vectors[:, k], len(used)) for k in range(DIM)], axis=1) + 1e-6 * vectors, word_vectors.T @ on_word + 1e-6 * self._weights, np.array([-error.sum(), error.sum()])]
+            grads = [np.stack([np.bincount(local, on_vectors[:, k], len(used)) for k in range(DIM)], axis=1) + DECAY * vectors, word_vectors.T @ on_word + DECAY * self._weights, np.array([-error.sum(), error.sum()])]
             for p, g, (m, v) in zip((vectors, self._weights, self._bias), grads, moments, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
@@ -151,33 +179,38 @@ class SubwordModel:
         sums = np.add.reduceat(self.bucket_score[buckets].astype(np.float64), np.cumsum(sizes) - sizes)
         self.known.update(zip(words, (sums / sizes).tolist(), strict=True))
 
+    def _best(self, text: str) -> float:
+        """The most toxic window's logit."""
+        ws = words_of(text)
+        if new := [w for w in ws if w not in self.known]:
+            for i in range(0, len(new), 20_000):
+                self._learn(new[i : i + 20_000])
+        sums = np.zeros(len(ws) + 1)
+        np.cumsum(np.fromiter(map(self.known.__getitem__, ws), np.float64, len(ws)), out=sums[1:])
+        first, end = window_bounds(len(ws))
+        return float((sums[end] - sums[first]).max()) / WINDOW + self.bias
+
     def score(self, texts: list[str]) -> list[float]:
-        """The most toxic window's probability for each text."""
+        """The probability that each text is toxic."""
         if not self.trained:
             return [0.0] * len(texts)
-        split = [words_of(x) for x in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        if new := list(dict.fromkeys(w for ws in split for w in ws if w not in self.known)):
+        if new := list({w for x in texts for w in words_of(x)} - self.known.keys()):
             for i in range(0, len(new), 20_000):
                 self._learn(new[i : i + 20_000])
-        out = []
-        for ws in split:
-            sums = np.zeros(len(ws) + 1)
-            np.cumsum(np.fromiter(map(self.known.__getitem__, ws), np.float64, len(ws)), out=sums[1:])
-            first, end = window_bounds(len(ws))
-            logit = float(((sums[end] - sums[first]) / np.maximum(end - first, 1)).max()) + self.bias
-            out.append(1 / (1 + np.exp(-min(50.0, max(-50.0, logit)))))
-        return out
+        return [1 / (1 + float(np.exp(-min(50.0, max(-50.0, self.scale * self._best(x) + self.shift))))) for x in texts]
 
 
-def train_toxicity_model(rows: DataFrame, each: int = 1000) -> SubwordModel:
+def train_toxicity_model(rows: DataFrame, each: int = 1500) -> SubwordModel:
     """Fits on a bounded sample of rows (doc_id, text, toxic): about `each` texts of a class.
 
     That bound is the documented parameter; scores cover all rows."""
     wanted = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).filter("text is not null and toxic in (0, 1)")
+    counts = {r["toxic"]: r["count"] for r in wanted.groupBy("toxic").count().collect()}
     sample = per_class(wanted, "toxic", "doc_id", each).toPandas().sort_values(["doc_id", "text"])
-    return SubwordModel(sample["text"].tolist(), sample["toxic"].tolist())
+    clean = counts.get(0, 0) / max(1, sum(counts.values()))
+    return SubwordModel(sample["text"].tolist(), sample["toxic"].tolist(), clean)
 
 
 def score_toxicity(docs: DataFrame, model: SubwordModel) -> DataFrame:
