@@ -1,11 +1,61 @@
-"""From documents to packed sequences."""
+"""From documents to packed sequences: language, toxicity, near duplicates, packing.
 
-STAGES: list = []
+STAGES lists (name, function). Each function takes (spark, docs, sf_dir) and
+returns a DataFrame; all but the last return the columns of documents. run()
+writes each stage's result as Parquet in the shared folder and hands the
+reread table to the next stage."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cohortframe.llm.common import stored
+from cohortframe.llm.language_id import UNKNOWN, held_out, identify, train_language_model
+from cohortframe.llm.minhash_dedup import BROADCAST_ROWS, near_duplicates
+from cohortframe.llm.packing import pack
+from cohortframe.llm.toxicity import labelled, score_toxicity, train_toxicity_model
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in some learned language stay; those without text or letters (`und`) go."""
+    model = train_language_model(docs.filter(~held_out(4, 2)))
+    return identify(docs, model).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below 0.5 stay."""
+    model = train_toxicity_model(labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return score_toxicity(docs, model).filter("toxicity < 0.5").select(*docs.columns)
+
+
+def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of smallest doc_id stays."""
+    gone = stored(near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "gone")
+    small = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in sequences of at most 2048 tokens."""
+    return pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicate_groups),
+    ("packing", packing),
+]
+
+#: The stages score by trained models and tokenise, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
