@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+PARTS = ("filter_queries",)
+
 
 def _parts() -> list:
-    return []
+    return [importlib.import_module(f"{__package__}.{name}") for name in PARTS]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
