@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-PARTS = ("filter_queries", "interval_queries")
+PARTS = ("filter_queries", "interval_queries", "join_queries", "aggregate_queries")
 
 
 def _parts() -> list:
