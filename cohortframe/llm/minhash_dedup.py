@@ -10,11 +10,13 @@ become components.
 
 Common values: a value retained by more than `common` classes (a shared
 passage, or a large group of near copies) enters no list of a class that keeps
-enough rarer values. Classes made mostly of common values enter the common
-lists by their 16 smallest values. There, for some rounds, one leader of a
-list is compared with all its members, as long as the list reaches over more
-than one component; what is then still open is compared in blocks of bounded
-size. So no list is expanded into all its pairs, and none is cut short.
+enough rarer values. Classes made mostly of common values (rarer ones are less
+than two fifths of the sketch) enter the common lists by their 16 smallest
+values. There, for some rounds, one leader of a list is compared with all its
+members, as long as the list reaches over more than one component; what is
+then still open is compared on full sets in blocks of bounded size, of which
+only links that join components come back. So no list is expanded into all its
+pairs, and none is cut short.
 
 Cases: null text, empty text and text without words have the empty set and
 link with nothing; with fewer than five words the whole sequence is the one
@@ -35,7 +37,9 @@ from pyspark.sql import functions as F
 from .common import as_bytes, slices, stored
 from .components import components
 
-WORDS, KEEP, COMMON, RARE_LISTS, COMMON_LISTS, BLOCK = 5, 96, 32, 40, 16, 256
+WORDS, KEEP, COMMON, RARE_LISTS, COMMON_LISTS, BLOCK = 5, 96, 32, 40, 16, 512
+#: Classes whose tables are one task's work.
+ROWS_A_TASK = 20_000
 #: Rows up to which a table of keys is broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -100,7 +104,7 @@ def list_entries(classes: DataFrame, sent: object, rare: bool) -> DataFrame:
                 common = all_common[ends[i] : ends[i + 1]] if extra is None else np.isin(own, extra[i] or [])
                 if rare:
                     chosen = own[~common][:RARE_LISTS]
-                elif 2 * (~common).sum() < len(own):
+                elif 5 * (~common).sum() < 2 * len(own):
                     chosen = own[:COMMON_LISTS][common[:COMMON_LISTS]]
                 else:
                     continue
@@ -151,12 +155,9 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets link. Full sets are made anew, of one document of each class in question."""
-    left = stored(estimated(pairs, classes, percent), "estimated")
-    sure = left.filter("exact").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    open_pairs = left.filter("not exact").select("a", "b")
-    asked = stored(open_pairs.select(F.col("a").alias("key")).union(open_pairs.select("b")).distinct().join(classes.select("key", "doc_id"), "key"), "asked")
+def full_sets(keys: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """key and whole set of the given classes, made anew from one document of each."""
+    asked = stored(keys.join(classes.select("key", "doc_id"), "key"), "asked")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,8 +167,12 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(_small(asked.select("doc_id").distinct()), "doc_id", "left_semi").select("text")
     sets = stored(texts.mapInArrow(make, "key binary, set array<long>"), "sets")
-    sets = sets.groupBy("key").agg(F.any_value("set").alias("set")) if sets.count() != asked.count() else sets
-    both = open_pairs.join(sets.toDF("a", "s_a"), "a").join(sets.toDF("b", "s_b"), "b")
+    return sets.groupBy("key").agg(F.any_value("set").alias("set")) if sets.count() != asked.count() else sets
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of pairs (a, b) whose full sets link."""
+    both = pairs.join(sets.toDF("a", "s_a"), "a").join(sets.toDF("b", "s_b"), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +185,16 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["u", "v"])
 
-    return stored(sure.unionByName(both.mapInArrow(compare, "u binary, v binary")), "verified")
+    return both.select("a", "b", "s_a", "s_b").mapInArrow(compare, "u binary, v binary")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that the sketches don't rule out and whose full sets link."""
+    left = stored(estimated(pairs, classes, percent), "estimated")
+    sure = left.filter("exact").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    open_pairs = left.filter("not exact").select("a", "b")
+    sets = full_sets(open_pairs.select(F.col("a").alias("key")).union(open_pairs.select("b")).distinct(), classes, docs)
+    return stored(sure.unionByName(linked(open_pairs, sets, percent)), "verified")
 
 
 def rare_pairs(classes: DataFrame, sent: object, percent: int) -> DataFrame:
@@ -198,89 +212,93 @@ def _labelled(entries: DataFrame, links: DataFrame) -> DataFrame:
     return entries.join(_small(found.select(F.col("node").alias("key"), "component")), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
 
 
-def leader_pairs(entries: DataFrame, round_no: int, percent: int) -> DataFrame:
+def leader_pairs(entries: DataFrame, round_no: int, percent: int, tasks: int) -> DataFrame:
     """In each list that reaches over several components, one member and all others that are in another component."""
     order = F.xxhash64("key", F.lit(round_no))
     open_lists = entries.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("key", "n", "comp"), order).alias("leader")).filter("lo <> hi")
-    met = entries.join(stored(open_lists.select("value", "leader"), "open-lists"), "value").filter((F.col("comp") != F.col("leader.comp")) & _fits("n", "leader.n", percent))
-    return met.select(F.least("key", "leader.key").alias("a"), F.greatest("key", "leader.key").alias("b")).distinct()
+    met = entries.join(stored(open_lists.select("value", "leader").coalesce(tasks), "open-lists"), "value").filter((F.col("comp") != F.col("leader.comp")) & _fits("n", "leader.n", percent))
+    return met.select(F.least("key", "leader.key").alias("a"), F.greatest("key", "leader.key").alias("b")).coalesce(tasks).distinct().coalesce(tasks)
 
 
-def block_pairs(entries: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Within lists that still reach over several components: pairs of different components whose sketches share enough.
+def block_links(entries: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """Links (u, v) between different components within lists that still reach over several, enough to join what is linked.
 
-    A list is dealt into blocks of some BLOCK members, and each two blocks of it meet in a group of their own."""
+    A list is dealt into blocks of some BLOCK members, and each two blocks of
+    it meet in a group of their own, where full sets are compared."""
     lists = entries.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo <> hi")
-    lists = stored(lists.select("value", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "open-lists")
+    lists = stored(lists.select("value", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")).coalesce(tasks), "open-lists")
     dealt = entries.join(lists, "value").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(classes.select("key", "sketch"), "key")
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "comp", "sketch")
-    share = percent / 100
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "comp")
+    met = met.join(sets, "key")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        own, n = group.column("own").to_numpy(), group.column("n").to_numpy()
-        values, ends = _lists(group.column("sketch").combine_chunks() if isinstance(group.column("sketch"), pa.ChunkedArray) else group.column("sketch"))
+        own, n = group.column("own").to_numpy(), group.column("n").to_numpy().astype(np.int64)
+        column = group.column("set")
+        values, ends = _lists(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
         _, comp = np.unique(np.array(group.column("comp").to_pylist(), object), return_inverse=True)
-        distinct, place = np.unique(values, return_inverse=True)
-        seen = np.zeros((len(n), len(distinct)), np.float32)
-        seen[np.repeat(np.arange(len(n)), np.diff(ends)), place] = 1
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        shared = seen[left] @ seen[right].T
-        size = np.diff(ends)
-        # the union's bottom k holds at most the shared values, and has at least as many as the larger sketch
-        k = np.maximum(size[left][:, None], size[right][None, :])
-        small, large = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
-        good = (shared >= k * share - 6 * np.sqrt(k * share * (1 - share))) & (comp[left][:, None] != comp[right][None, :]) & (100 * small >= percent * large)
-        x, y = np.nonzero(good)
+        order = np.argsort(values, kind="stable")
+        first = np.r_[True, values[order][1:] != values[order][:-1]]
+        place = np.empty(len(values), np.int64)
+        place[order] = np.cumsum(first) - 1
+        often = np.bincount(place) > 1  # values of one member alone are in no intersection
+        number = np.cumsum(often) - 1
+        row = np.repeat(np.arange(len(n)), np.diff(ends))[often[place]]
+        place = number[place[often[place]]]
+        shared = np.zeros((len(left), len(right)), np.float32)
+        for a in range(0, int(often.sum()), 8192):
+            part = (place >= a) & (place < a + 8192)
+            seen = np.zeros((len(n), 8192), np.float32)
+            seen[row[part], place[part] - a] = 1
+            shared += seen[left] @ seen[right].T
+        both = n[left][:, None] + n[right][None, :]
+        x, y = np.nonzero((100 * shared >= percent * (both - shared)) & (comp[left][:, None] != comp[right][None, :]))
+        # one link for each two components that are linked here
+        pairs = np.sort(np.stack([comp[left[x]], comp[right[y]]], axis=1), axis=1)
+        _, some = np.unique(pairs, axis=0, return_index=True)
         keys = group.column("key").to_pylist()
-        pairs = {tuple(sorted((keys[left[p]], keys[right[q]]))) for p, q in zip(x, y, strict=True)}
-        return pa.table({"a": pa.array([p for p, _ in pairs], pa.binary()), "b": pa.array([q for _, q in pairs], pa.binary())})
+        return pa.table({"u": pa.array([keys[left[x[k]]] for k in some], pa.binary()), "v": pa.array([keys[right[y[k]]] for k in some], pa.binary())})
 
-    return met.groupBy("value", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
+    return met.groupBy("value", "i", "j").applyInArrow(run, "u binary, v binary")
 
 
-def linked_classes(classes: DataFrame, docs: DataFrame, percent: int, rounds: int = 4) -> DataFrame:
+def linked_classes(classes: DataFrame, docs: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
     """Verified links (u, v) between classes, enough of them to span every component."""
+    tasks = max(6, classes.count() // ROWS_A_TASK)
     counts = classes.select(F.explode("sketch").alias("value")).groupBy("value").count().filter(F.col("count") > COMMON).select("value")
-    marked, sent = _with_common(classes, stored(counts, "common"))
-    links = verified(stored(rare_pairs(marked, sent, percent), "pairs"), classes, docs, percent)
-    entries = stored(list_entries(marked, sent, rare=False), "common-lists")
+    marked, sent = _with_common(classes, stored(counts.coalesce(tasks), "common"))
+    links = verified(stored(rare_pairs(marked, sent, percent).coalesce(tasks), "pairs"), classes, docs, percent)
+    entries = stored(list_entries(marked, sent, rare=False).coalesce(tasks), "common-lists")
     if not entries.limit(1).count():
         return links
-    tried = None
-    for r in range(rounds + 1):
-        labelled = stored(_labelled(entries, links), "labelled")
-        pairs = leader_pairs(labelled, r, percent) if r < rounds else block_pairs(labelled, classes, percent)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if r < rounds and not pairs.limit(1).count():
-            if not labelled.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").limit(1).count():
-                return links
-            continue
-        links = links.unionByName(verified(pairs, classes, docs, percent))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-    return links
+    sets = full_sets(entries.select("key").distinct().coalesce(tasks), classes, docs)
+    for r in range(rounds):
+        labelled = stored(_labelled(entries, links).coalesce(tasks), "labelled")
+        found = stored(linked(leader_pairs(labelled, r, percent, tasks), sets, percent).coalesce(tasks), "verified")
+        links = links.unionByName(found)
+    labelled = stored(_labelled(entries, links).coalesce(tasks), "labelled")
+    return links.unionByName(stored(block_links(labelled, sets, percent, tasks), "verified"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     base = stored(sketches(docs), "sketches")
     full = base.filter("n > 0 and doc_id is not null")
-    first = stored(full.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "classes")
+    tasks = max(6, base.count() // ROWS_A_TASK)
+    first = stored(full.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).coalesce(tasks), "classes")
     # a class's sketch is read from its first document's row; a repeated row is the same again
     classes = full.select("key", "doc_id", "n", "sketch").join(first, ["key", "doc_id"])
     repeated = first.agg(F.count("*")).first()[0] != classes.count()
-    classes = stored(classes.dropDuplicates(["key"]) if repeated else classes, "class-sketches")
+    classes = stored((classes.dropDuplicates(["key"]) if repeated else classes).coalesce(tasks), "class-sketches")
     links = linked_classes(classes, docs, percent)
     found = stored(components(links), "components").select(F.col("node").alias("key"), F.col("component"))
-    met = stored(first.join(found, "key"), "linked")
-    least = stored(met.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    met = stored(first.join(found, "key").coalesce(tasks), "linked")
+    least = stored(met.groupBy("component").agg(F.min("doc_id").alias("component_id")).coalesce(tasks), "least")
     in_links = met.join(_small(least), "component")
     alone = first.filter("copies > 1").join(found, "key", "left_anti").select("key", F.col("doc_id").alias("component_id"))
-    target = stored(in_links.select("key", "component_id").unionByName(alone), "component-ids")
+    target = stored(in_links.select("key", "component_id").unionByName(alone).coalesce(tasks), "component-ids")
     joined = base.select("doc_id", "n", "key").join(_small(target), "key", "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
