@@ -202,15 +202,19 @@ class SubwordModel:
         return [1 / (1 + float(np.exp(-min(50.0, max(-50.0, self.scale * self._best(x) + self.shift))))) for x in texts]
 
 
-def train_toxicity_model(rows: DataFrame, each: int = 1500) -> SubwordModel:
-    """Fits on a bounded sample of rows (doc_id, text, toxic): about `each` texts of a class.
-
-    That bound is the documented parameter; scores cover all rows."""
-    wanted = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).filter("text is not null and toxic in (0, 1)")
-    counts = {r["toxic"]: r["count"] for r in wanted.groupBy("toxic").count().collect()}
-    sample = per_class(wanted, "toxic", "doc_id", each).toPandas().sort_values(["doc_id", "text"])
+def train_toxicity_model(docs: DataFrame, labels: DataFrame, each: int = 1500) -> SubwordModel:
+    """Fits on a bounded sample of labelled documents: about `each` of a class. That bound is the documented parameter; scores cover all rows.
+
+    The sample is drawn from the labels (doc_id, toxic), a repeated one counting
+    once, so only its few thousand ids are joined to docs (doc_id, text), broadcast."""
+    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = marks.cache()
+    counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    sample = docs.filter("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(per_class(marks, "toxic", "doc_id", each)), "doc_id")
+    rows = sample.toPandas().sort_values(["doc_id", "text"])
+    marks.unpersist()
     clean = counts.get(0, 0) / max(1, sum(counts.values()))
-    return SubwordModel(sample["text"].tolist(), sample["toxic"].tolist(), clean)
+    return SubwordModel(rows["text"].tolist(), rows["toxic"].tolist(), clean)
 
 
 def score_toxicity(docs: DataFrame, model: SubwordModel) -> DataFrame:
@@ -230,15 +234,9 @@ def score_toxicity(docs: DataFrame, model: SubwordModel) -> DataFrame:
     return kept.mapInArrow(run, f"{schema}, toxicity double")
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text and toxic of labelled documents; a repeated label row counts once."""
-    marks = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(marks, "doc_id")
-
-
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     marks = spark.read.parquet(f"{sf_dir}/labels.parquet")
     apart = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    model = train_toxicity_model(labelled(docs.filter(~apart), marks))
+    model = train_toxicity_model(docs, marks.filter(~apart))
     return score_toxicity(docs.select("doc_id", "text"), model).select("doc_id", apart.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
