@@ -16,7 +16,7 @@ from cohortframe.llm.common import stored
 from cohortframe.llm.language_id import UNKNOWN, held_out, identify, train_language_model
 from cohortframe.llm.minhash_dedup import BROADCAST_ROWS, near_duplicates
 from cohortframe.llm.packing import pack
-from cohortframe.llm.toxicity import labelled, score_toxicity, train_toxicity_model
+from cohortframe.llm.toxicity import score_toxicity, train_toxicity_model
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5 stay."""
-    model = train_toxicity_model(labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = train_toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_toxicity(docs, model).filter("toxicity < 0.5").select(*docs.columns)
 
 
