@@ -1 +1 @@
-
+"""Streaming jobs over event logs and polled sources."""
