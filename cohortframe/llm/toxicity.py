@@ -28,7 +28,7 @@ from .common import as_bytes, slices
 from .samples import per_class
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 4, 3, 6
-WINDOW, STEP, DECAY = 8, 4, 3e-5
+WINDOW, STEP, DECAY, FIRST_STEPS, EACH = 8, 4, 3e-5, 25, 30
 WORD = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 700_000
 
@@ -94,10 +94,12 @@ class SubwordModel:
             h = np.array([[(w * logit * logit).sum() + 1e-3, (w * logit).sum()], [(w * logit).sum(), w.sum() + 1e-4]])
             step = np.linalg.solve(h, g)
             a, c = a - step[0], c - step[1]
-        if a > 0:
-            self.scale, self.shift = float(a), float(c)
+        if a > 0 and (y == 1).sum() >= 20:
+            self.scale = float(np.clip(a, 0.5, 2.0))
+            self.shift = float(c) * self.scale / float(a)
 
     def _fit(self, texts: list[str], labels: list[int], rounds: int, seed: int) -> None:
+        self._decay = max(DECAY, 0.1 / len(texts))  # fewer texts, more restraint
         vocabulary: dict[str, int] = {}
         docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)), np.int64) for t in texts]
         buckets, self._per_word = subwords([*vocabulary, "-"])  # the last stands where a window has no word
@@ -117,8 +119,8 @@ class SubwordModel:
         place = np.arange(len(owner_of)) - np.repeat(doc_starts, np.diff(np.r_[doc_starts, len(owner_of)]))
         counts = np.bincount(owner_of)[owner_of]
         # at first up to some 30 windows of every text, then toxic texts' best windows against the worst clean ones so far
-        chosen = place % np.maximum(1, counts // 30) == 0
-        self._train(windows[chosen], y[chosen], 1 / np.minimum(counts[chosen], 30), nothing, 25, 0.3)
+        chosen = place % np.maximum(1, counts // EACH) == 0
+        self._train(windows[chosen], y[chosen], 1 / np.minimum(counts[chosen], EACH), nothing, FIRST_STEPS, 0.3)
         hard = np.zeros(len(y), bool)
         for _ in range(rounds):
             logits = self._logits(windows, nothing)
@@ -167,7 +169,7 @@ class SubwordModel:
             on_word[pad] = 0
             on_word = np.stack([-on_word, on_word], axis=1)
             on_vectors = np.repeat((on_word @ self._weights.T) / spans[:, None], spans, axis=0)
-            grads = [np.stack([np.bincount(local, on_vectors[:, k], len(used)) for k in range(DIM)], axis=1) + DECAY * vectors, word_vectors.T @ on_word + DECAY * self._weights, np.array([-error.sum(), error.sum()])]
+            grads = [np.stack([np.bincount(local, on_vectors[:, k], len(used)) for k in range(DIM)], axis=1) + self._decay * vectors, word_vectors.T @ on_word + self._decay * self._weights, np.array([-error.sum(), error.sum()])]
             for p, g, (m, v) in zip((vectors, self._weights, self._bias), grads, moments, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
