@@ -21,7 +21,7 @@ EXPECTED = "e AS (SELECT DISTINCT lane, concat('s', CAST(substr(lane, 5) AS INT)
 add("WIN-1_genotype_verdict", lambda v: w.genotype_verdict(v.scores, _expected(v), 1.05, 30, 500).select("lane", "best", "next", "ratio", "verdict"),
     f""", {EXPECTED}, r AS (SELECT s.*, expected, row_number() OVER (PARTITION BY s.lane ORDER BY score DESC, CASE WHEN sample = expected THEN 1 ELSE 0 END, sample) AS n FROM scores s LEFT JOIN e ON e.lane = s.lane),
        g AS (SELECT lane, max(sample) FILTER (n = 1) AS best, max(score) FILTER (n = 1) AS b, max(sites) FILTER (n = 1) AS sites, max(sample) FILTER (n = 2) AS nx, max(score) FILTER (n = 2) AS c, max(expected) AS expected, max(score) FILTER (sample = expected) AS es FROM r GROUP BY lane),
-       h AS (SELECT *, round(b / CASE WHEN coalesce(c, 0) = 0 THEN 1e-6 ELSE c END, 2) AS ratio, coalesce(es = b, false) AS tie, b >= 500 AND sites >= 30 AS good FROM g)
+       h AS (SELECT *, CAST(round(CAST(b / CASE WHEN coalesce(c, 0) = 0 THEN 1e-6 ELSE c END AS DECIMAL(24, 9)), 2) AS DOUBLE) AS ratio, coalesce(es = b, false) AS tie, b >= 500 AND sites >= 30 AS good FROM g)
        SELECT lane, best, nx AS next, ratio, CASE WHEN es IS NULL AND ratio >= 1.05 AND good THEN 'candidate' WHEN expected IS NULL THEN 'unknown' WHEN tie AND ratio >= 1.05 AND good THEN 'confirmed' WHEN tie THEN 'unconfirmed' WHEN ratio >= 1.05 AND good THEN 'wrong' ELSE 'unconfirmed' END AS verdict FROM h""")
 add("WIN-2_latest_per", lambda v: w.latest_per(v.messages.select("subject", "message", F.col("event_id").alias("date")), ["subject", "message"], "date"), "SELECT subject, message, max(event_id) AS date FROM messages GROUP BY 1, 2")
 add("WIN-5_split_by_bases", lambda v: w.split_by_bases(v.documents.select(F.col("source").alias("file"), F.col("doc_id").alias("row_no"), F.length("text").cast("long").alias("bases")), 10_000),
