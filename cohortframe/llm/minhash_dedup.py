@@ -83,7 +83,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _with_common(classes: DataFrame, common: DataFrame) -> tuple[DataFrame, object]:
     """classes with the common values of their sketches: from a broadcast array if there are few, else by a join."""
     if common.count() <= BROADCAST_ROWS:
-        values = np.sort(np.array([r["value"] for r in common.collect()], np.int64))
+        values = np.sort(common.toArrow().column("value").to_numpy().astype(np.int64))
         return classes.withColumn("shared", F.lit(None).cast("array<long>")), classes.sparkSession.sparkContext.broadcast(values)
     shared = classes.select("key", F.explode("sketch").alias("value")).join(common, "value", "left_semi").groupBy("key").agg(F.collect_set("value").alias("shared"))
     return classes.join(shared, "key", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<long>"))), None

@@ -107,7 +107,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, en
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece (and its ids, if asked for)."""
     pieces = stored(cut_pieces(docs, capacity, tokenizer or default_tokenizer(), end_id, keep_ids), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
-    counts = stored(counts.coalesce(8), "piece-counts")
+    counts = stored(counts, "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = slots_of(shortest_pack_first(histogram, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
