@@ -30,7 +30,7 @@ from .samples import per_class
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 4, 3, 6
 WINDOW, STEP, DECAY, FIRST_STEPS, EACH = 8, 4, 3e-5, 25, 30
 WORD = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 700_000
+CACHE_WORDS = 300_000
 
 
 def words_of(text: str) -> list[str]:
@@ -103,14 +103,16 @@ class SubwordModel:
         vocabulary: dict[str, int] = {}
         docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)), np.int64) for t in texts]
         buckets, self._per_word = subwords([*vocabulary, "-"])  # the last stands where a window has no word
-        self._used, self._local = np.unique(buckets, return_inverse=True)
+        self._used, local = np.unique(buckets, return_inverse=True)
+        self._local = local.astype(np.int32)
+        del buckets, local
         self._starts = np.cumsum(self._per_word) - self._per_word
         rng = np.random.default_rng(seed)
-        self._vectors, self._weights, self._bias = rng.normal(0, 0.3, (len(self._used), DIM)), rng.normal(0, 0.3, (DIM, 2)), np.zeros(2)
+        self._vectors, self._weights, self._bias = rng.normal(0, 0.3, (len(self._used), DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, 2)), np.zeros(2)
         rows, owner, nothing = [], [], len(vocabulary)
         for i, d in enumerate(docs):
             first, _ = window_bounds(len(d))
-            padded = np.r_[d, np.full(WINDOW, nothing)]
+            padded = np.r_[d, np.full(WINDOW, nothing)].astype(np.int32)
             rows.append(padded[first[:, None] + np.arange(WINDOW)])
             owner.append(np.full(len(first), i))
         windows, owner_of = np.concatenate(rows), np.concatenate(owner)
@@ -154,6 +156,8 @@ class SubwordModel:
         spans = self._per_word[words]
         entries = np.repeat(self._starts[words], spans) + np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)
         used, local = np.unique(self._local[entries], return_inverse=True)
+        local = local.astype(np.int32)
+        del entries
         starts = np.cumsum(spans) - spans
         vectors = self._vectors[used]
         share = np.where(y == 1, share / max(share[y == 1].sum(), 1e-9), 2 * share / max(share[y == 0].sum(), 1e-9))
@@ -168,12 +172,13 @@ class SubwordModel:
             on_word = np.bincount(flat, np.repeat(error / WINDOW, WINDOW), len(words))
             on_word[pad] = 0
             on_word = np.stack([-on_word, on_word], axis=1)
-            on_vectors = np.repeat((on_word @ self._weights.T) / spans[:, None], spans, axis=0)
-            grads = [np.stack([np.bincount(local, on_vectors[:, k], len(used)) for k in range(DIM)], axis=1) + self._decay * vectors, word_vectors.T @ on_word + self._decay * self._weights, np.array([-error.sum(), error.sum()])]
+            per_entry = ((on_word @ self._weights.T) / spans[:, None]).astype(np.float32)
+            on_buckets = np.stack([np.bincount(local, np.repeat(per_entry[:, k], spans), len(used)) for k in range(DIM)], axis=1).astype(np.float32)
+            grads = [on_buckets + np.float32(self._decay) * vectors, word_vectors.T @ on_word + self._decay * self._weights, np.array([-error.sum(), error.sum()])]
             for p, g, (m, v) in zip((vectors, self._weights, self._bias), grads, moments, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+                p -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)).astype(p.dtype)
         self._vectors[used] = vectors
 
     def _learn(self, words: list[str]) -> None:
@@ -229,6 +234,7 @@ def score_toxicity(docs: DataFrame, model: SubwordModel) -> DataFrame:
             for part in slices(batch, "text"):
                 found = own.score([x.decode("utf-8", "replace") for x in as_bytes(part.column("text"))])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], [*part.schema.names, "toxicity"])
+        own.known.clear()  # a worker that lives on holds no words of models that are done with
 
     plain = docs.withColumn("text", F.col("text").cast("string"))
     kept = plain.select(*[c for c in plain.columns if c != "toxicity"])
