@@ -167,6 +167,16 @@ def report_order(df: DataFrame, *columns: str) -> DataFrame:
     return df.orderBy(*(key(c) for c in columns))
 
 
+def with_place(ordered: DataFrame) -> DataFrame:
+    """place, each row's position in a sorted table from 1: its number in its range partition plus the counts of earlier ones."""
+    held = ordered.withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    part, within = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = held.groupBy(part.alias("_part")).count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_part", before.alias("_before"))
+    return held.withColumn("_part", part).join(F.broadcast(counts), "_part").withColumn("place", F.col("_before") + within + 1).drop("_id", "_part", "_before")
+
+
 def limit_files(files: DataFrame, n: int) -> DataFrame:
     """SRT-6: the first n by id."""
     return files.orderBy("file_id").limit(n)

@@ -57,6 +57,12 @@ add("SRT-2_shuffle_by_name", lambda v: w.shuffle_by_name(v.reads.select("qname",
 add("SRT-3_sort_variants", lambda v: w.sort_variants(v.variants).select("chrom", "pos").limit(500), "SELECT chrom, pos FROM variants ORDER BY CAST(substr(chrom, 4) AS INT), pos LIMIT 500")
 add("SRT-4_order_parts", lambda v: w.order_parts(v.files.select("path", F.col("file_id").cast("string").alias("seq_no"))).limit(700), "SELECT path, CAST(file_id AS STRING) AS seq_no FROM files ORDER BY file_id LIMIT 700")
 add("SRT-5_report_order", lambda v: w.report_order(v.variants.select("chrom", "qual", "pos"), "~chrom", "-qual", "pos").limit(300), "SELECT chrom, qual, pos FROM variants ORDER BY CAST(substr(chrom, 4) AS INT), qual DESC, pos LIMIT 300")
+# the sorts of whole tables, with each row's place
+add("SRT-1_sort_coordinate_all_rows", lambda v: w.with_place(w.sort_coordinate(v.reads.select("qname", "rname", "pos", "flag"), v.sequences)).select("qname", F.when(F.col("flag").bitwiseAND(F.lit(4)) == 0, F.col("rname")).alias("rname"), "pos", "place"),
+    "SELECT qname, CASE WHEN flag & 4 = 0 THEN rname END AS rname, pos, row_number() OVER (ORDER BY CASE WHEN flag & 4 > 0 THEN NULL ELSE idx END NULLS LAST, pos, qname) AS place FROM reads LEFT JOIN sequences ON sn = rname")
+add("SRT-3_sort_variants_all_rows", lambda v: w.with_place(w.sort_variants(v.variants.select("chrom", "pos"))), "SELECT chrom, pos, row_number() OVER (ORDER BY CAST(substr(chrom, 4) AS INT), pos) AS place FROM variants")
+add("SRT-4_order_parts_all_rows", lambda v: w.with_place(w.order_parts(v.files.select("path", F.col("file_id").cast("string").alias("seq_no")))), "SELECT path, CAST(file_id AS STRING) AS seq_no, row_number() OVER (ORDER BY file_id) AS place FROM files")
+add("SRT-5_report_order_all_rows", lambda v: w.with_place(w.report_order(v.variants.select("chrom", "qual", "pos"), "~chrom", "-qual", "pos")), "SELECT chrom, qual, pos, row_number() OVER (ORDER BY CAST(substr(chrom, 4) AS INT), qual DESC, pos) AS place FROM variants")
 add("SRT-6_limit_files", lambda v: w.limit_files(v.files, 25).select("file_id", "path"), "SELECT file_id, path FROM files ORDER BY file_id LIMIT 25")
 add("AGG-34_overlap_duplicate_percent", lambda v: w.overlap_duplicate_percent(v.insert_hist, v.insert_hist.select("lane", F.lit(20).alias("length"))),
     "SELECT lane, round(100 * sum(greatest(0, 40 - value) * n) / sum(40 * n), 1) AS overlap_percent FROM insert_hist WHERE value > 0 GROUP BY lane")
