@@ -73,6 +73,20 @@ add("AGG-33_auto_qc", lambda v: w.auto_qc(v.lane_stats).drop("reason"), f", {QC}
 add("AGG-33_lane_verdicts", lambda v: w.lane_verdicts(w.auto_qc(v.lane_stats)), f", {QC} SELECT lane, library, bool_and(passed) AS passed, count(*) FILTER (NOT passed) AS failed FROM q GROUP BY 1, 2")
 add("AGG-33_library_verdicts", lambda v: w.library_verdicts(w.lane_verdicts(w.auto_qc(v.lane_stats.filter("lane_no % 1000 = 2"))), v.lane_stats.select("library").distinct().withColumn("status", F.when(F.col("library") == "lib1", "failed"))),
     f", {QC}, l AS (SELECT library, bool_and(passed) AS ok FROM q WHERE CAST(substr(lane, 5) AS INT) % 1000 = 2 GROUP BY library) SELECT library, CASE WHEN library = 'lib1' OR NOT ok THEN 'failed' ELSE 'passed' END AS status FROM l")
+
+
+def _varied(v):
+    """All lanes; those of libraries that end in 2 or 4 pass every check but for their duplicates, but in those of 4 one lane in a hundred is wrong."""
+    good = F.col("library").rlike("[24]$")
+    to = lambda name, value: F.when(good, value).otherwise(F.col(name))
+    status = F.when((F.col("lane_no") % 100 == 3) & F.col("library").endswith("4"), "wrong").otherwise("confirmed")
+    return v.lane_stats.withColumns({"gt_status": to("gt_status", status), "total_reads": to("total_reads", F.col("reads_mapped")), "error_permille": to("error_permille", F.lit(1)), "n_ins": to("n_ins", F.lit(4)), "n_del": to("n_del", F.lit(5))})
+
+
+VARIED = """y AS (SELECT *, regexp_matches(library, '[24]$') AS good FROM lane_stats), varied AS (SELECT lane, library, reads_mapped, reads_duplicated, CASE WHEN NOT good THEN gt_status WHEN lane_no % 100 = 3 AND library LIKE '%4' THEN 'wrong' ELSE 'confirmed' END AS gt_status,
+    CASE WHEN good THEN reads_mapped ELSE total_reads END AS total_reads, CASE WHEN good THEN 1 ELSE error_permille END AS error_permille, CASE WHEN good THEN 4 ELSE n_ins END AS n_ins, CASE WHEN good THEN 5 ELSE n_del END AS n_del FROM y)"""
+add("AGG-33_library_verdicts_all_rows", lambda v: w.library_verdicts(w.lane_verdicts(w.auto_qc(_varied(v))), v.lane_stats.select("library").distinct().withColumn("status", F.when(F.col("library") == "lib12", "failed"))),
+    f", {VARIED}, {QC.replace('FROM lane_stats', 'FROM varied')}, l AS (SELECT library, bool_and(passed) AS ok FROM q GROUP BY library) SELECT library, CASE WHEN library = 'lib12' OR NOT ok THEN 'failed' ELSE 'passed' END AS status FROM l")
 add("UDF-1_apply_records", lambda v: w.apply_records(v.reads.select("qname", "row_no", "mapq"), lambda pdf: pdf.assign(mapq=pdf["mapq"].clip(upper=30)), "qname string, row_no long, mapq int"), "SELECT qname, row_no, least(mapq, 30) AS mapq FROM reads")
 add("UDF-3_with_overrides", lambda v: w.with_overrides(v.regions.select("chrom", F.col("start").alias("from"), F.col("end").alias("to"), F.lit("-q 1").alias("opts")), v.regions.filter("region like '%7'").select(F.concat_ws("", "chrom", F.lit("_"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string")).alias("key"), F.lit("-q 9").alias("opts")), "opts").select("key", "opts"),
     """SELECT concat(chrom, '_', "start", '-', "end") AS key, CASE WHEN region LIKE '%7' THEN '-q 9' ELSE '-q 1' END AS opts FROM regions""")

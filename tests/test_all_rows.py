@@ -16,3 +16,10 @@ def test_sorts_place_every_row(spark, name, view):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sorted(places) == list(range(1, getattr(Views(spark, FOLDER), view).count() + 1))
+
+
+def test_every_library_has_a_verdict_from_all_lanes(spark):
+    got = {r.library: r.status for r in registry.queries()["AGG-33_library_verdicts_all_rows"](spark, FOLDER).collect()}
+    lanes = Views(spark, FOLDER).lane_stats
+    assert set(got) == {r.library for r in lanes.select("library").distinct().collect()} and set(got.values()) == {"passed", "failed"}
+    assert all(got[r.library] == "failed" for r in lanes.filter("library like '%4' and lane_no % 100 = 3").collect())
