@@ -67,6 +67,15 @@ add("AGG-17_max_deviation", lambda v: a.max_deviation(v.scores.select("lane", "s
     "SELECT lane, sample, sites % 50 AS discordance FROM scores QUALIFY row_number() OVER (PARTITION BY lane ORDER BY sites % 50 DESC, CAST(substr(sample, 2) AS INT) DESC) = 1")
 add("AGG-19_unpivot_cnv_summary", lambda v: a.unpivot_cnv_summary(v.cnvs.filter("donor in ('s1', 's2', 's3')").groupBy(F.col("state").alias("kind")).pivot("donor", ["s1", "s2", "s3"]).agg(F.sum("num_snps")), ["s1", "s2", "s3"]),
     "SELECT k.kind, s.sample, CAST(sum(num_snps) AS BIGINT) AS value FROM (SELECT DISTINCT state AS kind FROM cnvs WHERE donor IN ('s1', 's2', 's3')) k CROSS JOIN (VALUES ('s1'), ('s2'), ('s3')) s(sample) LEFT JOIN cnvs c ON c.state = k.kind AND c.donor = s.sample GROUP BY ALL")
+
+
+def _all_donors(v):
+    donors = sorted(r.donor for r in v.cnvs.select("donor").distinct().collect())
+    return a.unpivot_cnv_summary(v.cnvs.groupBy(F.col("state").alias("kind")).pivot("donor", donors).agg(F.sum("num_snps")), donors)
+
+
+add("AGG-19_unpivot_cnv_summary_all_rows", _all_donors,
+    "SELECT k.kind, s.sample, CAST(sum(num_snps) AS BIGINT) AS value FROM (SELECT DISTINCT state AS kind FROM cnvs) k CROSS JOIN (SELECT DISTINCT donor AS sample FROM cnvs) s LEFT JOIN cnvs c ON c.state = k.kind AND c.donor = s.sample GROUP BY ALL")
 add("AGG-20_infer_gender", lambda v: a.infer_gender(v.cnvs.select(F.col("donor").alias("sample"), F.when(F.col("cnv_id") % 11 < 4, "AG").when(F.col("cnv_id") % 11 < 8, "A").when(F.col("cnv_id") % 2 == 0, "").otherwise("CT").alias("genotype"))),
     """, g AS (SELECT donor, CASE WHEN cnv_id % 11 < 4 OR cnv_id % 11 >= 8 AND cnv_id % 2 = 1 THEN 'M' ELSE 'F' END AS g FROM cnvs) SELECT donor AS sample, CASE WHEN min(g) = max(g) THEN min(g) ELSE 'U' END AS gender FROM g GROUP BY donor""")
 add("AGG-21_aberrant_chromosomes", lambda v: a.aberrant_chromosomes(v.cnvs.select(F.concat(F.lit("s"), (F.col("cnv_id") % 100).cast("string")).alias("sample"), F.when(F.col("cnv_id") % 5 == 0, "X").otherwise(F.col("chrom")).alias("chrom"), F.when(F.col("num_snps") % 3 == 0, "2.0").when(F.col("num_snps") % 3 == 1, "1.00").otherwise("2.5").alias("cn")), v.samples.select("sample", F.when(F.col("gender") == "male", "M").alias("gender"))).select("sample", F.array_join("aberrant", ",").alias("aberrant")),

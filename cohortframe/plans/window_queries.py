@@ -116,5 +116,7 @@ SCALARS = {
     "md5_keys": (lambda v: v.files.select("file_id", s.md5_key(F.col("sample"), F.col("lane")).alias("x"), s.content_address(F.array("path", "lane")).alias("y")), "SELECT file_id, md5(concat(sample, '::', lane)) AS x, md5(concat(least(path, lane), '.', greatest(path, lane))) AS y FROM files"),
     "natural_order": (lambda v: v.sequences.select("sn", F.row_number().over(Window.orderBy(s.natural_key(F.col("sn")))).alias("x")), "SELECT sn, CAST(idx AS BIGINT) AS x FROM sequences"),
 }
+SCALARS["decode_flags_all_rows"] = (lambda v: v.reads.select("qname", "row_no", F.array_join(s.decode_flags(F.col("flag")), ",").alias("x")), SCALARS["decode_flags"][1].removesuffix(" WHERE row_no % 7 = 0"))
+SCALARS["report_time_all_rows"] = (lambda v: v.files.select("file_id", F.unix_timestamp(s.report_time(F.concat(F.lit("Mon Sep  7 10:11:"), F.lpad((F.col("file_id") % 60).cast("string"), 2, "0"), F.lit(" 2015")))).alias("x")), "SELECT file_id, 1441620660 + file_id % 60 AS x FROM files")
 for name, (plan, sql) in SCALARS.items():
     add(f"SCALAR_{name}", plan, sql)

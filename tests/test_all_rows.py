@@ -23,3 +23,13 @@ def test_every_library_has_a_verdict_from_all_lanes(spark):
     lanes = Views(spark, FOLDER).lane_stats
     assert set(got) == {r.library for r in lanes.select("library").distinct().collect()} and set(got.values()) == {"passed", "failed"}
     assert all(got[r.library] == "failed" for r in lanes.filter("library like '%4' and lane_no % 100 = 3").collect())
+
+
+@pytest.mark.parametrize(("name", "view"), [("SCALAR_decode_flags", "reads"), ("SCALAR_report_time", "files"), ("JON-5_add_to_all_elements", "files")])
+def test_a_row_for_each_row(spark, name, view):
+    assert registry.queries()[f"{name}_all_rows"](spark, FOLDER).count() == getattr(Views(spark, FOLDER), view).count()
+
+
+def test_every_donor_is_unpivoted(spark):
+    got = registry.queries()["AGG-19_unpivot_cnv_summary_all_rows"](spark, FOLDER)
+    assert {r["sample"] for r in got.collect()} == {r.donor for r in Views(spark, FOLDER).cnvs.select("donor").distinct().collect()}
