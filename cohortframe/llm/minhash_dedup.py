@@ -10,9 +10,10 @@ become components.
 
 Common values: a value retained by more than `common` classes (a shared
 passage, or a large group of near copies) enters no list of a class that keeps
-enough rarer values. Classes made mostly of common values (rarer ones are less
-than two fifths of the sketch) enter the common lists by their 16 smallest
-values. There, for some rounds, one leader of a list is compared with all its
+enough rarer values, which are over two thirds of its sketch: at the threshold
+a quarter of a text's values can be its own, so a class that links by common
+values alone gets there with a chance of about 1e-17. All other classes enter
+the common lists by their 16 smallest values. There, for some rounds, one leader of a list is compared with all its
 members, as long as the list reaches over more than one component; what is
 then still open is compared on full sets in blocks of bounded size, of which
 only links that join components come back. So no list is expanded into all its
@@ -104,7 +105,7 @@ def list_entries(classes: DataFrame, sent: object, rare: bool) -> DataFrame:
                 common = all_common[ends[i] : ends[i + 1]] if extra is None else np.isin(own, extra[i] or [])
                 if rare:
                     chosen = own[~common][:RARE_LISTS]
-                elif 5 * (~common).sum() < 2 * len(own):
+                elif 3 * (~common).sum() <= 2 * len(own):
                     chosen = own[:COMMON_LISTS][common[:COMMON_LISTS]]
                 else:
                     continue

@@ -200,6 +200,18 @@ def test_near_duplicates_with_a_large_group_and_a_common_passage(spark):
     assert minhash_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [4920, 9255])
+def test_near_duplicate_that_contains_a_common_text(spark, seed):
+    """Of the longer text's 96 smallest values 39 or more are its own, at a Jaccard index of 0.75 with the common text alone."""
+    common = [f"t{i}" for i in range(304)]
+    longer = [*common, *(f"s{seed}x{i}" for i in range(100))]
+    sketch = minhash_dedup.shingle_set(" ".join(longer).encode())[: minhash_dedup.KEEP]
+    assert (~np.isin(sketch, minhash_dedup.shingle_set(" ".join(common).encode()))).sum() >= 39
+    docs = [(1, " ".join(longer)), (2, " ".join(common))] + [(10 + i, " ".join([*common, f"v{i}"])) for i in range(40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_groups(docs) and {c for _, c in got.values()} == {1}
+
+
 def test_common_values_by_a_join(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "BROADCAST_ROWS", 0)
     docs = texts(spark)[:120]
