@@ -5,20 +5,25 @@ with equal payloads the smallest page_id is a response and the others are
 revisits without payload that refer to it.
 
 Reading: files are dealt out by byte range. A task looks for gzip magic in
-its range, tries each hit by inflating the first bytes and checking that a
-WARC header with version and length follows, and owns the records whose
-member begins inside its range; it reads past the end of the range to finish
-the last of them.
+its range, tries each hit by inflating it and checking after the first bytes
+that a WARC version follows, and at the end the header's length, and owns the
+records whose member begins inside its range; it reads past the end of the
+range to finish the last of them.
+
+A revisit names its response as the format has it (profile, target URI and
+date of the response) and, for this reader, by page_id. Record ids are random.
 
 Cases: null html is an empty payload; equal payloads below least_bytes are all
-responses; repeated rows of the smallest page_id are each a response; null
-page_id is kept, never the one referred to, and a revisit where another page
-has its payload; an empty table gives no file."""
+responses; repeated rows of the smallest page_id are each a response, with a
+record id of their own; null page_id is kept, never the one referred to, and a
+revisit where another page has its payload; null url gives no target URI; an
+empty table gives no file; columns beside page_id, url and html are ignored."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 import uuid
 import zlib
@@ -30,11 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, new_dir, slices, stored
+from .common import as_bytes, filesystem, new_dir, slices, stored
 
 #: Fixed values of the formats: a gzip member's first bytes, and the record header's first line.
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
+REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+DATE = "1970-01-01T00:00:00Z"
 FILES = "path string, bytes long, n_records long"
 
 
@@ -42,74 +49,80 @@ def _digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-#: Repeated payloads up to which their table is broadcast (some 40 bytes each); beyond it the join is shuffled.
-BROADCAST_ROWS = 200_000
+#: Repeated payloads, and bytes of their first pages' URLs, up to which their table is broadcast; beyond it the join is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def first_of_copies(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """pages with first_id: the smallest page_id with the same payload, null where the payload occurs once.
+    """pages (page_id, url, html) with sha, first_id and first_url: smallest page_id with the same payload and its URL, null where the payload occurs once.
 
-    Digests alone are shuffled, and only payloads that occur more than once
-    reach the join. Their number is counted first, so pages stay where they
+    Digests, ids and URLs alone are shuffled, and only payloads that occur more
+    than once reach the join. They are counted first, so pages stay where they
     are unless the repeated payloads are too many to broadcast."""
     sha = F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
     seen = (
-        pages.select("page_id", sha.alias("sha"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n"))
-        .filter(F.col("n") >= least_bytes)
-        .groupBy("sha")
-        .agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
+        pages.filter(F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes)
+        .groupBy(sha.alias("sha"))
+        .agg(first.alias("first"), F.count("*").alias("copies"))
         .filter("copies > 1")
-        .select("sha", "first_id")
+        .select("sha", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
     )
     seen = stored(seen, "copies")
-    small = seen.count() <= BROADCAST_ROWS
+    size = seen.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("first_url")), F.lit(0)).alias("bytes")).first()
+    small = size["n"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES
     return pages.withColumn("sha", sha).join(F.broadcast(seen) if small else seen, "sha", "left")
 
 
-def _member(kind: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def _one_line(url: str) -> str:
+    return re.sub(r"[\r\n]", " ", url)
+
+
+def _member(page_id: int | None, url: str | None, payload: bytes, sha: str, revisits: bool, first_id: int | None, first_url: str | None) -> bytes:
     lines = [
-        f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{refers_to}')}>",
-        "WARC-Date: 1970-01-01T00:00:00Z",
+        f"WARC-Type: {'revisit' if revisits else 'response'}",
+        f"WARC-Record-ID: <urn:uuid:{uuid.UUID(bytes=os.urandom(16), version=4)}>",
+        f"WARC-Date: {DATE}",
         f"WARC-Page-ID: {'' if page_id is None else page_id}",
-        f"WARC-Payload-Digest: sha1:{_digest(payload)}",
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha)).decode()}",
         f"WARC-Payload-Length: {len(payload)}",
         "Content-Type: text/html; charset=utf-8",
     ]
     if url is not None:
-        lines.append("WARC-Target-URI: " + re.sub(r"[\r\n]", " ", url))
-    if kind == "revisit":
-        lines.append(f"WARC-Refers-To-Page-ID: {'' if refers_to is None else refers_to}")
-        body = b""
-    else:
-        body = payload
-    lines.append(f"Content-Length: {len(body)}")
-    raw = VERSION + "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+        lines.append("WARC-Target-URI: " + _one_line(url))
+    if revisits:
+        lines += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To-Page-ID: {first_id}", f"WARC-Refers-To-Date: {DATE}"]
+        if first_url is not None:
+            lines.append("WARC-Refers-To-Target-URI: " + _one_line(first_url))
+        payload = b""
+    lines.append(f"Content-Length: {len(payload)}")
     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-    return packer.compress(raw) + packer.flush()
+    return packer.compress(VERSION + "\r\n".join(lines).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n") + packer.flush()
 
 
 def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Writes pages (page_id, url, html) as archives, one a task, and returns the table of files, itself written."""
     filesystem(folder)[0].create_dir(filesystem(folder)[1], recursive=True)
     wanted = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    ready = first_of_copies(wanted, least_bytes)
+    columns = ["page_id", "url", "sha", "first_id", "first_url"]
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = filesystem(folder)
-        name, out, size, n = f"{path}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", None, 0, 0
+        name = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
+        out, size, n = None, 0, 0
         for batch in batches:
             for part in slices(batch, "html"):
-                out = out or fs.open_output_stream(name, compression=None)
-                for page_id, url, html, first in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "first_id")), strict=True):
-                    revisit = first is not None and first != page_id
-                    member = _member("revisit" if revisit else "response", page_id, url, (html or "").encode("utf-8", "surrogatepass"), first if revisit else None)
+                if out is None:
+                    fs, path = filesystem(name)
+                    out = fs.open_output_stream(path, compression=None)
+                for html, page_id, url, sha, first_id, first_url in zip(as_bytes(part.column("html")), *(part.column(c).to_pylist() for c in columns), strict=True):
+                    member = _member(page_id, url, html, sha, first_id is not None and first_id != page_id, first_id, first_url)
                     out.write(member)
                     size, n = size + len(member), n + 1
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [name], "bytes": [size], "n_records": [n]})
 
-    return stored(ready.select("page_id", "url", "html", "first_id").mapInArrow(write, FILES), "warc-files")
+    return stored(first_of_copies(wanted, least_bytes).select("html", *columns).mapInArrow(write, FILES), "warc-files")
 
 
 class _Range:
@@ -127,19 +140,19 @@ class _Range:
         return self.held[at - self.at : at - self.at + n]
 
 
-def _inflate(source: _Range, at: int, head_only: bool = False) -> tuple[bytes, int] | None:
-    """The member at a position, and where it ends; with head_only its first bytes. Null if it isn't one."""
-    unpack, out, pos, step = zlib.decompressobj(31), [], at, 1024
+def _inflate(source: _Range, at: int) -> tuple[bytes, int] | None:
+    """The member at a position, and where it ends; null if it isn't one of a WARC record, which its first bytes tell."""
+    unpack, out, held, pos, step = zlib.decompressobj(31), [], 0, at, 2048
     try:
         while not unpack.eof:
             chunk = source.read(pos, step)
-            step = min(2 * step, 1 << 16)
             if not chunk:
                 return None
-            out.append(unpack.decompress(chunk, 256 if head_only else 0))
-            pos += len(chunk)
-            if head_only and sum(map(len, out)) >= len(VERSION):
-                return b"".join(out), pos
+            out.append(unpack.decompress(chunk))
+            pos, step = pos + len(chunk), min(2 * step, 1 << 16)
+            before, held = held, held + len(out[-1])
+            if before < len(VERSION) <= held and not b"".join(out).startswith(VERSION):
+                return None
     except zlib.error:
         return None
     return b"".join(out), pos - len(unpack.unused_data)
@@ -147,23 +160,21 @@ def _inflate(source: _Range, at: int, head_only: bool = False) -> tuple[bytes, i
 
 def records_in(fs: pafs.FileSystem, path: str, size: int, start: int, stop: int) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header and body of each record whose member begins in [start, stop)."""
+    stop = min(stop, size)
     with fs.open_input_file(path) as file:
         source, at = _Range(file, size), start
         while at < stop:
             if source.read(at, len(MAGIC)) != MAGIC:
                 block = source.read(at, min(source.block, stop - at) + len(MAGIC) - 1)
                 hit = block.find(MAGIC)
-                at += hit if hit >= 0 else max(1, len(block) - len(MAGIC) + 1)
                 if hit < 0:
+                    at += max(1, len(block) - len(MAGIC) + 1)
                     continue
+                at += hit
             if at >= stop:
                 return
-            head = _inflate(source, at, head_only=True)
-            whole = _inflate(source, at) if head and head[0].startswith(VERSION) else None
-            if not whole:
-                at += 1
-                continue
-            header, _, rest = whole[0].partition(b"\r\n\r\n")
+            whole = _inflate(source, at)
+            header, _, rest = whole[0].partition(b"\r\n\r\n") if whole and whole[0].startswith(VERSION) else (b"", b"", b"")
             fields = dict(x.split(": ", 1) for x in header.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
             length = fields.get("Content-Length", "")
             if not length.isdigit() or len(rest) != int(length) + 4:
@@ -183,7 +194,7 @@ def read_warc(files: DataFrame, range_bytes: int = 8 << 20, with_payload: bool =
     its header. A response's are computed from what was read."""
     ranges = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start"))
     tasks = files.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
-    ranges = ranges.repartition(min(int(tasks), 100_000))
+    ranges = ranges.repartitionByRange(min(int(tasks), 100_000), "path", "start")  # a range or so a task, not as a hash happens to fall
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
