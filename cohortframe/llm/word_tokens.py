@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import json
 import os
-import re
 
 import numpy as np
 
-#: Words that a worker remembers at most (some 200 bytes each).
-CACHE_WORDS = 700_000
+#: Bytes of words and their ids that a worker remembers at most, an entry counting as ENTRY bytes beside them.
+CACHE_BYTES, ENTRY = 256 << 20, 170
 #: Words handed to the library as one text.
 JOINED = 200
-#: Letters that composition leaves alone and that have one lower-case form, with a mark behind them or none.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+#: Marks that may stand behind a word's letters.
+MARKS = r"""!"#$%&()*+,-./:;=?@[\]^_`{}~"""
 #: The tokenizer settings under which a run of such letters is one unit whatever stands around it.
 LOWERING = ["NFC", "Replace", "Lowercase"]
 LETTER_RUNS = r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -30,7 +29,10 @@ class WordEncoder:
 
     If the tokenizer never lets a token reach over ASCII white space (it is
     probed for that once), each distinct word is encoded once and remembered;
-    otherwise whole texts go to the library."""
+    otherwise whole texts go to the library. Words are remembered in two
+    generations of half the bytes each: when the younger is full it becomes the
+    older, and only words met again move on, so memory stays bounded however
+    long or many the words are, and frequent ones aren't learnt anew."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,14 +40,17 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
-        self.plain = self._plain(path)
+        self.older: dict[bytes, bytes] = {}
+        self.held = 0
+        self.plain, self.ends = self._plain(path)
         probe = ["The cat, it's 12 o'clock.", "Ünï 中文 x"]
         parts = [self._ids(w) for x in probe for w in x.split(" ")]
         self.by_word = all(self._ids(sep.join(probe)) == sum((self._ids(x) for x in probe), []) for sep in (" ", "\n", "\t ", "  \r\n")) and sum(parts, []) == self._ids(" ".join(probe)) and not self._ids(" \t\n\r\x0b\x0c")
 
     @staticmethod
     def _plain(path: str):
-        """The same vocabulary without normalising and splitting, for lower-case letter runs; null where these aren't units."""
+        """The same vocabulary without normalising and splitting, for lower-case letter runs, and which ids end a unit (null if that can't be told);
+        null where letter runs aren't units."""
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -54,55 +59,80 @@ class WordEncoder:
         steps = [x["type"] for x in normal.get("normalizers", [])]
         first = next(iter(split.get("pretokenizers", [])), {})
         if steps != LOWERING or not first.get("pattern", {}).get("Regex", "").endswith(LETTER_RUNS):
-            return None
+            return None, None
         settings["normalizer"] = None
         settings["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
-        return Tokenizer.from_str(json.dumps(settings))
+        ends, suffix = None, settings["model"].get("end_of_word_suffix")
+        if suffix:
+            vocabulary = settings["model"]["vocab"]
+            ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        return Tokenizer.from_str(json.dumps(settings)), ends
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def _learn(self, words: list[bytes]) -> None:
         if self.plain is None:
-            return self._store(self.library, words, [w.decode("utf-8", "replace") for w in words])
-        known, stems, rest = self.words, {}, []
-        later: list[tuple[bytes, bytes, bytes]] = []
-        for w in words:
-            text = w.decode("utf-8", "replace")
-            if m := PLAIN.fullmatch(text):
-                stem, mark = m[1].lower(), m[2].encode()
-                key = stem.encode()
-                if key not in known:
-                    stems[key] = stem
-                later.append((w, key, mark))
-            else:
-                rest.append(w)
-        self._store(self.plain, list(stems), list(stems.values()))
-        for mark in {x[2] for x in later if x[2] not in known}:
-            known[mark] = np.array(self._ids(mark.decode()), "<u4").tobytes()
-        known.update((w, known[key] + known[mark]) for w, key, mark in later)
-        self._store(self.library, rest, [w.decode("utf-8", "replace") for w in rest])
-
-    def _store(self, library, words: list[bytes], texts: list[str]) -> None:
-        for i in range(0, len(words), JOINED):
+            return self._keep(words, self._encoded(self.library, [w.decode("utf-8", "replace") for w in words]))
+        text = b"\n".join(words).decode("utf-8", "replace")
+        lower = text.lower().split("\n")
+        stems = [x.rstrip(MARKS) for x in lower]
+        # letters up to ÿ are left alone by composition and have one lower-case form
+        narrow = text.isascii() or all(x <= "ÿ" for x in set(text))
+        plain = [x.isalpha() and (narrow or x.isascii() or max(x) <= "ÿ") for x in stems]
+        get, before = self.words.get, self.older.get
+        own = {x: get(key) or before(key) for x, key in {x: x.encode() for x, ok in zip(stems, plain, strict=True) if ok}.items()}
+        new = [x for x, ids in own.items() if ids is None]
+        found = self._encoded(self.plain, new, self.ends)
+        own.update(zip(new, found, strict=True))
+        self._keep([x.encode() for x in new], found)
+        marks = {x[len(stem) :] for x, stem, ok in zip(lower, stems, plain, strict=True) if ok}
+        marks = {x: np.array(self._ids(x), "<u4").tobytes() for x in marks}
+        dressed = [(w, own[stem] + marks[x[len(stem) :]]) for w, x, stem, ok in zip(words, lower, stems, plain, strict=True) if ok and w not in self.words]
+        self._keep([w for w, _ in dressed], [ids for _, ids in dressed])
+        rest = [w for w, ok in zip(words, plain, strict=True) if not ok]
+        self._keep(rest, self._encoded(self.library, [w.decode("utf-8", "replace") for w in rest]))
+
+    def _keep(self, words: list[bytes], ids: list[bytes]) -> None:
+        self.words.update(zip(words, ids, strict=True))
+        self.held += sum(map(len, words)) + sum(map(len, ids)) + ENTRY * len(words)
+
+    def _encoded(self, library, texts: list[str], ends: np.ndarray | None = None) -> list[bytes]:
+        """The ids of each of the words, which go to the library JOINED at a time; ends tells them apart, or else the library's offsets."""
+        out: list[bytes] = []
+        for i in range(0, len(texts), JOINED):
             part = texts[i : i + JOINED]
             found = library.encode(" ".join(part), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(x) + 1 for x in part)])
             ids = np.array(found.ids, "<u4")
-            cuts = np.searchsorted(np.fromiter((a for a, _ in found.offsets), np.int64, len(ids)), starts).tolist()
-            flat = ids.tobytes()
-            self.words.update((w, flat[4 * a : 4 * b]) for w, a, b in zip(words[i : i + JOINED], cuts[:-1], cuts[1:], strict=True))
+            cuts = np.r_[0, np.flatnonzero(ends[ids]) + 1] if ends is not None else ids[:0]
+            if len(cuts) != len(part) + 1:
+                starts = np.cumsum([0, *(len(x) + 1 for x in part)])
+                cuts = np.searchsorted(np.fromiter((a for a, _ in found.offsets), np.int64, len(ids)), starts)
+            flat, cuts = ids.tobytes(), (4 * cuts).tolist()
+            out += [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
+    def _meet(self, words: list[bytes]) -> None:
+        """Makes the given words known: from the older generation, else from the library."""
+        if self.held > CACHE_BYTES // 2:
+            self.older, self.words, self.held = self.words, {}, 0
+        again = [w for w in words if w in self.older]
+        self._keep(again, [self.older[w] for w in again])
+        if new := [w for w in words if w not in self.older] if again else words:
+            self._learn(new)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)]
         split = [x.split() for x in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        known = self.words
-        if new := list(dict.fromkeys(w for ws in split for w in ws if w not in known)):
-            self._learn(new)
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        get = self.words.get
+        found = [list(map(get, ws)) for ws in split]
+        if missing := list(dict.fromkeys(w for ws, ids in zip(split, found, strict=True) if None in ids for w, x in zip(ws, ids, strict=True) if x is None)):
+            self._meet(missing)
+            known = self.words
+            return [b"".join([known[w] if x is None else x for w, x in zip(ws, ids, strict=True)] if None in ids else ids) for ws, ids in zip(split, found, strict=True)]
+        return [b"".join(ids) for ids in found]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
