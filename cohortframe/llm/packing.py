@@ -3,7 +3,9 @@
 Documents are cut into pieces of at most `capacity` ids while they are
 tokenised. The histogram of piece lengths, of at most `capacity` rows whatever
 the corpus, goes to the driver, which packs it: lengths longest first, each
-into the shortest pattern with room, moving counts between patterns. Every
+into the shortest pattern with room, moving counts between patterns. A length
+opens, moves and splits patterns, so their number follows the number of
+lengths, not of documents, and the table of their slots can be broadcast. Every
 pattern slot then owns an interval of the ranks of its length, and a piece
 finds its sequence and offset by its rank. Ranks are local ranks of the
 written pieces table plus prefix sums over (part, length) counts, so no length,
@@ -109,13 +111,14 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, en
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     counts = stored(counts, "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    slots = slots_of(shortest_pack_first(histogram, capacity))
+    sent = docs.sparkSession.sparkContext.broadcast(slots_of(shortest_pack_first(histogram, capacity)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("base"))
     ranked = pieces.join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("local_rank"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = sent.value
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             at = np.searchsorted(slots["key"], (length << 44) + rank, side="right") - 1
