@@ -10,7 +10,7 @@ times the landmark matrix times the weights.
 Cases: null text and text without a letter give `und` with score 1; an empty
 table gives no rows; without training rows every other text gives `und`
 with score 0; equal outputs go to the alphabetically first language; repeated
-rows are scored each."""
+rows are scored each; other columns stay as they are."""
 
 from __future__ import annotations
 
@@ -88,18 +88,19 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def train_language_model(rows: DataFrame, each: int = 400, landmarks: int = 128) -> KernelModel:
-    """Fits on a bounded sample of rows (doc_id, text, lang): about `each` texts of a language.
+def train_language_model(rows: DataFrame, each: int = 400, landmarks: int = 128, longest: int = 1 << 16) -> KernelModel:
+    """Fits on a bounded sample of rows (doc_id, text, lang): about `each` texts of every language, of at most `longest` bytes each.
 
-    That bound is the documented parameter; predictions cover all rows."""
-    wanted = rows.select("doc_id", "text", "lang").filter(F.col("text").rlike(r"\p{L}"))
+    Those bounds are the documented parameters; predictions cover all rows and whole texts."""
+    wanted = rows.select("doc_id", F.col("text").cast("string").alias("text"), "lang").filter((F.octet_length("text") <= longest) & F.col("text").rlike(r"\p{L}"))
     sample = per_class(wanted, "lang", "doc_id", each).toPandas()
     sample = sample.sort_values(["doc_id", "text"])
     return KernelModel(sample["text"].tolist(), sample["lang"].tolist(), landmarks)
 
 
-def identify(docs: DataFrame, model: KernelModel) -> DataFrame:
-    """docs with lang_pred and score, in one pass over whole texts; the model (about a megabyte) goes to the workers."""
+def identify(docs: DataFrame, model: KernelModel, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with language and score under the given names, which take the place of columns so called, in one pass
+    over whole texts; the model (about a megabyte) goes to the workers."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
 
@@ -114,12 +115,12 @@ def identify(docs: DataFrame, model: KernelModel) -> DataFrame:
                     some = asked[a : a + BLOCK]
                     for i, found in zip(some, own.predict([texts[i] for i in some]), strict=True):
                         out[i] = found
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in out]), pa.array([x for _, x in out])], [*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in out]), pa.array([x for _, x in out])], [*part.schema.names, *names])
 
     plain = docs.withColumn("text", F.col("text").cast("string"))
-    kept = plain.select(*[c for c in plain.columns if c not in ("lang_pred", "score")])
+    kept = plain.select(*[c for c in plain.columns if c.lower() not in {x.lower() for x in names}])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return kept.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out(modulus: int, remainder: int):
