@@ -17,6 +17,7 @@ gives no rows; repeated rows are scored each."""
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,10 @@ from .samples import per_class
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 4, 3, 6
 WINDOW, STEP, DECAY, FIRST_STEPS, EACH = 8, 4, 3e-5, 25, 30
-WORD = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 300_000
+#: Runs of letters and digits with a letter among them, so that digits put for letters stay inside their word.
+WORD = re.compile(r"\d*[^\W\d_][^\W_]*")
+#: Bytes of words that a worker remembers at most, an entry counting as ENTRY bytes beside its word.
+CACHE_BYTES, ENTRY = 64 << 20, 130
 
 
 def words_of(text: str) -> list[str]:
@@ -70,6 +73,7 @@ class SubwordModel:
 
     def __init__(self, texts: list[str], labels: list[int], clean_share: float = 0.9, rounds: int = 5):
         self.known: dict[str, float] = {}
+        self.held = 0
         self.trained, self.scale, self.shift = len(set(labels)) == 2, 1.0, 0.0
         if not self.trained:
             return
@@ -185,6 +189,7 @@ class SubwordModel:
         buckets, sizes = subwords(words)
         sums = np.add.reduceat(self.bucket_score[buckets].astype(np.float64), np.cumsum(sizes) - sizes)
         self.known.update(zip(words, (sums / sizes).tolist(), strict=True))
+        self.held += sum(map(sys.getsizeof, words)) + ENTRY * len(words)
 
     def _best(self, text: str) -> float:
         """The most toxic window's logit."""
@@ -197,35 +202,42 @@ class SubwordModel:
         first, end = window_bounds(len(ws))
         return float((sums[end] - sums[first]).max()) / WINDOW + self.bias
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
+
     def score(self, texts: list[str]) -> list[float]:
         """The probability that each text is toxic."""
         if not self.trained:
             return [0.0] * len(texts)
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        if self.held > CACHE_BYTES:
+            self.forget()
         if new := list({w for x in texts for w in words_of(x)} - self.known.keys()):
             for i in range(0, len(new), 20_000):
                 self._learn(new[i : i + 20_000])
         return [1 / (1 + float(np.exp(-min(50.0, max(-50.0, self.scale * self._best(x) + self.shift))))) for x in texts]
 
 
-def train_toxicity_model(docs: DataFrame, labels: DataFrame, each: int = 1500) -> SubwordModel:
-    """Fits on a bounded sample of labelled documents: about `each` of a class. That bound is the documented parameter; scores cover all rows.
+def train_toxicity_model(docs: DataFrame, labels: DataFrame, each: int = 1500, longest: int = 1 << 16) -> SubwordModel:
+    """Fits on a bounded sample of labelled documents: about `each` of a class, of at most `longest` bytes each.
+    Those bounds are the documented parameters; scores cover all rows and whole texts.
 
     The sample is drawn from the labels (doc_id, toxic), a repeated one counting
-    once, so only its few thousand ids are joined to docs (doc_id, text), broadcast."""
+    once, so only its few thousand ids are joined to docs (doc_id, text),
+    broadcast; where documents share an id, the first texts by order make up the bound."""
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.cache()
     counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
-    sample = docs.filter("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(per_class(marks, "toxic", "doc_id", each)), "doc_id")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.octet_length("text") <= longest)
+    sample = texts.join(F.broadcast(per_class(marks, "toxic", "doc_id", each)), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(3 * each + 100)
     rows = sample.toPandas().sort_values(["doc_id", "text"])
     marks.unpersist()
     clean = counts.get(0, 0) / max(1, sum(counts.values()))
     return SubwordModel(rows["text"].tolist(), rows["toxic"].tolist(), clean)
 
 
-def score_toxicity(docs: DataFrame, model: SubwordModel) -> DataFrame:
-    """docs with a column toxicity (0 to 1), in one pass over whole texts."""
+def score_toxicity(docs: DataFrame, model: SubwordModel, name: str = "toxicity") -> DataFrame:
+    """docs with a column `name` (0 to 1), which takes the place of one so called, in one pass over whole texts."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,13 +245,13 @@ def score_toxicity(docs: DataFrame, model: SubwordModel) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 found = own.score([x.decode("utf-8", "replace") for x in as_bytes(part.column("text"))])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], [*part.schema.names, "toxicity"])
-        own.known.clear()  # a worker that lives on holds no words of models that are done with
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], [*part.schema.names, name])
+        own.forget()  # a worker that lives on holds no words of models that are done with
 
     plain = docs.withColumn("text", F.col("text").cast("string"))
-    kept = plain.select(*[c for c in plain.columns if c != "toxicity"])
+    kept = plain.select(*[c for c in plain.columns if c.lower() != name.lower()])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(run, f"{schema}, toxicity double")
+    return kept.mapInArrow(run, f"{schema}, `{name}` double")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
