@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, slices
 
-CACHE_WORDS = 500_000
+#: Bytes of words and their ids that a worker remembers at most, an entry counting as ENTRY bytes beside them.
+CACHE_BYTES, ENTRY = 128 << 20, 110
 SPACE = "▁"
 
 
@@ -47,6 +49,7 @@ class MergeCoder:
             raise ValueError("only BPE models with identity normalisation and neither unused nor user-defined pieces are supported")
         self.prefix = SPACE if spec.add_dummy_prefix else ""
         self.words: dict[str, bytes] = {}
+        self.held = 0
         pieces = [p.piece for p in model.pieces]
         normal = [i for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL]
         # a symbol is a normal piece, by its id, or a character that only occurs inside pieces, by a number beyond
@@ -159,13 +162,16 @@ class MergeCoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.split.findall(self.prefix + x.replace(" ", SPACE)) if x else [] for x in texts]
-        if len(self.words) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.words.clear()
+            self.held = 0
         known = self.words
         if new := list(dict.fromkeys(w for ws in split for w in ws if w not in known)):
             for i in range(0, len(new), 50_000):
                 part = new[i : i + 50_000]
-                known.update(zip(part, self.merge_words(part), strict=True))
+                found = self.merge_words(part)
+                known.update(zip(part, found, strict=True))
+                self.held += sum(map(sys.getsizeof, part)) + sum(map(sys.getsizeof, found)) + ENTRY * len(part)
         out = [np.frombuffer(b"".join(map(known.__getitem__, ws)), "<u4") for ws in split]
         return out
 
