@@ -2,11 +2,16 @@
 
 DataFrame functions and MLlib's tree booster only, so all rows stay in the JVM.
 
+The trees learn from one half of the labelled sample; block rates of suffixes
+and first folders come from the other half, so no label is its own feature.
+
 Cases: null url, or one without "://", has empty host and path, null rule, and
 is judged by the trees; where the sample has labels of one class alone, that
 class is every unruled verdict, and without any labels it is `allow`; an empty
-table gives no rows; repeated rows are judged each; rules of equal length that
-both fit cannot differ in text, so none tie."""
+table gives no rows; repeated rows are judged each, and count once in the
+sample; URLs of any length are judged whole; rules of equal length that both
+fit cannot differ in text, so none tie. Columns of the names host, path, rule,
+verdict and score are replaced; all others stay as they are, whatever their names."""
 
 from __future__ import annotations
 
@@ -21,6 +26,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (rule, verdict): host and path prefix in one text. Rules are few; they become one expression.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+#: Before the names of columns that judging adds and takes away again.
+OWN = "_url_filter_"
 FEATURES = ("length", "host_length", "labels", "depth", "digit_ratio", "hyphens", "entropy", "parameters", "fragment", "suffix_rate", "suffix_weight", "words_rate")
 
 
@@ -49,7 +56,7 @@ def suffix_of(host: Column) -> Column:
 
 
 def lexical_features(urls: DataFrame) -> DataFrame:
-    """urls (url, host, path) with the lexical features that need no statistics."""
+    """urls (url, host, path) with the lexical features that need no statistics, named with a prefix of their own."""
     url = F.coalesce(F.col("url"), F.lit(""))
     size = F.greatest(F.length(url), F.lit(1))
     letters = F.split(F.lower(url), "")
@@ -57,16 +64,16 @@ def lexical_features(urls: DataFrame) -> DataFrame:
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     return urls.withColumns(
         {
-            "length": F.length(url).cast("double"),
-            "host_length": F.length("host").cast("double"),
-            "labels": F.size(F.split("host", r"\.")).cast("double"),
-            "depth": (F.length("path") - F.length(F.regexp_replace("path", "/", ""))).cast("double"),
-            "digit_ratio": F.length(F.regexp_replace(url, r"[^0-9]", "")) / size,
-            "hyphens": (F.length("host") - F.length(F.regexp_replace("host", "-", ""))).cast("double"),
-            "entropy": -F.aggregate(counts, F.lit(0.0), lambda a, p: a + p * F.log2(p)),
-            "parameters": F.when(query == "", 0.0).otherwise(F.size(F.split(query, "&")).cast("double")),
-            "fragment": F.when(url.contains("#"), 1.0).otherwise(0.0),
-            "suffix": suffix_of(F.col("host")),
+            OWN + "length": F.length(url).cast("double"),
+            OWN + "host_length": F.length(OWN + "host").cast("double"),
+            OWN + "labels": F.size(F.split(OWN + "host", r"\.")).cast("double"),
+            OWN + "depth": (F.length(OWN + "path") - F.length(F.regexp_replace(OWN + "path", "/", ""))).cast("double"),
+            OWN + "digit_ratio": F.length(F.regexp_replace(url, r"[^0-9]", "")) / size,
+            OWN + "hyphens": (F.length(OWN + "host") - F.length(F.regexp_replace(OWN + "host", "-", ""))).cast("double"),
+            OWN + "entropy": -F.aggregate(counts, F.lit(0.0), lambda a, p: a + p * F.log2(p)),
+            OWN + "parameters": F.when(query == "", 0.0).otherwise(F.size(F.split(query, "&")).cast("double")),
+            OWN + "fragment": F.when(url.contains("#"), 1.0).otherwise(0.0),
+            OWN + "suffix": suffix_of(F.col(OWN + "host")),
         }
     )
 
@@ -91,9 +98,9 @@ def _looked_up(key: Column, table: dict[str, tuple[float, float]], which: int, d
 def with_statistics(rows: DataFrame, model: UrlModel) -> DataFrame:
     return rows.withColumns(
         {
-            "suffix_rate": _looked_up(F.col("suffix"), model.suffixes, 0, model.prior),
-            "suffix_weight": _looked_up(F.col("suffix"), model.suffixes, 1, 0.0),
-            "words_rate": _looked_up(first_part(F.col("path")), model.first_parts, 0, model.prior),
+            OWN + "suffix_rate": _looked_up(F.col(OWN + "suffix"), model.suffixes, 0, model.prior),
+            OWN + "suffix_weight": _looked_up(F.col(OWN + "suffix"), model.suffixes, 1, 0.0),
+            OWN + "words_rate": _looked_up(first_part(F.col(OWN + "path")), model.first_parts, 0, model.prior),
         }
     )
 
@@ -103,44 +110,54 @@ def first_part(path: Column) -> Column:
     return F.regexp_extract(path, r"\A/([^/]{1,20})/", 1)
 
 
-def _statistics(sample: DataFrame, key: Column, prior: float, most: int = 100) -> dict[str, tuple[float, float]]:
+def _statistics(sample: DataFrame, key: Column, prior: float, most: int) -> dict[str, tuple[float, float]]:
     """Smoothed block rates and log counts of the sample's commonest `most` values."""
     rows = sample.groupBy(key.alias("k")).agg(F.sum("label").alias("bad"), F.count("*").alias("n")).orderBy(F.desc("n"), "k").limit(most).collect()
     return {r["k"]: ((r["bad"] + 5 * prior) / (r["n"] + 5), float(r["n"]) ** 0.25) for r in rows}
 
 
-def train_url_model(labelled: DataFrame, rows: int = 20_000, trees: int = 10, depth: int = 4) -> UrlModel:
-    """Fits on at most `rows` labelled URLs (url, label 1.0 for block), chosen by a hash of the URL.
-
-    That bound is the documented parameter; every URL is judged."""
+def train_url_model(labelled: DataFrame, rows: int = 20_000, trees: int = 10, depth: int = 4, statistics: int = 100) -> UrlModel:
+    """Fits on at most `rows` distinct labelled URLs (url, label 1.0 for block), chosen by a hash of the URL; of a URL with
+    both labels the mean counts. Rates are kept for the commonest `statistics` suffixes and first folders, others have the
+    overall rate. Those bounds are the documented parameters; every URL is judged."""
     parts = labelled.select("url", F.col("label").cast("double").alias("label")).filter("url is not null and label is not null")
-    sample = parts.orderBy(F.xxhash64("url"), "url").limit(rows)
-    sample = lexical_features(sample.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))).cache()
+    distinct = parts.groupBy("url").agg(F.round(F.avg("label")).alias("label"))
+    sample = distinct.orderBy(F.xxhash64("url"), "url").limit(rows)
+    sample = lexical_features(with_parts(sample)).cache()
     total = sample.agg(F.count("*").alias("n"), F.sum("label").alias("bad")).first()
     n, bad = total["n"], total["bad"] or 0.0
     model = UrlModel(None, 1.0 if n and bad == n else 0.0, {}, {}, bad / n if n else 0.0)
     if 0 < bad < n:
-        model.suffixes = _statistics(sample, F.col("suffix"), model.prior)
-        model.first_parts = _statistics(sample, first_part(F.col("path")), model.prior)
-        ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_statistics(sample, model))
-        model.trees = GBTClassifier(maxIter=trees, maxDepth=depth, seed=1).fit(ready.select("features", "label").coalesce(2))
+        half = F.pmod(F.xxhash64("url", F.lit("half")), F.lit(2))
+        model.suffixes = _statistics(sample.filter(half == 0), F.col(OWN + "suffix"), model.prior, statistics)
+        model.first_parts = _statistics(sample.filter(half == 0), first_part(F.col(OWN + "path")), model.prior, statistics)
+        apart = sample.filter(half == 1)
+        fitted = apart if apart.agg(F.countDistinct("label")).first()[0] == 2 else sample  # a small half may lack a class
+        ready = VectorAssembler(inputCols=[OWN + x for x in FEATURES], outputCol=OWN + "features").transform(with_statistics(fitted, model))
+        model.trees = GBTClassifier(maxIter=trees, maxDepth=depth, seed=1, featuresCol=OWN + "features", labelCol="label").fit(ready.select(OWN + "features", "label").coalesce(2))
     sample.unpersist()
     return model
 
 
+def with_parts(urls: DataFrame) -> DataFrame:
+    return urls.withColumn(OWN + "host", host_of(F.col("url"))).withColumn(OWN + "path", path_of(F.col("url")))
+
+
 def judge(urls: DataFrame, model: UrlModel, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """urls with host, path, rule, verdict and score (the trees' probability of block)."""
-    parts = urls.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    parts = parts.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
+    parts = with_parts(urls.withColumn("url", F.col("url").cast("string")))
+    parts = parts.withColumn(OWN + "fit", rule_for(F.col(OWN + "host"), F.col(OWN + "path"), rules))
     if model.trees is None:
-        scored = parts.withColumn("score", F.lit(model.only))
+        scored, score = parts, F.lit(model.only)
     else:
-        ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep").transform(with_statistics(lexical_features(parts), model))
-        scored = model.trees.transform(ready).withColumn("score", vector_to_array("probability")[1])
-    verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
-    added = {"rule": F.col("fit.rule"), "verdict": verdict}
-    keep = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict", "score")]
-    return scored.select(*keep, "host", "path", *(x.alias(c) for c, x in added.items()), "score")
+        ready = VectorAssembler(inputCols=[OWN + x for x in FEATURES], outputCol=OWN + "features", handleInvalid="keep").transform(with_statistics(lexical_features(parts), model))
+        trees = model.trees.copy().setFeaturesCol(OWN + "features").setProbabilityCol(OWN + "probability").setRawPredictionCol(OWN + "raw").setPredictionCol(OWN + "prediction")
+        scored, score = trees.transform(ready), vector_to_array(OWN + "probability")[1]
+    fit = F.col(OWN + "fit")
+    verdict = F.coalesce(fit["verdict"], F.when(score >= 0.5, "block").otherwise("allow"))
+    added = {"host": F.col(OWN + "host"), "path": F.col(OWN + "path"), "rule": fit["rule"], "verdict": verdict, "score": score}
+    keep = [F.col(f"`{c}`") for c in urls.columns if c.lower() not in added]
+    return scored.select(*keep, *(x.alias(c) for c, x in added.items()))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
