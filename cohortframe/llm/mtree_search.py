@@ -3,8 +3,9 @@
 Vectors are given one more component, sqrt(M² - |x|²) with M the largest norm
 of all, and queries a zero: then squared Euclidean distance is |q|² + M² - 2 q·x,
 and the nearest are those of highest inner product, so a metric tree applies.
-Rows are dealt to trees by nearest pivot and, where a pivot has many, by a hash,
-so copies in any number spread. A tree is a table of pages: an inner page has
+Rows are dealt to trees by nearest pivot, of which there are more where there
+are more rows, and, where a pivot has many, by their number in the written
+table, so copies in any number spread. A tree is a table of pages: an inner page has
 routing vectors with covering radii and distances to the page's own routing
 vector, a leaf has vectors with their distances. A query goes best first, by
 the least distance that a page can hold, and skips an entry without computing
@@ -13,14 +14,15 @@ exceeds the k-th best. First each query searches the trees of its nearest
 pivot; with the k-th score found there it goes only to trees whose ball can
 still reach it. Bounds have a slack for rounding; scores are exact integers.
 
-Queries meet trees in blocks of QUERIES; pages are sent once to each block.
+Queries meet trees in blocks of at most QUERIES with the same nearest pivot; a
+tree's pages are sent once to each block that asks for it, and to no other.
 
 Cases: vectors that are null, empty or hold null or non-finite components take
 no part; of rows with one vec_id all are candidates, and none is one for a
 query with that vec_id, asked once, by its first vector in array order; null
 vec_id takes no part; shorter vectors count as filled up with zeros; ties go to
 smaller vec_id; fewer candidates than k give fewer rows; an empty table gives
-none; sums beyond 2^53 are computed in Python's integers."""
+none; sums beyond 2^53 are computed in Python's integers; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-PIVOTS, TREE, LEAF, FAN, QUERIES = 64, 8192, 128, 16, 512
+PIVOTS, MOST_PIVOTS, TREE, LEAF, FAN, QUERIES = 64, 4096, 8192, 128, 16, 2048
 
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -145,17 +147,22 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     if not sums["n"] or not sums["nq"]:
         return base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim, m2, exact = sums["dim"], sums["m2"], exact_products(sums["m2"])
-    sample = base.orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id", "v").limit(PIVOTS).select("v").distinct().toArrow()
+    wanted = min(MOST_PIVOTS, max(PIVOTS, sums["n"] // TREE))
+    sample = base.orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id", "v").limit(wanted).select("v").distinct().toArrow()
     pivots = _raised(_dense(sample.column("v"), dim), m2)
-    blocks = -(-sums["nq"] // QUERIES)
 
     def to_pivot(batches):
         for batch in batches:
-            d = _distances(_raised(_dense(batch.column("v"), dim), m2), pivots)
+            x = _dense(batch.column("v"), dim)
+            d = _distances(_raised(x, m2), pivots)
             own = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(d[np.arange(len(own)), own])], [*batch.schema.names, "pivot", "far"])
+            home, at = own.copy(), np.flatnonzero(batch.column("is_query").to_numpy(zero_copy_only=False))
+            if len(at):
+                home[at] = _distances(np.hstack([x[at], np.zeros((len(at), 1))]), pivots).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(d[np.arange(len(own)), own]), pa.array(home.astype(np.int32))], [*batch.schema.names, "pivot", "far", "home"])
 
-    placed = stored(base.mapInArrow(to_pivot, "vec_id long, v array<long>, is_query boolean, pivot int, far double"), "placed")
+    placed = base.mapInArrow(to_pivot, "vec_id long, v array<long>, is_query boolean, pivot int, far double, home int")
+    placed = stored(placed.withColumn("number", F.monotonically_increasing_id()), "placed")
     about = placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()  # a row a pivot
     trees = {r["pivot"]: -(-r["n"] // TREE) for r in about}
     radius = np.array([next((r["radius"] for r in about if r["pivot"] == p), -np.inf) for p in range(len(pivots))])
@@ -165,10 +172,13 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         found = build_pages(_raised(_dense(group.column("v"), dim), m2), group.column("vec_id").to_numpy())
         return pa.table({"pivot": pa.array([group.column("pivot")[0].as_py()] * len(found), pa.int32()), "tree": pa.array([group.column("tree")[0].as_py()] * len(found), pa.int32()), "page": pa.array(range(len(found)), pa.int32()), "data": pa.array([pickle.dumps(p) for p in found], pa.binary())})
 
-    dealt = placed.select("vec_id", "v", "pivot", F.pmod(F.xxhash64("vec_id", F.lit("tree")), n_trees).cast("int").alias("tree"))
+    dealt = placed.select("vec_id", "v", "pivot", F.pmod(F.xxhash64("number"), n_trees).cast("int").alias("tree"))
     pages = stored(dealt.groupBy("pivot", "tree").applyInArrow(build, "pivot int, tree int, page int, data binary"), "pages")
-    asked = placed.filter("is_query").groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")), "queries")
+    asked = placed.filter("is_query").groupBy("vec_id").agg(F.min(F.struct("v", "home")).alias("q")).select("vec_id", "q.v", "q.home")
+    asked = stored(asked, "queries")
+    blocks = {r["home"]: -(-r["count"] // QUERIES) for r in asked.groupBy("home").count().collect()}  # a row a pivot
+    n_blocks = F.element_at(F.create_map(*(F.lit(x) for p, n in blocks.items() for x in (p, n))), F.col("home"))
+    asked = asked.withColumn("block", F.concat_ws("/", "home", F.pmod(F.xxhash64("vec_id", F.lit("block")), n_blocks)))
 
     def routed(queries: DataFrame, home: bool) -> DataFrame:
         """queries with each pivot to search: the nearest, or all others whose ball can hold a score of at_least."""
@@ -191,7 +201,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                 at, to = np.nonzero(go)
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns), pa.array(to.astype(np.int32))], [*batch.schema.names, "pivot"])
 
-        found = queries.mapInArrow(route, "vec_id long, v array<long>, block int, at_least double, pivot int")
+        found = queries.mapInArrow(route, "vec_id long, v array<long>, block string, at_least double, pivot int")
         return found.withColumn("tree", F.explode(F.sequence(F.lit(0), n_trees - 1)))
 
     def answer(queries: pa.Table, own: pa.Table) -> pa.Table:
@@ -205,11 +215,12 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         columns = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_id", "score", "vec_id"])
 
-    sent = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ["pivot", "tree", "block"]
 
     def searched(queries: DataFrame, home: bool) -> DataFrame:
-        return routed(queries, home).groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(answer, schema)
+        going = stored(routed(queries.select("vec_id", "v", "block", "at_least"), home), "routed")
+        sent = pages.join(going.select(*keys).distinct().toDF(*keys), ["pivot", "tree"])
+        return going.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(answer, schema)
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     at_home = searched(asked.withColumn("at_least", F.lit(float("-inf"))), True).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
