@@ -1,10 +1,13 @@
-"""Aggregations over reads, statistics, metadata, usage and facts (AGG-1 to AGG-41 apart from intervals)."""
+"""Aggregations over reads, statistics, metadata, usage and facts (AGG-1 to AGG-41 apart from intervals and QC)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import bin_width, bins
+from .ordering import number_within
+
 
 def _bit(n: int) -> Column:
     return F.col("flag").bitwiseAND(F.lit(n)) != 0
@@ -83,18 +86,75 @@ def cumulative_coverage(cov: DataFrame, depths: tuple[int, ...] = (1, 2, 5, 10,
     return cov.groupBy(key).agg(*(F.coalesce(F.sum(F.when(F.col("cov") >= d, F.col("n"))), F.lit(0)).alias(f"cov_{d}") for d in depths))
 
 
+def _cigar_sum(ops: str) -> Column:
+    return F.aggregate(F.regexp_extract_all("cigar", F.lit(rf"(\d+)[{ops}]"), F.lit(1)), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+
+
 def alignment_summary(reads: DataFrame, key: str = "rg") -> DataFrame:
-    """AGG-5: scalars of each lane computed from reads; secondary ones are left out."""
-    own = reads.filter(~_bit(256))
-    mapped = ~_bit(4)
-    inside = lambda op: F.aggregate(F.regexp_extract_all("cigar", F.lit(rf"(\d+){op}"), F.lit(1)), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
-    return own.groupBy(key).agg(
-        F.count("*").alias("raw_reads"), F.count_if(_bit(64)).alias("first_fragments"), F.count_if(_bit(128)).alias("last_fragments"), F.count_if(mapped).alias("reads_mapped"), F.count_if(~mapped).alias("reads_unmapped"),
-        F.count_if(mapped & _bit(1) & ~_bit(8)).alias("reads_mapped_and_paired"), F.count_if(mapped & (F.col("mapq") == 0)).alias("reads_mq0"), F.count_if(_bit(512)).alias("reads_qc_failed"), F.sum("len").alias("total_length"),
-        F.sum(F.when(mapped, inside("M") + inside("I"))).alias("bases_mapped_cigar"), F.sum(F.when(mapped, F.col("nm"))).alias("mismatches"), F.round(F.sum(F.when(mapped, F.col("nm"))) / F.sum(F.when(mapped, inside("M") + inside("I"))), 6).alias("error_rate"),
+    """AGG-5: scalars of each lane computed from reads; but for their own count, secondary ones are left out."""
+    own, mapped, dup = ~_bit(256), ~_bit(4) & ~_bit(256), _bit(1024) & ~_bit(256)
+    count = lambda c, n: F.count_if(own & c).alias(n)
+    total = lambda c, x, n: F.coalesce(F.sum(F.when(own & c, x)), F.lit(0)).alias(n)
+    cigar, yes = _cigar_sum("MI"), F.lit(True)
+    pair = mapped & _bit(1) & ~_bit(8)
+    return reads.groupBy(key).agg(
+        count(yes, "raw_reads"), count(_bit(64), "first_fragments"), count(_bit(128), "last_fragments"), count(mapped, "reads_mapped"), count(~mapped, "reads_unmapped"), count(_bit(1), "reads_paired"), count(~_bit(1), "reads_unpaired"),
+        count(pair, "reads_mapped_and_paired"), count(pair & _bit(2), "reads_properly_paired"), count(dup, "reads_duplicated"), count(mapped & (F.col("mapq") == 0), "reads_mq0"), count(_bit(512), "reads_qc_failed"), F.count_if(_bit(256)).alias("non_primary_alignments"),
+        count(pair & _bit(64) & (F.col("mrnm") != F.col("rname")), "pairs_on_different_chromosomes"), total(yes, F.col("len"), "total_length"), total(mapped, F.col("len"), "bases_mapped"), total(mapped, cigar, "bases_mapped_cigar"),
+        total(dup, F.col("len"), "bases_duplicated"), total(mapped, F.col("nm"), "mismatches"), F.round(F.sum(F.when(mapped, F.col("nm"))) / F.nullif(F.sum(F.when(mapped, cigar)), F.lit(0)), 6).alias("error_rate"),
+        F.round(F.avg(F.when(own, F.col("len"))), 0).alias("average_length"), F.max(F.when(own, F.col("len"))).alias("maximum_length"), F.round(F.sum(F.when(own, F.col("sum_qual"))) / F.nullif(F.sum(F.when(own, F.col("n_qual"))), F.lit(0)), 1).alias("average_quality"),
     )
 
 
+def indel_cycle_section(reads: DataFrame, key: str = "rg") -> DataFrame:
+    """AGG-5: IC rows: insertions and deletions of first and last fragments by the cycle before which they lie, counted along the read as
+    sequenced, so from the end of a reversed one."""
+    ops = F.regexp_extract_all("cigar", F.lit(r"(\d+[MIDNSHP=X])"), F.lit(1))
+    size = lambda o: F.regexp_extract(o, r"^(\d+)", 1).cast("long")
+    uses = lambda o: F.when(o.rlike("[MIS=X]$"), size(o)).otherwise(0)
+    # bases of the read before each operation, from a running sum over the operations before it
+    placed = F.transform(ops, lambda o, i: F.struct(o.alias("o"), F.aggregate(F.slice(ops, 1, i), F.lit(0).cast("long"), lambda a, x: a + uses(x)).alias("at")))
+    o = reads.filter(~_bit(4) & ~_bit(256)).select(key, "flag", "len", F.explode(F.filter(placed, lambda x: x["o"].rlike("[ID]$"))).alias("p"))
+    length = F.when(F.col("p.o").endswith("I"), size(F.col("p.o"))).otherwise(0)
+    cycle = F.when(_bit(16), F.col("len") - F.col("p.at") - length).otherwise(F.col("p.at"))
+    ins, first = F.col("p.o").endswith("I"), ~_bit(128)
+    kinds = ((ins & first, "ins_first"), (ins & ~first, "ins_last"), (~ins & first, "del_first"), (~ins & ~first, "del_last"))
+    return o.withColumn("cycle", cycle).groupBy(key, "cycle").agg(*(F.count_if(c).alias(n) for c, n in kinds))
+
+
+def gc_section(reads: DataFrame, key: str = "rg", column: str = "seq") -> DataFrame:
+    """AGG-5: GCF and GCL rows: reads of first and last fragments by the percentage of G and C in them, a whole number."""
+    gc = F.length(column) - F.length(F.translate(column, "GCgc", ""))
+    r = reads.filter(~_bit(256) & (F.length(column) > 0)).withColumn("gc", F.floor(100 * gc / F.length(column)))
+    return r.groupBy(key, "gc").agg(F.count_if(~_bit(128)).alias("first"), F.count_if(_bit(128)).alias("last"))
+
+
+def base_content_section(reads: DataFrame, key: str = "rg", column: str = "seq") -> DataFrame:
+    """AGG-5: GCC rows: counts of A, C, G, T and other bases by cycle, pre-aggregated by numpy in each Arrow batch before the shuffle."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        kind = np.full(256, 4, np.int64)
+        for i, letters in enumerate(("Aa", "Cc", "Gg", "Tt")):
+            kind[[ord(x) for x in letters]] = i
+        for batch in batches:
+            out = []
+            groups: dict = {}
+            for k, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if s:
+                    groups.setdefault(k, []).append(s.encode("latin-1", "replace"))
+            for k, seqs in groups.items():
+                lengths = np.fromiter(map(len, seqs), np.int64, len(seqs))
+                cycles = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                v, c = np.unique(cycles * 5 + kind[np.frombuffer(b"".join(seqs), np.uint8)], return_counts=True)
+                out.append(pa.table({"key": [k] * len(v), "cycle": v // 5 + 1, "base": v % 5, "n": c}))
+            yield from (pa.concat_tables(out).to_batches() if out else [])
+
+    rows = reads.select(F.col(key).cast("string").alias("key"), column).mapInArrow(run, "key string, cycle long, base long, n long")
+    return rows.groupBy("key", "cycle").agg(*(F.coalesce(F.sum(F.when(F.col("base") == i, F.col("n"))), F.lit(0)).alias(b) for i, b in enumerate(("a", "c", "g", "t", "other"))))
+
+
 def insert_size_section(reads: DataFrame, key: str = "rg") -> DataFrame:
     """AGG-5: IS rows: pairs by insert size, each counted at its first read."""
     return reads.filter(_bit(64) & ~_bit(4) & ~_bit(8)).groupBy(key, F.abs("isize").alias("insert_size")).agg(F.count("*").alias("pairs"), F.count_if(_bit(2)).alias("inward"))
@@ -113,28 +173,46 @@ def read_length_section(reads: DataFrame, key: str = "rg") -> DataFrame:
 
 
 def cycle_qualities(fastq: DataFrame, key: str = "file") -> DataFrame:
-    """AGG-5/HLP-3: counts of (key, cycle, quality), pre-aggregated by numpy in each Arrow batch before the shuffle."""
+    """AGG-5/HLP-3: counts of (key, cycle, quality), pre-aggregated by numpy in each Arrow batch before the shuffle; qualities of any length."""
     import numpy as np
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            seen: dict = {}
+            groups: dict = {}
             for k, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if q:
-                    seen.setdefault((k, len(q)), []).append(q)
+                    groups.setdefault(k, []).append(q.encode("latin-1", "replace"))
             out = []
-            for (k, n), qs in seen.items():
-                m = np.frombuffer("".join(qs).encode("latin-1", "replace"), np.uint8).reshape(-1, n)[:, :5000].astype(np.int64) - 33
-                flat = (np.arange(m.shape[1])[None, :] * 256 + m + 64).ravel()
-                v, c = np.unique(flat, return_counts=True)
-                out.append(pa.table({"key": [k] * len(v), "cycle": v // 256 + 1, "quality": v % 256 - 64, "n": c}))
+            for k, quals in groups.items():
+                lengths = np.fromiter(map(len, quals), np.int64, len(quals))
+                cycles = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                v, c = np.unique(cycles * 256 + np.frombuffer(b"".join(quals), np.uint8), return_counts=True)
+                out.append(pa.table({"key": [k] * len(v), "cycle": v // 256 + 1, "quality": v % 256 - 33, "n": c}))
             yield from (pa.concat_tables(out).to_batches() if out else [])
 
     rows = fastq.select(F.col(key).cast("string").alias("key"), "qual").mapInArrow(run, "key string, cycle long, quality long, n long")
     return rows.groupBy("key", "cycle", "quality").agg(F.sum("n").alias("n"))
 
 
+def with_quality_sums(reads: DataFrame, column: str = "qual") -> DataFrame:
+    """HLP-3: reads with sum_qual and n_qual of their quality text ('*' or null has none), by numpy over each Arrow batch; what AGG-1 takes."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            quals = [b"" if q is None or q == "*" else q.encode("latin-1", "replace") for q in batch.column(column).to_pylist()]
+            lengths = np.fromiter(map(len, quals), np.int64, len(quals))
+            sums = np.r_[0, np.cumsum(np.frombuffer(b"".join(quals), np.uint8).astype(np.int64) - 33)]
+            ends = np.cumsum(lengths)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums[ends] - sums[ends - lengths]), pa.array(lengths)], [*batch.schema.names, "sum_qual", "n_qual"])
+
+    kept = reads.select(*(c for c in reads.columns if c not in ("sum_qual", "n_qual")))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    return kept.mapInArrow(run, f"{schema}, sum_qual long, n_qual long")
+
+
 def avg_base_quals(rows: DataFrame) -> DataFrame:
     """AGG-6: average quality of each cycle from counts (cycle, quals array of counts by quality); 0 without data."""
     e = rows.select("cycle", F.posexplode("quals").alias("q", "n"))
@@ -192,11 +270,30 @@ def derive_dedup_stats(stats: DataFrame, rmdup: bool = False) -> DataFrame:
 
 
 def consensus(rows: DataFrame, key: str, attribute: str, default: Column | None = None) -> DataFrame:
-    """AGG-15/20: the one value of the rows that have it, else the default (null)."""
+    """AGG-20: the one value of the rows that have it, else the default (null)."""
     one = F.when(F.min(attribute) == F.max(attribute), F.min(attribute))
     return rows.groupBy(key).agg((F.coalesce(one, default) if default is not None else one).alias(attribute))
 
 
+#: Header attributes of a read group and the file metadata that they give.
+RG_METADATA = {"pu": "lane", "lb": "library", "sm": "sample", "cn": "center_name", "pl": "platform", "ds": "study"}
+
+
+def consensus_rg_metadata(read_groups: DataFrame, files: DataFrame) -> DataFrame:
+    """AGG-15: lane, library, sample, center_name, platform and study of each file from its read groups (file_id, id, pu, lb, sm, cn, pl, ds).
+
+    What files (file_id, md5 and those names) have already wins; else a value
+    that all read groups which have one share. The lane of a file with one read group
+    is its unit or id; with several, or where it comes out as 1, the file's md5."""
+    value = lambda c: F.nullif(F.col(c), F.lit(""))
+    one = lambda c: F.when(F.min(value(c)) == F.max(value(c)), F.min(value(c)))
+    g = read_groups.groupBy("file_id").agg(F.count("*").alias("_n"), F.min("id").alias("_id"), *(one(c).alias(f"_{n}") for c, n in RG_METADATA.items()))
+    j = files.join(g, "file_id")
+    lane = F.coalesce("lane", F.when(F.col("_n") == 1, F.coalesce("_lane", "_id")).otherwise(F.col("_lane")))
+    lane = F.when((F.col("_n") != 1) | (lane == "1"), F.col("md5")).otherwise(lane)
+    return j.select("file_id", lane.alias("lane"), *(F.coalesce(n, f"_{n}").alias(n) for n in RG_METADATA.values() if n != "lane"))
+
+
 def lane_merge_metadata(parts: DataFrame, merge_layouts: bool = False) -> DataFrame:
     """AGG-16: reads and bases by lane and layout; merged, layouts 0 and 1 together are layout 2."""
     if not merge_layouts:
@@ -215,6 +312,24 @@ def unpivot_cnv_summary(wide: DataFrame, samples: list[str]) -> DataFrame:
     return wide.unpivot(["kind"], samples, "sample", "value")
 
 
+def cnv_summary(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """AGG-19: the rows (file, row_no, cells) of a copy number summary as two tables: file, sample, kind, value of the scalars, and file,
+    sample, chrom, start, end, length, quality, cn of the regions.
+
+    The first cell is the row's kind. SM rows name the samples of the columns
+    that follow; in RG rows the values begin at the eighth column, in the same order."""
+    names = rows.filter(F.col("cells")[0] == "SM").select("file", "row_no", F.posexplode(F.slice("cells", 2, F.size("cells"))).alias("column_no", "sample"))
+    names = names.groupBy("file", "column_no").agg(F.min_by("sample", "row_no").alias("sample"))
+    other = rows.filter(~F.col("cells")[0].isin("SM", "RG") & ~F.col("cells")[0].startswith("#"))
+    values = other.select("file", F.col("cells")[0].alias("kind"), F.posexplode(F.slice("cells", 2, F.size("cells"))).alias("column_no", "value"))
+    scalars = values.join(names, ["file", "column_no"]).select("file", "sample", "kind", "value")
+    rg = rows.filter(F.col("cells")[0] == "RG")
+    fixed = [F.get("cells", i).cast(t).alias(n) for i, (n, t) in enumerate((("chrom", "string"), ("start", "long"), ("end", "long"), ("length", "long"), ("quality", "double")), 1)]
+    cells = rg.select("file", *fixed, F.posexplode(F.slice("cells", 8, F.size("cells"))).alias("column_no", "cn"))
+    regions = cells.join(names, ["file", "column_no"]).select("file", "sample", "chrom", "start", "end", "length", "quality", "cn")
+    return scalars, regions
+
+
 def infer_gender(calls: DataFrame) -> DataFrame:
     """AGG-20: M if a marker's genotype has two letters, F otherwise (an empty one too); unanimous or U."""
     g = calls.withColumn("g", F.when(F.length(F.coalesce("genotype", F.lit(""))) == 2, "M").otherwise("F"))
@@ -233,14 +348,34 @@ def substitution_rate(variants: DataFrame, sequences: DataFrame) -> DataFrame:
     return variants.agg(F.count("*").alias("calls")).crossJoin(sequences.agg(F.sum("ln").alias("total"))).select(F.round(F.col("calls") / F.col("total"), 3).alias("rate"))
 
 
+def file_substitution_rates(variants: DataFrame, sequences: DataFrame, sources: DataFrame) -> DataFrame:
+    """AGG-22: path and rate of each file (variants: file, …) and of the files that it was made from (sources: file, and source, comma-separated
+    paths); of several files made from one source the greatest path's rate counts."""
+    total = sequences.agg(F.sum("ln").alias("total"))
+    rates = variants.groupBy("file").agg(F.count("*").alias("calls")).crossJoin(total).select("file", F.round(F.col("calls") / F.col("total"), 3).alias("rate"))
+    made = rates.join(sources.select("file", F.explode(F.split("source", ",")).alias("path")).filter("path <> ''"), "file")
+    both = rates.select(F.col("file").alias("path"), "rate", "file").unionByName(made.select("path", "rate", "file"))
+    return both.groupBy("path").agg(F.max_by("rate", "file").alias("rate"))
+
+
 def disk_of(path: Column, parts: int = 2) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, parts), "/"))
 
 
-def disk_usage(outputs: DataFrame) -> DataFrame:
-    """AGG-23: bytes by disk and setup, of all and of withdrawn files, each file once."""
-    once = outputs.groupBy("file_id", "setup").agg(F.any_value("path").alias("path"), F.max("size").alias("size"), F.bool_or("withdrawn").alias("withdrawn"))
-    return once.groupBy(disk_of(F.col("path")).alias("disk"), "setup").agg(F.sum("size").alias("bytes"), F.coalesce(F.sum(F.when(F.col("withdrawn"), F.col("size"))), F.lit(0)).alias("withdrawn_bytes"))
+def disk_usage(outputs: DataFrame, resolved: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """AGG-23: bytes by disk and setup, of all and of withdrawn files, and a map of them by step.
+
+    outputs: file_id, setup, step, path, size, withdrawn. Each file counts once,
+    for the smallest setup and step that made it. With resolved (file_id, current, of GRF-2) and
+    files (file_id, path, size), where it is now and how large it is there counts;
+    a file that leads into a cycle or away from all known files, or is empty, doesn't."""
+    once = outputs.groupBy("file_id").agg(F.min(F.struct("setup", "step", "path", "size", "withdrawn")).alias("o")).select("file_id", "o.*")
+    if resolved is not None:
+        now = files.select(F.col("file_id").alias("current"), F.col("path").alias("_p"), F.col("size").alias("_s"))
+        once = once.drop("path", "size").join(resolved, "file_id").join(now, "current").withColumnRenamed("_p", "path").withColumnRenamed("_s", "size")
+    per = once.filter("size > 0").groupBy(disk_of(F.col("path")).alias("disk"), "setup", "step").agg(F.sum("size").alias("bytes"), F.coalesce(F.sum(F.when(F.col("withdrawn"), F.col("size"))), F.lit(0)).alias("withdrawn_bytes"))
+    steps = F.map_from_entries(F.array_sort(F.collect_list(F.struct("step", "bytes"))))
+    return per.groupBy("disk", "setup").agg(F.sum("bytes").alias("bytes"), F.sum("withdrawn_bytes").alias("withdrawn_bytes"), steps.alias("by_step"))
 
 
 def step_stats(facts: DataFrame) -> DataFrame:
@@ -282,10 +417,36 @@ def setup_progress(states: DataFrame, steps: int) -> DataFrame:
     return g.withColumn("percent", clamped_percent(F.col("complete"), F.col("elements")))
 
 
+def progress_by_step(elements: DataFrame, submissions: DataFrame, steps: DataFrame) -> DataFrame:
+    """AGG-27: setup, step, status, elements and percent of all elements of the setup: complete ones at the last step; of the others, by the
+    step that they are at, how many have a submission that runs, is being processed, is pending or has failed (an element with several kinds counts
+    in each), and at the step completed before, as unknown, those without any unfinished submission.
+
+    elements: setup, element, completed; submissions: setup, element, step, done, failed, ended, alive; steps: setup, steps (their number)."""
+    e = elements.join(steps, "setup")
+    total = e.groupBy("setup").agg(F.count("*").alias("_all"))
+    complete = e.filter("completed >= steps").groupBy("setup", F.col("completed").alias("step")).agg(F.count("*").alias("elements")).withColumn("status", F.lit("complete"))
+    status = F.when(F.col("failed") == 1, "failed").when(F.col("ended"), "processing").when(F.col("alive"), "running").otherwise("pending")
+    open_ones = e.filter("completed < steps").select("setup", "element", (F.col("completed") + 1).alias("step"))
+    met = submissions.filter("done = 0").join(open_ones, ["setup", "element", "step"]).select("setup", "step", "element", status.alias("status")).distinct()
+    busy = met.groupBy("setup", "step", "status").agg(F.count("*").alias("elements"))
+    idle = open_ones.join(met.select("setup", "step", "element").distinct(), ["setup", "step", "element"], "left_anti").groupBy("setup", (F.col("step") - 1).alias("step")).agg(F.count("*").alias("elements")).withColumn("status", F.lit("unknown"))
+    rows = complete.unionByName(busy).unionByName(idle)
+    return rows.join(total, "setup").select("setup", "step", "status", "elements", clamped_percent(F.col("elements"), F.col("_all")).alias("percent"))
+
+
+def setup_percent(elements: DataFrame, steps: DataFrame) -> DataFrame:
+    """AGG-27: percent complete of each setup: steps done of all steps of all its elements."""
+    g = elements.join(steps, "setup").groupBy("setup").agg(F.sum("completed").alias("_d"), F.sum("steps").alias("_s"))
+    return g.select("setup", clamped_percent(F.col("_d"), F.col("_s")).alias("percent"))
+
+
 def donor_rollup(samples: DataFrame) -> DataFrame:
-    """AGG-28: example sample (the single control, else the shortest name, then alphabetical), latest date and samples of each donor."""
-    shortest = F.min(F.struct(F.length("sample").alias("l"), F.col("sample").alias("s")))["s"]
-    return samples.groupBy("donor").agg(F.when(F.count_if("control") == 1, F.max(F.when(F.col("control"), F.col("sample")))).otherwise(shortest).alias("example"), F.max("created").alias("latest"), F.count("*").alias("samples"))
+    """AGG-28: example sample (the single control, else the shortest name, then alphabetical), latest date and samples of each donor; a
+    sample is named by its public name where it has one."""
+    name = F.coalesce(F.nullif(F.col("public_name"), F.lit("")), "sample") if "public_name" in samples.columns else F.col("sample")
+    shortest = F.min(F.struct(F.length(name).alias("l"), name.alias("s")))["s"]
+    return samples.groupBy("donor").agg(F.when(F.count_if("control") == 1, F.max(F.when(F.col("control"), name))).otherwise(shortest).alias("example"), F.max("created").alias("latest"), F.count("*").alias("samples"))
 
 
 def variant_summary(variants: DataFrame) -> DataFrame:
@@ -317,23 +478,50 @@ def reference_fingerprint(sequences: DataFrame) -> DataFrame:
     return sequences.agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "m5"))), lambda x: x["m5"]), "")).alias("fingerprint"))
 
 
-def log2_ratio(depth: DataFrame, min_samples: int = 25, include_x: bool = False) -> DataFrame:
-    """AGG-38: log2 of depth over the region's exact median over samples; null if fewer than min_samples."""
-    d = depth if include_x else depth.filter(~F.col("chrom").isin("X", "chrX"))
-    med = d.groupBy("region").agg(F.median("depth").alias("m"), F.countDistinct("sample").alias("n"))
-    return d.join(med, "region").select("sample", "region", F.when((F.col("n") >= min_samples) & (F.col("m") > 0) & (F.col("depth") > 0), F.log2(F.col("depth") / F.col("m"))).alias("log2_ratio"))
+def log2_ratio(depth: DataFrame, min_samples: int = 25, include_x: bool = False, use_rpkm: bool = False) -> DataFrame:
+    """AGG-38: log2 of depth (or rpkm) over the region's exact median over samples; null if fewer than min_samples."""
+    value = F.col("rpkm" if use_rpkm else "depth")
+    d = (depth if include_x else depth.filter(~F.col("chrom").isin("X", "chrX"))).withColumn("_v", value)
+    med = d.groupBy("region").agg(F.median("_v").alias("m"), F.countDistinct("sample").alias("n"))
+    return d.join(med, "region").select("sample", "region", F.when((F.col("n") >= min_samples) & (F.col("m") > 0) & (F.col("_v") > 0), F.log2(F.col("_v") / F.col("m"))).alias("log2_ratio"))
+
+
+def sample_means(ratios: DataFrame) -> DataFrame:
+    """AGG-38: mean log2 ratio of each sample."""
+    return ratios.groupBy("sample").agg(F.avg("log2_ratio").alias("mean"))
 
 
 def mean_mad(ratios: DataFrame, key: str = "sample", value: str = "log2_ratio") -> DataFrame:
     """AGG-39: mean and exact median absolute deviation."""
-    m = ratios.groupBy(key).agg(F.avg(value).alias("mean"), F.median(value).alias("_m"))
-    return ratios.join(m, key).groupBy(key).agg(F.any_value("mean").alias("mean"), F.median(F.abs(F.col(value) - F.col("_m"))).alias("mad"))
+    return _mean_mad(ratios, [key], value)
+
+
+def call_mean_mad(ratios: DataFrame, calls: DataFrame, value: str = "log2_ratio") -> DataFrame:
+    """AGG-39: the same for each call (sample, call, chrom, start, end), over its sample's regions (chrom, start, end) that touch it."""
+    width = bin_width(calls)
+    c = calls.select("sample", "call", "chrom", F.col("start").alias("_a"), F.col("end").alias("_b"), F.explode(bins(F.col("start"), F.col("end"), width)).alias("_bin"))
+    r = ratios.withColumn("_bin", F.explode(bins(F.col("start"), F.col("end"), width)))
+    met = r.join(c, ["sample", "chrom", "_bin"]).filter((F.col("start") <= F.col("_b")) & (F.col("end") >= F.col("_a")))
+    once = met.filter(F.col("_bin") == F.greatest(F.floor(F.col("start") / width), F.floor(F.col("_a") / width)))
+    return _mean_mad(once.select("sample", "call", value), ["sample", "call"], value)
+
+
+def _mean_mad(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    m = rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.median(value).alias("_m"))
+    return rows.join(m, keys).groupBy(*keys).agg(F.any_value("mean").alias("mean"), F.median(F.abs(F.col(value) - F.col("_m"))).alias("mad"))
+
 
+def reference_gc(sequences: DataFrame, window: int, column: str = "seq", targets: DataFrame | None = None) -> DataFrame:
+    """AGG-40: histogram of the percentage of G and C over consecutive windows, the last being shorter.
 
-def reference_gc(sequences: DataFrame, window: int, column: str = "seq") -> DataFrame:
-    """AGG-40: histogram of the percentage of G and C over consecutive windows, the last being shorter."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(column), F.lit(1)), F.lit(window))
-    w = sequences.select(F.explode(F.transform(starts, lambda s: F.substr(F.col(column), s, F.lit(window)))).alias("w")).filter(F.length("w") > 0)
+    With targets (sn, start, end; from 1, ends included) windows lie in each
+    target instead, from its start; sequences then have sn, and a target ends with its sequence."""
+    text, lo, hi = F.col(column), F.lit(1), F.length(column)
+    if targets is not None:
+        sequences = sequences.join(targets.select("sn", F.col("start").alias("_a"), F.col("end").alias("_b")), "sn")
+        lo, hi = F.greatest(F.col("_a"), F.lit(1)).cast("int"), F.least(F.col("_b"), F.length(column)).cast("int")
+    starts = F.when(hi >= lo, F.sequence(lo, hi, F.lit(window)))
+    w = sequences.select(F.explode(F.transform(starts, lambda s: F.substr(text, s, F.least(F.lit(window), hi - s + 1)))).alias("w")).filter(F.length("w") > 0)
     gc = F.length("w") - F.length(F.translate("w", "GCgc", ""))
     return w.groupBy(F.floor(100 * gc / F.length("w")).alias("gc_percent")).agg(F.count("*").alias("windows"))
 
@@ -342,5 +530,4 @@ def batch_by_region(files: DataFrame, most: int) -> DataFrame:
     """AGG-41: batches of at most `most` files of one (chrom, from, to); a single file without region puts all in one group."""
     any_missing = files.agg(F.count_if(F.col("chrom").isNull()).alias("n")).withColumn("all_one", F.col("n") > 0).select("all_one")
     f = files.crossJoin(F.broadcast(any_missing)).withColumn("group", F.when(F.col("all_one"), "all").otherwise(F.concat_ws("_", "chrom", F.col("from").cast("string"), F.col("to").cast("string"))))
-    n = F.row_number().over(Window.partitionBy("group").orderBy("file_id"))
-    return f.select("file_id", "group", F.floor((n - 1) / most).alias("batch"))
+    return number_within(f.select("file_id", "group"), "group", "file_id").select("file_id", "group", F.floor((F.col("rn") - 1) / most).alias("batch"))

@@ -92,9 +92,18 @@ def filter_index(index: DataFrame, platform: str = ".", analysis_group: str = ".
     return kept.filter("withdrawn = 0") if ignore_withdrawn else kept
 
 
-def filter_lanes(lanes: DataFrame, **patterns: str) -> DataFrame:
-    """FLT-8: lanes whose named columns all match their patterns."""
-    return lanes.filter(reduce(lambda a, b: a & b, (F.col(c).rlike(p) for c, p in patterns.items()), F.lit(True)))
+def filter_lanes(lanes: DataFrame, samples: DataFrame | None = None, libraries: DataFrame | None = None, **patterns: str) -> DataFrame:
+    """FLT-8: lanes whose named properties all match their patterns; a null one doesn't.
+
+    project and sample may come from tables of their own: libraries (library,
+    sample) and samples (sample, project), joined where given. Patterns name
+    columns: project, sample, library, gt_status, qc_status, auto_qc_status, npg_status, …"""
+    columns = lanes.columns
+    if libraries is not None:
+        lanes = lanes.join(libraries.select("library", "sample"), "library", "left")
+    if samples is not None:
+        lanes = lanes.join(samples.select("sample", "project"), "sample", "left")
+    return lanes.filter(reduce(lambda a, b: a & b, (F.col(c).rlike(p) for c, p in patterns.items()), F.lit(True))).select(*columns)
 
 
 def index_lanes(index: DataFrame, field: str, value: str, ignore: dict[str, str] | None = None) -> DataFrame:
@@ -146,14 +155,23 @@ def apply_vqslod(variants: DataFrame, snp_cut: float, indel_cut: float) -> DataF
     return variants.withColumn("filter", F.when(low, "LowVQSLOD").otherwise("PASS"))
 
 
-def filter_cnvs(calls: DataFrame, min_snps: int = 10, min_length: int = 130_000, min_confidence: float = 10) -> DataFrame:
-    """FLT-15"""
-    return calls.filter((F.col("num_snps") >= min_snps) & (F.col("end") - F.col("start") + 1 >= min_length) & (F.col("confidence") >= min_confidence))
+def filter_cnvs(calls: DataFrame, min_snps: int = 10, min_length: int | str = 130_000, min_confidence: float = 10) -> DataFrame:
+    """FLT-15: calls (num_snps, start, end, confidence) that are large and sure enough; min_length may be text as '130k'."""
+    least = size_with_suffix(F.lit(min_length)) if isinstance(min_length, str) else F.lit(min_length)
+    return calls.filter((F.col("num_snps") >= min_snps) & (F.col("end") - F.col("start") + 1 >= least) & (F.col("confidence") >= min_confidence))
+
+
+def parse_cnv_lines(lines: DataFrame) -> DataFrame:
+    """FLT-15: lines 'chr1:1-500 numsnp=3 length=500 state2,cn=1 FILE startsnp=a endsnp=b conf=12.5' as line, chrom, start, end, num_snps, length, state, sample and confidence; other lines go."""
+    at = lambda p: F.regexp_extract("line", p, 1)
+    number = lambda key: size_with_suffix(at(rf"\b{key}=([0-9,]+[kKmM]?)"))
+    return lines.filter(F.col("line").rlike(r"^chr[^:\s]+:\d+-\d+\s.*numsnp=")).select("line", at(r"^chr([^:\s]+):").alias("chrom"), at(r":(\d+)-").cast("long").alias("start"), at(r":\d+-(\d+)").cast("long").alias("end"),
+        number("numsnp").alias("num_snps"), number("length").alias("length"), at(r"(state\d+,cn=\d+)").alias("state"), at(r"state\d+,cn=\d+\s+(\S+)").alias("sample"), F.nullif(at(r"conf=([0-9.]+)"), F.lit("")).cast("double").alias("confidence"))
 
 
 def size_with_suffix(text: Column) -> Column:
-    """FLT-15: '130k', '1m' or '1,234' as a number."""
-    digits = F.regexp_replace(F.lower(text), r"[,km]", "").cast("long")
+    """FLT-15: '130k', '1m' or '1,234' as a number; null if it is none."""
+    digits = F.regexp_replace(F.lower(text), r"[,km]", "").try_cast("long")
     return digits * F.when(F.lower(text).endswith("k"), 1000).when(F.lower(text).endswith("m"), 1_000_000).otherwise(1)
 
 
@@ -194,12 +212,21 @@ def parse_outputs(spec: str) -> list[tuple[str, str | None, str | None]]:
     return out
 
 
-def select_outputs(outputs: DataFrame, spec: str) -> DataFrame:
-    """FLT-20: outputs (setup, step, kind) that the spec names; the parsed spec is a handful of rows and becomes one predicate."""
+def select_outputs(outputs: DataFrame, spec: str, inputs: DataFrame | None = None) -> DataFrame:
+    """FLT-20: outputs (setup, step, kind, …) that the spec names; the parsed spec is a handful of rows and becomes one predicate.
+
+    step, a column of either step names or numbers (or step_no beside step), is
+    compared as text. Step 0 is a setup's inputs: with inputs (the same columns
+    but step) they are given as step 0. No brackets mean all steps, without the inputs."""
+    numbered = "step_no" in outputs.columns
+    if inputs is not None:
+        as_step = inputs.withColumn("step", F.lit("0").cast(outputs.schema["step"].dataType))
+        outputs = outputs.unionByName(as_step.withColumn("step_no", F.lit(0)) if numbered else as_step, allowMissingColumns=True)
     tests = []
     for setup, step, kind in parse_outputs(spec):
         t = F.col("setup").cast("string") == setup
-        t = t & (F.col("step").cast("string") == step) if step else t
+        own = F.col("step").cast("string")
+        t = t & ((own == step) | (F.col("step_no").cast("string") == step) if numbered else own == step) if step else t & (own != "0")
         tests.append(t & (F.col("kind") == kind) if kind else t)
     return outputs.filter(reduce(lambda a, b: a | b, tests))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import number_within, with_place
+
 
 def bin_width(intervals: DataFrame, lo: str = "start", hi: str = "end") -> int:
     """A bin width from the intervals' own lengths: about their 90th percentile, 64 at least."""
@@ -128,18 +130,6 @@ def chunk_sites(variants: DataFrame, chunk: int = 100_000, buffer: int = 0) -> D
     return made.groupBy("chrom", F.col("k2").alias("chunk_no")).agg(F.min("from").alias("from"), F.max("to").alias("to"), F.sum("n").alias("n"))
 
 
-def number_within(df: DataFrame, group: str, *order: str) -> DataFrame:
-    """rn, the row's number within its group by the given order, without gathering a group in one task:
-    rows are range-partitioned by (group, order) and numbered by local numbers plus the counts of earlier partitions."""
-    parted = df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(group, *order)
-    parted = parted.checkpoint()
-    local = Window.partitionBy("_part", group).orderBy(*order)
-    counts = parted.groupBy("_part", group).count()
-    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_part", group, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    return parted.withColumn("rn", F.row_number().over(local)).join(counts, ["_part", group]).withColumn("rn", F.col("rn") + F.col("_before")).drop("_part", "_before")
-
-
 def chunk_genome(sequences: DataFrame, size: int = 1_000_000, overlap: int = 0, chroms: list[str] | None = None, ploidy: list[tuple[str, int, int, int, int]] = ()) -> DataFrame:
     """WIN-4: chrom, from, to, male, female and seq_no. ploidy: (chrom, from, to, male, female), elsewhere 2 and 2.
 
@@ -171,8 +161,8 @@ def chunk_genome(sequences: DataFrame, size: int = 1_000_000, overlap: int = 0,
         r = r.filter((F.col("from") == F.col("r.a")) | (F.col("from") + overlap <= F.col("r.b")))
     else:
         r = r.withColumn("from", F.col("r.a")).withColumn("to", F.col("r.b"))
-    order = Window.orderBy("idx", "from")
-    return r.select(F.col("sn").alias("chrom"), "from", "to", F.col("r.m").alias("male"), F.col("r.f").alias("female"), F.row_number().over(order).alias("seq_no"))
+    placed = with_place(r.select("idx", F.col("sn").alias("chrom"), "from", "to", F.col("r.m").alias("male"), F.col("r.f").alias("female")).orderBy("idx", "from"))
+    return placed.select("chrom", "from", "to", "male", "female", F.col("place").cast("int").alias("seq_no"))
 
 
 def region_depth(reads: DataFrame, regions: DataFrame) -> DataFrame:

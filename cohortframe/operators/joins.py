@@ -1,14 +1,13 @@
-"""Joins of files, samples, lanes, variants and genotypes (JON-5 to JON-38 apart from intervals, PRJ)."""
+"""Joins of files, samples, lanes, variants and genotypes (JON-5 to JON-18, JON-25, JON-27, JON-29 to JON-34, PRJ-5)."""
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .filters import latest_first
-
 #: Old platform names and what they become.
 PLATFORMS = {"SLX": "ILLUMINA", "454": "LS454", "SOLID": "ABI_SOLID"}
 
@@ -18,12 +17,22 @@ def normalise_platform(c: Column) -> Column:
     return reduce(lambda acc, kv: F.when(up == kv[0], F.lit(kv[1])).otherwise(acc), PLATFORMS.items(), up)
 
 
-def add_to_all_elements(elements: DataFrame, shared: DataFrame) -> DataFrame:
-    """JON-5: elements (element, paths) with all shared paths appended; without shared paths no element is left.
+def add_to_all_elements(elements: DataFrame, shared: DataFrame, most: int = 100_000) -> DataFrame:
+    """JON-5: elements (element, paths) with all shared paths (sorted) appended; without shared paths no element is left.
+
+    Every element of the result holds all shared paths, so these are a list to
+    be added, of `most` paths at most; more are an error."""
+    paths = sorted(r["path"] for r in shared.select("path").limit(most + 1).collect())
+    if len(paths) > most:
+        raise ValueError(f"more than {most} shared paths")
+    if not paths:
+        return elements.select("element", "paths").limit(0)
+    return elements.select("element", F.concat("paths", text_array(paths)).alias("paths"))
+
 
-    The shared paths become a single row."""
-    one = shared.agg(F.array_sort(F.collect_list("path")).alias("more")).filter(F.size("more") > 0)
-    return elements.crossJoin(F.broadcast(one)).select("element", F.concat("paths", "more").alias("paths"))
+def text_array(texts: list[str]) -> Column:
+    """A constant array of texts, as one literal whatever its length."""
+    return F.from_json(F.lit(json.dumps(texts)), "array<string>")
 
 
 def enrich_from_warehouse(files: DataFrame, samples: DataFrame, studies: DataFrame, preferred: int | None = None) -> DataFrame:
@@ -50,50 +59,87 @@ def known(c: Column) -> Column:
     return F.when(~(c.isin("", "-") | c.startswith("unknown_")), c)
 
 
-def bas_metadata(stats: DataFrame, read_groups: DataFrame, index: DataFrame) -> DataFrame:
-    """JON-8: rg with sample, library and platform from the header, else the index, else unknown_*."""
-    h = read_groups.select("rg", *(F.col(c).alias(f"h_{c}") for c in ("sample", "library", "platform")))
-    x = index.select("rg", *(F.col(c).alias(f"x_{c}") for c in ("sample", "library", "platform")))
+def bas_metadata(stats: DataFrame, read_groups: DataFrame, index: DataFrame, by_unit: bool = False) -> DataFrame:
+    """JON-8: stats (rg, …) with study, sample, platform and library from the header's read group, else the index, else unknown_*.
+
+    read_groups: rg, sample, library, platform, study, pu; index: rg, sample,
+    library, platform, study. By unit, a read group with a platform unit is given that as rg."""
+    fields = ("study", "sample", "library", "platform")
+    h = read_groups.select("rg", *(F.col(c).alias(f"h_{c}") for c in fields), *(["pu"] if by_unit else []))
+    x = index.select("rg", *(F.col(c).alias(f"x_{c}") for c in fields))
     out = stats.join(h, "rg", "left").join(x, "rg", "left")
-    pick = {c: F.coalesce(known(F.col(f"h_{c}")), known(F.col(f"x_{c}")), F.lit(f"unknown_{c}")) for c in ("sample", "library", "platform")}
+    pick = {c: F.coalesce(known(F.col(f"h_{c}")), known(F.col(f"x_{c}")), F.lit(f"unknown_{c}")) for c in fields}
     pick["platform"] = F.when(pick["platform"].startswith("unknown_"), pick["platform"]).otherwise(normalise_platform(pick["platform"]))
-    return out.select(*stats.columns, *(c.alias(n) for n, c in pick.items()))
+    rg = F.coalesce(known(F.col("pu")), "rg") if by_unit else F.col("rg")
+    return out.select(rg.alias("rg"), *(c for c in stats.columns if c != "rg"), *(c.alias(n) for n, c in pick.items()))
 
 
 def lane_info(index: DataFrame, field: str) -> DataFrame:
     """JON-9: each run's most common value of a field; ties go to the smaller value."""
-    counts = index.groupBy("run_id", field).count()
-    best = counts.groupBy("run_id").agg(F.max(F.struct(F.col("count"))).alias("m"))
-    return counts.join(best, "run_id").filter("count = m.count").groupBy("run_id").agg(F.min(field).alias(field))
+    counts = index.filter(F.col(field).isNotNull()).groupBy("run_id", field).count()
+    return counts.groupBy("run_id").agg(F.min_by(field, F.struct((-F.col("count")).alias("n"), F.col(field))).alias(field))
+
+
+def lane_values(index: DataFrame, field: str) -> DataFrame:
+    """JON-9: all distinct values of a field of each run, sorted."""
+    return index.groupBy("run_id").agg(F.array_sort(F.collect_set(field)).alias("vals"))
+
+
+def plex_manifest(rows: DataFrame) -> DataFrame:
+    """JON-10: manifest rows (row_no, snp, ref, alt, chrom, pos, strand) by SNP: of one listed twice (on X and Y, a gender marker) the first
+    row counts, with the last row's reference as alternative allele."""
+    first = F.min_by(F.struct("ref", "alt", "chrom", "pos", "strand"), "row_no")
+    g = rows.groupBy("snp").agg(first.alias("f"), F.max_by("ref", "row_no").alias("_last"), F.count("*").alias("_n"))
+    return g.select("snp", F.col("f.ref").alias("ref"), F.when(F.col("_n") > 1, F.col("_last")).otherwise(F.col("f.alt")).alias("alt"), "f.chrom", "f.pos", "f.strand", (F.col("_n") > 1).alias("gender_marker"))
 
 
 def plex_to_variants(calls: DataFrame, manifest: DataFrame) -> DataFrame:
-    """JON-10: calls (sample, snp, genotype) on a manifest (snp, ref, alt, chrom, pos, strand): alleles complemented on '-', encoded against the reference; unknown assays go."""
-    g = F.when(F.col("strand") == "-", F.translate("genotype", "ATGCatgc", "TACGtacg")).otherwise(F.col("genotype"))
-    a, b = F.substring(g, 1, 1), F.when(F.length(g) > 1, F.substring(g, 2, 1)).otherwise(F.substring(g, 1, 1))
-    code = lambda x: F.when(x == F.col("ref"), "0").when(x == F.col("alt"), "1").otherwise(".")
-    gt = F.when(F.coalesce(F.col("genotype"), F.lit("")) == "", "./.").otherwise(F.concat(code(a), F.lit("/"), code(b)))
-    return calls.join(manifest, "snp").select("sample", "chrom", "pos", "ref", "alt", gt.alias("gt"))
+    """JON-10: calls (sample, snp, genotype) on a manifest by SNP, as plex_manifest gives it: the manifest's alleles are complemented
+    on '-', and an allele is 0 if it is the reference, else 1; an empty genotype is './.'; unknown assays go. One letter is both alleles."""
+    flipped = lambda c: F.when(F.col("strand") == "-", F.translate(c, "ATGCatgc", "TACGtacg")).otherwise(F.col(c))
+    a = F.substring("genotype", 1, 1)
+    b = F.when(F.length("genotype") > 1, F.substring("genotype", 2, 1)).otherwise(a)
+    code = lambda x: F.when(x == F.col("_ref"), "0").otherwise("1")
+    gt = F.when(F.coalesce("genotype", F.lit("")) == "", "./.").otherwise(F.concat(code(a), F.lit("/"), code(b)))
+    marker = F.col("gender_marker") if "gender_marker" in manifest.columns else F.lit(False)
+    joined = calls.join(manifest, "snp").withColumn("_ref", flipped("ref")).withColumn("_alt", flipped("alt"))
+    return joined.select("sample", "chrom", "pos", F.col("snp").alias("id"), F.col("_ref").alias("ref"), F.col("_alt").alias("alt"), gt.alias("gt"), marker.alias("gender_marker"))
 
 
 def merge_sites_with_genotypes(sites: DataFrame, genotypes: DataFrame) -> DataFrame:
     """JON-11: strict one-to-one join of sites and calls on (chrom, pos, ref, alt), after the reference suffix that an indel's alleles
     share beyond the site's is trimmed; a site or call without partner is an error."""
     s = sites.select("chrom", "pos", "ref", "alt", "qual")
-    extra = F.greatest(F.length("ref") - F.length("site_ref"), F.lit(0))
     g = genotypes.join(s.select("chrom", "pos", F.col("ref").alias("site_ref")), ["chrom", "pos"], "left")
     trim = lambda c: F.expr(f"substring({c}, 1, length({c}) - greatest(length(ref) - length(coalesce(site_ref, ref)), 0))")
-    del extra
     g = g.select("chrom", "pos", trim("ref").alias("ref"), trim("alt").alias("alt"), "gt", F.lit(True).alias("_g"))
     both = s.withColumn("_s", F.lit(True)).join(g, ["chrom", "pos", "ref", "alt"], "full_outer")
     whole = F.col("_s") & F.col("_g")
     return both.select("chrom", "pos", "ref", "alt", F.when(F.coalesce(whole, F.lit(False)), F.col("qual")).otherwise(F.raise_error(F.lit("site and genotype don't match")).cast("int")).alias("qual"), "gt")
 
 
-def merge_samples(genotypes: DataFrame, samples: DataFrame) -> DataFrame:
-    """JON-12: long genotypes of all samples on all sites of any: missing ones are './.'."""
-    sites = genotypes.select("chrom", "pos").distinct()
-    return sites.crossJoin(samples.select("sample")).join(genotypes, ["chrom", "pos", "sample"], "left").withColumn("gt", F.coalesce("gt", F.lit("./.")))
+def merge_samples(genotypes: DataFrame) -> DataFrame:
+    """JON-12: sites (chrom, pos, ref) of all call sets as one matrix row each: alts, the alternative alleles of all sets, sorted, and calls, a
+    map of sample to genotype with its alleles numbered by alts.
+
+    genotypes: chrom, pos, ref, alt (comma-separated), sample, gt. Of a sample
+    called twice at a site the greater genotype text counts. No join: a site's
+    calls are merged where they meet, and numbers of alleles are looked up in
+    the row. Samples that a site lacks are filled in by `matrix_rows`."""
+    each = F.split("alt", ",")
+    g = genotypes.groupBy("chrom", "pos", "ref").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(each)))).alias("alts"), F.collect_set(F.struct("sample", each.alias("own"), "gt")).alias("_c"))
+    number = lambda c, alts: lambda x: F.when(~x.rlike(r"^[1-9]\d*$"), x).otherwise(F.array_position(alts, F.get(c["own"], x.cast("int") - 1)).cast("string"))
+    numbered = lambda c, alts: F.transform(F.split(c["gt"], "[/|]"), number(c, alts))
+    renumbered = lambda c, alts: F.when(c["gt"].contains("|"), F.array_join(numbered(c, alts), "|")).otherwise(F.array_join(numbered(c, alts), "/"))
+    pairs = F.transform("_c", lambda c: F.struct(c["sample"].alias("s"), renumbered(c, F.col("alts")).alias("g")))
+    last = F.aggregate(F.array_sort(pairs), F.expr("map()").cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["s"]), F.map_from_arrays(F.array(p["s"]), F.array(p["g"]))))
+    return g.select("chrom", "pos", "ref", "alts", last.alias("calls"))
+
+
+def matrix_rows(merged: DataFrame, samples: list[str]) -> DataFrame:
+    """JON-12: chrom, pos, ref, alt and gts, the genotypes of the given samples in their order, './.' where a site has none."""
+    gts = F.transform(text_array(samples), lambda s: F.coalesce(F.try_element_at("calls", s), F.lit("./.")))
+    return merged.select("chrom", "pos", "ref", F.array_join("alts", ",").alias("alt"), gts.alias("gts"))
 
 
 def control_first(files: DataFrame, group: str, key: str, pattern: str) -> DataFrame:
@@ -116,8 +162,12 @@ def merge_call_sets(calls: DataFrame, priority: list[str]) -> DataFrame:
     return best.select("chrom", "pos", "r.*")
 
 
-def sample_region_ploidy(regions: DataFrame, samples: DataFrame, assumed: str = "M") -> DataFrame:
-    """JON-15: samples with each region's ploidy for their sex (other than F counts as male); ploidy 0 goes. Regions are a few rows a chromosome."""
+def sample_region_ploidy(regions: DataFrame, samples: DataFrame, assumed: str = "M", sexes: DataFrame | None = None) -> DataFrame:
+    """JON-15: samples (sample, sex) with each region's ploidy for their sex (other than F counts as male); ploidy 0 goes. Regions are a few rows a chromosome.
+
+    A list of sexes (sample, sex) restricts the result to its own samples, whose sex it gives."""
+    if sexes is not None:
+        samples = samples.select("sample").join(sexes.select("sample", "sex"), "sample")
     sex = F.coalesce("sex", F.lit(assumed))
     return samples.crossJoin(regions).select("sample", "chrom", "from", "to", F.when(sex == "F", F.col("female")).otherwise(F.col("male")).alias("ploidy")).filter("ploidy > 0")
 
@@ -147,58 +197,32 @@ def match_to_panel(query: DataFrame, panel: DataFrame) -> DataFrame:
     return q.join(p, ["chrom", "pos"]).groupBy("query", "panel_sample").agg(F.count("*").alias("sites"), (F.count_if(F.col("q_gt") == F.col("p_gt")) / F.count("*")).alias("concordance"), F.avg("q_dp").alias("avg_depth"))
 
 
-def sequencing_hierarchy(lanes: DataFrame, samples: DataFrame, bridges: DataFrame, preferred: int | None = None) -> DataFrame:
-    """JON-19: lanes with sample, donor, gender and study: the preferred study of the sample, else its smallest."""
-    pick = bridges.groupBy("sample").agg(F.coalesce(F.max(F.when(F.col("study_id") == preferred, F.col("study_id"))), F.min("study_id")).alias("study_id"))
-    return lanes.join(samples.select("sample", "donor", "gender"), "sample", "left").join(pick, "sample", "left")
-
-
-def donor_gender_check(samples: DataFrame, genders: DataFrame) -> DataFrame:
-    """JON-20: expected and measured gender of samples that haven't failed QC. genders: sample, source (expected/measured), gender."""
-    of = lambda s: genders.filter(F.col("source") == s).select("sample", F.col("gender").alias(s))
-    return samples.filter("not qc_failed").join(of("expected"), "sample", "left").join(of("measured"), "sample", "left").select("donor", "sample", "expected", "measured")
-
-
-def donor_discordance(results: DataFrame, samples: DataFrame) -> DataFrame:
-    """JON-21: latest discordance result of each sample, its JSON map exploded, each pair once, QC failures dropped."""
-    latest = latest_first(results, ["sample"], F.desc("date"), F.desc("payload"))
-    found = latest.select("sample", F.explode(F.from_json("payload", "map<string,string>")).alias("other", "discordance"))
-    ok = samples.filter("not qc_failed").select("sample", "donor")
-    met = found.join(ok, "sample").join(ok.select(F.col("sample").alias("other"), F.col("donor").alias("other_donor")), "other")
-    pair = met.select(F.least("sample", "other").alias("sample_1"), F.greatest("sample", "other").alias("sample_2"), F.col("discordance").cast("double").alias("discordance"))
-    return pair.groupBy("sample_1", "sample_2").agg(F.min("discordance").alias("discordance"))
-
-
-def donor_report(samples: DataFrame, **parts: DataFrame) -> DataFrame:
-    """JON-22/23: rows of each kind of result (sample, date, value) for the samples, the latest a sample and kind."""
-    rows = [df.select("sample", F.lit(kind).alias("kind"), "date", F.col("value").cast("string").alias("value")) for kind, df in parts.items()]
-    return latest_first(reduce(DataFrame.unionByName, rows), ["sample", "kind"], F.desc("date"), "value").join(samples.select("sample", "donor"), "sample")
-
+def in_all_tables(long: DataFrame, keys: list[str], table: str, n: int) -> DataFrame:
+    """JON-25/33: rows of the long union of n tables whose key is in all of them."""
+    whole = long.groupBy(*keys).agg(F.countDistinct(table).alias("_n")).filter(F.col("_n") == n).drop("_n")
+    return long.join(whole, keys, "left_semi")
 
-def snake_key(c: Column) -> Column:
-    """JON-23: runs of blanks and hyphens as one underscore."""
-    return F.regexp_replace(c, "[- ]+", "_")
 
+def merge_profiles(long: DataFrame, n: int, tags: list[str]) -> DataFrame:
+    """JON-25: profiles (table, key1, key2, column, value) inner-joined on both keys: a row a key pair in all n tables, with the values of its
+    columns in the order of the tags in their names (the first tag that a name ends in), then by name; columns without a tag come last.
 
-def sample_status(samples: DataFrame) -> DataFrame:
-    """JON-24: failed before selected before pending."""
-    return samples.select("sample", F.when(F.col("qc_failed"), "failed").when(F.col("selected"), "selected").otherwise("pending").alias("status"))
+    values is an array of (column, value) in that order."""
+    place = F.coalesce(*(F.when(F.col("column").endswith(t), F.lit(i)) for i, t in enumerate(tags)), F.lit(len(tags))) if tags else F.lit(0)
+    kept = in_all_tables(long, ["key1", "key2"], "table", n)
+    cells = F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), "column", "value"))), lambda x: F.struct(x["column"].alias("column"), x["value"].alias("value")))
+    return kept.groupBy("key1", "key2").agg(cells.alias("values"))
 
 
-def in_all_tables(long: DataFrame, keys: list[str], table: str, n: int) -> DataFrame:
-    """JON-25/33: rows of the long union of n tables whose key is in all of them."""
-    whole = long.groupBy(*keys).agg(F.countDistinct(table).alias("_n")).filter(F.col("_n") == n).drop("_n")
-    return long.join(whole, keys, "left_semi")
+#: What an annotation table must have.
+ANNOTATION_COLUMNS = ("TargetID", "ProbeID", "REFSEQ_ID", "SYMBOL", "PROBE_SEQUENCE", "CHROMOSOME", "PROBE_COORDINATES", "DEFINITION")
 
 
-def check_release_metadata(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """JON-26/28: full outer comparison: for each key the names of the checks that fail."""
-    x = a.select(key, *(F.col(c).alias(f"a_{c}") for c in columns), F.lit(True).alias("in_a"))
-    y = b.select(key, *(F.col(c).alias(f"b_{c}") for c in columns), F.lit(True).alias("in_b"))
-    both = F.col("in_a") & F.col("in_b")
-    tests = [F.when(F.col("in_a").isNull(), "not in first"), F.when(F.col("in_b").isNull(), "not in second")]
-    tests += [F.when(both & ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), c) for c in columns]
-    return x.join(y, key, "full_outer").select(key, F.array_compact(F.array(*tests)).alias("failed"))
+def merge_annotations(tables: list[DataFrame], columns: tuple[str, ...] = ANNOTATION_COLUMNS) -> DataFrame:
+    """JON-33: rows that all annotation tables have, of the required columns; a column that some table lacks is NaN in all of them."""
+    present = [c for c in columns if all(c in t.columns for t in tables)]
+    rows = reduce(DataFrame.intersect, [t.select(*(F.col(c) for c in present)) for t in tables])
+    return rows.select(*(F.col(c) if c in present else F.lit("NaN").alias(c) for c in columns))
 
 
 def diff_indexes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -248,55 +272,7 @@ def parent_child_elements(elements: DataFrame, links: DataFrame, outputs: DataFr
     return made.join(links.select("parent", "child"), "child").join(elements.select(F.col("element").alias("parent"), "source"), "parent").select("path", "child", "parent", "source").distinct()
 
 
-def file_report(files: DataFrame, makers: DataFrame, eav: DataFrame, keys: list[str]) -> DataFrame:
-    """JON-37: files with their maker's setup and step and chosen keys; several values are comma-joined, none is 'unknown'."""
-    wide = eav.filter(F.col("key").isin(keys)).groupBy("file_id").pivot("key", keys).agg(F.array_join(F.array_sort(F.collect_set("val")), ","))
-    out = files.join(makers, "file_id", "left").join(wide, "file_id", "left")
-    return out.select("file_id", "path", F.coalesce(F.col("setup").cast("string"), F.lit("n/a")).alias("setup"), F.coalesce("step", F.lit("n/a")).alias("step"), *(F.coalesce(F.nullif(F.col(k), F.lit("")), F.lit("unknown")).alias(k) for k in keys))
-
-
-def element_report(states: DataFrame, permanent_at: int = 3) -> DataFrame:
-    """JON-38: per element and setup the last completed step, counts of failures and done ones, and whether it has stalled."""
-    permanent = (F.col("failed") == 1) & (F.col("retries") >= permanent_at)
-    g = states.groupBy("setup", "element").agg(F.coalesce(F.max(F.when(F.col("done") == 1, F.col("step"))), F.lit(0)).alias("last_step"), F.count_if(permanent).alias("permanent"), F.count_if((F.col("failed") == 1) & (F.col("retries") < permanent_at)).alias("temporary"), F.count_if(F.col("done") == 1).alias("done"))
-    return g.withColumn("status", F.when(F.col("permanent") > 0, "STALLED").otherwise("ok"))
-
-
-def lane_stats_to_mapstats(stats: DataFrame, targeted: bool = False) -> DataFrame:
-    """PRJ-1"""
-    base = stats.select("lane", F.col("total_reads").alias("raw_reads"), F.col("total_length").alias("raw_bases"), F.col("reads_mapped").alias("mapped_reads"), (F.col("total_length") - F.col("bases_trimmed")).alias("clip_bases"))
-    return base.withColumn("target_fraction", F.round(F.col("mapped_reads") / F.col("raw_reads"), 2)) if targeted else base
-
-
-def index_to_file_metadata(index: DataFrame) -> DataFrame:
-    """PRJ-2: lane, sample, library, platform and centre of each fastq; an empty mate is null."""
-    return index.select("fastq_file", F.col("run_id").alias("lane"), F.col("sample_name").alias("sample"), F.col("library_name").alias("library"), F.upper("instrument_platform").alias("platform"), F.nullif(F.col("paired_fastq"), F.lit("")).alias("mate"), "analysis_group", "read_count", "base_count")
-
-
-def tracking_to_file_metadata(samples: DataFrame) -> DataFrame:
-    """PRJ-3: the donor as individual unless it is to be changed, else the sample; control decoded."""
-    return samples.select("sample", F.when(F.col("donor") != "change_me", F.col("donor")).otherwise(F.col("sample")).alias("individual"), F.when(F.col("control"), "Control").otherwise("Stem cell line").alias("kind"))
-
-
-def assign_read_group(reads: DataFrame, files: DataFrame) -> DataFrame:
-    """PRJ-4: reads (file_id, …) with their file's lane as read group."""
-    return reads.drop("rg").join(files.select("file_id", F.col("lane").alias("rg")), "file_id")
-
-
-def read_group_rows(files: DataFrame) -> DataFrame:
-    """PRJ-4: ID, LB, PL, PU, SM of each file, unknown_* where missing."""
-    return files.select("file_id", F.col("lane").alias("id"), F.coalesce("library", F.lit("unknown_library")).alias("lb"), normalise_platform(F.coalesce("platform", F.lit("unknown_platform"))).alias("pl"), F.col("lane").alias("pu"), F.coalesce("sample", F.lit("unknown_sample")).alias("sm"))
-
-
-def vcf_file_metadata(genotypes: DataFrame, file: str) -> DataFrame:
-    """PRJ-5: the samples of each file joined by '#', and their md5."""
-    return genotypes.groupBy(file).agg(F.array_join(F.array_sort(F.collect_set("sample")), "#").alias("samples")).withColumn("md5", F.md5("samples"))
-
-
-def metadata_to_tracking(files: DataFrame) -> dict[str, DataFrame]:
-    """PRJ-6: lane, library and sample rows of file metadata; a lane takes its latest file's library."""
-    return {
-        "lane": files.groupBy("lane").agg(F.max_by("library", "file_id").alias("library"), F.max_by("sample", "file_id").alias("sample")),
-        "library": files.select("library").distinct(),
-        "sample": files.select("sample").distinct(),
-    }
+def vcf_file_metadata(samples: DataFrame, checksums: DataFrame) -> DataFrame:
+    """PRJ-5: file, samples (in the header's order, joined by '#') and md5 of each file. samples: file, column_no, sample; checksums: file, md5."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("column_no", "sample"))), lambda x: x["sample"])
+    return samples.groupBy("file").agg(F.array_join(listed, "#").alias("samples")).join(checksums, "file", "left")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import content_address
+from .ordering import number_within
 
 
 def union_reads(parts: list[DataFrame]) -> DataFrame:
@@ -15,9 +16,19 @@ def union_reads(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def merge_batches(files: DataFrame, group: list[str], most: int) -> DataFrame:
-    """SET-1: merge batches of at most `most` files of a group, by path."""
-    return files.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*group).orderBy("path")) - 1) / most))
+def merge_batches(files: DataFrame, group: list[str], most: int | None = None, by_layout: bool = False) -> DataFrame:
+    """SET-1: layout and batch of each file of a group: batches of at most `most` files, by path, from 0 (all in one without a limit).
+
+    By layout, paired and single files (column paired) are merged apart, as pe
+    and se; else together, as pe if any file of the group is paired."""
+    own = F.when(F.col("paired"), "pe").otherwise("se") if "paired" in files.columns else F.lit("se")
+    f = files.withColumn("layout", own)
+    if not by_layout:
+        f = f.drop("layout").join(f.groupBy(*group).agg(F.min("layout").alias("layout")), group)
+    if most is None:
+        return f.withColumn("batch", F.lit(0).cast("long"))
+    keyed = f.withColumn("_key", F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in (*group, "layout"))))
+    return number_within(keyed, "_key", "path").withColumn("batch", F.floor((F.col("rn") - 1) / most)).drop("_key", "rn")
 
 
 def concat_variants(parts: list[DataFrame], sites_only: bool = False, dedupe: bool = False) -> DataFrame:
@@ -58,8 +69,17 @@ def _map(c: str) -> Column:
     return F.coalesce(c, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
 
 
-def apply_metadata(current: DataFrame, new: DataFrame, replace: bool) -> DataFrame:
-    """SET-7: meta maps merged: replacing, a new non-empty value wins; else an existing key keeps its value."""
+def apply_metadata(current: DataFrame, new: DataFrame, replace: bool, resolved: DataFrame | None = None) -> DataFrame:
+    """SET-7: meta maps merged: replacing, a new non-empty value wins; else an existing key keeps its value.
+
+    With resolved (file_id, current, of GRF-2) a file's new values are also those
+    of the file that it leads to; of several such files, and of its own values,
+    the greatest file_id's win."""
+    if resolved is not None:
+        onward = new.join(resolved.filter("current is not null and current <> file_id"), "file_id").select(F.col("current").alias("file_id"), "meta", F.col("file_id").alias("_from"))
+        pairs = new.select("file_id", "meta", F.col("file_id").alias("_from")).unionByName(onward).select("file_id", "_from", F.explode("meta").alias("k", "v")).filter(F.col("v") != "" if replace else F.lit(True))
+        one = pairs.groupBy("file_id", "k").agg(F.max_by("v", "_from").alias("v"))
+        new = one.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("meta"))
     j = current.join(new.select("file_id", F.col("meta").alias("_n")), "file_id", "left")
     fresh = F.map_filter(_map("_n"), lambda k, v: v != "")
     first, second = (fresh, _map("meta")) if replace else (_map("meta"), _map("_n"))

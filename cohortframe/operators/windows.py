@@ -1,4 +1,4 @@
-"""Ranking and order-dependent work (WIN), sorts (SRT) and QC verdicts (AGG-33 to AGG-35)."""
+"""Ranking and order-dependent work (WIN) and sorts (SRT)."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import natural_key
 from .filters import latest_first
+from .ordering import last_known, number_within, running_total
 
 
 def genotype_verdict(scores: DataFrame, expected: DataFrame, min_ratio: float = 1.05, min_sites: int = 0, min_concordance: float = 0.94) -> DataFrame:
@@ -59,14 +60,12 @@ def split_by_bases(fastq: DataFrame, chunk_size: int, file: str = "file") -> Dat
 def split_by_reads(fastq: DataFrame, chunk_size: int, avg_lengths: float, file: str = "file") -> DataFrame:
     """WIN-6: floor(chunk / sum of average lengths) reads a chunk, in file order."""
     n = max(1, int(chunk_size // avg_lengths))
-    w = Window.partitionBy(file).orderBy("row_no")
-    return fastq.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / n) + 1)
+    return number_within(fastq, file, "row_no").withColumn("chunk", F.floor((F.col("rn") - 1) / n) + 1).drop("rn")
 
 
 def fill_read_group(reads: DataFrame, file: str = "file") -> DataFrame:
     """WIN-7: a missing read group takes the previous read's; '*' before the first."""
-    w = Window.partitionBy(file).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    return reads.withColumn("rg", F.coalesce(F.last("rg", ignorenulls=True).over(w), F.lit("*")))
+    return last_known(reads, "rg", file, "row_no").withColumn("rg", F.coalesce("rg", F.lit("*")))
 
 
 def number_pairs(pairs: DataFrame) -> DataFrame:
@@ -76,40 +75,24 @@ def number_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("occurrence", F.row_number().over(w))
 
 
-def insert_peak(hist: DataFrame, window_pct: float = 25, reads_pct: float = 80) -> DataFrame:
-    """WIN-9: the mode (first maximum), the percentage of inserts within window_pct of it, and by how many rows on each side
-    the window must widen to hold reads_pct; the row of insert size 0 is left out."""
-    h = hist.filter("value > 0").withColumn("i", F.row_number().over(Window.partitionBy("lane").orderBy("value")))
-    peak = h.groupBy("lane").agg(F.max_by(F.struct("i", "value"), F.struct(F.col("n"), -F.col("i"))).alias("p"), F.sum("n").alias("all"))
-    j = h.join(peak, "lane")
-    share = F.sum(F.when(F.abs(F.col("value") - F.col("p.value")) <= F.col("p.value") * window_pct / 100, F.col("n")))
-    within = j.groupBy("lane").agg(F.any_value("p.value").alias("peak"), F.round(100 * share / F.any_value("all"), 1).alias("pct_in_window"))
-    by = j.groupBy("lane", F.abs(F.col("i") - F.col("p.i")).alias("d")).agg(F.sum("n").alias("n"), F.any_value("all").alias("all"))
-    cum = by.withColumn("cum", F.sum("n").over(Window.partitionBy("lane").orderBy("d"))).filter(F.col("cum") * 100 >= reads_pct * F.col("all"))
-    return within.join(cum.groupBy("lane").agg(F.min("d").alias("rows_each_side")), "lane")
-
-
-def indel_cycle_check(rows: DataFrame, factor: int = 8) -> DataFrame:
-    """WIN-10: lanes in which a series' maximum is above factor times its upper median. rows: lane, series, n."""
-    s = F.array_sort(F.collect_list("n"))
-    g = rows.groupBy("lane", "series").agg(s.alias("v"))
-    bad = F.element_at("v", -1) > factor * F.element_at("v", (F.floor(F.size("v") / 2) + 1).cast("int"))
-    return g.groupBy("lane").agg((~F.bool_or(bad)).alias("passed"))
-
-
 def sample_offsets(fastqs: DataFrame) -> DataFrame:
     """WIN-11: first and last read index of each sample in the concatenation, samples in alphabetical order."""
-    w = Window.orderBy("sample").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     per = fastqs.groupBy("sample").agg(F.sum("reads").alias("reads"))
-    return per.withColumn("end", F.sum("reads").over(w) - 1).withColumn("start", F.col("end") - F.col("reads") + 1).select("sample", "start", "end")
+    return running_total(per, "reads", "sample").select("sample", (F.col("total") - F.col("reads")).alias("start"), (F.col("total") - 1).alias("end"))
 
 
 def select_for_consistency_check(lanes: DataFrame, min_total: int, min_confirmed: int) -> DataFrame:
-    """WIN-12: lanes to check in each library: none below min_total; all unconfirmed ones, and confirmed ones until their running total, in order, reaches min_confirmed."""
+    """WIN-12: lanes to check in each library, of (lane, library, bases, targeted_bases, confirmed, row_no): targeted bases count where
+    there are any. None where a library's bases are below min_total; all where its confirmed ones are below min_confirmed; else the
+    unconfirmed ones, and confirmed ones as long as those taken before, in order, are below min_confirmed.
+
+    Both bounds are in bases; the tracking side's habit of comparing one in megabases and the other in bases isn't kept."""
+    size = F.coalesce(F.nullif(F.col("targeted_bases"), F.lit(0)), "bases") if "targeted_bases" in lanes.columns else F.col("bases")
+    t = lanes.withColumn("_size", size)
     w = Window.partitionBy("library")
-    before = F.coalesce(F.sum(F.when(F.col("confirmed"), F.col("bases"))).over(w.orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = lanes.withColumn("_all", F.sum("bases").over(w)).withColumn("_before", before)
-    return t.filter((F.col("_all") >= min_total) & (~F.col("confirmed") | (F.col("_before") < min_confirmed))).drop("_all", "_before")
+    before = F.coalesce(F.sum(F.when(F.col("confirmed"), F.col("_size"))).over(w.orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    t = t.withColumn("_all", F.sum("_size").over(w)).withColumn("_before", before)
+    return t.filter((F.col("_all") >= min_total) & (~F.col("confirmed") | (F.col("_before") < min_confirmed))).drop("_all", "_before", "_size")
 
 
 def confirm_library(scores: DataFrame, expected: DataFrame) -> DataFrame:
@@ -122,12 +105,18 @@ def confirm_library(scores: DataFrame, expected: DataFrame) -> DataFrame:
 def mark_duplicates(reads: DataFrame) -> DataFrame:
     """WIN-14: adds the duplicate bit to all but the best pair of a library and position signature.
 
-    Pairs by (lib, qname); the signature holds both ends' chromosome, 5' position
-    and strand. Best is the highest quality sum, then the smaller name. The best
-    pair of a signature is an aggregate, so a hot signature is not one task."""
+    Pairs by (lib, qname); the signature holds both ends' chromosome, strand
+    and 5' position, clipped bases included: the position less the leading
+    clips of a forward read, the last reference base plus the trailing clips of
+    a reverse one. Best is the highest quality sum, then the greater name. The
+    best pair of a signature is an aggregate, so a hot signature is not one task."""
     reverse = (F.col("flag").bitwiseAND(F.lit(16)) != 0).cast("int")
     mapped = F.col("flag").bitwiseAND(F.lit(4 + 256)) == 0
-    end = F.struct("rname", (F.col("pos") + reverse * F.col("len")).alias("p"), reverse.alias("r"))
+    of = lambda p: F.aggregate(F.regexp_extract_all("cigar", F.lit(p), F.lit(1)), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+    leading = of(r"(\d+)[SH](?=.*[MIDNP=X])")
+    trailing = of(r"(\d+)[SH](?!.*[MIDNP=X])")
+    five_prime = F.when(reverse == 1, F.col("pos") + of(r"(\d+)[MDN=X]") - 1 + trailing).otherwise(F.col("pos") - leading)
+    end = F.struct("rname", five_prime.alias("p"), reverse.alias("r"))
     pairs = reads.filter(mapped).groupBy("lib", "qname").agg(F.array_sort(F.collect_set(end)).alias("sig"), F.sum("sum_qual").alias("q"))
     best = pairs.groupBy("lib", "sig").agg(F.max_by("qname", F.struct("q", F.col("qname"))).alias("best"), F.count("*").alias("c")).filter("c > 1")
     dup = pairs.join(best, ["lib", "sig"]).filter("qname <> best").select("lib", "qname").withColumn("dup", F.lit(True))
@@ -136,8 +125,10 @@ def mark_duplicates(reads: DataFrame) -> DataFrame:
 
 
 def sort_coordinate(reads: DataFrame, sequences: DataFrame) -> DataFrame:
-    """SRT-1: by the header's sequence order and position, unmapped last; range partitions, each sorted."""
-    r = reads.join(F.broadcast(sequences.select(F.col("sn").alias("rname"), F.col("idx").alias("_i"))), "rname", "left").withColumn("_i", F.when(F.col("flag").bitwiseAND(F.lit(4)) != 0, None).otherwise(F.col("_i")))
+    """SRT-1: by the header's sequence order and position, unmapped last; range partitions, each sorted.
+
+    Spark broadcasts the header's sequences where they are small."""
+    r = reads.join(sequences.select(F.col("sn").alias("rname"), F.col("idx").alias("_i")), "rname", "left").withColumn("_i", F.when(F.col("flag").bitwiseAND(F.lit(4)) != 0, None).otherwise(F.col("_i")))
     return r.orderBy(F.asc_nulls_last("_i"), "pos", "qname").drop("_i")
 
 
@@ -167,58 +158,11 @@ def report_order(df: DataFrame, *columns: str) -> DataFrame:
     return df.orderBy(*(key(c) for c in columns))
 
 
-def with_place(ordered: DataFrame) -> DataFrame:
-    """place, each row's position in a sorted table from 1: its number in its range partition plus the counts of earlier ones."""
-    held = ordered.withColumn("_id", F.monotonically_increasing_id()).checkpoint()
-    part, within = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = held.groupBy(part.alias("_part")).count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("_part", before.alias("_before"))
-    return held.withColumn("_part", part).join(F.broadcast(counts), "_part").withColumn("place", F.col("_before") + within + 1).drop("_id", "_part", "_before")
-
-
 def limit_files(files: DataFrame, n: int) -> DataFrame:
     """SRT-6: the first n by id."""
     return files.orderBy("file_id").limit(n)
 
 
-def overlap_duplicate_percent(hist: DataFrame, read_len: DataFrame) -> DataFrame:
-    """AGG-34: percentage of bases that pairs shorter than two reads hold twice; only lanes with a single read length."""
-    one = read_len.groupBy("lane").agg(F.min("length").alias("l"), F.max("length").alias("_x")).filter("l = _x")
-    over = F.greatest(F.lit(0), 2 * F.col("l") - F.col("value"))
-    return hist.filter("value > 0").join(one, "lane").groupBy("lane").agg(F.round(100 * F.sum(over * F.col("n")) / F.sum(2 * F.col("l") * F.col("n")), 1).alias("overlap_percent"))
-
-
-def insertion_deletion_ratio(rows: DataFrame) -> DataFrame:
-    """AGG-35: insertions over deletions; null without deletions."""
-    return rows.groupBy("lane").agg(F.round(F.sum("n_ins") / F.nullif(F.sum("n_del"), F.lit(0)), 2).alias("ratio"))
-
-
-def auto_qc(stats: DataFrame, gt_regex: str = "^confirmed", min_mapped: float = 90.0, max_error: float = 0.02, max_dup: float = 8.0, max_ratio: float = 1.0, min_ratio: float = 0.68) -> DataFrame:
-    """AGG-33: checks of each lane as (lane, library, test, passed, reason). Without deletions the maximum ratio fails and the minimum passes."""
-    mapped = F.round(100 * F.col("reads_mapped") / F.col("total_reads"), 2)
-    dup = F.round(100 * F.col("reads_duplicated") / F.col("reads_mapped"), 2)
-    error = F.col("error_permille") / 1000
-    ratio = F.round(F.col("n_ins") / F.nullif(F.col("n_del"), F.lit(0)), 2)
-    check = lambda test, ok, value, limit: F.struct(F.lit(test).alias("test"), F.coalesce(ok, F.lit(False)).alias("passed"), F.concat(F.lit(f"{test}: "), F.coalesce(value.cast("string"), F.lit("none")), F.lit(f" against {limit}")).alias("reason"))
-    tests = [
-        check("gt_status", F.col("gt_status").rlike(gt_regex), F.col("gt_status"), gt_regex), check("mapped", mapped > min_mapped, mapped, min_mapped), check("error_rate", error < max_error, error, max_error),
-        check("duplicates", dup < max_dup, dup, max_dup), check("max_indel_ratio", ratio <= max_ratio, ratio, max_ratio), check("min_indel_ratio", F.coalesce(ratio >= min_ratio, F.lit(True)), ratio, min_ratio),
-    ]
-    return stats.select("lane", "library", F.explode(F.array(*tests)).alias("t")).select("lane", "library", "t.*")
-
-
-def lane_verdicts(checks: DataFrame) -> DataFrame:
-    """AGG-33: a lane passes if all its checks do."""
-    return checks.groupBy("lane", "library").agg(F.bool_and("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
-
-
-def library_verdicts(lanes: DataFrame, before: DataFrame) -> DataFrame:
-    """AGG-33: a library passes if all lanes do, and a failed one stays failed."""
-    now = lanes.groupBy("library").agg(F.bool_and("passed").alias("_now"))
-    return now.join(before.select("library", F.col("status").alias("_was")), "library", "left").select("library", F.when((F.coalesce("_was", F.lit("")) == "failed") | ~F.col("_now"), "failed").otherwise("passed").alias("status"))
-
-
 def apply_records(df: DataFrame, fn, schema: str, keep_rows: bool = True) -> DataFrame:
     """UDF-1: a user's function over batches (pandas) of records; with keep_rows a batch of another length is an error."""
 

@@ -47,6 +47,8 @@ add("FLT-7_filter_index", lambda v: f.filter_index(v.index_rows, "HIGH|URGENT",
     "SELECT fastq_file, run_id FROM index_rows WHERE regexp_matches(instrument_platform, 'HIGH|URGENT') AND regexp_matches(analysis_group, '^low') AND withdrawn = 0")
 add("FLT-8_filter_lanes", lambda v: f.filter_lanes(v.lane_stats, library="^lib1", gt_status="confirmed$").select("lane"),
     "SELECT lane FROM lane_stats WHERE regexp_matches(library, '^lib1') AND regexp_matches(gt_status, 'confirmed$')")
+add("FLT-8_filter_lanes_by_project", lambda v: f.filter_lanes(v.lane_stats.select("lane", "library", "gt_status"), v.samples.select("sample", F.concat(F.lit("study"), F.col("study_id").cast("string")).alias("project")), v.files.select("library", F.concat(F.lit("s"), F.substring("library", 4, 9)).alias("sample")).distinct(), project="study1", sample="^s[1-3]", gt_status="^(confirmed|wrong)$").select("lane"),
+    "SELECT lane FROM lane_stats l JOIN samples s ON s.sample = concat('s', substr(library, 4)) WHERE CAST(study_id AS STRING) LIKE '1%' AND regexp_matches(s.sample, '^s[1-3]') AND gt_status IN ('confirmed', 'wrong')")
 add("FLT-9_index_lanes", lambda v: f.index_lanes(v.index_rows, "sample_name", "s7", {"instrument_platform": "low"}),
     "SELECT DISTINCT run_id FROM index_rows WHERE sample_name = 's7' AND NOT regexp_matches(lower(instrument_platform), 'low')")
 add("FLT-10_search_files_by_metadata", lambda v: f.search_files_by_metadata(v.file_meta, [("sam%", "s1%"), ("library", "lib%"), ("status", "O")]),
@@ -61,6 +63,10 @@ add("FLT-14_vqslod_cutoff", lambda v: f.vqslod_cutoff(v.part.select((F.col("p_pa
 add("FLT-14_apply_vqslod", lambda v: f.apply_vqslod(v.variants, 3.0, 8.0).groupBy("kind", "filter").agg(F.count("*").alias("n")),
     "SELECT kind, CASE WHEN vqslod < CASE WHEN kind = 'indel' THEN 8 ELSE 3 END THEN 'LowVQSLOD' ELSE 'PASS' END AS filter, count(*) AS n FROM variants GROUP BY ALL")
 add("FLT-15_filter_cnvs", lambda v: f.filter_cnvs(v.cnvs, 10, 200, 905).select("cnv_id"), 'SELECT cnv_id FROM cnvs WHERE num_snps >= 10 AND "end" - "start" + 1 >= 200 AND confidence >= 905')
+_cnv_lines = lambda v: v.cnvs.select(F.when(F.col("cnv_id") % 9 == 0, "NOTICE: x").otherwise(F.concat("chrom", F.lit(":"), F.col("start").cast("string"), F.lit("-"), (F.col("start") + F.col("num_snps") * 20_000).cast("string"), F.lit("  numsnp="), F.col("num_snps").cast("string"), F.lit("  length="), F.format_number(F.col("num_snps") * 20_000 + 1, 0), F.lit(" state2,cn=1 "), "donor", F.lit(" startsnp=a endsnp=b conf="), (F.col("confidence") % 30).cast("string"), F.lit(".5"))).alias("line"))
+add("FLT-15_filter_cnv_lines", lambda v: f.filter_cnvs(f.parse_cnv_lines(_cnv_lines(v)), min_length="130k").select("chrom", F.col("start").alias("a"), F.col("end").alias("b"), "num_snps", "length", "state", "sample", "confidence"),
+    """SELECT substr(chrom, 4) AS chrom, "start" AS a, "start" + num_snps * 20000 AS b, CAST(num_snps AS BIGINT) AS num_snps, CAST(num_snps * 20000 + 1 AS BIGINT) AS length, 'state2,cn=1' AS state, donor AS sample, confidence % 30 + 0.5::DOUBLE AS confidence FROM cnvs
+       WHERE cnv_id % 9 > 0 AND num_snps >= 10 AND num_snps * 20000 + 1 >= 130000 AND confidence % 30 + 0.5 >= 10""")
 add("FLT-16_filter_sequences", lambda v: f.filter_sequences(v.documents, 2000, "text").select("doc_id"), "SELECT doc_id FROM documents WHERE length(text) >= 2000")
 add("FLT-17_complete_genotypes_only", lambda v: f.complete_genotypes_only(v.genotypes.withColumn("gt", F.when(F.col("dp") == 1, "./.").otherwise(F.col("gt"))), 11),
     "SELECT chrom, pos FROM genotypes GROUP BY chrom, pos HAVING count(*) FILTER (dp <> 1) = 11")
@@ -72,3 +78,5 @@ add("FLT-19_strip_tags", lambda v: f.strip_tags(v.reads.select("qname", "row_no"
     .select("qname", "row_no", F.array_join(F.array_sort(F.map_keys("tags")), ",").alias("left_tags")), "SELECT qname, row_no, 'NM,RG' AS left_tags FROM reads")
 add("FLT-20_select_outputs", lambda v: f.select_outputs(v.step_facts.select("fact_id", "setup", F.col("step"), F.when(F.col("memory") % 2 == 0, "bam").otherwise("txt").alias("kind")), "3[click:bam,view]|7").select("fact_id"),
     "SELECT fact_id FROM step_facts WHERE setup = 3 AND (step = 'click' AND memory % 2 = 0 OR step = 'view') OR setup = 7")
+add("FLT-20_select_outputs_and_inputs", lambda v: f.select_outputs(v.step_facts.select("fact_id", "setup", "step", F.when(F.col("memory") % 2 == 0, "bam").otherwise("txt").alias("kind"), F.when(F.col("step") == "click", 1).otherwise(2).alias("step_no")), "3[1:bam,0]|7[0:fq]|2", v.files.select((-F.col("file_id")).alias("fact_id"), (F.col("file_id") % 10).cast("int").alias("setup"), F.when(F.col("file_id") % 3 == 0, "fq").otherwise("bam").alias("kind"))).select("fact_id"),
+    "SELECT fact_id FROM step_facts WHERE (setup = 3 AND step = 'click' AND memory % 2 = 0) OR setup = 2 UNION ALL SELECT -file_id FROM files WHERE file_id % 10 = 3 OR (file_id % 10 = 7 AND file_id % 3 = 0)")

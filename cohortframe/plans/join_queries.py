@@ -12,9 +12,7 @@ add = QUERIES.add
 
 
 
-add("JON-5_add_to_all_elements", lambda v: j.add_to_all_elements(v.files.filter("file_id < 50").select(F.col("file_id").alias("element"), F.array("path").alias("paths")), v.sequences.filter("idx <= 2").select(F.col("sn").alias("path"))).select("element", F.array_join("paths", ",").alias("paths")),
-    "SELECT file_id AS element, concat(path, ',chr1,chr2') AS paths FROM files WHERE file_id < 50")
-add("JON-5_add_to_all_elements_all_rows", lambda v: j.add_to_all_elements(v.files.select(F.col("file_id").alias("element"), F.array("path").alias("paths")), v.sequences.filter("idx <= 2").select(F.col("sn").alias("path"))).select("element", F.array_join("paths", ",").alias("paths")),
+add("JON-5_add_to_all_elements", lambda v: j.add_to_all_elements(v.files.select(F.col("file_id").alias("element"), F.array("path").alias("paths")), v.sequences.filter("idx <= 2").select(F.col("sn").alias("path"))).select("element", F.array_join("paths", ",").alias("paths")),
     "SELECT file_id AS element, concat(path, ',chr1,chr2') AS paths FROM files")
 add("JON-6_enrich_from_warehouse", lambda v: j.enrich_from_warehouse(v.files.select("file_id", "sample"), v.samples, v.samples.filter("sample_id % 5 <> 0").select("sample", F.col("study_id"), F.concat(F.lit("study"), F.col("study_id").cast("string")).alias("study"))
     .unionByName(v.samples.filter("sample_id % 4 = 0").select("sample", F.lit(99).alias("study_id"), F.lit("study99").alias("study"))), 99).select("file_id", "donor", "sex", "study", F.array_join("studies", ",").alias("studies")),
@@ -24,20 +22,10 @@ add("JON-6_enrich_from_warehouse", lambda v: j.enrich_from_warehouse(v.files.sel
        FROM files f LEFT JOIN samples s USING (sample) LEFT JOIN p USING (sample)""")
 add("JON-7_attach_qc_files", lambda v: j.attach_qc_files(v.files.select("file_id", "path"), v.files.filter("file_id % 3 = 0").select(F.regexp_replace("path", "/x/(f[0-9]+).bam", "/x/qc/$1.stats").alias("path")).unionByName(v.files.filter("file_id % 2 = 0").select(F.regexp_replace("path", ".bam$", ".gt.json").alias("path"))), [".stats", ".gt.json"]).select("file_id", F.size("qc_files").alias("n")),
     "SELECT file_id, 2 AS n FROM files WHERE file_id % 6 = 0")
-add("JON-8_bas_metadata", lambda v: j.bas_metadata(v.files.select(F.col("file_id").alias("rg")), v.files.select(F.col("file_id").alias("rg"), F.when(F.col("file_id") % 3 == 0, "-").otherwise(F.col("sample")).alias("sample"), F.lit("").alias("library"), F.lit("SLX").alias("platform")),
-    v.files.filter("file_id % 2 = 0").select(F.col("file_id").alias("rg"), F.lit("xs").alias("sample"), "library", F.lit("unknown_p").alias("platform"))),
-    """SELECT file_id AS rg, CASE WHEN file_id % 3 <> 0 THEN sample WHEN file_id % 2 = 0 THEN 'xs' ELSE 'unknown_sample' END AS sample, CASE WHEN file_id % 2 = 0 THEN library ELSE 'unknown_library' END AS library, 'ILLUMINA' AS platform FROM files""")
 add("JON-9_lane_info", lambda v: j.lane_info(v.index_rows, "library_name"),
     """, c AS (SELECT run_id, library_name, count(*) AS n FROM index_rows GROUP BY 1, 2) SELECT run_id, library_name FROM c QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY n DESC, library_name) = 1""")
-add("JON-10_plex_to_variants", lambda v: j.plex_to_variants(v.genotypes.select("sample", F.concat(F.lit("rs"), F.col("pos").cast("string")).alias("snp"), F.when(F.col("dp") == 1, "").when(F.col("gt") == "0/0", "A").when(F.col("gt") == "0/1", "AG").otherwise("TC").alias("genotype")),
-    v.part.select(F.concat(F.lit("rs"), F.col("p_partkey").cast("string")).alias("snp"), F.lit("A").alias("ref"), F.lit("G").alias("alt"), F.lit("chr1").alias("chrom"), F.col("p_partkey").alias("pos"), F.when(F.col("p_size") % 2 == 0, "-").otherwise("+").alias("strand")).filter("pos % 7 <> 0")),
-    """SELECT sample, 'chr1' AS chrom, pos, 'A' AS ref, 'G' AS alt, CASE WHEN dp = 1 THEN './.' WHEN p_size % 2 = 0 THEN CASE gt WHEN '0/0' THEN './.' WHEN '0/1' THEN './.' ELSE '0/1' END
-       ELSE CASE gt WHEN '0/0' THEN '0/0' WHEN '0/1' THEN '0/1' ELSE './.' END END AS gt FROM genotypes JOIN part ON p_partkey = pos WHERE pos % 7 <> 0""")
 add("JON-11_merge_sites_with_genotypes", lambda v: j.merge_sites_with_genotypes(v.variants, v.variants.select("chrom", "pos", F.when(F.col("kind") == "indel", F.concat("ref", F.lit("TT"))).otherwise(F.col("ref")).alias("ref"), F.when(F.col("kind") == "indel", F.concat("alt", F.lit("TT"))).otherwise(F.col("alt")).alias("alt"), F.lit("0/1").alias("gt"))),
     "SELECT chrom, pos, ref, alt, qual, '0/1' AS gt FROM variants")
-add("JON-12_merge_samples", lambda v: j.merge_samples(v.genotypes.select("chrom", "pos", "sample", "gt"), v.genotypes.select("sample").distinct()).groupBy("sample", "gt").agg(F.count("*").alias("n")),
-    """, s AS (SELECT DISTINCT sample FROM genotypes), p AS (SELECT DISTINCT chrom, pos FROM genotypes)
-       SELECT s.sample, coalesce(gt, './.') AS gt, count(*) AS n FROM s CROSS JOIN p LEFT JOIN genotypes g ON g.sample = s.sample AND g.chrom = p.chrom AND g.pos = p.pos GROUP BY ALL""")
 add("JON-13_merge_samples_control_first", lambda v: j.control_first(v.files.select("sample", "path", "status"), "sample", "status", "^F$").select("path", "has_control", "column_no"),
     """, c AS (SELECT sample, min(path) FILTER (status = 'F') AS c FROM files GROUP BY sample)
        SELECT path, c IS NOT NULL AS has_control, row_number() OVER (PARTITION BY f.sample ORDER BY coalesce(path = c, false) DESC, path) AS column_no FROM files f JOIN c USING (sample)""")
@@ -53,35 +41,14 @@ add("JON-17_pairwise_discordance", lambda v: j.pairwise_discordance(v.genotypes)
 add("JON-18_match_to_panel", lambda v: j.match_to_panel(v.genotypes.filter("sample in ('s1', 's2')"), v.genotypes.filter("sample not in ('s1', 's2')")).select("query", "panel_sample", "sites", F.round("concordance", 6).alias("concordance"), F.round("avg_depth", 4).alias("avg_depth")),
     """SELECT a.sample AS query, b.sample AS panel_sample, count(*) AS sites, round(count(*) FILTER (a.gt = b.gt) / count(*), 6) AS concordance, round(avg(a.dp), 4) AS avg_depth
        FROM genotypes a JOIN genotypes b ON a.chrom = b.chrom AND a.pos = b.pos WHERE a.sample IN ('s1', 's2') AND b.sample NOT IN ('s1', 's2') GROUP BY a.sample, b.sample""")
-add("JON-19_sequencing_hierarchy", lambda v: j.sequencing_hierarchy(v.files.select("lane", "sample", "file_id"), v.samples, v.samples.select("sample", "study_id").unionByName(v.samples.select("sample", F.lit(3).alias("study_id")).filter("length(sample) = 3")), 3),
-    """SELECT f.sample, lane, file_id, donor, gender, CASE WHEN length(f.sample) = 3 AND s.sample IS NOT NULL THEN 3 ELSE study_id END AS study_id FROM files f LEFT JOIN samples s ON s.sample = f.sample""")
-add("JON-20_donor_gender_check", lambda v: j.donor_gender_check(v.samples, v.samples.select("sample", F.lit("expected").alias("source"), "gender").unionByName(v.samples.filter("sample_id % 2 = 0").select("sample", F.lit("measured").alias("source"), F.lit("male").alias("gender")))),
-    "SELECT donor, sample, gender AS expected, CASE WHEN sample_id % 2 = 0 THEN 'male' END AS measured FROM samples WHERE NOT qc_failed")
-add("JON-21_donor_discordance", lambda v: j.donor_discordance(v.samples.select("sample", F.col("created").alias("date"), F.to_json(F.create_map(F.concat(F.lit("s"), (F.col("sample_id") + 1).cast("string")), (F.col("sample_id") % 100).cast("string"), F.concat(F.lit("s"), (F.col("sample_id") - 1).cast("string")), F.lit("50"))).alias("payload")), v.samples),
-    """, x AS (SELECT sample, sample_id, concat('s', sample_id + 1) AS o, CAST(sample_id % 100 AS DOUBLE) AS d FROM samples UNION ALL SELECT sample, sample_id, concat('s', sample_id - 1), 50.0 FROM samples)
-       SELECT least(x.sample, o) AS sample_1, greatest(x.sample, o) AS sample_2, min(d) AS discordance FROM x JOIN samples a ON a.sample = x.sample JOIN samples b ON b.sample = o WHERE NOT a.qc_failed AND NOT b.qc_failed GROUP BY 1, 2""")
-add("JON-22_donor_cnv_report", lambda v: j.donor_report(v.samples, cnv=v.cnvs.select(F.concat(F.lit("s"), (F.col("cnv_id") % 300).cast("string")).alias("sample"), F.col("cnv_id").alias("date"), F.col("num_snps").alias("value")), loh=v.cnvs.select(F.concat(F.lit("s"), (F.col("cnv_id") % 200).cast("string")).alias("sample"), F.col("cnv_id").alias("date"), F.col("state").alias("value"))),
-    """, x AS (SELECT concat('s', cnv_id % 300) AS sample, 'cnv' AS kind, cnv_id AS date, CAST(num_snps AS STRING) AS value FROM cnvs UNION ALL SELECT concat('s', cnv_id % 200), 'loh', cnv_id, state FROM cnvs)
-       SELECT x.sample, kind, date, value, donor FROM x JOIN samples s ON s.sample = x.sample QUALIFY row_number() OVER (PARTITION BY x.sample, kind ORDER BY date DESC) = 1""")
-add("JON-23_donor_pluritest_report", lambda v: j.donor_report(v.samples, pluritest=v.cnvs.select(F.concat(F.lit("s"), (F.col("cnv_id") % 250).cast("string")).alias("sample"), F.col("cnv_id").alias("date"), j.snake_key(F.concat(F.lit("pluri - raw "), F.col("num_snps").cast("string"))).alias("value"))),
-    """, x AS (SELECT concat('s', cnv_id % 250) AS sample, 'pluritest' AS kind, cnv_id AS date, concat('pluri_raw_', num_snps) AS value FROM cnvs)
-       SELECT x.sample, kind, date, value, donor FROM x JOIN samples s ON s.sample = x.sample QUALIFY row_number() OVER (PARTITION BY x.sample ORDER BY date DESC) = 1""")
-add("JON-24_sample_status", lambda v: j.sample_status(v.samples), "SELECT sample, CASE WHEN qc_failed THEN 'failed' WHEN selected THEN 'selected' ELSE 'pending' END AS status FROM samples")
 add("JON-25_merge_profiles", lambda v: j.in_all_tables(v.genotypes.select("pos", "sample", "dp"), ["pos"], "sample", 12).groupBy("sample").agg(F.count("*").alias("n"), F.sum("dp").alias("dp")),
     "SELECT sample, count(*) AS n, CAST(sum(dp) AS BIGINT) AS dp FROM genotypes WHERE pos IN (SELECT pos FROM genotypes GROUP BY pos HAVING count(DISTINCT sample) = 12) GROUP BY sample")
-add("JON-33_merge_annotations", lambda v: j.in_all_tables(v.genotypes.select("pos", "gt", "sample"), ["pos", "gt"], "sample", 7).select("pos", "gt").distinct(),
-    "SELECT pos, gt FROM genotypes GROUP BY pos, gt HAVING count(DISTINCT sample) = 7")
-add("JON-26_check_release_metadata", lambda v: j.check_release_metadata(v.files.select("file_id", "sample", "library", "size").filter("file_id % 19 <> 0"), v.files.filter("file_id % 23 <> 0").select("file_id", F.when(F.col("file_id") % 5 == 0, "sX").otherwise(F.col("sample")).alias("sample"), "library", (F.col("size") + F.when(F.col("file_id") % 7 == 0, 1).otherwise(0)).alias("size")), "file_id", ["sample", "library", "size"]).select("file_id", F.array_join("failed", ",").alias("failed")),
-    """SELECT file_id, concat_ws(',', CASE WHEN file_id % 19 = 0 THEN 'not in first' END, CASE WHEN file_id % 23 = 0 THEN 'not in second' END, CASE WHEN file_id % 19 <> 0 AND file_id % 23 <> 0 AND file_id % 5 = 0 THEN 'sample' END,
-       CASE WHEN file_id % 19 <> 0 AND file_id % 23 <> 0 AND file_id % 7 = 0 THEN 'size' END) AS failed FROM files WHERE NOT (file_id % 19 = 0 AND file_id % 23 = 0)""")
 add("JON-27_diff_indexes", lambda v: j.diff_indexes(v.index_rows.filter("row_no % 1500 % 17 <> 1"), v.index_rows.filter("row_no % 1500 % 31 <> 1").withColumn("read_count", F.col("read_count") + F.when(F.col("row_no") % 100 == 0, 1).otherwise(0)).withColumn("withdrawn", F.when(F.col("row_no") % 1500 % 40 == 7, 1).otherwise(F.col("withdrawn")))),
     """, a AS (SELECT concat(run_id, '.', replace(analysis_group, ' ', '_')) AS lane, sum(read_count) AS r, sum(base_count) AS b, arg_max(library_name, row_no) AS l, min(withdrawn) AS w FROM index_rows WHERE row_no % 1500 % 17 <> 1 GROUP BY 1),
        n AS (SELECT concat(run_id, '.', replace(analysis_group, ' ', '_')) AS lane, sum(read_count + CASE WHEN row_no % 100 = 0 THEN 1 ELSE 0 END) AS r, sum(base_count) AS b, arg_max(library_name, row_no) AS l, min(CASE WHEN row_no % 1500 % 40 = 7 THEN 1 ELSE withdrawn END) AS w FROM index_rows WHERE row_no % 1500 % 31 <> 1 GROUP BY 1),
        d AS (SELECT coalesce(a.lane, n.lane) AS lane, CASE WHEN a.w IS NULL THEN 'new' WHEN n.w IS NULL THEN 'gone' WHEN a.w = 0 AND n.w = 1 THEN 'withdrawn' WHEN a.w = 1 AND n.w = 0 THEN 'reinstated' WHEN a.r <> n.r OR a.b <> n.b OR a.l <> n.l THEN 'changed' ELSE 'same' END AS what,
          concat_ws(',', CASE WHEN a.r <> n.r THEN 'reads' END, CASE WHEN a.b <> n.b THEN 'bases' END, CASE WHEN a.l <> n.l THEN 'library' END) AS f FROM a FULL JOIN n ON a.lane = n.lane)
        SELECT lane, what, CASE WHEN what = 'changed' THEN f ELSE '' END AS fields FROM d""")
-add("JON-28_header_mistakes", lambda v: j.check_release_metadata(v.files.select("file_id", "sample", "library"), v.files.select("file_id", F.when(F.col("file_id") % 5 == 0, "sX").otherwise(F.col("sample")).alias("sample"), F.when(F.col("file_id") % 6 == 0, "lX").otherwise(F.col("library")).alias("library")), "file_id", ["sample", "library"]).select("file_id", F.size("failed").alias("mistakes")),
-    "SELECT file_id, CASE WHEN file_id % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN file_id % 6 = 0 THEN 1 ELSE 0 END AS mistakes FROM files")
 add("JON-29_population_lists", lambda v: j.population_lists(v.files.select("path"), [("A", "^/d1/"), ("B", "7\\.bam$"), ("A", "77\\.bam$")], ["1", "2"]).groupBy("population", "chrom").agg(F.count("*").alias("n")),
     """, x AS (SELECT 'A' AS population FROM files WHERE path LIKE '/d1/%' UNION ALL SELECT 'B' FROM files WHERE path LIKE '%7.bam' UNION ALL SELECT 'A' FROM files WHERE path LIKE '%77.bam')
        SELECT population, chrom, count(*) AS n FROM x, (VALUES ('1'), ('2')) c(chrom) GROUP BY ALL""")
@@ -95,21 +62,35 @@ add("JON-32_reads_to_fastq", lambda v: j.reads_to_fastq(v.reads),
        SELECT rg, kind, CAST(sum(n) AS BIGINT) AS reads, CAST(sum(n) * 100 AS BIGINT) AS bases, 100.0 AS avg_length FROM x GROUP BY 1, 2""")
 add("JON-34_parent_child_elements", lambda v: j.parent_child_elements(v.files.select(F.col("file_id").alias("element"), F.col("status").alias("source")), v.files.select((F.col("file_id") % 500).alias("parent"), F.col("file_id").alias("child")).unionByName(v.files.select((F.col("file_id") % 500).alias("parent"), F.col("file_id").alias("child"))), v.files.select("path", F.col("file_id").alias("element"))),
     "SELECT f.path, f.file_id AS child, f.file_id % 500 AS parent, p.status AS source FROM files f JOIN files p ON p.file_id = f.file_id % 500")
-add("JON-37_file_report", lambda v: j.file_report(v.files.select("file_id", "path"), v.step_facts.select(F.col("fact_id").alias("file_id"), "setup", "step"), v.file_meta, ["sample", "library"]),
-    """SELECT f.file_id, f.path, coalesce(CAST(setup AS STRING), 'n/a') AS setup, coalesce(step, 'n/a') AS step, coalesce(s.val, 'unknown') AS sample, coalesce(l.val, 'unknown') AS library FROM files f LEFT JOIN step_facts t ON t.fact_id = f.file_id
-       LEFT JOIN file_meta s ON s.file_id = f.file_id AND s.key = 'sample' LEFT JOIN file_meta l ON l.file_id = f.file_id AND l.key = 'library'""")
-add("JON-38_element_report", lambda v: j.element_report(v.states),
-    """SELECT setup, element, coalesce(max(step) FILTER (done = 1), 0) AS last_step, count(*) FILTER (failed = 1 AND retries >= 3) AS permanent, count(*) FILTER (failed = 1 AND retries < 3) AS temporary, count(*) FILTER (done = 1) AS done,
-       CASE WHEN count(*) FILTER (failed = 1 AND retries >= 3) > 0 THEN 'STALLED' ELSE 'ok' END AS status FROM states GROUP BY 1, 2""")
-add("PRJ-1_lane_stats_to_mapstats", lambda v: j.lane_stats_to_mapstats(v.lane_stats, True),
-    "SELECT lane, total_reads AS raw_reads, total_length AS raw_bases, reads_mapped AS mapped_reads, total_length - bases_trimmed AS clip_bases, round(reads_mapped / total_reads, 2) AS target_fraction FROM lane_stats")
-add("PRJ-2_index_to_file_metadata", lambda v: j.index_to_file_metadata(v.index_rows),
-    "SELECT fastq_file, run_id AS lane, sample_name AS sample, library_name AS library, upper(instrument_platform) AS platform, nullif(paired_fastq, '') AS mate, analysis_group, read_count, base_count FROM index_rows")
-add("PRJ-3_tracking_to_file_metadata", lambda v: j.tracking_to_file_metadata(v.samples.withColumn("donor", F.when(F.col("sample_id") % 8 == 0, "change_me").otherwise(F.col("donor")))),
-    "SELECT sample, CASE WHEN sample_id % 8 = 0 THEN sample ELSE donor END AS individual, CASE WHEN control THEN 'Control' ELSE 'Stem cell line' END AS kind FROM samples")
-add("PRJ-4_assign_read_group", lambda v: j.assign_read_group(v.reads.select("qname", "row_no", "rg", (F.col("row_no") % 50).alias("file_id")), v.files).groupBy("rg").agg(F.count("*").alias("n")),
-    "SELECT lane AS rg, count(*) AS n FROM reads JOIN files ON file_id = row_no % 50 GROUP BY lane")
-add("PRJ-4_read_group_rows", lambda v: j.read_group_rows(v.files.withColumn("platform", F.when(F.col("file_id") % 2 == 0, "slx")).withColumn("library", F.when(F.col("file_id") % 3 == 0, F.col("library")))),
-    "SELECT file_id, lane AS id, CASE WHEN file_id % 3 = 0 THEN library ELSE 'unknown_library' END AS lb, CASE WHEN file_id % 2 = 0 THEN 'ILLUMINA' ELSE 'UNKNOWN_PLATFORM' END AS pl, lane AS pu, sample AS sm FROM files")
-add("PRJ-5_vcf_file_metadata", lambda v: j.vcf_file_metadata(v.genotypes, "chrom"), """, x AS (SELECT chrom, string_agg(DISTINCT sample, '#' ORDER BY sample) AS samples FROM genotypes GROUP BY chrom) SELECT chrom, samples, md5(samples) AS md5 FROM x""")
-add("PRJ-6_metadata_to_tracking", lambda v: j.metadata_to_tracking(v.files)["lane"], "SELECT lane, arg_max(library, file_id) AS library, arg_max(sample, file_id) AS sample FROM files GROUP BY lane")
+_groups = lambda v: v.files.select(F.col("file_id").alias("rg"), F.when(F.col("file_id") % 3 == 0, "-").otherwise(F.col("sample")).alias("sample"), F.lit("").alias("library"), F.lit("SLX").alias("platform"), F.when(F.col("file_id") % 4 == 0, "st").alias("study"), F.when(F.col("file_id") % 5 == 0, F.concat(F.lit("unit"), F.col("file_id").cast("string"))).alias("pu")).withColumn("rg", F.col("rg").cast("string"))
+_by_index = lambda v: v.files.filter("file_id % 2 = 0").select(F.col("file_id").cast("string").alias("rg"), F.lit("xs").alias("sample"), "library", F.lit("unknown_p").alias("platform"), F.lit("ixst").alias("study"))
+for by_unit in (False, True):
+    add(f"JON-8_bas_metadata{'_by_unit' * by_unit}", lambda v, by_unit=by_unit: j.bas_metadata(v.files.select(F.col("file_id").cast("string").alias("rg"), "size"), _groups(v), _by_index(v), by_unit),
+        f"""SELECT {"CASE WHEN file_id % 5 = 0 THEN concat('unit', file_id) ELSE CAST(file_id AS STRING) END" if by_unit else "CAST(file_id AS STRING)"} AS rg, size, CASE WHEN file_id % 4 = 0 THEN 'st' WHEN file_id % 2 = 0 THEN 'ixst' ELSE 'unknown_study' END AS study, CASE WHEN file_id % 3 <> 0 THEN sample WHEN file_id % 2 = 0 THEN 'xs' ELSE 'unknown_sample' END AS sample,
+            'ILLUMINA' AS platform, CASE WHEN file_id % 2 = 0 THEN library ELSE 'unknown_library' END AS library FROM files""")
+add("JON-9_lane_values", lambda v: j.lane_values(v.index_rows, "library_name").select("run_id", F.array_join("vals", ",").alias("vals")), "SELECT run_id, string_agg(DISTINCT library_name, ',' ORDER BY library_name) AS vals FROM index_rows GROUP BY run_id")
+# every fifth SNP is listed twice, on X and Y
+_manifest = lambda v: v.part.select((F.col("p_partkey") * 2).alias("row_no"), F.concat(F.lit("rs"), F.col("p_partkey").cast("string")).alias("snp"), F.lit("A").alias("ref"), F.lit("G").alias("alt"), F.lit("chrX").alias("chrom"), F.col("p_partkey").alias("pos"), F.when(F.col("p_size") % 2 == 0, "-").otherwise("+").alias("strand")).filter("pos % 7 <> 0").unionByName(
+    v.part.filter("p_partkey % 5 = 0 and p_partkey % 7 <> 0").select((F.col("p_partkey") * 2 + 1).alias("row_no"), F.concat(F.lit("rs"), F.col("p_partkey").cast("string")).alias("snp"), F.lit("C").alias("ref"), F.lit("T").alias("alt"), F.lit("chrY").alias("chrom"), (F.col("p_partkey") + 9).alias("pos"), F.lit("+").alias("strand")))
+add("JON-10_plex_to_variants", lambda v: j.plex_to_variants(v.genotypes.select("sample", F.concat(F.lit("rs"), F.col("pos").cast("string")).alias("snp"), F.when(F.col("dp") == 1, "").when(F.col("gt") == "0/0", "A").when(F.col("gt") == "0/1", "AG").otherwise("TC").alias("genotype")), j.plex_manifest(_manifest(v))),
+    """, m AS (SELECT p_partkey, p_size % 2 = 0 AS minus, p_partkey % 5 = 0 AS twice FROM part WHERE p_partkey % 7 <> 0)
+       SELECT sample, 'chrX' AS chrom, pos, concat('rs', pos) AS id, CASE WHEN minus THEN 'T' ELSE 'A' END AS ref, CASE WHEN minus AND twice THEN 'G' WHEN twice THEN 'C' WHEN minus THEN 'C' ELSE 'G' END AS alt, twice AS gender_marker,
+       CASE WHEN dp = 1 THEN './.' WHEN minus THEN CASE gt WHEN '0/0' THEN '1/1' WHEN '0/1' THEN '1/1' ELSE '0/1' END ELSE CASE gt WHEN '0/0' THEN '0/0' WHEN '0/1' THEN '0/1' ELSE '1/1' END END AS gt FROM genotypes JOIN m ON p_partkey = pos""")
+_calls = lambda v: v.genotypes.select("chrom", "pos", F.when(F.col("pos") % 10 == 0, F.when(F.col("sample").isin("s1", "s2"), "AT").otherwise("A")).otherwise("A").alias("ref"), F.when(F.col("sample").endswith("1"), "T,C").when(F.col("sample").endswith("2"), "G").otherwise("C").alias("alt"), "sample", F.when(F.col("sample").endswith("1") & (F.col("gt") == "1/1"), "1|2").otherwise(F.col("gt")).alias("gt"))
+CALLS = """g AS (SELECT chrom, pos, sample, CASE WHEN pos % 10 = 0 AND sample IN ('s1', 's2') THEN 'AT' ELSE 'A' END AS ref, CASE WHEN sample LIKE '%1' THEN 1 WHEN sample LIKE '%2' THEN 2 ELSE 3 END AS k, gt FROM genotypes),
+    a AS (SELECT chrom, pos, ref, unnest(CASE k WHEN 1 THEN ['T', 'C'] WHEN 2 THEN ['G'] ELSE ['C'] END) AS x FROM g), u AS (SELECT chrom, pos, ref, list_sort(list(DISTINCT x)) AS alts FROM a GROUP BY 1, 2, 3),
+    c AS (SELECT g.*, alts, list_position(alts, CASE k WHEN 1 THEN 'T' WHEN 2 THEN 'G' ELSE 'C' END) AS n1, list_position(alts, 'C') AS n2 FROM g JOIN u ON u.chrom = g.chrom AND u.pos = g.pos AND u.ref = g.ref),
+    r AS (SELECT chrom, pos, ref, sample, alts, CASE WHEN gt = '0/0' THEN gt WHEN gt = '0/1' THEN concat('0/', n1) WHEN k = 1 THEN concat(n1, '|', n2) ELSE concat(n1, '/', n1) END AS gt FROM c)"""
+add("JON-12_merge_samples", lambda v: j.merge_samples(_calls(v)).select("chrom", "pos", "ref", F.array_join("alts", ",").alias("alt"), F.explode("calls").alias("sample", "gt")), f", {CALLS} SELECT chrom, pos, ref, array_to_string(alts, ',') AS alt, sample, gt FROM r")
+_names = lambda v: sorted(x["sample"] for x in v.genotypes.select("sample").distinct().collect())
+add("JON-12_matrix_rows", lambda v: j.matrix_rows(j.merge_samples(_calls(v)), _names(v)).withColumn("gts", F.array_join("gts", " ")),
+    f", {CALLS}, s AS (SELECT DISTINCT sample FROM genotypes), m AS (SELECT u.chrom, u.pos, u.ref, u.alts, s.sample FROM u, s) SELECT m.chrom, m.pos, m.ref, array_to_string(any_value(m.alts), ',') AS alt, string_agg(coalesce(gt, './.'), ' ' ORDER BY m.sample) AS gts FROM m LEFT JOIN r ON r.chrom = m.chrom AND r.pos = m.pos AND r.ref = m.ref AND r.sample = m.sample GROUP BY 1, 2, 3")
+add("JON-15_ploidy_by_sex_list", lambda v: j.sample_region_ploidy(v.sequences.filter("idx <= 4").select(F.col("sn").alias("chrom"), F.lit(1).alias("from"), F.col("ln").alias("to"), (F.col("idx") % 2).alias("male"), (F.col("idx") % 3).alias("female")), v.samples.select("sample", F.lit("M").alias("sex")), sexes=v.samples.filter("sample_id % 2 = 0").select("sample", F.when(F.col("sample_id") % 4 == 0, "F").alias("sex"))),
+    """, x AS (SELECT sample, sn AS chrom, 1 AS "from", ln AS "to", CASE WHEN sample_id % 4 = 0 THEN idx % 3 ELSE idx % 2 END AS ploidy FROM samples, sequences WHERE idx <= 4 AND sample_id % 2 = 0) SELECT * FROM x WHERE ploidy > 0""")
+add("JON-25_profiles_in_tag_order", lambda v: j.merge_profiles(v.genotypes.select(F.col("sample").alias("table"), F.col("chrom").alias("key1"), F.col("pos").alias("key2"), F.concat("sample", F.when(F.col("sample").isin("s3", "s4"), "_ctl").otherwise("_x")).alias("column"), F.col("dp").alias("value")), 12, ["_ctl", "_x"]).select("key1", "key2", F.array_join(F.transform("values", lambda x: F.concat(x["column"], F.lit("="), x["value"].cast("string"))), ",").alias("cells")),
+    """SELECT chrom AS key1, pos AS key2, string_agg(concat(sample, CASE WHEN sample IN ('s3', 's4') THEN '_ctl' ELSE '_x' END, '=', dp), ',' ORDER BY CASE WHEN sample IN ('s3', 's4') THEN 0 ELSE 1 END, concat(sample, CASE WHEN sample IN ('s3', 's4') THEN '_ctl' ELSE '_x' END)) AS cells FROM genotypes GROUP BY 1, 2 HAVING count(DISTINCT sample) = 12""")
+_annotation = lambda v, lacking, odd: v.files.select(*(F.when(F.col("file_id") % odd == 0, F.lit("other")).otherwise(F.col("lane")).alias(c) if c == "SYMBOL" else F.col("path").alias(c) for c in j.ANNOTATION_COLUMNS if c != lacking))
+add("JON-33_merge_annotations", lambda v: j.merge_annotations([_annotation(v, "DEFINITION", 3), _annotation(v, None, 5), _annotation(v, None, 7)]).select(F.col("TargetID").alias("target"), F.col("SYMBOL").alias("symbol"), F.col("DEFINITION").alias("definition")),
+    """SELECT path AS target, CASE WHEN file_id % 105 = 0 THEN 'other' ELSE lane END AS symbol, 'NaN' AS definition FROM files WHERE file_id % 105 = 0 OR (file_id % 3 > 0 AND file_id % 5 > 0 AND file_id % 7 > 0)""")
+add("JON-33_rows_in_all_tables", lambda v: j.in_all_tables(v.genotypes.select("pos", "gt", "sample"), ["pos", "gt"], "sample", 7).select("pos", "gt").distinct(),
+    "SELECT pos, gt FROM genotypes GROUP BY pos, gt HAVING count(DISTINCT sample) = 7")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-PARTS = ("filter_queries", "interval_queries", "join_queries", "aggregate_queries", "window_queries", "set_queries", "source_queries")
+PARTS = ("filter_queries", "interval_queries", "join_queries", "aggregate_queries", "window_queries", "qc_queries", "report_queries", "set_queries", "source_queries")
 
 
 def _parts() -> list:

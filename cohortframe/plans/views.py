@@ -70,7 +70,35 @@ VIEWS = {
     "scores": """SELECT concat('lane', CAST(l_orderkey % 800 AS STRING)) AS lane, concat('s', CAST(l_suppkey % 20 AS STRING)) AS sample, MAX(CAST(l_quantity AS BIGINT) * 20) AS score, MAX(CAST(floor(l_extendedprice) AS BIGINT) % 300) AS sites
         FROM {lineitem} GROUP BY l_orderkey % 800, l_suppkey % 20""",
     "sequences": """SELECT concat('chr', CAST(n_nationkey + 1 AS STRING)) AS sn, n_nationkey + 1 AS idx, (n_nationkey + 3) * 7001 AS ln, concat('m', CAST(n_nationkey AS STRING)) AS m5 FROM {nation}""",
-    "text_lines": """SELECT doc_id AS row_no, substr(text, 1, 60) AS line FROM {documents}""",
+    "qc_lanes": """SELECT concat('lane', CAST(o_orderkey AS STRING)) AS lane, concat('lib', CAST(o_custkey % 50 AS STRING)) AS library, o_orderkey % 3 <> 0 AS is_paired, CASE WHEN o_orderkey % 29 = 0 THEN 'fail' WHEN o_orderkey % 29 = 1 THEN 'pass' END AS npg_status,
+        CASE WHEN o_orderkey % 6 = 0 THEN 'status=wrong expected=a found=b ratio=1.2' WHEN o_orderkey % 6 = 1 THEN 'status=confirmed expected=a found=a concordance=0.9' WHEN o_orderkey % 6 = 2 THEN 'odd text' END AS gtype_analysis,
+        CASE WHEN o_orderkey % 4 = 0 THEN concat('s', CAST(o_custkey % 300 AS STRING)) WHEN o_orderkey % 4 = 1 THEN 'x' END AS genotype_found, 'e' AS genotype_expected, concat('s', CAST(o_custkey % 300 AS STRING)) AS sample, 'i' AS individual, 'acc' AS individual_acc,
+        CASE WHEN o_orderkey % 31 = 0 THEN 0 ELSE CAST(floor(o_totalprice) AS BIGINT) + 1000 END AS sequences, CASE WHEN o_orderkey % 31 = 0 THEN 0 ELSE (CAST(floor(o_totalprice) AS BIGINT) + 1000) * 100 END AS total_length,
+        CAST(floor(o_totalprice) AS BIGINT) * 95 + 1 AS clip_bases, CAST(floor(o_totalprice) AS BIGINT) * (80 + o_orderkey % 20) AS bases_mapped, CAST(floor(o_totalprice) AS BIGINT) + 500 AS reads_mapped,
+        CAST(floor(o_totalprice) AS BIGINT) + 500 - CAST(floor((CAST(floor(o_totalprice) AS BIGINT) + 500) * (o_orderkey % 25) / 100) AS BIGINT) AS rmdup_reads_mapped,
+        CASE WHEN o_orderkey % 37 = 0 THEN 0 ELSE CAST(floor(o_totalprice) AS BIGINT) END AS reads_paired, CASE WHEN o_orderkey % 41 = 0 THEN 0 ELSE 250 END AS mean_insert, CAST(o_custkey % 50 AS DOUBLE) / 1000 AS error_rate FROM {orders}""",
+    "qc_indels": """SELECT concat('lane', CAST(l_orderkey AS STRING)) AS lane, l_linenumber AS length, l_partkey % 5 AS n_ins, l_suppkey % 6 AS n_del FROM {lineitem}""",
+    "qc_inserts": """SELECT concat('lane', CAST(l_orderkey AS STRING)) AS lane, CAST(l_linenumber * 40 + (l_suppkey % 3) * 7 AS BIGINT) AS value, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS n FROM {lineitem}
+        WHERE l_orderkey % 5 <> 0 GROUP BY l_orderkey, l_linenumber * 40 + (l_suppkey % 3) * 7""",
+    "qc_lengths": """SELECT DISTINCT concat('lane', CAST(l_orderkey AS STRING)) AS lane, CASE WHEN l_orderkey % 9 = 0 THEN 90 + l_linenumber ELSE 100 END AS length FROM {lineitem}""",
+    "qc_cycles": """SELECT concat('lane', CAST(l_orderkey AS STRING)) AS lane, concat('s', CAST(l_linenumber % 2 AS STRING)) AS series, CAST(l_quantity AS INT) AS n FROM {lineitem} WHERE l_orderkey % 7 <> 0""",
+    "lab_nodes": """SELECT concat('F', CAST(o_orderkey AS STRING)) AS id, 'File' AS label FROM {orders} UNION ALL SELECT concat('Q', CAST(o_orderkey AS STRING)), 'File' FROM {orders}
+        UNION ALL SELECT concat('L', CAST(o_orderkey AS STRING)), 'Lane' FROM {orders} WHERE o_orderkey % 5 <> 0 UNION ALL SELECT concat('S', CAST(o_orderkey AS STRING)), 'Section' FROM {orders} WHERE o_orderkey % 5 = 0
+        UNION ALL SELECT concat('B', CAST(c_custkey AS STRING)), 'Library' FROM {customer} UNION ALL SELECT concat('K', CAST(c_custkey AS STRING)), 'Beadchip' FROM {customer} UNION ALL SELECT concat('C', CAST(c_custkey AS STRING)), 'Sample' FROM {customer}
+        UNION ALL SELECT concat('T', CAST(n_nationkey AS STRING)), 'Taxon' FROM {nation} UNION ALL SELECT concat('R', CAST(n_nationkey AS STRING)), 'Study' FROM {nation} UNION ALL SELECT concat('R9', CAST(r_regionkey AS STRING)), 'Study' FROM {region}""",
+    "lab_edges": """SELECT concat(CASE WHEN o_orderkey % 5 = 0 THEN 'S' ELSE 'L' END, CAST(o_orderkey AS STRING)) AS src, concat('F', CAST(o_orderkey AS STRING)) AS dst, 'aligned' AS type, 0 AS preferred FROM {orders}
+        UNION ALL SELECT concat('F', CAST(o_orderkey AS STRING)), concat('Q', CAST(o_orderkey AS STRING)), 'qc_file', 0 FROM {orders}
+        UNION ALL SELECT concat('B', CAST(o_custkey AS STRING)), concat('L', CAST(o_orderkey AS STRING)), 'sequenced', 0 FROM {orders} WHERE o_orderkey % 5 <> 0
+        UNION ALL SELECT concat('K', CAST(o_custkey AS STRING)), concat('S', CAST(o_orderkey AS STRING)), 'section', 0 FROM {orders} WHERE o_orderkey % 5 = 0
+        UNION ALL SELECT concat('C', CAST(o_custkey AS STRING)), concat('S', CAST(o_orderkey AS STRING)), 'placed', 0 FROM {orders} WHERE o_orderkey % 5 = 0
+        UNION ALL SELECT concat('C', CAST(c_custkey AS STRING)), concat('B', CAST(c_custkey AS STRING)), 'prepared', 0 FROM {customer}
+        UNION ALL SELECT concat('C', CAST(c_custkey AS STRING)), CASE WHEN c_custkey % 3 = 0 THEN 'Gf' ELSE 'Gm' END, 'gender', 0 FROM {customer} WHERE c_custkey % 3 <> 2
+        UNION ALL SELECT concat('D', CAST(c_custkey % 200 AS STRING)), concat('C', CAST(c_custkey AS STRING)), 'sample', 0 FROM {customer}
+        UNION ALL SELECT concat('T', CAST(c_nationkey AS STRING)), concat('C', CAST(c_custkey AS STRING)), 'member', 0 FROM {customer}
+        UNION ALL SELECT concat('R', CAST(c_nationkey AS STRING)), concat('C', CAST(c_custkey AS STRING)), 'member', 0 FROM {customer} WHERE c_custkey % 7 <> 0
+        UNION ALL SELECT concat('R9', CAST(c_custkey % 5 AS STRING)), concat('C', CAST(c_custkey AS STRING)), 'member', 1 FROM {customer} WHERE c_custkey % 4 = 0""",
+    "cohort": """SELECT c_custkey AS sample_id, concat('s', CAST(c_custkey AS STRING)) AS sample, concat('d', CAST(c_custkey % 20 AS STRING)) AS donor, concat('p', CAST(c_custkey % 40 AS STRING)) AS public_name, c_custkey % 9 = 0 AS control, c_custkey % 13 = 0 AS qc_failed,
+        c_custkey % 4 = 0 AS qc_selected, c_nationkey % 3 AS study_id FROM {customer}""",
 }
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import report_time
+from ..operators.ordering import last_known, number_within
+from .paths import stored
+
 #: Column names of the formats.
 INDEX_COLUMNS = "fastq_file md5 run_id study_id study_name center_name submission_id submission_date sample_id sample_name population experiment_id instrument_platform instrument_model library_name run_name run_block_name insert_size library_layout paired_fastq withdrawn withdrawn_date comment read_count base_count analysis_group".split()
 BAS_COLUMNS = "bam_filename md5 study sample platform library readgroup total_bases mapped_bases total_reads mapped_reads mapped_reads_paired mapped_reads_properly_paired pct_mismatch avg_qual mean_insert insert_sd median_insert insert_mad duplicate_reads duplicate_bases".split()
@@ -16,21 +17,33 @@ TRANCHE_COLUMNS = "target_sensitivity num_known num_novel known_titv novel_titv
 FILE_TYPES = {0: "fq", 1: "fq", 2: "fq", 3: "fq", 4: "bam", 5: "bam", 6: "cram", 7: "gtc", 8: "gtc"}
 
 
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, and its place: the start of the split it was read in, and a number that grows within the split."""
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id")]
+    return spark.read.text(path).select(*at, F.col("value").alias("line"))
+
+
+def _numbered(placed: DataFrame) -> DataFrame:
+    """line_no (from 1) of placed lines within their file: the number within the split plus the counts of earlier splits."""
+    held = stored(placed, "lines")
+    split = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    counts = held.groupBy("file", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"), F.max("_id").alias("_last"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(split), F.lit(0)))
+    joined = held.join(counts, ["file", "_start"])
+    return joined.select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "line")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """HLP-1: file, line_no (from 1) and line of text files, read whole a file at a time by one task each, in order."""
+    """HLP-1: file, line_no (from 1) and line of text files. Files are read by splits, a task each, whatever their size.
+
+    Lines get the place that they have in their split, and are written with
+    it; a table of one row a split then gives each split the count of the lines before it."""
+    return _numbered(_placed(spark, path))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                lines = bytes(content).decode("utf-8", "replace").split("\n")
-                if lines and lines[-1] == "":
-                    lines.pop()
-                for a in range(0, len(lines), 50_000):
-                    part = [x.removesuffix("\r") for x in lines[a : a + 50_000]]
-                    yield pd.DataFrame({"file": name, "line_no": range(a + 1, a + 1 + len(part)), "line": part})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "file string, line_no long, line string")
+def header_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """file, line and place (a struct that orders a file's lines) of the lines that fit a pattern; no other line leaves the scan."""
+    return _placed(spark, path).filter(F.col("line").rlike(pattern)).select("file", "line", F.struct("_start", "_id").alias("place"))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -44,14 +57,16 @@ def read_list(spark: SparkSession, path: str, skip_comments: bool = True) -> Dat
 
 
 def read_fofn(spark: SparkSession, path: str, mode: str = "all", known_files: DataFrame | None = None) -> DataFrame:
-    """SRC-2: paths and withdrawn: an element a path, or with group_all one of all; a path not among the known files is withdrawn."""
+    """SRC-2: element, path and withdrawn: an element a path, or with group_all the one element `all` of every path, a row a path;
+    a path not among the known files is withdrawn, and with group_all the element is if any of its paths is."""
     items = read_list(spark, path).select(F.col("item").alias("path")).withColumn("withdrawn", F.lit(False))
     if known_files is not None:
         k = known_files.select(F.col("path").alias("_k")).distinct()
         items = items.join(k, F.col("path") == F.col("_k"), "left").withColumn("withdrawn", F.col("_k").isNull()).drop("_k")
     if mode == "group_all":
-        return items.agg(F.array_sort(F.collect_list("path")).alias("paths"), F.bool_or("withdrawn").alias("withdrawn"))
-    return items.select(F.array("path").alias("paths"), "withdrawn")
+        any_one = items.agg(F.bool_or("withdrawn").alias("withdrawn"))  # one row
+        return items.select(F.lit("all").alias("element"), "path").crossJoin(F.broadcast(any_one))
+    return items.select(F.col("path").alias("element"), "path", "withdrawn")
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str, columns: list[int] | None = None) -> DataFrame:
@@ -87,11 +102,12 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sam_header(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-7: kind (SQ, RG, PG, HD), id (SN else ID) and tags of header lines; the last of a repeated id wins."""
-    rows = numbered_lines(spark, path).filter(F.col("line").rlike("^@[A-Z]{2}\t"))
-    tags = F.map_from_entries(F.transform(F.slice(F.split("line", "\t"), 2, 1000), lambda x: F.struct(F.substring(x, 1, 2), F.substring(x, 4, 1_000_000))))
-    r = rows.select(F.substring("line", 2, 2).alias("kind"), tags.alias("tags"), "line_no").withColumn("id", F.coalesce(F.try_element_at("tags", F.lit("SN")), F.try_element_at("tags", F.lit("ID"))))
-    return r.groupBy("kind", "id").agg(F.max_by("tags", "line_no").alias("tags"), F.min("line_no").alias("idx"))
+    """SRC-7: kind (SQ, RG, PG, HD), id (SN else ID) and tags of header lines; the last of a repeated id wins. idx numbers a file's
+    header lines, by the first of an id. Only header lines leave the scan."""
+    rows = _numbered(_placed(spark, path).filter(F.col("line").rlike("^@[A-Z]{2}\t")))
+    tags = F.map_from_entries(F.transform(F.slice(F.split("line", "\t"), 2, F.size(F.split("line", "\t"))), lambda x: F.struct(F.substring(x, 1, 2), F.substr(x, F.lit(4)))))
+    r = rows.select("file", F.substring("line", 2, 2).alias("kind"), tags.alias("tags"), "line_no").withColumn("id", F.coalesce(F.try_element_at("tags", F.lit("SN")), F.try_element_at("tags", F.lit("ID"))))
+    return r.groupBy("file", "kind", "id").agg(F.max_by("tags", "line_no").alias("tags"), F.min("line_no").alias("idx"))
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
@@ -132,17 +148,40 @@ def read_bas(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(F.get("c", i).alias(n) for i, n in enumerate(BAS_COLUMNS)))
 
 
+#: Sections of a lane statistics text.
+SECTIONS = ("SN", "COV", "FFQ", "LFQ", "GCF", "GCL", "IC", "ID", "IS", "GCD", "MPC", "GCC", "RL")
+#: Scalars that a whole text has at least.
+LEAST_SCALARS = 22
+
+
 def lane_stat_rows(spark: SparkSession, path: str) -> DataFrame:
     """SRC-12: file, line_no, section and cells of a lane statistics text; comments and CHK go, an unknown section is an error."""
-    known = ["SN", "COV", "FFQ", "LFQ", "GCF", "GCL", "IC", "ID", "IS", "GCD", "MPC", "GCC", "RL"]
     r = numbered_lines(spark, path).filter(~F.col("line").rlike("^(#|CHK)") & (F.col("line") != "")).withColumn("c", F.split("line", "\t"))
-    section = F.when(F.col("c")[0].isin(known), F.col("c")[0]).otherwise(F.raise_error(F.concat(F.lit("unknown section "), F.col("c")[0])).cast("string"))
-    return r.select("file", "line_no", section.alias("section"), F.transform(F.slice("c", 2, 10_000), lambda x: F.when(x == "-nan", "0").otherwise(x)).alias("cells"))
+    section = F.when(F.col("c")[0].isin(*SECTIONS), F.col("c")[0]).otherwise(F.raise_error(F.concat(F.lit("unknown section "), F.col("c")[0])).cast("string"))
+    return r.select("file", "line_no", section.alias("section"), F.transform(F.slice("c", 2, F.size("c")), lambda x: F.when(x == "-nan", "0").otherwise(x)).alias("cells"))
 
 
-def read_lane_stats(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-12: file, key and value of the scalars."""
-    return lane_stat_rows(spark, path).filter("section = 'SN'").select("file", F.regexp_replace(F.col("cells")[0], ":$", "").alias("key"), F.col("cells")[1].alias("value"))
+def _scalar_name(key: Column) -> Column:
+    """A scalar's key as a name: runs of blanks and hyphens are '_', '1st_fragments' and 'bases_mapped_(cigar)' are spelt out."""
+    plain = F.regexp_replace(F.lower(key), r"[\s-]+", "_")
+    return F.when(plain == "1st_fragments", "first_fragments").when(plain == "bases_mapped_(cigar)", "bases_mapped_cigar").otherwise(plain)
+
+
+def read_lane_stats(spark: SparkSession, path: str, least: int = LEAST_SCALARS) -> DataFrame:
+    """SRC-12: file, key, name and value of the scalars; a file with fewer than `least` of them is an error."""
+    rows = lane_stat_rows(spark, path)
+    sn = rows.filter("section = 'SN'").select("file", F.regexp_replace(F.col("cells")[0], ":$", "").alias("key"), F.col("cells")[1].alias("value"))
+    n = rows.groupBy(F.col("file").alias("_f")).agg(F.count_if(F.col("section") == "SN").alias("_n"))
+    checked = F.when(F.col("_n") >= least, F.col("key")).otherwise(F.raise_error(F.concat(F.lit("only "), F.col("_n").cast("string"), F.lit(" scalars in "), F.col("_f"))).cast("string"))
+    joined = n.join(sn, F.col("_f") == F.col("file"), "left").withColumn("key", checked).filter("key is not null")
+    return joined.select("file", "key", _scalar_name(F.col("key")).alias("name"), "value")
+
+
+def read_lane_sections(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-12: file, section, row_no (from 1, within the section) and vals, numbers, of all sections but SN and COV."""
+    r = lane_stat_rows(spark, path).filter(~F.col("section").isin("SN", "COV"))
+    r = r.select(F.concat_ws("\n", "file", "section").alias("_g"), "file", "section", "line_no", F.transform("cells", lambda x: x.try_cast("double")).alias("vals"))
+    return number_within(r, "_g", "line_no").select("file", "section", F.col("rn").alias("row_no"), "vals")
 
 
 def read_coverage(spark: SparkSession, path: str) -> DataFrame:
@@ -174,9 +213,14 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vcf_samples(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-15: file, column number (from 0) and sample of the last header line."""
-    head = numbered_lines(spark, path).filter(F.col("line").startswith("#CHROM")).groupBy("file").agg(F.max_by("line", "line_no").alias("line"))
-    return head.select("file", F.posexplode(F.slice(F.split("line", "\t"), 10, 1_000_000)).alias("column_no", "sample"))
+    """SRC-15: file, column number (from 0) and sample of the last header line; no other line leaves the scan."""
+    head = header_lines(spark, path, "^#CHROM\t").groupBy("file").agg(F.max_by("line", "place").alias("line"))
+    return head.select("file", F.posexplode(F.slice(F.split("line", "\t"), 10, F.size(F.split("line", "\t")))).alias("column_no", "sample"))
+
+
+def file_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """PRJ-5: file and md5 of each file's bytes. A checksum goes over a file from its first byte to its last, so a file is one task, and of 2 GB at most."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.md5("content").alias("md5"))
 
 
 def vcf_genotypes(variants: DataFrame) -> DataFrame:
@@ -198,29 +242,54 @@ def read_cnv_calls(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def read_gtcheck(spark: SparkSession, path: str, dialect: str = "CN") -> DataFrame:
     """SRC-17: CN rows (discordance, sites, avg_min_depth, sample pair), SM rows (discordance, avg_depth, sites, sample),
+    'five' columns (concordance, uncertainty, avg_depth, sites, sample) with # comments,
     or likelihood lines 'sample NAME likelihood X over N sites, …'."""
-    c = F.split("line", r"\s+")
+    c = F.filter(F.split("line", r"\s+"), lambda x: x != "")
     if dialect == "likelihood":
         p = r"sample (\S+) likelihood (\S+) over (\d+) sites"
         return _lines(spark, path).filter(F.col("line").rlike(p)).select(F.regexp_extract("line", p, 1).alias("sample"), F.regexp_extract("line", p, 2).cast("double").alias("score"), F.regexp_extract("line", p, 3).cast("long").alias("sites"))
-    rows = _lines(spark, path).filter(c[0] == dialect)
+    if dialect == "five":
+        rows = _lines(spark, path).filter(~F.col("line").startswith("#") & (F.size(c) == 5))
+        return rows.select(c[0].cast("double").alias("concordance"), c[1].cast("double").alias("uncertainty"), c[2].cast("double").alias("avg_depth"), c[3].cast("double").cast("long").alias("sites"), c[4].alias("sample"))
+    rows = _lines(spark, path).filter(F.get(c, 0) == dialect)
     if dialect == "CN":
         return rows.select(c[1].cast("double").alias("discordance"), c[2].cast("long").alias("sites"), c[3].cast("double").alias("avg_min_depth"), c[4].alias("sample_a"), c[5].alias("sample_b"))
     return rows.select(c[1].cast("double").alias("discordance"), c[2].cast("double").alias("avg_depth"), c[3].cast("long").alias("sites"), c[4].alias("sample"))
 
 
-def read_plex_csv(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-18: sample, assay and genotype of an array export whose lines (allele,assay,genotype,height,sample) come in pairs.
-
-    A pair names one assay or is an error; 'W<digits>-' before it goes; a single letter stands for both alleles; a height '.5' is 0.5."""
-    n = numbered_lines(spark, path).withColumn("pair", F.floor((F.col("line_no") - 1) / 2)).withColumn("c", F.split("line", ","))
-    g = n.groupBy("file", "pair").agg(F.min(F.col("c")[1]).alias("a"), F.max(F.col("c")[1]).alias("b"), F.count("*").alias("n"), F.max_by(F.col("c")[2], "line_no").alias("g"), F.sum(F.regexp_replace(F.col("c")[3], r"^\.", "0.").cast("double")).alias("height"), F.max(F.col("c")[4]).alias("sample"))
-    ok = F.when((F.col("n") == 2) & (F.col("a") == F.col("b")), F.col("a")).otherwise(F.raise_error(F.lit("lines don't pair")).cast("string"))
-    return g.select("sample", F.regexp_replace(ok, r"^W\d+-", "").alias("assay"), F.when(F.length("g") == 1, F.concat("g", "g")).otherwise(F.col("g")).alias("genotype"), "height")
+def read_plex_csv(spark: SparkSession, path: str, kind: str = "sequenom") -> DataFrame:
+    """SRC-18: file, assay, genotype, allele, allele_two, height and height_two of tab-separated array exports.
 
-
-def split_multisample_table(df: DataFrame, sample: str, folder: str) -> None:
-    """SRC-19: one pass over a multi-sample table, written partitioned by sample."""
+    sequenom: a header, then lines in pairs of one assay (allele, assay, three
+    more, genotype, height), an odd line or another assay being an error;
+    'W<digits>-' before the assay goes, and a single-letter genotype gives both
+    alleles. fluidigm: a line an assay, the second cell, with the call 'A:B' in
+    the tenth and heights in the next two; two equal alleles are one letter, a
+    call without two is empty. A height '.5' is 0.5."""
+    height = lambda c: F.regexp_replace(c, r"^\.", "0.").try_cast("double")
+    c = F.split("line", "\t")
+    if kind == "fluidigm":
+        call = F.split(F.get("c", 9), ":")
+        a, b = F.coalesce(F.get(call, 0), F.lit("")), F.coalesce(F.get(call, 1), F.lit(""))
+        whole = (a != "") & (b != "")
+        genotype = F.when(whole & (a == b), a).when(whole, F.concat(a, b)).otherwise("")
+        rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")).filter("line <> ''").withColumn("c", c)
+        return rows.select("file", F.get("c", 1).alias("assay"), genotype.alias("genotype"), a.alias("allele"), b.alias("allele_two"), height(F.get("c", 10)).alias("height"), height(F.get("c", 11)).alias("height_two"))
+    n = numbered_lines(spark, path).filter("line_no > 1").withColumn("pair", F.floor((F.col("line_no") - 2) / 2)).withColumn("c", c)
+    cells = F.struct(F.get("c", 0).alias("allele"), F.get("c", 1).alias("assay"), F.get("c", 5).alias("genotype"), F.get("c", 6).alias("height"))
+    g = n.groupBy("file", "pair").agg(F.min_by(cells, "line_no").alias("a"), F.max_by(cells, "line_no").alias("b"), F.count("*").alias("n"))
+    ok = F.when((F.col("n") == 2) & (F.col("a.assay") == F.col("b.assay")), F.col("a.assay")).otherwise(F.raise_error(F.concat(F.lit("lines don't pair: "), F.coalesce("a.assay", F.lit("")))).cast("string"))
+    single = F.length("a.genotype") == 1
+    allele = lambda p: F.when(single, F.col("a.genotype")).otherwise(F.col(f"{p}.allele"))
+    return g.select("file", F.regexp_replace(ok, r"^W\d+-", "").alias("assay"), F.col("a.genotype").alias("genotype"), allele("a").alias("allele"), allele("b").alias("allele_two"), height(F.col("a.height")).alias("height"), height(F.col("b.height")).alias("height_two"))
+
+
+def split_multisample_table(df: DataFrame, sample: str, folder: str, header: list[str] | None = None) -> None:
+    """SRC-19: one pass over a multi-sample table, written partitioned by sample, each file with the header row, or with another one
+    given in its stead (as many names as there are columns beside the sample)."""
+    if header is not None:
+        others = [c for c in df.columns if c != sample]
+        df = df.select(sample, *(F.col(c).alias(n) for c, n in zip(others, header, strict=True)))
     df.write.partitionBy(sample).option("header", True).csv(folder)
 
 
@@ -230,30 +299,67 @@ def read_qc_json(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path).select(j.alias("j")).select("j.sample", F.coalesce("j.pass", F.lit(0)).alias("pass"), F.coalesce("j.sample_name_match.matched_sample_name", F.lit("n/a")).alias("matched"))
 
 
-def read_contamination(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-21: VBID_* keys and values of a self-match table; NA goes and # becomes N_."""
-    df = spark.read.csv(path, sep="\t", header=True)
-    keys = [c for c in df.columns if c != "#SEQ_ID"]
-    long = df.select(F.col("`#SEQ_ID`").alias("seq_id"), F.explode(F.array(*(F.struct(F.lit("VBID_" + c.replace("#", "N_")).alias("key"), F.col(f"`{c}`").alias("val")) for c in keys))).alias("kv"))
+def read_contamination(spark: SparkSession, path: str, columns: int | None = 19, one_row: bool = True) -> DataFrame:
+    """SRC-21: seq_id, and VBID_* keys and values of self-match tables; RG and NA go and # becomes N_.
+
+    A table of other than `columns` columns is an error, and with one_row so is a file of other than one data row."""
+    df = spark.read.option("sep", "\t").option("header", True).csv(path)
+    if columns is not None and len(df.columns) != columns:
+        raise ValueError(f"{len(df.columns)} columns instead of {columns}")
+    if one_row:
+        placed = df.withColumn("_f", F.col("_metadata.file_path"))
+        n = placed.groupBy("_f").agg(F.count("*").alias("_n"))
+        first = F.when(F.col("_n") == 1, F.col("`#SEQ_ID`")).otherwise(F.raise_error(F.concat(F.lit("not one data row in "), F.col("_f"))).cast("string"))
+        df = placed.join(n, "_f").withColumn("#SEQ_ID", first).drop("_f", "_n")
+    keys = [c for c in df.columns if c not in ("#SEQ_ID", "RG")]
+    long = df.select(F.col("`#SEQ_ID`").alias("seq_id"), F.explode(F.array(*(F.struct(F.lit("VBID_" + c.replace("#", "N_", 1)).alias("key"), F.col(f"`{c}`").alias("val")) for c in keys))).alias("kv"))
     return long.select("seq_id", "kv.*").filter("val <> 'NA'")
 
 
-def read_job_reports(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-22: job, status, memory_mb, wall and cpu seconds and idle of report blocks that begin with 'Sender:'. Blocks without both markers go."""
-    b = spark.read.text(path, lineSep="Sender:").select(F.col("value").alias("b")).filter(F.col("b").contains("Job <") & F.col("b").contains("CPU time"))
-    get = lambda p: F.regexp_extract("b", p, 1)
-    unit = F.regexp_extract("b", r"Max Memory :\s+[\d.]+ ([KMG])", 1)
-    mem = get(r"Max Memory :\s+([\d.]+)").cast("double") * F.when(unit == "G", 1024).when(unit == "K", 1 / 1024).otherwise(1)
-    cpu, wall = get(r"CPU time\s*:\s+([\d.]+)").cast("double"), get(r"Run time\s*:\s+([\d.]+)").cast("double")
-    return b.select(get(r"Job <(\d+)").cast("long").alias("job"), F.when(F.col("b").contains("Successfully completed"), "OK").otherwise("exited").alias("status"), F.round(mem, 0).cast("long").alias("memory_mb"), wall.alias("wall_s"), cpu.alias("cpu_s"), F.round(F.greatest(cpu, F.lit(1.0)) / F.greatest(wall, F.lit(1.0)), 2).alias("idle"))
+def read_job_reports(spark: SparkSession, path: str, kind: str = "lsf") -> DataFrame:
+    """SRC-22: cmd, status, memory_mb, wall_s, cpu_s, idle, queue, job and array_idx of job reports in logs.
+
+    lsf: reports that begin with 'Sender: LSF System' and end with 'The output (if any) is above this job summary'; local: those between 'report
+    start' and 'report end' marks, without memory, CPU time and queue. Blocks
+    without both marks go. Status is OK, exited, killed, unknown, or the reason
+    of a termination; idle is CPU over wall time, each 1 at least, two places."""
+    get = lambda p, i=1: F.nullif(F.regexp_extract("b", "(?m)" + p, i), F.lit(""))
+    none = lambda t: F.lit(None).cast(t)
+    if kind == "local":
+        b = spark.read.text(path, lineSep=" report start ---").select(F.col("value").alias("b")).filter(F.col("b").rlike(r"(?m)^#--- \S+ report end ---") & F.col("b").contains("# Started at: "))
+        exit_line = get(r"^# Exit code: *(.*)$")
+        status = F.when(exit_line.contains("OK"), "OK").when(exit_line.rlike("dumped|exited with code"), "exited").when(exit_line.contains("killed"), "killed").when(exit_line.isNotNull(), "unknown")
+        time = lambda p: F.try_to_timestamp(get(p), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+        wall = F.unix_timestamp(time(r"^# Finished at:? (\S+)$")) - F.unix_timestamp(time(r"^# Started at: (\S+)$"))
+        return b.select(get(r"^# Cmd: (.+)$").alias("cmd"), status.alias("status"), none("double").alias("memory_mb"), wall.alias("wall_s"), none("double").alias("cpu_s"), none("double").alias("idle"), none("string").alias("queue"),
+            get(r"^# Job: (\d+)").cast("long").alias("job"), get(r"^# Job: \d+\[(\d+)\]").cast("long").alias("array_idx"))
+    b = spark.read.text(path, lineSep="Sender: LSF System").select(F.col("value").alias("b")).filter(F.col("b").contains("The output (if any) is above this job summary"))
+    unit = get(r"^\s+Max Memory\s*:\s*\S+\s+(\S+)")
+    mem = get(r"^\s+Max Memory\s*:\s*(\S+)\s").try_cast("double") * F.when(unit == "GB", 1024).when(unit == "KB", 1 / 1024).otherwise(1)
+    cpu = F.coalesce(get(r"^\s+CPU time\s*:\s*([0-9.]+)").try_cast("double"), F.lit(0.0))
+    time = lambda p: F.unix_timestamp(report_time(get(p)))
+    wall = time(r"^Results reported at (.+)$") - time(r"^Started at (.+)$")
+    # a log tells first what ended a job: later lines count before earlier ones, but a plain exit only where nothing else is known
+    status = F.when(get(r"^(Successfully completed)").isNotNull(), "OK").when(get(r"^(Cannot open your job file)").isNotNull(), "unknown").when(get(r"^(TERM_\S+ job killed by)").isNotNull(), "killed").when(get(r"^TERM_([^:]+):").isNotNull(), get(r"^TERM_([^:]+):")).when(get(r"^(Exited with exit code)").isNotNull(), "exited")
+    idle = F.round((F.greatest(cpu, F.lit(1.0)) / F.greatest(wall, F.lit(1))).cast("decimal(24,9)"), 2).cast("double")
+    return b.select(get(r"# LSBATCH: User input\n([\s\S]*?)\n-{60}").alias("cmd"), status.alias("status"), mem.alias("memory_mb"), wall.alias("wall_s"), cpu.alias("cpu_s"), idle.alias("idle"), get(r"^Job was executed.+in queue <([^>]+)>").alias("queue"),
+        get(r"^Subject: Job (\d+)").cast("long").alias("job"), get(r"^Subject: Job \d+\[(\d+)\]").cast("long").alias("array_idx"))
 
 
 def read_concat_log(spark: SparkSession, path: str, marker: str = "-----") -> DataFrame:
-    """SRC-23: blocks of a concatenated log, newest (last) first."""
+    """SRC-23: file, block_no, text and newest of the blocks of concatenated logs, the last block of a file being newest 1. A marker line ends
+    a block or begins one; a block without lines isn't there.
+
+    Blocks are numbered by running counts over range partitions, so a log may be of any size; a block is one text."""
     n = numbered_lines(spark, path)
-    block = F.sum((F.col("line") == marker).cast("int")).over(Window.partitionBy("file").orderBy("line_no"))
-    g = n.withColumn("block_no", block).filter(F.col("line") != marker).groupBy("file", "block_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return g.withColumn("newest", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("block_no"))))
+    marks = number_within(n.filter(F.col("line") == marker).select("file", "line_no"), "file", "line_no")
+    lines = n.filter(F.col("line") != marker).select("file", "line_no", "line", F.lit(None).cast("long").alias("block_no"))
+    both = lines.unionByName(marks.select("file", "line_no", F.lit(None).cast("string").alias("line"), F.col("rn").cast("long").alias("block_no")))
+    known = last_known(both, "block_no", "file", "line_no").filter("line is not null").withColumn("block_no", F.coalesce("block_no", F.lit(0)))
+    g = known.groupBy("file", "block_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    g = stored(g, "blocks")
+    place = number_within(g.select("file", "block_no").withColumn("_down", -F.col("block_no")), "file", "_down").select("file", "block_no", F.col("rn").alias("newest"))
+    return g.join(place, ["file", "block_no"])
 
 
 def read_tracking_tables(spark: SparkSession, folder: str | None = None, jdbc: dict[str, str] | None = None, tables: tuple[str, ...] = ("lane", "library", "sample", "study")) -> dict[str, DataFrame]:
@@ -281,14 +387,58 @@ def vcf_lines(variants: DataFrame) -> DataFrame:
     return variants.orderBy("chrom", "pos").select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", "alt", F.col("qual").cast("string"), F.lit("PASS"), F.lit(".")).alias("value"))
 
 
+def vcf_header(samples: list[str], source: str, date: str, info: dict[str, str] | None = None, formats: dict[str, str] | None = None) -> str:
+    """SNK-2: header lines: format version, date, source, INFO and FORMAT fields (name to 'Number,Type,Description'), and the column line."""
+    of = lambda kind, name, text: "##{}=<ID={},Number={},Type={},Description=\"{}\">".format(kind, name, *text.split(",", 2))
+    lines = ["##fileformat=VCFv4.0", f"##fileDate={date}", f"##source={source}", *(of("INFO", n, t) for n, t in (info or {}).items()), *(of("FORMAT", n, t) for n, t in (formats or {}).items())]
+    columns = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", *(["FORMAT", *samples] if samples else [])]
+    return "\n".join([*lines, "\t".join(columns)])
+
+
 def bed_lines(intervals: DataFrame) -> DataFrame:
     """SNK-2"""
     return intervals.orderBy("chrom", "start", "end").select(F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string")).alias("value"))
 
 
+def chunk_lines(chunks: DataFrame) -> DataFrame:
+    """SNK-2: chunk lines in order, without a header: chromosome, from, to and what else there is."""
+    rest = [c for c in chunks.columns if c not in ("chrom", "from", "to")]
+    return chunks.orderBy("chrom", "from").select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("chrom", "from", "to", *rest))).alias("value"))
+
+
 def table_lines(df: DataFrame, header: bool = True) -> DataFrame:
     """SNK-2: tab lines of a table (bas, chunks), a header first."""
     rows = df.select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)).alias("value"), F.lit(1).alias("o"))
     if header:
         rows = df.sparkSession.range(1).select(F.lit("\t".join(df.columns)).alias("value"), F.lit(0).alias("o")).unionByName(rows)
     return rows.orderBy("o", "value").select("value")
+
+
+def write_lines(lines: DataFrame, folder: str, header: str | None = None) -> None:
+    """SNK-2: one-column ordered lines as text files of a folder, a file a range partition; their names keep the order. A header is the
+    first lines of the first file, so that the files one after another are one text."""
+    if header is not None:
+        head = lines.sparkSession.range(1).select(F.lit(header).alias("value"), F.lit(0).cast("long").alias("_o"))
+        numbered = lines.withColumn("_o", F.monotonically_increasing_id() + 1)
+        lines = head.unionByName(numbered).orderBy("_o").select("value")
+    lines.write.text(folder)
+
+
+def write_vcf(variants: DataFrame, folder: str, samples: list[str] = (), source: str = "", date: str = "") -> None:
+    """SNK-2: variants in file order under a header."""
+    write_lines(vcf_lines(variants), folder, vcf_header(list(samples), source, date))
+
+
+def write_bas(stats: DataFrame, folder: str) -> None:
+    """SNK-2: statistics rows under their column names."""
+    write_lines(table_lines(stats), folder)
+
+
+def write_bed(intervals: DataFrame, folder: str) -> None:
+    """SNK-2"""
+    write_lines(bed_lines(intervals), folder)
+
+
+def write_chunks(chunks: DataFrame, folder: str) -> None:
+    """SNK-2"""
+    write_lines(chunk_lines(chunks), folder)

@@ -24,6 +24,16 @@ def source_changed(previous: DataFrame, current: DataFrame) -> DataFrame:
     return reconcile_elements(previous, current).filter("what not in ('kept', 'still withdrawn')")
 
 
+def poll_source(spark: SparkSession, folder: str, checkpoint: str, known: DataFrame, target: str) -> None:
+    """STR-1: takes what is new in a folder of lists and writes, a subfolder a batch of target, how its elements reconcile with the known
+    ones (paths, withdrawn). A batch that is run again writes the same subfolder."""
+
+    def reconcile(current: DataFrame, batch_id: int) -> None:
+        reconcile_elements(known, current).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    stream_source(spark, folder, checkpoint, reconcile).awaitTermination()
+
+
 def suppress_repeats(events: DataFrame, subject: str = "subject", message: str = "message", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """STR-2, batch: messages that differ from their subject's previous one (A, B, A emits three)."""
     w = Window.partitionBy(subject).orderBy(*order)
@@ -58,12 +68,15 @@ def log_search(events: DataFrame, like: list[str] | None = None, ids: list[int]
     return out.filter(F.col("ts") < F.lit(stop).cast("timestamp")) if stop else out
 
 
-def rolling_step_stats(facts: DataFrame, window: str = "1 hour", late: str | None = None) -> DataFrame:
-    """STR-4: count, total and maximum of time by window and step; with `late` a watermark bounds the state."""
+def rolling_step_stats(facts: DataFrame, window: str = "1 hour", late: str | None = None, slide: str | None = None, by: str = "step") -> DataFrame:
+    """STR-4: count, mean and population deviation (whole numbers), maximum and total of time in windows of event time, tumbling or
+    sliding, by step, by setup, or with by='overall' of all; with `late` a watermark bounds the state. Batch or stream."""
     facts = facts.withColumn("ts", F.col("ts").cast("timestamp"))
     f = facts.withWatermark("ts", late) if late else facts
-    g = f.groupBy(F.window("ts", window).alias("w"), "step").agg(F.count("*").alias("n"), F.sum("time_s").alias("total"), F.max("time_s").alias("most"))
-    return g.select(F.col("w.start").alias("window_start"), "step", "n", "total", "most")
+    w = (F.window("ts", window, slide) if slide else F.window("ts", window)).alias("w")
+    keys = [] if by == "overall" else [by]
+    g = f.groupBy(w, *keys).agg(F.count("*").alias("n"), F.round(F.avg("time_s"), 0).alias("mean"), F.round(F.stddev_pop("time_s"), 0).alias("sd"), F.max("time_s").alias("most"), F.sum("time_s").alias("total"))
+    return g.select(F.col("w.start").alias("window_start"), *keys, "n", "mean", "sd", "most", "total")
 
 
 def throttled_refresh(markers: DataFrame, interval: str = "24 hours") -> DataFrame:

@@ -8,7 +8,8 @@ from cohortframe.operators import aggregates as a
 from cohortframe.operators import filters as f
 from cohortframe.operators import graph as g
 from cohortframe.operators import intervals as i
-from cohortframe.operators import sets
+from cohortframe.operators import joins as j
+from cohortframe.operators import ordering, qc, sets
 from cohortframe.operators import windows as w
 from cohortframe.sources import text as t
 
@@ -86,6 +87,93 @@ def test_count_check(spark):
 
 
 def test_duplicates_keep_the_best_pair(spark):
-    rows = [("a", "L", "1", 10, 64, 50, 10), ("b", "L", "1", 10, 64, 70, 10), ("c", "L", "1", 11, 64, 70, 10)]
-    reads = spark.createDataFrame(rows, "qname string, lib string, rname string, pos long, flag int, sum_qual int, len int")
+    rows = [("a", "L", "1", 10, 64, 50, 10, "10M"), ("b", "L", "1", 10, 64, 70, 10, "10M"), ("c", "L", "1", 11, 64, 70, 10, "10M")]
+    reads = spark.createDataFrame(rows, "qname string, lib string, rname string, pos long, flag int, sum_qual int, len int, cigar string")
     assert {r.qname: r.flag & 1024 for r in w.mark_duplicates(reads).collect()} == {"a": 1024, "b": 0, "c": 0}
+
+
+def test_long_chains_resolve_and_cycles_do_not(spark):
+    chain = [(i, i + 1) for i in range(5000)] + [(5000, None), (6000, 6001), (6001, 6002), (6002, 6001), (7000, 7777)]
+    files = spark.createDataFrame(chain, "file_id long, moved_to long")
+    got = {r.file_id: r.current for r in g.resolve_files(files).collect()}
+    assert all(got[i] == 5000 for i in range(5001)) and got[6000] is got[6001] is got[6002] is None and got[7000] == 7777
+    back = {r.file_id: (r.original, r.moves) for r in g.original_files(files).collect()}
+    assert back[5000] == (0, 5000) and back[17] == (0, 17)
+
+
+def test_traversal_of_a_deep_chain(spark):
+    edges = spark.createDataFrame([(str(i), str(i + 1), "made") for i in range(40)], "src string, dst string, type string")
+    got = g.related(edges, spark.createDataFrame([("5",)], "id string"), "out", 1, 20).collect()
+    assert sorted(r.depth for r in got) == list(range(1, 21)) and {r.node for r in got} == {str(i) for i in range(6, 26)}
+    loop = spark.createDataFrame([("a", "b", "x"), ("b", "a", "x")], "src string, dst string, type string")
+    assert [(r.node, r.depth) for r in g.related(loop, spark.createDataFrame([("a",)], "id string"), "out").collect()] == [("b", 1)]
+
+
+def test_numbers_over_split_files(spark, tmp_path):
+    lines = [f"line {i}" + "x" * (i % 90) for i in range(20_000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.txt").write_text("one\r\ntwo")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        got = t.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.line for r in sorted((r for r in got if r.file.endswith("a.txt")), key=lambda r: r.line_no)] == lines
+    assert [(r.line_no, r.line) for r in sorted((r for r in got if r.file.endswith("b.txt")), key=lambda r: r.line_no)] == [(1, "one"), (2, "two")]
+
+
+def test_insert_peak_widens_by_rows(spark):
+    hist = spark.createDataFrame([("a", 0, 999), ("a", 100, 10), ("a", 150, 40), ("a", 200, 40), ("a", 400, 10)], "lane string, value long, n long")
+    r = qc.insert_peak(hist, 25, 80).first()
+    assert (r.peak, r.pct_in_window, r.rows_each_side, round(r.range_pct, 3)) == (150, 40.0, 1, 33.333)
+
+
+def test_orders_do_not_gather_a_group(spark):
+    rows = spark.range(0, 5000).selectExpr("'one' as g", "id", "case when id % 7 = 0 then id end as v")
+    numbered = ordering.number_within(rows, "g", "id").collect()
+    assert all(r.rn == r.id + 1 for r in numbered) and len(numbered) == 5000
+    assert all(r.v == r.id - r.id % 7 for r in ordering.last_known(rows, "v", "g", "id").collect())
+    assert all(r.total == r.id * (r.id + 1) // 2 for r in ordering.running_total(rows.withColumn("n", F.col("id")), "n", "id").collect())
+
+
+def test_alternative_alleles_are_joined_and_renumbered(spark):
+    calls = spark.createDataFrame([("1", 5, "A", "C", "x", "0/1"), ("1", 5, "A", "G,C", "y", "1|2"), ("1", 5, "AT", "A", "z", "1/1"), ("1", 5, "A", "T", "w", "./.")], "chrom string, pos long, ref string, alt string, sample string, gt string")
+    got = {(r.ref, r.alt): list(r.gts) for r in j.matrix_rows(j.merge_samples(calls), ["w", "x", "y", "z"]).collect()}
+    assert got == {("A", "C,G,T"): ["./.", "0/1", "2|1", "./."], ("AT", "A"): ["./.", "./.", "./.", "1/1"]}
+
+
+def test_history_carries_over_and_replaces(spark):
+    events = [("n", 1, "a", ["1"], False), ("n", 1, "b", ["x", "y"], False), ("n", 2, "a", ["1"], False), ("n", 3, "a", ["2"], False), ("n", 4, "a", ["2"], True), ("n", 5, "b", ["y", "x"], False)]
+    h = g.property_history(spark.createDataFrame(events, "node string, at long, key string, vals array<string>, replace boolean"))
+    got = sorted((r.key, tuple(r.vals), r.valid_from, r.valid_to) for r in h.collect())
+    assert got == [("a", ("1",), 1, 3), ("a", ("2",), 3, None), ("b", ("x", "y"), 1, 4), ("b", ("x", "y"), 5, None)]
+    assert sorted(r.valid_from for r in g.property_versions(h).collect()) == [1, 3, 4, 5]
+
+
+def test_files_of_other_forms_are_errors(spark, tmp_path):
+    (tmp_path / "few.stats").write_text("SN\treads mapped:\t5\n")
+    with pytest.raises(Exception, match="scalars"):
+        t.read_lane_stats(spark, f"{tmp_path}/few.stats").collect()
+    header = "\t".join(["#SEQ_ID", "RG", *(f"C{i}" for i in range(17))])
+    (tmp_path / "two.selfSM").write_text("\n".join([header, "\t".join(["s"] * 19), "\t".join(["t"] * 19)]) + "\n")
+    with pytest.raises(Exception, match="one data row"):
+        t.read_contamination(spark, f"{tmp_path}/two.selfSM").collect()
+    (tmp_path / "odd.tsv").write_text("head\n" + "\t".join(["A", "rs1", "", "", "", "AG", "1"]) + "\n")
+    with pytest.raises(Exception, match="pair"):
+        t.read_plex_csv(spark, f"{tmp_path}/odd.tsv").collect()
+
+
+def test_reads_with_clips_are_duplicates_by_their_unclipped_ends(spark):
+    rows = [("a", "L", "1", 110, 64, 50, 100, "10S90M"), ("b", "L", "1", 100, 64, 70, 100, "100M"), ("c", "L", "1", 100, 64 + 16, 70, 100, "90M10S"), ("d", "L", "1", 110, 64 + 16, 60, 90, "90M")]
+    reads = spark.createDataFrame(rows, "qname string, lib string, rname string, pos long, flag int, sum_qual int, len int, cigar string")
+    assert {r.qname: r.flag & 1024 for r in w.mark_duplicates(reads).collect()} == {"a": 1024, "b": 0, "c": 0, "d": 1024}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from cohortframe.sources.paths import new_dir
+
+    away = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        new_dir(away, "x")
