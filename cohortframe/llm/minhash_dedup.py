@@ -13,11 +13,14 @@ passage, or a large group of near copies) enters no list of a class that keeps
 enough rarer values, which are over two thirds of its sketch: at the threshold
 a quarter of a text's values can be its own, so a class that links by common
 values alone gets there with a chance of about 1e-17. All other classes enter
-the common lists by their 16 smallest values. There, for some rounds, one leader of a list is compared with all its
-members, as long as the list reaches over more than one component; what is
-then still open is compared on full sets in blocks of bounded size, of which
-only links that join components come back. So no list is expanded into all its
-pairs, and none is cut short.
+the common lists by their 16 smallest values. A common list is divided by size
+of set: linked sets differ in size by a third at most, so a class enters the
+part of its own size and the next, and two that can link meet in one. There,
+for some rounds, each over a share of the values, one leader of a part is
+compared with all its members, as long as the part reaches over more than one
+component; what is then still open in any list is compared on full sets in
+blocks of bounded size, of which only links that join components come back. So no list is expanded into all its pairs, and none
+is cut short.
 
 Cases: null text, empty text and text without words have the empty set and
 link with nothing; with fewer than five words the whole sequence is the one
@@ -35,10 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, stored
+from .common import as_bytes, free_name, slices, stored
 from .components import components
 
-WORDS, KEEP, COMMON, RARE_LISTS, COMMON_LISTS, BLOCK = 5, 96, 32, 40, 16, 512
+WORDS, KEEP, COMMON, RARE_LISTS, COMMON_LISTS = 5, 96, 32, 40, 16
+#: Members and values of sets of a block, about, at most.
+MEMBERS, VALUES = 2048, 1 << 19
 #: Classes whose tables are one task's work.
 ROWS_A_TASK = 20_000
 #: Rows up to which a table of keys is broadcast; beyond it the join is shuffled.
@@ -77,6 +82,21 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key binary, n long, sketch array<long>")
 
 
+def with_set_key(docs: DataFrame) -> DataFrame:
+    """docs with two more columns, last: the key of each text's set (as in sketches) and the set's size."""
+    names = free_name(docs, "set_key"), free_name(docs, "set_size")
+    plain = docs.withColumn("text", F.col("text").cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = [shingle_set(x) for x in as_bytes(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([_key(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64())], [*part.schema.names, *names])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
+    return plain.mapInArrow(run, f"{schema}, `{names[0]}` binary, `{names[1]}` long")
+
+
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
 
@@ -207,29 +227,55 @@ def rare_pairs(classes: DataFrame, sent: object, percent: int) -> DataFrame:
     return first.select(F.col("x.key").alias("a"), F.explode(fits).alias("y")).select("a", F.col("y.key").alias("b")).groupBy("a", "b").agg(F.count("*").alias("overlaps"))
 
 
-def _labelled(entries: DataFrame, links: DataFrame) -> DataFrame:
+def by_size(entries: DataFrame, percent: int) -> DataFrame:
+    """entries, each in the part of its list for its own size of set (upper false) and in the next one (upper true), so that
+    any two sizes of which the smaller is at least percent of the larger meet in a part."""
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
+    parts = F.explode(F.array(F.struct(band.alias("band"), F.lit(False).alias("upper")), F.struct((band + 1).alias("band"), F.lit(True).alias("upper"))))
+    return entries.select("*", parts.alias("p")).select("value", "p.band", "p.upper", "key", "n")
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (key, comp) of linked classes so far, after further links: only the components that these join are worked out anew."""
+    of = labels.select("key", "comp")
+    named = links.join(_small(of.toDF("u", "cu")), "u", "left").join(_small(of.toDF("v", "cv")), "v", "left")
+    found = stored(components(named.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))), "joined").toDF("comp", "joined")
+    known = of.unionByName(found.select(F.col("comp").alias("key"), "comp").join(of, "key", "left_anti"))
+    return stored(known.join(_small(found), "comp", "left").select("key", F.coalesce("joined", "comp").alias("comp")), "labels")
+
+
+def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """entries with comp, the component of their class so far."""
-    found = stored(components(links), "labels")
-    return entries.join(_small(found.select(F.col("node").alias("key"), "component")), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
+    return entries.join(_small(labels), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
 
 
 def leader_pairs(entries: DataFrame, round_no: int, percent: int, tasks: int) -> DataFrame:
     """In each list that reaches over several components, one member and all others that are in another component."""
     order = F.xxhash64("key", F.lit(round_no))
-    open_lists = entries.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("key", "n", "comp"), order).alias("leader")).filter("lo <> hi")
-    met = entries.join(stored(open_lists.select("value", "leader").coalesce(tasks), "open-lists"), "value").filter((F.col("comp") != F.col("leader.comp")) & _fits("n", "leader.n", percent))
+    open_lists = entries.groupBy("value", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("key", "n", "comp"), order).alias("leader"), F.bool_and("upper").alias("above")).filter("lo <> hi and not above")
+    met = entries.join(stored(open_lists.select("value", "band", "leader").coalesce(tasks), "open-lists"), ["value", "band"]).filter((F.col("comp") != F.col("leader.comp")) & _fits("n", "leader.n", percent))
     return met.select(F.least("key", "leader.key").alias("a"), F.greatest("key", "leader.key").alias("b")).coalesce(tasks).distinct().coalesce(tasks)
 
 
 def block_links(entries: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
     """Links (u, v) between different components within lists that still reach over several, enough to join what is linked.
 
-    A list is dealt into blocks of some BLOCK members, and each two blocks of
-    it meet in a group of their own, where full sets are compared."""
-    lists = entries.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo <> hi")
-    lists = stored(lists.select("value", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")).coalesce(tasks), "open-lists")
-    dealt = entries.join(lists, "value").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "comp")
+    A part of a list is dealt into blocks of bounded members and values, and each two
+    blocks of it meet in a group of their own, where full sets are compared.
+    Classes of one component only meet those of others, so where a component
+    holds most of a part its blocks meet the rest of the part alone."""
+    sizes = entries.groupBy("value", "band", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("v"), F.bool_and("upper").alias("above"))
+    lists = sizes.groupBy("value", "band").agg(F.count("*").alias("comps"), F.sum("m").alias("m"), F.sum("v").alias("v"), F.bool_and("above").alias("above"), F.max(F.struct("m", "v", "comp")).alias("most")).filter("comps > 1 and not above")
+    blocks = lambda m, v: F.greatest(F.ceil(m / MEMBERS), F.ceil(v / VALUES)).cast("int")
+    rest = blocks(F.col("m") - F.col("most.m"), F.col("v") - F.col("most.v"))
+    lists = stored(lists.select("value", "band", F.col("most.comp").alias("largest"), blocks(F.col("most.m"), F.col("most.v")).alias("in_largest"), rest.alias("in_rest")).coalesce(tasks), "open-lists")
+    dealt = entries.join(lists, ["value", "band"])
+    at = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+    inside = F.col("comp") == F.col("largest")
+    # blocks of the rest come first, those of the largest component after them
+    dealt = dealt.withColumn("own", F.when(inside, F.col("in_rest") + at(F.col("in_largest"))).otherwise(at(F.col("in_rest"))))
+    others = F.when(inside, F.sequence(F.lit(0), F.col("in_rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("in_rest") + F.col("in_largest") - 1))
+    met = dealt.withColumn("other", F.explode(others)).select("value", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "upper", "key", "n", "comp")
     met = met.join(sets, "key")
 
     def run(group: pa.Table) -> pa.Table:
@@ -249,42 +295,49 @@ def block_links(entries: DataFrame, sets: DataFrame, percent: int, tasks: int) -
         row = np.repeat(np.arange(len(n)), np.diff(ends))[often[place]]
         place = number[place[often[place]]]
         shared = np.zeros((len(left), len(right)), np.float32)
-        for a in range(0, int(often.sum()), 8192):
-            part = (place >= a) & (place < a + 8192)
-            seen = np.zeros((len(n), 8192), np.float32)
+        for a in range(0, int(often.sum()), 4096):
+            part = (place >= a) & (place < a + 4096)
+            seen = np.zeros((len(n), 4096), np.float32)
             seen[row[part], place[part] - a] = 1
             shared += seen[left] @ seen[right].T
         both = n[left][:, None] + n[right][None, :]
-        x, y = np.nonzero((100 * shared >= percent * (both - shared)) & (comp[left][:, None] != comp[right][None, :]))
+        upper = group.column("upper").to_numpy(zero_copy_only=False)
+        fit = (comp[left][:, None] != comp[right][None, :]) & ~(upper[left][:, None] & upper[right][None, :])  # two of the size below meet in their own part
+        x, y = np.nonzero(fit & (100 * shared >= percent * (both - shared)))
         # one link for each two components that are linked here
         pairs = np.sort(np.stack([comp[left[x]], comp[right[y]]], axis=1), axis=1)
         _, some = np.unique(pairs, axis=0, return_index=True)
         keys = group.column("key").to_pylist()
         return pa.table({"u": pa.array([keys[left[x[k]]] for k in some], pa.binary()), "v": pa.array([keys[right[y[k]]] for k in some], pa.binary())})
 
-    return met.groupBy("value", "i", "j").applyInArrow(run, "u binary, v binary")
+    return met.groupBy("value", "band", "i", "j").applyInArrow(run, "u binary, v binary")
 
 
 def linked_classes(classes: DataFrame, docs: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
-    """Verified links (u, v) between classes, enough of them to span every component."""
+    """key and comp of every class that links with another: comp is the smallest key reachable by links."""
     tasks = max(6, classes.count() // ROWS_A_TASK)
     counts = classes.select(F.explode("sketch").alias("value")).groupBy("value").count().filter(F.col("count") > COMMON).select("value")
     marked, sent = _with_common(classes, stored(counts.coalesce(tasks), "common"))
     links = verified(stored(rare_pairs(marked, sent, percent).coalesce(tasks), "pairs"), classes, docs, percent)
+    labels = stored(components(links), "labels").toDF("key", "comp")
     entries = stored(list_entries(marked, sent, rare=False).coalesce(tasks), "common-lists")
-    if not entries.limit(1).count():
-        return links
+    if entries.isEmpty():
+        return labels
     sets = full_sets(entries.select("key").distinct().coalesce(tasks), classes, docs)
+    entries = stored(by_size(entries, percent).coalesce(tasks), "parts")
     for r in range(rounds):
-        labelled = stored(_labelled(entries, links).coalesce(tasks), "labelled")
+        share = entries.filter(F.pmod(F.xxhash64("value"), F.lit(rounds)) == r)  # every list has its round
+        labelled = stored(_labelled(share, labels).coalesce(tasks), "labelled")
         found = stored(linked(leader_pairs(labelled, r, percent, tasks), sets, percent).coalesce(tasks), "verified")
-        links = links.unionByName(found)
-    labelled = stored(_labelled(entries, links).coalesce(tasks), "labelled")
-    return links.unionByName(stored(block_links(labelled, sets, percent, tasks), "verified"))
+        if not found.isEmpty():
+            labels = relabelled(labels, found)
+    labelled = stored(_labelled(entries, labels).coalesce(tasks), "labelled")
+    found = stored(block_links(labelled, sets, percent, tasks), "verified")
+    return labels if found.isEmpty() else relabelled(labels, found)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+def near_duplicates(docs: DataFrame, percent: int = 75, keyed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document, and with `keyed` the keys of its set and of its component."""
     base = stored(sketches(docs), "sketches")
     full = base.filter("n > 0 and doc_id is not null")
     tasks = max(6, base.count() // ROWS_A_TASK)
@@ -293,16 +346,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = full.select("key", "doc_id", "n", "sketch").join(first, ["key", "doc_id"])
     repeated = first.agg(F.count("*")).first()[0] != classes.count()
     classes = stored((classes.dropDuplicates(["key"]) if repeated else classes).coalesce(tasks), "class-sketches")
-    links = linked_classes(classes, docs, percent)
-    found = stored(components(links), "components").select(F.col("node").alias("key"), F.col("component"))
+    found = linked_classes(classes, docs, percent).select("key", F.col("comp").alias("component"))
     met = stored(first.join(found, "key").coalesce(tasks), "linked")
     least = stored(met.groupBy("component").agg(F.min("doc_id").alias("component_id")).coalesce(tasks), "least")
     in_links = met.join(_small(least), "component")
-    alone = first.filter("copies > 1").join(found, "key", "left_anti").select("key", F.col("doc_id").alias("component_id"))
-    target = stored(in_links.select("key", "component_id").unionByName(alone).coalesce(tasks), "component-ids")
+    alone = first.filter("copies > 1").join(found, "key", "left_anti").select("key", F.col("doc_id").alias("component_id"), F.col("key").alias("component"))
+    target = stored(in_links.select("key", "component_id", "component").unionByName(alone).coalesce(tasks), "component-ids")
     joined = base.select("doc_id", "n", "key").join(_small(target), "key", "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "key", F.coalesce("component", "key").alias("component")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out if keyed else out.drop("key", "component")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
