@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortframe.llm import embedding_dedup, language_id, minhash_dedup, mtree_search, packing, piece_merges, token_files, toxicity, url_filter, warc, word_tokens
+from cohortframe.llm import embedding_dedup, language_id, minhash_dedup, mtree_search, packing, piece_merges, samples, token_files, toxicity, url_filter, warc, word_tokens
 from cohortframe.llm import queries as registered
 from cohortframe.llm.common import new_dir
 from cohortframe.llm.components import components
@@ -134,7 +134,7 @@ def test_pieces_equal_the_library(spark, odd):
     want = sorted((r.doc_id, len(i), sha(",".join(map(str, i)).encode()), sha(t.encode())) for r, (i, t) in zip(rows, library_pieces([r.text for r in rows]), strict=True))
     assert sorted(tuple(r) for r in piece_merges.piece_digests(odd).collect()) == want
     back = piece_merges.decode_pieces(piece_merges.encode_pieces(odd)).collect()
-    assert sorted((r.doc_id, r.text) for r in back) == sorted((r.doc_id, r.text or "") for r in rows if True) or len(back) == len(rows)
+    assert sorted((r.doc_id, r.text) for r in back) == sorted((r.doc_id, t) for r, (_, t) in zip(rows, library_pieces([r.text for r in rows]), strict=True))
 
 
 def test_warc_round_trip(spark):
@@ -300,11 +300,13 @@ def test_language(spark, odd):
 
 
 def test_toxicity(spark, odd):
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"
     marks = spark.read.parquet(f"{folder}/labels.parquet")
     rows = toxicity.op3_toxicity(spark, folder).join(marks, "doc_id").filter("held_out").collect()
-    right = np.mean([r.predicted == r.toxic for r in rows])
-    assert right > 0.9 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    toxic, clean = [r.score for r in rows if r.toxic], [r.score for r in rows if r.toxic == 0]
+    assert np.mean([x >= 0.5 for x in toxic]) > 0.7 and np.mean([x < 0.5 for x in clean]) > 0.95
+    assert np.mean([(x > y) + (x == y) / 2 for x in toxic for y in clean]) > 0.9  # area under the curve
     model = toxicity.train_toxicity_model(spark.read.parquet(f"{folder}/documents.parquet"), marks)
     got = toxicity.score_toxicity(odd, model).collect()
     assert len(got) == odd.count() and len({r.toxicity for r in got if not (r.text or "").strip()}) == 1
@@ -357,3 +359,139 @@ def test_pipeline(spark):
     assert {r.doc_id for r in one.collect()} == {i for i, (_, c) in groups.items() if i == c}
     check_packed(p.packing(spark, one, FOLDER).collect(), [(r.doc_id, r.text) for r in one.collect()], 2048)
     assert p.run(spark, FOLDER).count() > 0
+
+
+def test_unseen_misspellings_are_caught():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuv") for _ in range(rng.randint(3, 9)))
+    bad = ["grobnikal", "shlorpitude", "vexmorgan"]
+    plain = [word() for _ in range(400)]
+    made = lambda insult: " ".join([*rng.choices(plain, k=12), *([insult] if insult else []), *rng.choices(plain, k=12)])
+    labels = [i % 2 for i in range(600)]
+    model = toxicity.SubwordModel([made(rng.choice(bad) if y else None) for y in labels], labels, clean_share=0.5)
+    for wrong in ("gr0bnikal", "shlorpitud3", "vexmorgann", "vexm0rgan"):
+        assert np.mean(model.score([made(wrong) for _ in range(50)])) > 0.1 + np.mean(model.score([made(None) for _ in range(50)]))
+    assert toxicity.words_of("Sh1t 12 a_b 3d") == ["sh1t", "a", "b", "3d"]
+
+
+def test_language_of_a_very_long_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train_language_model(docs, each=100)
+    for lang in ("en", "de"):
+        long = " ".join(r.text for r in docs.filter(F.col("lang") == lang).orderBy("doc_id").limit(200).collect() if r.text)
+        words = (long.split() * (20_000 // len(long.split()) + 1))[:20_000]
+        assert model.predict([" ".join(words)])[0][0] == lang
+
+
+def test_samples_are_the_same_whatever_the_partitions(spark):
+    rows = spark.range(3000).selectExpr("id % 40 as doc_id", "concat('t', id) as text", "concat('c', id % 300) as lang")
+    picked = [sorted(map(tuple, samples.per_class(rows.repartition(n), "lang", "doc_id", 4).collect())) for n in (1, 7)]
+    assert picked[0] == picked[1] and len({r[2] for r in picked[0]}) > 150
+    with pytest.raises(ValueError):
+        samples.per_class(rows, "lang", "doc_id", 4, most_classes=10)
+
+
+def test_word_cache_stays_within_its_bytes(monkeypatch):
+    monkeypatch.setattr(word_tokens, "CACHE_BYTES", 60_000)
+    coder = word_tokens.WordEncoder(word_tokens.default_tokenizer())
+    rng = random.Random(2)
+    xs = [" ".join("".join(rng.choice("abcdeÉß0!.,") for _ in range(rng.choice((3, 8, 400)))) for _ in range(40)) for _ in range(60)]
+    for x in xs + xs:
+        assert np.frombuffer(coder.encode([x.encode()])[0], "<u4").tolist() == encode(x)[:-1]
+        assert coder.held < 60_000 + 40_000  # and what one text adds
+    assert coder.encode([b"Plain words, plain; PLAIN!"]) == [np.array(encode("Plain words, plain; PLAIN!")[:-1], "<u4").tobytes()]
+
+
+CLASH = ("features", "prediction", "probability", "length", "suffix", "fit", "score", "lang_pred", "toxicity", "key", "component", "n_shingles", "kept", "set_key", "block", "pivot", "rank", "sha", "first_id", "part")
+
+
+def clashing(df):
+    return df.withColumns({c: F.lit(-7) for c in CLASH if c not in df.columns})
+
+
+def test_clashing_columns_stay(spark):
+    urls = clashing(spark.read.parquet(f"{FOLDER}/pages.parquet").select("page_id", "url"))
+    ruled = url_filter.rule_for(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")))
+    model = url_filter.train_url_model(urls.select("url", F.when(ruled["verdict"] == "block", 1.0).when(ruled["verdict"] == "allow", 0.0).alias("label")))
+    got = url_filter.judge(urls, model).collect()
+    assert len(got) == urls.count() and all(r[c] == -7 for r in got for c in CLASH if c != "score")
+    long = spark.createDataFrame([(1, "http://a.net/" + "x7" * 50_000), (2, "http://b.org/y"), (2, "http://b.org/y")], "page_id long, url string")
+    assert len(url_filter.judge(long, model).collect()) == 3
+    docs = clashing(spark.createDataFrame([(1, "one two three four five six seven"), (None, None), (2, "")], "doc_id long, text string"))
+    assert len(minhash_dedup.near_duplicates(docs).collect()) == len(packing.pack(docs).collect()) == len(piece_merges.piece_digests(docs).collect()) == 3
+    folder = new_dir(spark, "clash")
+    assert token_files.read_token_files(spark, folder, token_files.write_token_files(docs, folder)).count() == 3
+    pages = clashing(spark.createDataFrame([(1, "u", "x"), (2, "v", "x")], SCHEMA["pages"]))
+    assert warc.read_warc(warc.write_warc(pages, new_dir(spark, "warc"))).count() == 2
+    vecs = clashing(spark.createDataFrame([(50, [1.0, 2.0], 1), (2, [1.0, 2.1], 1)], SCHEMA["embeddings"]))
+    assert len(embedding_dedup.near_vectors(vecs).collect()) == 2 and len(mtree_search.top_k(mtree_search.quantised(vecs), F.col("vec_id") % 50 == 0).collect()) == 1
+
+
+def test_url_trees_learn_labels_that_no_rule_gives(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    rows = [(f"http://{word(5)}.{rng.choice(['com', 'org'])}/{'/'.join(word(4) for _ in range(rng.randint(1, 3)))}", 0.0) for _ in range(600)]
+    rows += [(f"http://{word(9)}-{rng.randint(100, 999)}.{rng.choice(['com', 'xyz'])}/{rng.randint(10**6, 10**9)}?a={word(3)}&b={rng.randint(0, 99)}", 1.0) for _ in range(600)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "url string, label double")
+    model = url_filter.train_url_model(spark.createDataFrame(rows[:800], "url string, label double"))
+    got = {r.url: r.verdict for r in url_filter.judge(df, model, rules=()).collect()}
+    assert np.mean([got[u] == ("block" if y else "allow") for u, y in rows[800:]]) > 0.95
+
+
+def test_vectors_of_many_lengths_and_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=i % 130 + 2).tolist(), 1) for i in range(260)]
+    rows += [(1000 + i, [x * 2 for x in v], 1) for i, v, _ in rows[:130]]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, SCHEMA["embeddings"])).collect()}
+    assert all(got[1000 + i][1] == got[i][1] <= i for i in range(5, 130))
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    near = lambda v, d: [x + d * (k == 3) for k, x in enumerate(v)]
+    rows = [(1, a, 1), (1, b, 1), (2, near(a, 0.1), 1), (3, near(b, 0.1), 1), (4, near(b, 0.2), 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, SCHEMA["embeddings"])).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)]
+
+
+def test_search_with_repeated_and_null_ids_and_large_sums(spark):
+    rows = [(50, [1.0, 2.0], 1), (50, [9.0, 9.0], 1), (None, [9.0, 9.0], 1), (7, [3.0, 3.0], 1), (7, [3.0, 3.0], 1), (8, [1.0, 0.0], 1)]
+    got = mtree_search.top_k(mtree_search.quantised(spark.createDataFrame(rows, SCHEMA["embeddings"])), F.col("vec_id") % 50 == 0, k=3).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(50, 7, 65536 * 9), (50, 7, 65536 * 9), (50, 8, 65536)]
+    big = 3_037_000_499
+    large = spark.createDataFrame([(0, [big, 1]), (1, [big, 1]), (2, [big, 0]), (3, [big - 1, 5])], "vec_id long, v array<long>")
+    got = mtree_search.top_k(large, F.col("vec_id") == 0, k=3).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, big * big + 1), (2, big * big), (3, big * (big - 1) + 5)]
+
+
+def test_warc_records_are_apart_and_name_their_response(spark):
+    import gzip
+
+    pages = spark.createDataFrame([(1, "http://first", "same"), (1, "http://first", "same"), (2, "http://second", "same")], SCHEMA["pages"])
+    files = warc.write_warc(pages, new_dir(spark, "warc"))
+    raw = b"".join(gzip.open(f.path.removeprefix("file:")).read() for f in files.collect()).decode()
+    ids = re.findall(r"WARC-Record-ID: (\S+)", raw)
+    assert len(set(ids)) == 3 and raw.count("WARC-Type: response") == 2
+    assert "WARC-Profile: " + warc.REVISIT in raw and "WARC-Refers-To-Target-URI: http://first" in raw and "WARC-Refers-To-Date: " in raw
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, base), (5, base + " more"), (5, "other words that are not alike at all here"), (3, base), (None, base), (9, None), (9, "")]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 56, 0, True), (3, 56, 3, True), (5, 5, 5, True), (5, 56, 3, False), (5, 57, 3, False), (9, 0, 9, True), (9, 0, 9, True)]
+
+
+def test_stages_keep_columns_and_take_odd_tables(spark):
+    import corpus_pipeline as p
+
+    docs = clashing(spark.read.parquet(f"{FOLDER}/documents.parquet"))
+    base = " ".join(f"w{i}" for i in range(60))
+    odd_rows = spark.createDataFrame([(10**6, base, "en", "s", 0), (10**6, base, "en", "s", 0), (10**6, base + " more", "en", "s", 1), (10**6, "quite another text about other things here", "en", "s", 0), (10**6 + 1, base, "en", "s", 0), (None, base, "en", "s", 0), (10**6 + 2, None, "en", "s", 0), (10**6 + 2, "", "en", "s", 0)], DOCS)
+    table = docs.unionByName(clashing(odd_rows))
+    for name, stage in p.STAGES[:-1]:
+        got = stage(spark, table, FOLDER)
+        assert got.columns == table.columns, name
+        assert all(r[c] == -7 for r in got.select(*CLASH).distinct().collect() for c in CLASH), name
+        assert stage(spark, table.limit(0), FOLDER).count() == 0, name
+    kept = sorted((r.doc_id or 0, (r.text or "")[:5], r.n_chars) for r in p.near_duplicate_groups(spark, clashing(odd_rows), FOLDER).collect())
+    assert kept == [(0, "w0 w1", 0), (10**6, "quite", 0), (10**6, "w0 w1", 0), (10**6 + 2, "", 0), (10**6 + 2, "", 0)]
+    assert p.packing(spark, table.limit(0), FOLDER).count() == 0 and p.packing(spark, clashing(odd_rows), FOLDER).count() == 8
