@@ -94,6 +94,14 @@ def reciprocal_overlap(a: DataFrame, b: DataFrame, share: float = 0.5, keep: str
     return a.join(met.select("cnv_id").distinct(), "cnv_id", f"left_{keep}")
 
 
+def cnv_control_counts(calls: DataFrame, controls: DataFrame, share: float = 0.5) -> DataFrame:
+    """AGG-18: total calls of each donor and those that its control lacks; shared and lacking ones are all of them, or it is an error."""
+    count = lambda keep, n: reciprocal_overlap(calls, controls, share, keep).groupBy("donor").agg(F.count("*").alias(n))
+    j = calls.groupBy("donor").agg(F.count("*").alias("total")).join(count("semi", "_shared"), "donor", "left").join(count("anti", "not_in_control"), "donor", "left").fillna(0, ["_shared", "not_in_control"])
+    whole = F.when(F.col("_shared") + F.col("not_in_control") == F.col("total"), F.col("total")).otherwise(F.raise_error(F.concat(F.lit("calls are missing of "), "donor")).cast("long"))
+    return j.select("donor", whole.alias("total"), "not_in_control")
+
+
 def expand_by_chunks(elements: DataFrame, chunks: DataFrame) -> DataFrame:
     """JON-4: elements (element, chrom or null) with every chunk, or with those of their own chromosome; a leading 'chrom' or 'chr' doesn't count."""
     bare = lambda c: F.regexp_replace(c, "^chr(om)?", "")

@@ -71,8 +71,8 @@ def fill_read_group(reads: DataFrame, file: str = "file") -> DataFrame:
 def number_pairs(pairs: DataFrame) -> DataFrame:
     """WIN-8: occurrence number of each unordered pair; a leading 'digits:' is not part of a name."""
     a, b = F.regexp_replace("sample_a", r"^\d+:", ""), F.regexp_replace("sample_b", r"^\d+:", "")
-    w = Window.partitionBy(F.least(a, b), F.greatest(a, b)).orderBy("row_no")
-    return pairs.withColumn("occurrence", F.row_number().over(w))
+    keyed = pairs.withColumn("_pair", F.concat_ws("\u0001", F.least(a, b), F.greatest(a, b)))
+    return number_within(keyed, "_pair", "row_no").withColumnRenamed("rn", "occurrence").drop("_pair")
 
 
 def sample_offsets(fastqs: DataFrame) -> DataFrame:

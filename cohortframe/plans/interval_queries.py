@@ -26,7 +26,7 @@ OVERLAP = """EXISTS (SELECT 1 FROM cnvs b WHERE b.is_control AND b.donor = a.don
 for keep, sql in (("semi", OVERLAP), ("anti", "NOT " + OVERLAP)):
     add(f"JON-3_reciprocal_overlap_{keep}", lambda v, keep=keep: i.reciprocal_overlap(v.cnvs.filter("not is_control"), v.cnvs.filter("is_control"), 0.5, keep).select("cnv_id", "donor"),
         f"SELECT cnv_id, donor FROM cnvs a WHERE NOT is_control AND {sql}")
-add("AGG-18_cnv_control_counts", lambda v: v.cnvs.filter("not is_control").groupBy("donor").agg(F.count("*").alias("total")).join(i.reciprocal_overlap(v.cnvs.filter("not is_control"), v.cnvs.filter("is_control"), 0.5, "anti").groupBy("donor").agg(F.count("*").alias("not_in_control")), "donor", "left").fillna(0),
+add("AGG-18_cnv_control_counts", lambda v: i.cnv_control_counts(v.cnvs.filter("not is_control"), v.cnvs.filter("is_control")),
     f"SELECT donor, count(*) AS total, count(*) FILTER (NOT {OVERLAP}) AS not_in_control FROM cnvs a WHERE NOT is_control GROUP BY donor")
 CHUNKS = """c AS (SELECT sn AS chrom, a AS "from", least(a + 49999, ln) AS "to", idx FROM sequences, unnest(range(1, greatest(ln, 2), 50000)) AS t(a))"""
 add("JON-4_expand_by_chunks", lambda v: i.expand_by_chunks(v.files.select(F.col("file_id").alias("element"), F.when(F.col("file_id") % 10 < 9, F.concat(F.lit("chrom"), (F.col("file_id") % 25 + 1).cast("string"))).alias("chrom")), i.chunk_genome(v.sequences, 50_000).select("chrom", "from", "to")).groupBy("element").agg(F.count("*").alias("n"), F.min("from").alias("least")),
