@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import natural_key
+from ..sources.paths import stored
 from .filters import latest_first
 from .ordering import last_known, number_within, running_total
 
@@ -41,19 +42,31 @@ def latest_per(df: DataFrame, keys: list[str], date: str, *ties: Column) -> Data
 
 
 def split_by_bases(fastq: DataFrame, chunk_size: int, file: str = "file") -> DataFrame:
-    """WIN-5/HLP-4: greedy chunks a file: a new one where the bases of read pairs would exceed the size. In file order, a file at a time."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_no")
-        chunk, held, out = 1, 0, []
-        for n in pdf["bases"]:
-            if held and held + n > chunk_size:
-                chunk, held = chunk + 1, 0
-            held += n
-            out.append(chunk)
-        return pd.DataFrame({"file": pdf[file].astype(str), "row_no": pdf["row_no"], "chunk": out, "bases": pdf["bases"]})
-
-    dealt = fastq.select(file, "row_no", "bases").groupBy(file).applyInPandas(run, "file string, row_no long, chunk long, bases long")
+    """WIN-5/HLP-4: greedy chunks a file, in file order: a new one begins where the bases of the chunk so far and the next read pair
+    would exceed the size, so a pair larger than that is a chunk of its own.
+
+    Where a chunk that began at a row would end follows from the file's running
+    totals, so every row has a pointer to the next chunk's first row. From a
+    file's first row the pointers lead to all chunks; as many pointers as were
+    followed are followed at once in the next round. So no file is gathered, and
+    rounds grow with the logarithm of the chunks."""
+    rows = number_within(fastq.select(F.col(file).cast("string").alias("file"), "row_no", "bases"), "file", "row_no").withColumnRenamed("rn", "i")
+    totals = running_total(rows, "bases", "file", "row_no")
+    first = totals.filter("i = 1").select("file", (F.col("total") - F.col("bases")).alias("_base"))
+    held = stored(totals.join(first, "file").select("file", "i", "bases", (F.col("total") - F.col("_base")).cast("long").alias("cum")), "totals")
+    # the first row whose running total is above that before a row, and above it by more than the size
+    before = F.col("cum") - F.col("bases")
+    asked = held.select("file", F.col("i").alias("of"), F.explode(F.array(F.struct(before.alias("x"), F.lit(0).alias("k")), F.struct((before + chunk_size).alias("x"), F.lit(1).alias("k")))).alias("q")).select("file", (-F.col("q.x")).alias("down"), F.lit(0).alias("kind"), F.col("of").alias("_o"), "of", "q.k", F.lit(None).cast("long").alias("above"))
+    marks = held.select("file", (-F.col("cum")).alias("down"), F.lit(1).alias("kind"), (-F.col("i")).alias("_o"), F.lit(None).cast("long").alias("of"), F.lit(None).cast("int").alias("k"), F.col("i").cast("long").alias("above"))
+    swept = last_known(asked.unionByName(marks), "above", "file", "down", "kind", "_o").filter("kind = 0")
+    both = swept.groupBy("file", "of").agg(F.max(F.when(F.col("k") == 0, F.col("above"))).alias("some"), F.max(F.when(F.col("k") == 1, F.col("above"))).alias("over"))
+    pointers = stored(both.filter("over is not null").select("file", F.col("of").alias("i"), F.greatest("over", F.col("some") + 1).alias("next")).join(held.select("file", F.col("i").alias("next")), ["file", "next"]).select("file", "i", "next"), "pointers")
+    starts = stored(held.filter("i = 1").select("file", F.col("i").cast("long").alias("i")), "starts")
+    while not pointers.isEmpty():
+        starts = stored(starts.unionByName(starts.join(pointers, ["file", "i"]).select("file", F.col("next").alias("i"))), "starts")
+        pointers = stored(pointers.join(pointers.toDF("file", "next", "further"), ["file", "next"]).select("file", "i", F.col("further").alias("next")), "pointers")
+    numbered = number_within(starts, "file", "i").select("file", "i", F.col("rn").cast("long").alias("chunk"))
+    dealt = last_known(held.join(numbered, ["file", "i"], "left"), "chunk", "file", "i")
     return dealt.groupBy("file", "chunk").agg(F.count("*").alias("reads"), F.sum("bases").alias("bases"), F.round(F.sum("bases") / F.count("*"), 2).alias("avg_length"))
 
 

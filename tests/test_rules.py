@@ -1,5 +1,7 @@
 """Exact rules on tiny tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +179,20 @@ def test_a_cluster_needs_a_shared_folder():
     away = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(RuntimeError):
         new_dir(away, "x")
+
+
+def test_greedy_chunks_equal_the_sequential_rule(spark):
+    rng = random.Random(3)
+    rows = [(f, n, rng.choice((0, 0, 3, 40, 250, 1200))) for f, m in (("a", 400), ("b", 1), ("c", 37)) for n in range(m)]
+    want = {}
+    for name in "abc":
+        chunk, held = 1, 0
+        for _, _, n in (r for r in rows if r[0] == name):
+            if held and held + n > 1000:
+                chunk, held = chunk + 1, 0
+            held += n
+            k = want.setdefault((name, chunk), [0, 0])
+            k[0], k[1] = k[0] + 1, k[1] + n
+    rng.shuffle(rows)
+    got = {(r.file, r.chunk): [r.reads, r.bases] for r in w.split_by_bases(spark.createDataFrame(rows, "file string, row_no long, bases long"), 1000).collect()}
+    assert got == want
