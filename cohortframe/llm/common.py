@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
@@ -58,6 +58,31 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def smaller_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Arrow batches of at most 8 MB in this session, where it hasn't been told otherwise: whole texts and sets are large
+    rows, and JVM and worker each hold a batch for every task."""
+    if spark.conf.get(BATCH_SETTING, None) in (None, "67108864b"):
+        spark.conf.set(BATCH_SETTING, most)
+
+
+#: What empties the caches that a worker keeps from task to task, by the operator they belong to.
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def keep_cache(owner: str, empty: Callable[[], None]) -> None:
+    _CACHES[owner] = empty
+
+
+def only_cache(owner: str | None) -> None:
+    """At the start of a task: a worker that lives on lets go of what other operators remembered there."""
+    for name, empty in _CACHES.items():
+        if name != owner:
+            empty()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores before it while df has a column so called (upper and lower case being the same)."""
     taken = {c.lower() for c in df.columns}

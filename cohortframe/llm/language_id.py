@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices
+from .common import as_bytes, only_cache, slices, smaller_batches
 from .samples import per_class
 
 BUCKETS, LONGEST, BLOCK = 1 << 14, 4, 128
@@ -102,9 +102,11 @@ def identify(docs: DataFrame, model: KernelModel, names: tuple[str, str] = ("lan
     """docs with language and score under the given names, which take the place of columns so called, in one pass
     over whole texts; the model (about a megabyte) goes to the workers."""
     spark = docs.sparkSession
+    smaller_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache(None)
         own = sent.value
         for batch in batches:
             for part in slices(batch, "text"):

@@ -38,12 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, free_name, slices, stored
+from .common import as_bytes, free_name, only_cache, slices, smaller_batches, stored
 from .components import components
 
 WORDS, KEEP, COMMON, RARE_LISTS, COMMON_LISTS = 5, 96, 32, 40, 16
 #: Members and values of sets of a block, about, at most.
-MEMBERS, VALUES = 2048, 1 << 19
+MEMBERS, VALUES, STRIP = 2048, 1 << 18, 512
 #: Classes whose tables are one task's work.
 ROWS_A_TASK = 20_000
 #: Rows up to which a table of keys is broadcast; beyond it the join is shuffled.
@@ -74,6 +74,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, key (128-bit hash of the whole set), n (its size) and sketch (its KEEP smallest values)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache(None)
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = [shingle_set(x) for x in as_bytes(part.column("text"))]
@@ -286,29 +287,33 @@ def block_links(entries: DataFrame, sets: DataFrame, percent: int, tasks: int) -
         values, ends = _lists(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
         _, comp = np.unique(np.array(group.column("comp").to_pylist(), object), return_inverse=True)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        order = np.argsort(values, kind="stable")
-        first = np.r_[True, values[order][1:] != values[order][:-1]]
-        place = np.empty(len(values), np.int64)
-        place[order] = np.cumsum(first) - 1
-        often = np.bincount(place) > 1  # values of one member alone are in no intersection
-        number = np.cumsum(often) - 1
-        row = np.repeat(np.arange(len(n)), np.diff(ends))[often[place]]
-        place = number[place[often[place]]]
+        # numbers of the values that several members have; those of one member alone are in no intersection
+        _, place, often = np.unique(values, return_inverse=True, return_counts=True)
+        number = np.cumsum(often > 1) - 1
+        kept = often[place] > 1
+        row, place = np.repeat(np.arange(len(n), dtype=np.int32), np.diff(ends))[kept], number[place[kept]].astype(np.int32)
+        total = int(number[-1]) + 1 if len(number) else 0
         shared = np.zeros((len(left), len(right)), np.float32)
-        for a in range(0, int(often.sum()), 4096):
-            part = (place >= a) & (place < a + 4096)
-            seen = np.zeros((len(n), 4096), np.float32)
+        for a in range(0, total, 2048):
+            part = (place >= a) & (place < a + 2048)
+            seen = np.zeros((len(n), 2048), np.float32)
             seen[row[part], place[part] - a] = 1
-            shared += seen[left] @ seen[right].T
-        both = n[left][:, None] + n[right][None, :]
+            shared += seen[left] @ seen[right].T if i != j else seen @ seen.T
         upper = group.column("upper").to_numpy(zero_copy_only=False)
-        fit = (comp[left][:, None] != comp[right][None, :]) & ~(upper[left][:, None] & upper[right][None, :])  # two of the size below meet in their own part
-        x, y = np.nonzero(fit & (100 * shared >= percent * (both - shared)))
+        found = [np.zeros((2, 0), np.int64)]
+        for a in range(0, len(left), STRIP):
+            some = left[a : a + STRIP]
+            fit = (comp[some][:, None] != comp[right][None, :]) & ~(upper[some][:, None] & upper[right][None, :])  # two of the size below meet in their own part
+            x, y = np.nonzero(fit)
+            same = shared[a + x, y]
+            link = 100 * same >= percent * ((n[some[x]] + n[right[y]]) - same)
+            found.append(np.stack([some[x[link]], right[y[link]]]))
+        x, y = np.concatenate(found, axis=1)
         # one link for each two components that are linked here
-        pairs = np.sort(np.stack([comp[left[x]], comp[right[y]]], axis=1), axis=1)
+        pairs = np.sort(np.stack([comp[x], comp[y]], axis=1), axis=1)
         _, some = np.unique(pairs, axis=0, return_index=True)
         keys = group.column("key").to_pylist()
-        return pa.table({"u": pa.array([keys[left[x[k]]] for k in some], pa.binary()), "v": pa.array([keys[right[y[k]]] for k in some], pa.binary())})
+        return pa.table({"u": pa.array([keys[x[k]] for k in some], pa.binary()), "v": pa.array([keys[y[k]] for k in some], pa.binary())})
 
     return met.groupBy("value", "band", "i", "j").applyInArrow(run, "u binary, v binary")
 
@@ -338,6 +343,7 @@ def linked_classes(classes: DataFrame, docs: DataFrame, percent: int, rounds: in
 
 def near_duplicates(docs: DataFrame, percent: int = 75, keyed: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document, and with `keyed` the keys of its set and of its component."""
+    smaller_batches(docs.sparkSession)
     base = stored(sketches(docs), "sketches")
     full = base.filter("n > 0 and doc_id is not null")
     tasks = max(6, base.count() // ROWS_A_TASK)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, stored
+from .common import as_bytes, slices, smaller_batches, stored
 from .word_tokens import default_tokenizer, encoder
 
 PIECES = "part int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, local_rank long"
@@ -57,6 +57,7 @@ def cut_pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, keep
                     made, names = [*made, pa.array([np.frombuffer(x, "<u4").astype("<i4") for x in columns[7]], pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(made, names)
 
+    smaller_batches(docs.sparkSession)
     wanted = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return wanted.mapInArrow(cut, PIECES + (", ids array<int>" if keep_ids else ""))
 

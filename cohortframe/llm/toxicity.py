@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices
+from .common import as_bytes, only_cache, slices, smaller_batches
 from .samples import per_class
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 4, 3, 6
@@ -238,9 +238,11 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, each: int = 1500, l
 
 def score_toxicity(docs: DataFrame, model: SubwordModel, name: str = "toxicity") -> DataFrame:
     """docs with a column `name` (0 to 1), which takes the place of one so called, in one pass over whole texts."""
+    smaller_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache(None)
         own = sent.value
         for batch in batches:
             for part in slices(batch, "text"):

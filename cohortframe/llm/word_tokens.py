@@ -7,8 +7,10 @@ import os
 
 import numpy as np
 
+from .common import keep_cache, only_cache
+
 #: Bytes of words and their ids that a worker remembers at most, an entry counting as ENTRY bytes beside them.
-CACHE_BYTES, ENTRY = 256 << 20, 170
+CACHE_BYTES, ENTRY = 160 << 20, 170
 #: Words handed to the library as one text.
 JOINED = 200
 #: Marks that may stand behind a word's letters.
@@ -138,8 +140,15 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+def _forget() -> None:
+    for e in _ENCODERS.values():
+        e.words, e.older, e.held = {}, {}, 0
+
+
 def encoder(path: str) -> WordEncoder:
     """This worker's encoder; its cache lives on from task to task."""
+    only_cache("words")
+    keep_cache("words", _forget)
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
