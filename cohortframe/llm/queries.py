@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op12_alignment
 from .embedding_dedup import op4_embedding_dedup
 from .language_id import op8_language_id
 from .minhash_dedup import op10_minhash
@@ -13,6 +14,7 @@ from .mtree_search import op1_mtree_search
 from .packing import op6_packing
 from .piece_merges import op9_pieces
 from .token_files import op5_token_files
+from .suffix_dedup import op13_suffix_dedup
 from .toxicity import op3_toxicity
 from .url_filter import op2_url_filter
 from .warc import op7_warc
@@ -30,6 +32,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_pieces": op9_pieces,
         "op10_minhash": op10_minhash,
+        "op12_alignment": op12_alignment,
+        "op13_suffix_dedup": op13_suffix_dedup,
     }
 
 
