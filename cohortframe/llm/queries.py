@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .alignment import op12_alignment
+from .conversation_repair import op11_conversation_repair
 from .embedding_dedup import op4_embedding_dedup
 from .language_id import op8_language_id
 from .minhash_dedup import op10_minhash
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_pieces": op9_pieces,
         "op10_minhash": op10_minhash,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_alignment": op12_alignment,
         "op13_suffix_dedup": op13_suffix_dedup,
     }
