@@ -44,10 +44,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return stored_at(df, what)[0]
 
 
-def stored_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+def stored_at(df: DataFrame, what: str, *by: str) -> tuple[DataFrame, str]:
+    """The same, with the path; columns `by` become folders in it."""
     spark = df.sparkSession
     path = new_dir(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

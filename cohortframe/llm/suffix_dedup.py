@@ -8,8 +8,10 @@ sixteen positions), each with the bytes before it, finds every repeat:
 
 1. Anchors whose token occurs in one document only go. Tokens are counted as
    sorted blocks of hashes; those of several documents become a bitmap of bounded
-   size, in which a false hit only costs work.
-2. Suffixes at the other anchors are range-partitioned by their leading token,
+   size, in which a false hit only costs work. A second one has those of them
+   that have different bytes around them; all other suffixes are equal if their
+   tokens are, and need the key of their bytes alone.
+2. Suffixes of the second kind are range-partitioned by their leading token,
    between splitters sampled from the documents. A bucket sorts its suffixes,
    and the reversed bytes before them, by multikey quicksort; runs of long enough
    common prefixes on either side give, for every string over an anchor, the
@@ -47,8 +49,8 @@ BEFORE = WIDTH - GRAM
 ROW = WIDTH + BEFORE + 2
 #: Bits of the bitmap at most (64 MB), and for each token while there is room.
 MOST_BITS, BITS_A_TOKEN = 29, 16
-#: Bytes of text a slice, entries of a block that a task holds, bytes of a bucket (about), of spans that are broadcast at most.
-SLICE, HELD, BUCKET, BROADCAST = 2 << 20, 1 << 20, 16 << 20, 64 << 20
+#: Bytes of text a slice, entries of a block that a task holds, bytes of a bucket (about), of spans that are broadcast at most, rows too.
+SLICE, HELD, BUCKET, BROADCAST, BROADCAST_ROWS = 1 << 20, 1 << 19, 8 << 20, 64 << 20, 500_000
 #: One document in so many is read for splitters.
 SAMPLE = 64
 
@@ -135,6 +137,12 @@ def _lanes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one ^ (one >> np.uint64(31)), two ^ (two >> np.uint64(30))
 
 
+def _keys(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 96 bits of it by which suffixes are told apart."""
+    one, two = _lanes(rows)
+    return one, two.astype("<u4")
+
+
 def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that brings equal keys together, and where in it each run of them starts."""
     order = np.lexsort(keys[::-1])
@@ -224,9 +232,9 @@ def _repeats(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mask
 
 
-DECISIONS = "<u8 <u8 <i8 <i8 <u4 u1 u1"  # key, first and last doc_id, repeated strings, bytes before and from the anchor
-SPREAD = "<u8 <u8 <u8 <u8 <i8 <i8 u1 u1 u1"  # key of a string, of its suffix, first and last doc_id, start before the anchor, bytes before and from it
-OCCURRENCES = "<u8 <u8 <i8 <i8 <u4"  # key, doc_id, part of a repeated doc_id, place
+DECISIONS = "<u8 <u4 <i8 <u4"  # key, first doc_id, repeated strings
+SPREAD = "<u8 <u8 <u8 <u4 <i8 <i8 u1"  # key of a string, of its suffix, first and last doc_id, start before the anchor
+OCCURRENCES = "<u8 <u4 <i8 <i8 <u4 u1 u1"  # key, doc_id, part of a repeated doc_id, place, bytes before and from the anchor
 SPANS = "<i8 <i8 <u4 <u4"  # doc_id, part, start, end
 
 
@@ -241,59 +249,84 @@ def _table(rows: list[tuple], names: str, types: list[pa.DataType]) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names.split())
 
 
-def shared_tokens(docs: DataFrame, size: int) -> np.ndarray:
-    """The bitmap of hashes of tokens at anchors in several documents, by their leading bits; size is the bytes of all texts."""
+TOKENS = "<u4 <u4 u1"  # leading bits of a token's hash in its bucket, 39 bits of the hash of the bytes around it, and whether several documents have the token
+
+
+def _spotted(h: np.ndarray, around: np.ndarray, source: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (h, around), and of each whether its h is marked as shared or comes from several sources; and the order's runs of h."""
+    order = np.lexsort((around, h))
+    h, around, source, shared = h[order], around[order], source[order], shared[order]
+    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(h)])
+    if len(h):
+        several = np.maximum.reduceat(shared, starts).astype(bool) | (np.minimum.reduceat(source, starts) != np.maximum.reduceat(source, starts))
+        new = np.r_[True, (h[1:] != h[:-1]) | (around[1:] != around[:-1])]
+        return h[new], around[new], np.repeat(several, sizes)[new]
+    return h, around, shared.astype(bool)
+
+
+def shared_tokens(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of hashes of tokens at anchors, by their leading bits: those in several documents, and of these those with different bytes around them.
+
+    size is the bytes of all texts."""
     spark = docs.sparkSession
     least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 16 // (1 << 20), 8)
     lead, most, held_most = int(least - 1).bit_length(), SLICE, HELD
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only_cache(None)
-        once, several, held = [], [], 0
+        held, entries = [], 0
 
         def blocks():
-            h, n = np.unique(np.concatenate([*once, *several, *several]), return_counts=True)
-            bucket, low = (h >> np.uint64(64 - lead)).astype(np.int32), ((h >> np.uint64(32 - lead)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-            return _table([(b, low[i][n[i] == 1].tobytes(), low[i][n[i] > 1].tobytes()) for b, i in _by_bucket(bucket)], "bucket once several", [pa.int32(), pa.binary(), pa.binary()])
+            h, around, shared = _spotted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            low = ((h >> np.uint64(32 - lead)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+            one, two = around.astype("<u4"), (around >> np.uint64(57) << np.uint64(1)).astype(np.uint8) | shared.astype(np.uint8)
+            return _table([(b, _packed(low[i], one[i], two[i])) for b, i in _by_bucket((h >> np.uint64(64 - lead)).astype(np.int64))], "bucket block", [pa.int32(), pa.binary()])
 
         for batch in batches:
             for part in slices(batch, "text", most):
-                _, _, h, row, _, _ = _slice_anchors(part)
+                buffer, place, h, row, before, after = _slice_anchors(part)
                 if not len(h):
                     continue
-                order, starts = _runs(h)
-                lo, hi = (f.reduceat(row[order], starts) for f in (np.minimum, np.maximum))
-                h = h[order[starts]]
-                once.append(h[lo == hi])
-                several.append(h[lo != hi])
-                held += len(h)
-                if held > held_most:
+                h, around, shared = _spotted(h, _lanes(_rows(buffer, place, before, after))[0], row, np.zeros(len(h), np.uint8))
+                held.append((h, around, np.full(len(h), len(held)), shared.astype(np.uint8)))
+                entries += len(h)
+                if entries > held_most:
                     yield blocks()
-                    once, several, held = [], [], 0
+                    entries = 0
         if held:
             yield blocks()
 
     def meet(group: pa.Table) -> pa.Table:
-        once, several = (_unpacked([x for x in group.column(c).to_pylist()], "<u4")[0] for c in ("once", "several"))
-        low, n = np.unique(np.concatenate([once, several, several]), return_counts=True)
-        return pa.table({"bucket": group.column("bucket")[:1], "low": pa.array([low[n > 1].tobytes()], pa.binary()), "n": pa.array([int((n > 1).sum())], pa.int64())})
-
-    found, path = stored_at(docs.select("doc_id", "text").mapInArrow(count, "bucket int, once binary, several binary").groupBy("bucket").applyInArrow(meet, "bucket int, low binary, n long"), "shared-tokens")
+        blobs = group.column("block").to_pylist()
+        low, one, two = _unpacked(blobs, TOKENS)
+        around = one.astype(np.uint64) | (two >> np.uint8(1)).astype(np.uint64) << np.uint64(32)
+        low, around, shared = _spotted(low, around, np.repeat(np.arange(len(blobs)), [len(x) // 9 for x in blobs]), two & np.uint8(1))
+        low = low[shared]
+        low, n = np.unique(low, return_counts=True)
+        return pa.table({"bucket": group.column("bucket")[:1], "low": pa.array([low.tobytes()], pa.binary()), "several": pa.array([low[n > 1].tobytes()], pa.binary()), "n": pa.array([len(low)], pa.int64())})
+
+    found, path = stored_at(docs.select("doc_id", "text").mapInArrow(count, "bucket int, block binary").groupBy("bucket").applyInArrow(meet, "bucket int, low binary, several binary, n long"), "shared-tokens")
     total = found.agg(F.sum("n")).first()[0] or 0
     bits = max(min(int(BITS_A_TOKEN * total).bit_length(), MOST_BITS, lead + 32), lead + 3)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("low").to_pylist(), strict=True):
-                seen = np.zeros(1 << (bits - lead), np.uint8)
-                seen[np.frombuffer(blob, "<u4") >> np.uint32(32 - (bits - lead))] = 1
-                yield _table([(bucket, np.packbits(seen).tobytes())], "bucket bits", [pa.int32(), pa.binary()])
-
-    out, width = np.zeros(1 << (bits - 3), np.uint8), 1 << (bits - lead - 3)
-    for row in found.select("bucket", "low").mapInArrow(mark, "bucket int, bits binary").toLocalIterator():
-        out[row.bucket * width : (row.bucket + 1) * width] = np.frombuffer(row.bits, np.uint8)
+            for bucket, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "several")), strict=True):
+                maps = []
+                for blob in blobs:
+                    seen = np.zeros(1 << (bits - lead), np.uint8)
+                    seen[np.frombuffer(blob, "<u4") >> np.uint32(32 - (bits - lead))] = 1
+                    maps.append(np.packbits(seen).tobytes())
+                yield _table([(bucket, *maps)], "bucket shared several", [pa.int32(), pa.binary(), pa.binary()])
+
+    out, width = np.zeros((2, 1 << (bits - 3)), np.uint8), 1 << (bits - lead - 3)
+    for row in found.select("bucket", "low", "several").mapInArrow(mark, "bucket int, shared binary, several binary").toLocalIterator():
+        for i, blob in enumerate((row.shared, row.several)):
+            out[i, row.bucket * width : (row.bucket + 1) * width] = np.frombuffer(blob, np.uint8)
     discard(spark, path)
-    return out
+    return out[0], out[1]
 
 
 def _marked(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -301,12 +334,10 @@ def _marked(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)).astype(bool)
 
 
-def _suffixes(part: pa.RecordBatch, bitmap: np.ndarray):
-    """Rows of bytes of the suffixes at marked anchors of a slice, each anchor's row of the slice, and its place in the document."""
-    buffer, place, h, row, before, after = _slice_anchors(part)
-    keep = _marked(bitmap, h)
-    place, row, in_doc, before, after = place[keep], row[keep], before[keep], np.minimum(before[keep], BEFORE), np.minimum(after[keep], WIDTH)
+def _rows(buffer: np.ndarray, place: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Rows of bytes of the suffixes at places of buffer."""
     rows = np.zeros((len(place), ROW), np.uint8)
+    before, after = np.minimum(before, BEFORE), np.minimum(after, WIDTH)
     view = np.lib.stride_tricks.sliding_window_view
     rows[:, :WIDTH] = view(buffer, WIDTH)[place]
     rows[:, WIDTH:-2] = view(buffer, BEFORE)[place - BEFORE][:, ::-1]
@@ -314,10 +345,19 @@ def _suffixes(part: pa.RecordBatch, bitmap: np.ndarray):
         cut = np.flatnonzero(short < width)
         rows[cut, start : start + width] *= np.arange(width)[None, :] < short[cut][:, None]
     rows[:, -2], rows[:, -1] = before, after
-    return rows, row, in_doc
+    return rows
 
 
-def _splitters(docs: DataFrame, bitmap, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+def _suffixes(part: pa.RecordBatch, shared: np.ndarray, several: np.ndarray):
+    """Rows of bytes of the suffixes at anchors of shared tokens of a slice; each anchor's row of the slice, its place in the document, and
+    whether its token has different bytes around it elsewhere."""
+    buffer, place, h, row, before, after = _slice_anchors(part)
+    keep = _marked(shared, h)
+    place, h, row, before, after = place[keep], h[keep], row[keep], before[keep], after[keep]
+    return _rows(buffer, place, before, after), row, before, _marked(several, h)
+
+
+def _splitters(docs: DataFrame, bitmaps) -> tuple[np.ndarray, np.ndarray, int]:
     """Leading tokens between buckets, the frequent ones among them, and the bytes of all suffixes (about), from a sample of documents."""
 
     most = SLICE
@@ -325,7 +365,8 @@ def _splitters(docs: DataFrame, bitmap, size: int) -> tuple[np.ndarray, np.ndarr
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", most):
-                rows, _, _ = _suffixes(part, bitmap.value)
+                rows, _, _, differ = _suffixes(part, *bitmaps.value)
+                rows = rows[differ]
                 distinct = np.unique(np.ascontiguousarray(rows[:, : WIDTH + BEFORE]).view(f"S{WIDTH + BEFORE}").ravel())
                 yield _table([(distinct.astype(f"S{GRAM}").tobytes(), len(rows))], "tokens n", [pa.binary(), pa.int64()])
 
@@ -348,9 +389,9 @@ def _splitters(docs: DataFrame, bitmap, size: int) -> tuple[np.ndarray, np.ndarr
 def decided(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, list[str], int]:
     """Decisions for suffixes (key_bucket, block) and occurrences (key_bucket, block), the paths of what is written, and the number of key buckets."""
     spark = docs.sparkSession
-    bitmap = spark.sparkContext.broadcast(shared_tokens(docs, size))
+    bitmaps = spark.sparkContext.broadcast(shared_tokens(docs, size))
     released(spark)
-    cuts, frequent, buckets = _splitters(docs, bitmap, size)
+    cuts, frequent, buckets = _splitters(docs, bitmaps)
     bounds = spark.sparkContext.broadcast((cuts, frequent))
     keys, most, held_most = int(max(buckets - 1, 1)).bit_length(), SLICE, HELD // 4
 
@@ -360,40 +401,40 @@ def decided(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, list[str]
         held: list[tuple] = []
 
         def blocks():
-            rows, doc, one, two, sub, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            rows, doc, one, two, sub, place, differ = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             out = []
             for b, i in _by_bucket((one >> np.uint64(64 - keys)).astype(np.int64)):
-                out.append((b, "occurrences", _packed(one[i], two[i], doc[i], sub[i], place[i].astype("<u4"))))
+                out.append((b, "occurrences", _packed(one[i], two[i], doc[i], sub[i], place[i].astype("<u4"), rows[i, -2], rows[i, -1])))
+            rows, doc, one, two = rows[differ], doc[differ], one[differ], two[differ]
             order, starts = _runs(one, two)
-            lo, hi = (f.reduceat(doc[order], starts) for f in (np.minimum, np.maximum))
+            lo, hi = (f.reduceat(doc[order], starts) if len(order) else doc for f in (np.minimum, np.maximum))
             i = order[starts]
             rows, one, two = rows[i], one[i], two[i]
             token = np.ascontiguousarray(rows[:, :GRAM]).view(f"S{GRAM}").ravel()
             many = np.isin(token, frequent) if len(frequent) else np.zeros(len(rows), bool)
-            few = np.flatnonzero(~many)
+            few, many = np.flatnonzero(~many), np.flatnonzero(many)
             for b, j in _by_bucket(np.searchsorted(cuts, token[few], side="right") if len(cuts) else np.zeros(len(few), np.int64)):
                 j = few[j]
                 out.append((b, "suffixes", rows[j].tobytes() + _packed(lo[j], hi[j])))
-            many = np.flatnonzero(many)
             for o in range(BEFORE + 1) if len(many) else ():
                 j = many[(rows[many, -2] >= o) & (rows[many, -1] >= WIDTH - o)]
                 string = np.concatenate([rows[j, WIDTH : WIDTH + o][:, ::-1], rows[j, : WIDTH - o]], axis=1)
                 w1, w2 = _lanes(string)
                 for b, k in _by_bucket((w1 % np.uint64(buckets)).astype(np.int64)):
                     x = j[k]
-                    out.append((b, "strings", _packed(w1[k], w2[k], one[x], two[x], lo[x], hi[x], np.full(len(x), o, np.uint8), rows[x, -2], rows[x, -1])))
+                    out.append((b, "strings", _packed(w1[k], w2[k], one[x], two[x], lo[x], hi[x], np.full(len(x), o, np.uint8))))
             return _table(out, "bucket kind block", [pa.int32(), pa.string(), pa.binary()])
 
         n = 0
         for batch in batches:
             for part in slices(batch, "text", most):
-                rows, row, place = _suffixes(part, bitmap.value)
+                rows, row, place, differ = _suffixes(part, *bitmaps.value)
                 if not len(rows):
                     continue
                 ids = part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)[row]
                 sub = part.column("part").to_numpy(zero_copy_only=False)[row]
-                held.append((rows, ids, *_lanes(rows), sub, place))
+                held.append((rows, ids, *_keys(rows), sub, place, differ))
                 n += len(rows)
                 if n > held_most:
                     yield blocks()
@@ -406,33 +447,34 @@ def decided(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, list[str]
         if group.column("kind")[0].as_py() == "suffixes":
             rows = np.concatenate([np.frombuffer(b, np.uint8, len(b) // (ROW + 16) * ROW).reshape(-1, ROW) for b in blobs])
             lo, hi = _unpacked([b[len(b) // (ROW + 16) * ROW :] for b in blobs], "<i8 <i8")
-            one, two = _lanes(rows)
+            one, two = _keys(rows)
             order, starts = _runs(one, two)
             lo, hi = np.minimum.reduceat(lo[order], starts), np.maximum.reduceat(hi[order], starts)
             i = order[starts]
             rows, one, two = rows[i], one[i], two[i]
             mask = _repeats(rows, lo)
-            before, after = rows[:, -2], rows[:, -1]
         else:
-            w1, w2, one, two, lo, hi, start, before, after = _unpacked(blobs, SPREAD)
+            w1, w2, one, two, lo, hi, start = _unpacked(blobs, SPREAD)
             order, starts = _runs(w1, w2, one, two)
             lo, hi = np.minimum.reduceat(lo[order], starts), np.maximum.reduceat(hi[order], starts)
             i = order[starts]
-            w1, w2, one, two, start, before, after = (x[i] for x in (w1, w2, one, two, start, before, after))
+            w1, w2, one, two, start = (x[i] for x in (w1, w2, one, two, start))
             heads = np.flatnonzero(np.r_[True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
             least = np.repeat(np.minimum.reduceat(lo, heads), np.diff(np.r_[heads, len(w1)]))
             mask = np.where(lo > least, np.uint32(1) << start.astype(np.uint32), np.uint32(0)).astype(np.uint32)
-        some = np.flatnonzero((hi > lo) | (mask > 0))
+        some = np.flatnonzero(mask > 0)
         for b, k in _by_bucket((one[some] >> np.uint64(64 - keys)).astype(np.int64)):
             k = some[k]
-            out.append((b, _packed(one[k], two[k], lo[k], hi[k], mask[k], before[k], after[k])))
+            out.append((b, _packed(one[k], two[k], lo[k], mask[k])))
         return pa.Table.from_batches([_table(out, "bucket block", [pa.int32(), pa.binary()])])
 
-    blocks, path = stored_at(docs.select("doc_id", "part", "text").mapInArrow(cut, "bucket int, kind string, block binary"), "suffixes")
-    bitmap.unpersist()
-    decisions, path2 = stored_at(blocks.filter("kind <> 'occurrences'").groupBy("kind", "bucket").applyInArrow(settle, "bucket int, block binary"), "decisions")
+    blocks, path = stored_at(docs.select("doc_id", "part", "text").mapInArrow(cut, "bucket int, kind string, block binary"), "suffixes", "kind")
+    bitmaps.unpersist()
+    settled, path2 = stored_at(blocks.filter("kind in ('suffixes', 'strings')").groupBy("kind", "bucket").applyInArrow(settle, "bucket int, block binary"), "decisions")
+    discard(spark, f"{path}/kind=suffixes", f"{path}/kind=strings")
     released(spark)
-    return decisions, blocks.filter("kind = 'occurrences'").select("bucket", "block"), [path, path2], buckets
+    of = lambda kind: blocks.filter(F.col("kind") == kind).select("bucket", "block")
+    return settled, of("occurrences"), [path, path2], buckets
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -441,30 +483,38 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     decisions, occurrences, paths, buckets = decided(docs, size)
-    # a bucket of keys with very many occurrences is dealt over several tasks, each with all of its decisions
-    tasks = occurrences.groupBy("bucket").agg(F.ceil(F.sum(F.octet_length("block")) / (2 * BUCKET)).cast("int").alias("tasks"))
-    left = occurrences.join(tasks, "bucket").select("bucket", F.pmod(F.xxhash64("block"), F.col("tasks")).cast("int").alias("task"), "block")
-    right = decisions.join(tasks, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "block")
+    # a bucket of keys with very many occurrences is dealt over several tasks, each with the first documents that any of them has and all decisions
+    tasks, path = stored_at(occurrences.groupBy("bucket").agg(F.ceil(F.sum(F.octet_length("block")) / (2 * BUCKET)).cast("int").alias("tasks")), "tasks")
+    paths.append(path)
+    small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
+    dealt = lambda t: occurrences.join(small(t), "bucket").select("bucket", F.pmod(F.xxhash64("block"), F.col("tasks")).cast("int").alias("task"), "block")
+
+    def firsts(group: pa.Table) -> pa.Table:
+        k1, k2, doc = _unpacked(group.column("block").to_pylist(), OCCURRENCES)[:3]
+        order, starts = _runs(k1, k2)
+        lo, i = np.minimum.reduceat(doc[order], starts), order[starts]
+        return pa.table({"bucket": group.column("bucket")[:1], "block": pa.array([_packed(k1[i], k2[i], lo, np.zeros(len(i), "<u4"))], pa.binary())})
+
+    large = tasks.filter("tasks > 1")
+    if not large.isEmpty():
+        found, path = stored_at(dealt(large).groupBy("bucket", "task").applyInArrow(firsts, "bucket int, block binary"), "firsts")
+        decisions = decisions.unionByName(found)
+        paths.append(path)
+    right = decisions.join(small(tasks), "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "block")
 
     def apply(occurred: pa.Table, judged: pa.Table) -> pa.Table:
-        one, two, lo, hi, mask, before, after = _unpacked(judged.column("block").to_pylist(), DECISIONS)
-        out = []
-        if len(one) and occurred.num_rows:
-            order, starts = _runs(one, two)
-            lo, mask = np.minimum.reduceat(lo[order], starts), np.bitwise_or.reduceat(mask[order], starts)
-            i = order[starts]
-            one, two, before, after = one[i], two[i], before[i].astype(np.int64), after[i].astype(np.int64)
-            k1, k2, doc, sub, place = _unpacked(occurred.column("block").to_pylist(), OCCURRENCES)
-            at, last = np.searchsorted(one, k1), np.searchsorted(one, k1, side="right")
-            while True:  # keys that share their first half are very rare
-                wrong = (at < last) & (two[np.minimum(at, len(two) - 1)] != k2)
-                if not wrong.any():
-                    break
-                at[wrong] += 1
-            hit = np.flatnonzero(at < last)
-            at, doc, sub, place = at[hit], doc[hit], sub[hit], place[hit].astype(np.int64)
+        k1, k2, doc, sub, place, before, after = _unpacked(occurred.column("block").to_pylist(), OCCURRENCES)
+        one, two, first, bits = _unpacked(judged.column("block").to_pylist(), DECISIONS)
+        out, n = [], len(k1)
+        if n:
+            order, starts = _runs(np.concatenate([k1, one]), np.concatenate([k2, two]))
+            lo = np.minimum.reduceat(np.concatenate([doc, first])[order], starts)
+            mask = np.bitwise_or.reduceat(np.concatenate([np.zeros(n, "<u4"), bits])[order], starts)
+            at = np.zeros(len(order), np.int64)
+            at[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(order)]))
+            at, place = at[:n], place.astype(np.int64)
             later = doc > lo[at]
-            found = [(doc[later], sub[later], place[later] - before[at[later]], place[later] + after[at[later]])]
+            found = [(doc[later], sub[later], place[later] - before[later], place[later] + after[later])]
             held = np.flatnonzero(~later & (mask[at] > 0))
             for o in range(BEFORE + 1):
                 x = held[(mask[at[held]] >> np.uint32(o) & np.uint32(1)) > 0]
@@ -483,7 +533,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, int]:
         blobs = [pairs[a:b].tobytes() for a, b in zip(cuts, np.r_[cuts[1:], len(doc)], strict=True)]
         return pa.table({"doc_id": pa.array(doc[cuts], pa.int64()), "part": pa.array(sub[cuts], pa.int64()), "spans": pa.array(blobs, pa.binary())})
 
-    met = left.groupBy("bucket", "task").cogroup(right.groupBy("bucket", "task")).applyInArrow(apply, "bucket int, block binary")
+    met = dealt(tasks).groupBy("bucket", "task").cogroup(right.groupBy("bucket", "task")).applyInArrow(apply, "bucket int, block binary")
     spans, _ = stored_at(met.groupBy("bucket").applyInArrow(gather, "doc_id long, part long, spans binary"), "spans")
     discard(spark, *paths)
     released(spark)
