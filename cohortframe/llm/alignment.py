@@ -6,8 +6,9 @@ space. Bytes at which tokens of both end cut a text into groups, and tokens of
 A and B link where their bytes overlap.
 
 Where tokens of neither can reach over a place (from a character that is no white
-space to a space or line end), texts are cut into units; a unit's tokens, groups
-and links are made once and remembered by bytes in two generations.
+space to a space or line end, between letters and the marks that end a word), by the tokenizers'
+settings and vocabularies, texts are cut into units; a unit's tokens, groups and links are made once
+and remembered by bytes in two generations.
 
 Counts: a first pass over documents gives sorted blocks of distinct pairs with
 their documents. Merged in a tree, they are the distinct pairs, which get a
@@ -37,14 +38,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, discard, keep_cache, only_cache, released, slices, smaller_batches, stored_at
-from .piece_merges import SPACE, MergeCoder, default_model
+from .piece_merges import SPACE, default_model
 
 #: Bytes of units that a worker remembers, an entry counting as ENTRY bytes beside them.
-CACHE_BYTES, ENTRY = 192 << 20, 500
+CACHE_BYTES, ENTRY = 224 << 20, 270
 #: Entries of a block of pairs, of a shard (about); vectors or blocks that one step of a tree joins; pairs that are broadcast at most.
 BLOCK, SHARD, FAN, BROADCAST_PAIRS = 1 << 20, 1 << 20, 16, 4_000_000
 SLICE = 2 << 20
 
+#: Letters that make simple words: A-Z, and those of Latin-1 and its extensions, all of them letters to any tokenizer.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -61,74 +65,161 @@ def byte_values() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class Unit:
-    """What is remembered of a unit: whether its tokens spell it, counts, its groups as text, and its links (A id << 32 | B id)."""
+def _gather(flat: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of some rows of a ragged array, end to end, and where each row's start."""
+    n = starts[rows + 1] - starts[rows]
+    ends = np.cumsum(n)
+    return flat[np.repeat(starts[rows] - (ends - n), n) + np.arange(int(n.sum()))], np.r_[0, ends]
+
+
+class Units:
+    """Units with their number of tokens of A and B, groups and links, whether their tokens spell them, their groups as text, and their links (A id << 32 | B id)."""
+
+    def __init__(self, numbers=None, spelt=None, links=None, starts=None, groups=None):
+        self.numbers = np.zeros((0, 4), np.int64) if numbers is None else numbers
+        self.spelt = np.zeros(0, bool) if spelt is None else spelt
+        self.links, self.starts = (np.zeros(0, "<u8"), np.zeros(1, np.int64)) if links is None else (links, starts)
+        self.groups: list[bytes] = [] if groups is None else groups
+
+    def some(self, rows: np.ndarray) -> Units:
+        links, starts = _gather(self.links, self.starts, rows)
+        return Units(self.numbers[rows], self.spelt[rows], links, starts, [self.groups[i] for i in rows.tolist()])
+
+    @staticmethod
+    def joined(parts: list[Units]) -> Units:
+        base = np.cumsum([0, *(len(p.links) for p in parts)])
+        starts = np.concatenate([p.starts[:-1] + b for p, b in zip(parts, base[:-1], strict=True)] + [base[-1:]])
+        groups = parts[0].groups  # of a generation's own, which grows in place
+        for p in parts[1:]:
+            groups += p.groups
+        return Units(np.concatenate([p.numbers for p in parts]), np.concatenate([p.spelt for p in parts]), np.concatenate([p.links for p in parts]), starts, groups)
+
 
-    __slots__ = ("groups", "links", "numbers", "spelt")
+class Generation:
+    """Remembered units: the place of each, and what belongs to the places, in parts that are joined as they grow."""
 
-    def __init__(self, spelt: bool, numbers: tuple, groups: bytes, links: bytes):
-        self.spelt, self.numbers, self.groups, self.links = spelt, numbers, groups, links
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.units, self.held = Units(), 0
+        self.late: list[Units] = []
+
+    def add(self, words: list[str], units: Units) -> None:
+        first = len(self.place)
+        self.place.update(zip(words, range(first, first + len(words)), strict=True))
+        self.late.append(units)
+        self.held += sum(map(len, words)) + sum(map(len, units.groups)) + units.links.nbytes + ENTRY * len(words)
+
+    def whole(self) -> Units:
+        if self.late:
+            self.units, self.late = Units.joined([self.units, *self.late]), []
+        return self.units
 
 
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2 as pb
         from tokenizers import Tokenizer
 
-        self.a, self.b = Tokenizer.from_file(path_a), MergeCoder(path_b)
+        self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True
         with open(path_a, encoding="utf-8") as f:
             settings = json.load(f)
-        split = settings.get("pre_tokenizer") or {}
-        if self.b.prefix != SPACE or settings["model"]["type"] != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space"):
-            raise ValueError("a byte-level BPE without prefix space and a SentencePiece model that adds one are needed")
-        # by their settings: A parts white space from words, B's pieces hold spaces in front only and no line ends
-        if split.get("use_regex", True) and not settings.get("normalizer") and "\n" in self.b.split.pattern:
-            self.split = re.compile(r"[ \n]*[^ \n]+(?:(?<=\s)[ \n]+[^ \n]*)*|[ \n]+")
-        else:
-            self.split = re.compile(r"(?s).+")
+        model = pb.ModelProto()
+        with open(path_b, "rb") as f:
+            model.ParseFromString(f.read())
+        split, spec, kinds = settings.get("pre_tokenizer") or {}, model.normalizer_spec, pb.ModelProto.SentencePiece
+        own = [p.piece for p in model.pieces if p.type not in (kinds.BYTE, kinds.CONTROL, kinds.UNKNOWN)]
+        if settings["model"]["type"] != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not spec.add_dummy_prefix or spec.remove_extra_whitespaces:
+            raise ValueError("a byte-level BPE without prefix space and a SentencePiece model that adds one and keeps white space are needed")
         value = byte_values()
         self.spell_a = [b""] * self.a.get_vocab_size()
         for token, i in self.a.get_vocab(with_added_tokens=True).items():
             self.spell_a[i] = bytes(value[c] for c in token) if all(c in value for c in token) else token.encode()
-        self.spell_b = self.b.text.tolist()
+        self.spell_b = [bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.replace(SPACE, " ").encode() for p in model.pieces]
         self.size_a, self.size_b = (np.array([len(x) for x in s], np.int64) for s in (self.spell_a, self.spell_b))
-        self.digits = [b"%d" % i for i in range(max(len(self.spell_a), len(self.spell_b)))]
-        self.young: dict[str, Unit] = {}
-        self.old: dict[str, Unit] = {}
-        self.held = 0
+        self.digits = np.array([b"%d" % i for i in range(max(len(self.spell_a), len(self.spell_b)))], object)
+        # by their settings: A parts white space, letters and marks from each other; B's pieces hold spaces in front only and no line ends
+        apart = split.get("use_regex", True) and not settings.get("normalizer") and not spec.precompiled_charsmap and model.trainer_spec.model_type == pb.TrainerSpec.BPE
+        self.line = self.b.piece_to_id("<0x0A>")
+        apart = apart and self.b.is_byte(self.line) and not any("\n" in p or SPACE in p.lstrip(SPACE) for p in own) and not any(p.type == kinds.USER_DEFINED for p in model.pieces)
+        marks = "".join(m for m in ".,;:!?" if not any(re.search(rf"[^\W\d_]{re.escape(m)}", p) for p in own))
+        run = r"[ \n]*[^ \n]+(?:(?<=\s)[ \n]+[^ \n]*)*|[ \n]+"
+        word, mark = rf"[{LETTERS}]+(?=[{marks}]*(?:[ \n]|\Z))" if marks else rf"[{LETTERS}]+(?=[ \n]|\Z)", rf"|(?<=[{LETTERS}])[{marks}]+(?=[ \n]|\Z)" if marks else ""
+        # a space and letters, a line end by itself, letters after it, marks after letters; whatever else goes up to the next white space
+        self.split = re.compile(rf"(?<!\s) {word}|(?<!\s)\n(?=\S)|(?<=\S\n){word}{mark}|{run}" if apart else r"(?s).+")
+        self.simple = re.compile(rf" ?[{LETTERS}]+|[{marks}]+" if marks else rf" ?[{LETTERS}]+") if apart else None
+        self.break_a = self.a.encode("\n", add_special_tokens=False).ids
+        self.space_b = self.b.piece_to_id(SPACE)
+        self.forget()
+
+    def forget(self) -> None:
+        self.young, self.old = Generation(), Generation()
 
     def units(self, text: str) -> list[str]:
         return self.split.findall(" " + text) if text else []
 
-    def known(self, units: list[str]) -> dict[str, Unit]:
+    def _ids_b(self, units: list[str]) -> list[list[int]]:
+        """The ids of units as they stand in a text: a unit's first space is the one that the model adds; any other is encoded behind a line end."""
+        out = self.b.encode([u[1:] if u[0] == " " else "\n" + u for u in units], num_threads=1)
+        return [x if u[0] == " " and len(u) > 1 else [self.space_b] if u == " " else x[2:] for u, x in zip(units, out, strict=True)]
+
+    def _flat(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and B of units, end to end, and how many each unit has."""
+        if self.simple is None:
+            ids = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)], self._ids_b(units)
+            return *(np.array([i for x in y for i in x], np.int64) for y in ids), *(np.array([len(x) for x in y], np.int64) for y in ids)
+        # simple units are encoded as lines of one text
+        text = "\n" + "\n".join(units) + "\n"
+        out = []
+        for ids, cut in ((self.a.encode(text, add_special_tokens=False).ids, self.break_a[0]), (self.b.encode(text)[1:], self.line)):
+            ids = np.array(ids, np.int64)
+            at = np.flatnonzero(ids == cut)
+            out.append((ids[ids != cut], np.diff(at) - 1))
+        (a, n_a), (b, n_b) = out
+        return a, b, n_a, n_b
+
+    def known(self, words: set[str]) -> Generation:
         """The remembered units, among them all the given ones."""
-        if self.held > CACHE_BYTES // 2:
-            self.old, self.young, self.held = self.young, {}, 0
+        if self.young.held > CACHE_BYTES // 2:
+            self.old, self.young = self.young, Generation()
         young, old = self.young, self.old
-        missing = [u for u in units if u not in young]
-        new = [u for u in missing if u not in old]
-        for i in range(0, len(new), 20_000):
-            for u, unit in zip(new[i : i + 20_000], self._made(new[i : i + 20_000]), strict=True):
-                young[u] = unit
-        for u in missing:
-            if u not in young:
-                young[u] = old[u]
-            x = young[u]
-            self.held += 4 * len(u) + len(x.groups) + len(x.links) + ENTRY
+        missing = [u for u in words if u not in young.place]
+        again = [u for u in missing if u in old.place]
+        if again:
+            young.add(again, old.whole().some(np.fromiter(map(old.place.__getitem__, again), np.int64, len(again))))
+        new = [u for u in missing if u not in old.place] if again else missing
+        plain = [u for u in new if self.simple is not None and self.simple.fullmatch(u)]
+        for i in range(0, len(plain), 4000):
+            part = plain[i : i + 4000]
+            young.add(part, self._made(part, *self._flat(part)))
+        rest = [u for u in new if self.simple is None or not self.simple.fullmatch(u)]
+        for i in range(0, len(rest), 4000):
+            part = rest[i : i + 4000]
+            ids = [e.ids for e in self.a.encode_batch(part, add_special_tokens=False)], self._ids_b(part)
+            young.add(part, self._made(part, *(np.array([i for x in y for i in x], np.int64) for y in ids), *(np.array([len(x) for x in y], np.int64) for y in ids)))
         return young
 
-    def _made(self, units: list[str]) -> list[Unit]:
-        raw = [u.encode("utf-8", "replace") for u in units]
-        ids_a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-        ids_b = [np.frombuffer(x, "<u4").tolist() for x in self.b.merge_words([u.replace(" ", SPACE) for u in units])]
-        spelt = [b"".join([self.spell_a[i] for i in x]) == r == b"".join([self.spell_b[i] for i in y]) for r, x, y in zip(raw, ids_a, ids_b, strict=True)]
-        good = [i for i, ok in enumerate(spelt) if ok]
-        out = [Unit(False, (0, 0, 0, 0), b"", b"")] * len(units)
-        if not good:
-            return out
-        # the units end to end are one text, whose tokens of both kinds end together where units end
-        flat_a, flat_b = (np.array([t for i in good for t in ids[i]], np.int64) for ids in (ids_a, ids_b))
+    def _made(self, words: list[str], flat_a: np.ndarray, flat_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> Units:
+        raw = [u.encode("utf-8", "replace") for u in words]
+        size = np.array([len(x) for x in raw], np.int64)
+        first_a, first_b = np.r_[0, np.cumsum(n_a)], np.r_[0, np.cumsum(n_b)]
+        total = lambda sizes, first: np.diff(np.r_[0, np.cumsum(sizes)][first])
+        spelt = (total(self.size_a[flat_a], first_a) == size) & (total(self.size_b[flat_b], first_b) == size)
+        whole = b"".join(raw)
+        if not spelt.all() or b"".join([self.spell_a[i] for i in flat_a.tolist()]) != whole or b"".join([self.spell_b[i] for i in flat_b.tolist()]) != whole:
+            for k, r in enumerate(raw):
+                spelt[k] = all(b"".join([s[i] for i in f[first[k] : first[k + 1]].tolist()]) == r for s, f, first in ((self.spell_a, flat_a, first_a), (self.spell_b, flat_b, first_b)))
+            good = np.flatnonzero(spelt)
+            if len(good) < len(words):
+                part = [words[k] for k in good.tolist()]
+                made = self._made(part, _gather(flat_a, first_a, good)[0], _gather(flat_b, first_b, good)[0], n_a[good], n_b[good]) if len(good) else Units()
+                place = np.cumsum(spelt) - 1
+                numbers = np.where(spelt[:, None], made.numbers[place], 0) if len(good) else np.zeros((len(words), 4), np.int64)
+                groups = [made.groups[p] if ok else b"" for p, ok in zip(place.tolist(), spelt.tolist(), strict=True)]
+                return Units(numbers, spelt, made.links, np.r_[0, np.cumsum(numbers[:, 3])], groups)
+        # units end to end are one text, in which tokens of both kinds end together where units end
         end_a, end_b = np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b])
         start_a, start_b = end_a - self.size_a[flat_a], end_b - self.size_b[flat_b]
         lo, hi = np.searchsorted(end_b, start_a, side="right"), np.searchsorted(start_b, end_a, side="left")
@@ -137,30 +228,35 @@ class Aligner:
         linked = lo[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
         links = (flat_a[of].astype("<u8") << np.uint64(32)) | flat_b[linked].astype("<u8")
         cuts = np.intersect1d(end_a, end_b, assume_unique=True)
-        cut_a, cut_b = np.searchsorted(end_a, cuts).tolist(), np.searchsorted(end_b, cuts).tolist()
-        text_a, text_b = ([self.digits[t] for t in x.tolist()] for x in (flat_a, flat_b))
-        groups, a, b = [], 0, 0
-        for i, j in zip(cut_a, cut_b, strict=True):
-            groups.append(b",".join(text_a[a : i + 1]) + b"|" + b",".join(text_b[b : j + 1]))
-            a, b = i + 1, j + 1
-        ends = np.cumsum([len(raw[i]) for i in good])
-        of_a, of_b, of_g = (np.r_[0, np.searchsorted(x, ends, side="right")].tolist() for x in (end_a, end_b, cuts))
-        of_l = np.r_[0, np.cumsum(n)][of_a].tolist()
-        flat = links.tobytes()
-        for k, i in enumerate(good):
-            numbers = of_a[k + 1] - of_a[k], of_b[k + 1] - of_b[k], of_g[k + 1] - of_g[k], of_l[k + 1] - of_l[k]
-            out[i] = Unit(True, numbers, b";".join(groups[of_g[k] : of_g[k + 1]]), flat[8 * of_l[k] : 8 * of_l[k + 1]])
-        return out
-
-    def aligned(self, texts: list[bytes]) -> tuple[list[Unit], list[np.ndarray]]:
+        # both kinds of tokens in the groups' order, each with the sign that follows it
+        side = np.repeat([0, 1], [len(flat_a), len(flat_b)])
+        group = np.r_[np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)]
+        order = np.argsort(2 * group + side, kind="stable")
+        side, group = side[order], group[order]
+        sign = np.where(np.r_[group[1:] != group[:-1], True], 2, np.where(np.r_[side[1:] != side[:-1], True], 1, 0))
+        text = np.empty(2 * len(order), object)
+        text[::2], text[1::2] = self.digits[np.r_[flat_a, flat_b][order]], np.array([b",", b"|", b";"], object)[sign]
+        text = text.tolist()
+        at = (2 * (first_a + first_b)).tolist()
+        groups = [b"".join(text[i : j - 1]) for i, j in zip(at[:-1], at[1:], strict=True)]
+        ends = np.cumsum(size)
+        of_l = np.r_[0, np.cumsum(n)][first_a]
+        numbers = np.stack([n_a, n_b, np.diff(np.r_[0, np.searchsorted(cuts, ends, side="right")]), np.diff(of_l)], axis=1)
+        return Units(numbers, spelt, links, of_l, groups)
+
+    def aligned(self, texts: list[bytes]) -> tuple[Units, list[np.ndarray]]:
         """The distinct units of some texts and each text's units as places among them; texts that tokens don't spell have none."""
         split = [self.units(x.decode("utf-8", "replace")) for x in texts]
-        distinct = list(dict.fromkeys(u for us in split for u in us))
-        young = self.known(distinct)
-        units, place = [young[u] for u in distinct], {u: i for i, u in enumerate(distinct)}
-        bad = {u for u, x in zip(distinct, units, strict=True) if not x.spelt}
+        place = self.young.place
+        flat = [place.get(u) for us in split for u in us]
+        if None in flat or self.young.held > CACHE_BYTES // 2:
+            place = self.known({u for us in split for u in us}).place
+            flat = [place[u] for us in split for u in us]
+        distinct, back = np.unique(np.array(flat, np.int64), return_inverse=True)
+        units = self.young.whole().some(distinct)
+        docs = np.split(back, np.cumsum([len(us) for us in split])[:-1]) if split else []
         none = np.zeros(0, np.int64)
-        return units, [none if bad and not bad.isdisjoint(us) else np.fromiter(map(place.__getitem__, us), np.int64, len(us)) for us in split]
+        return units, docs if units.spelt.all() else [d if units.spelt[d].all() else none for d in docs]
 
 
 _ALIGNERS: dict[tuple, Aligner] = {}
@@ -168,7 +264,7 @@ _ALIGNERS: dict[tuple, Aligner] = {}
 
 def _forget() -> None:
     for x in _ALIGNERS.values():
-        x.young, x.old, x.held = {}, {}, 0
+        x.forget()
 
 
 def aligner(paths: tuple[str, str]) -> Aligner:
@@ -179,24 +275,18 @@ def aligner(paths: tuple[str, str]) -> Aligner:
     return _ALIGNERS[paths]
 
 
-def _ragged(units: list[Unit]) -> tuple[np.ndarray, np.ndarray]:
-    """The links of all units, and where each unit's start."""
-    return np.frombuffer(b"".join([u.links for u in units]), "<u8"), np.r_[0, np.cumsum([len(u.links) // 8 for u in units])].astype(np.int64)
-
-
-def _in_documents(units: list[Unit], docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _in_documents(units: Units, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each distinct pair of each document: the document's place, the pair's place, and how many links it is; and the distinct pairs."""
-    links, starts = _ragged(units)
-    pairs, number = np.unique(links, return_inverse=True)
+    n = len(units.groups)
+    pairs, number = np.unique(units.links, return_inverse=True)
     # how often each document has each unit
-    of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    unit = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    both, times = np.unique(of * len(units) + unit, return_counts=True) if len(units) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    of, unit = both // max(len(units), 1), both % max(len(units), 1)
-    n = np.diff(starts)[unit] if len(unit) else np.zeros(0, np.int64)
-    at = np.repeat(starts[unit] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    key, back = np.unique(np.repeat(of, n) * len(pairs) + number[at], return_inverse=True) if len(at) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    weight = np.bincount(back, np.repeat(times, n), len(key)).astype(np.int64)
+    both = np.repeat(np.arange(len(docs)), [len(d) for d in docs]) * n + (np.concatenate(docs) if docs else np.zeros(0, np.int64))
+    both, times = np.unique(both, return_counts=True)
+    of, unit = both // max(n, 1), both % max(n, 1)
+    found, starts = _gather(number, units.starts, unit)
+    sizes = np.diff(starts)
+    key, back = np.unique(np.repeat(of, sizes) * len(pairs) + found, return_inverse=True)
+    weight = np.bincount(back, np.repeat(times, sizes), len(key)).astype(np.int64)
     return key // max(len(pairs), 1), key % max(len(pairs), 1), weight, pairs
 
 
@@ -388,12 +478,10 @@ def align_tokens(docs: DataFrame, a: str | None = None, b: str | None = None, wi
     return _joined(plain, paths, counts, best, with_groups)
 
 
-def _digests(units: list[Unit], texts: list[np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
+def _digests(units: Units, texts: list[np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
     """n_a, n_b, n_groups and n_links, and the groups, of each text."""
-    numbers = np.array([u.numbers for u in units], np.int64).reshape(-1, 4)
-    groups = [u.groups for u in units]
-    own = np.array([numbers[t].sum(axis=0) for t in texts], np.int64).reshape(-1, 4)
-    return own, [b";".join([groups[i] for i in t.tolist()]) for t in texts]
+    own = np.array([units.numbers[t].sum(axis=0) for t in texts], np.int64).reshape(-1, 4)
+    return own, [b";".join([units.groups[i] for i in t.tolist()]) for t in texts]
 
 
 def _batch(some: pa.RecordBatch, own: np.ndarray, groups: list[bytes], with_groups: bool, **more) -> pa.RecordBatch:
@@ -410,8 +498,7 @@ def _looked_up(docs: DataFrame, paths: tuple, sent, with_groups: bool) -> DataFr
         for batch in batches:
             for some in slices(batch, "text", SLICE):
                 units, texts = own.aligned(as_bytes(some.column("text")))
-                links, starts = _ragged(units)
-                pairs, number = np.unique(links, return_inverse=True)
+                pairs, number = np.unique(units.links, return_inverse=True)
                 n, to = np.zeros(len(pairs), np.int64), _shard(pairs, last + 1)
                 for s, (made, keys, counted) in enumerate(shards):
                     i = np.flatnonzero(to == s)
@@ -421,8 +508,8 @@ def _looked_up(docs: DataFrame, paths: tuple, sent, with_groups: bool) -> DataFr
                 top = most[np.minimum((pairs >> np.uint64(32)).astype(np.int64), len(most) - 1)]
                 is_best = (n > 0) & (n == top)
                 # sums of each unit, then of each text
-                of = np.repeat(np.arange(len(units)), np.diff(starts))
-                sums = [np.bincount(of, x[number], len(units)).astype(np.int64) if len(units) else np.zeros(0, np.int64) for x in (is_best, n)]
+                of = np.repeat(np.arange(len(units.groups)), np.diff(units.starts))
+                sums = [np.bincount(of, x[number], len(units.groups)).astype(np.int64) for x in (is_best, n)]
                 bests, totals = ([int(x[t].sum()) for t in texts] for x in sums)
                 yield _batch(some, *_digests(units, texts), with_groups, n_best=pa.array(bests, pa.int64()), count_sum=pa.array(totals, pa.int64()))
 
