@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.paths import stored
 from .intervals import bin_width, bins
-from .ordering import number_within
+from .ordering import group_medians, number_within
 
 
 def _bit(n: int) -> Column:
@@ -482,8 +483,9 @@ def log2_ratio(depth: DataFrame, min_samples: int = 25, include_x: bool = False,
     """AGG-38: log2 of depth (or rpkm) over the region's exact median over samples; null if fewer than min_samples."""
     value = F.col("rpkm" if use_rpkm else "depth")
     d = (depth if include_x else depth.filter(~F.col("chrom").isin("X", "chrX"))).withColumn("_v", value)
-    med = d.groupBy("region").agg(F.median("_v").alias("m"), F.countDistinct("sample").alias("n"))
-    return d.join(med, "region").select("sample", "region", F.when((F.col("n") >= min_samples) & (F.col("m") > 0) & (F.col("_v") > 0), F.log2(F.col("_v") / F.col("m"))).alias("log2_ratio"))
+    d = stored(d.select("sample", "region", "_v"), "depths")
+    med = group_medians(d, ["region"], "_v").withColumnRenamed("median", "m").join(d.groupBy("region").agg(F.countDistinct("sample").alias("n")), "region")
+    return d.join(med, "region", "left").select("sample", "region", F.when((F.col("n") >= min_samples) & (F.col("m") > 0) & (F.col("_v") > 0), F.log2(F.col("_v") / F.col("m"))).alias("log2_ratio"))
 
 
 def sample_means(ratios: DataFrame) -> DataFrame:
@@ -507,8 +509,12 @@ def call_mean_mad(ratios: DataFrame, calls: DataFrame, value: str = "log2_ratio"
 
 
 def _mean_mad(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    m = rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.median(value).alias("_m"))
-    return rows.join(m, keys).groupBy(*keys).agg(F.any_value("mean").alias("mean"), F.median(F.abs(F.col(value) - F.col("_m"))).alias("mad"))
+    rows = stored(rows.select(*keys, F.col(value).alias("_v")), "deviations")
+    same = lambda: [F.col(k).eqNullSafe(F.col(f"_{k}_of")) for k in keys]
+    of = lambda medians: medians.select(*(F.col(k).alias(f"_{k}_of") for k in keys), F.col("median").alias("_m"))
+    away = rows.join(of(group_medians(rows, keys, "_v")), same()).select(*keys, F.abs(F.col("_v") - F.col("_m")).alias("_d"))
+    means = rows.groupBy(*keys).agg(F.avg("_v").alias("mean"))
+    return means.join(of(group_medians(away, keys, "_d")), same(), "left").select(*keys, "mean", F.col("_m").alias("mad"))
 
 
 def reference_gc(sequences: DataFrame, window: int, column: str = "seq", targets: DataFrame | None = None) -> DataFrame:

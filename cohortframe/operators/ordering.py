@@ -57,3 +57,26 @@ def with_place(ordered: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("_part", before.alias("_before"))
     return held.withColumn("_part", part).join(F.broadcast(counts), "_part").withColumn("place", F.col("_before") + within + 1).drop("_id", "_part", "_before")
+
+
+def group_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys and median, the exact median of each group's values (null ones aside): the middle one, or the mean of the middle two.
+
+    Equal values are counted first, then range-partitioned by keys and value. Counts a partition and group say which partitions hold a
+    group's middle ranks, and only those are looked into; so neither a group nor a frequent value is gathered in a task."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
+    parted = _parted(counted, *keys, "_value")
+    by_group = Window.partitionBy(*(f"_k{i}" for i in range(len(keys))))
+    sums = parted.groupBy(F.col("_part").alias("_p"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.sum("_n").alias("_s"))
+    before = F.coalesce(F.sum("_s").over(by_group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("_before", before).withColumn("_all", F.sum("_s").over(by_group))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    middle = stored(sums.withColumn("_low", low).withColumn("_high", high).filter("_before < _high and _before + _s >= _low"), "middle")
+    met = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        met = met & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    near = parted.join(middle, met)
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_part", *keys).orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    near = near.withColumn("_upto", upto)
+    at = lambda rank: F.max(F.when((F.col("_upto") >= F.col(rank)) & (F.col("_upto") - F.col("_n") < F.col(rank)), F.col("_value")))
+    return near.groupBy(*keys).agg(((at("_low") + at("_high")) / 2).alias("median"))

@@ -100,13 +100,33 @@ def _polled(v):
     """New lists in a folder, taken by a stream and reconciled with what is known of every eleventh file's absence."""
     folder, check, out = (new_dir(v.spark, f"poll-{x}") for x in ("in", "check", "out"))
     v.files.filter("file_id % 13 <> 0").select("path").write.text(folder)
-    known = v.files.filter("file_id % 11 <> 0").select(F.array("path").alias("paths"), "withdrawn")
-    t.poll_source(v.spark, folder, check, known, out)
-    return v.spark.read.schema("key string, what string, withdrawn boolean").parquet(f"{out}/*").groupBy("what", "withdrawn").agg(F.count("*").alias("n"))
+    known = v.files.filter("file_id % 11 <> 0").select(F.lit("").alias("source"), "path", "withdrawn")
+    t.poll_source(v.spark, folder, check, out, known, r"()[^/]*$")
+    return t.polled_changes(v.spark, out).groupBy("what", "withdrawn").agg(F.count("*").alias("n"))
 
 
 add("STR-1_poll_source", _polled,
     """, x AS (SELECT CASE WHEN file_id % 11 = 0 THEN 'new' WHEN file_id % 13 = 0 THEN CASE WHEN withdrawn THEN 'still withdrawn' ELSE 'withdrawn' END WHEN withdrawn THEN 'returned' ELSE 'kept' END AS what, file_id % 13 = 0 AS withdrawn FROM files WHERE NOT (file_id % 11 = 0 AND file_id % 13 = 0)) SELECT what, withdrawn, count(*) AS n FROM x GROUP BY 1, 2""")
+
+
+def _polled_thrice(v):
+    """Three arrivals of lists: four sources; three more; then a rewritten list, an unchanged one, and one of an earlier version. Each is taken a file a batch."""
+    folder, check, out = (new_dir(v.spark, f"poll-{x}") for x in ("in", "check", "out"))
+    of = v.files.select((F.col("file_id") % 7).alias("source"), "file_id", "path")
+    arrivals = [
+        [(of.filter("source < 4 and file_id % 11 <> 0"), 1)],
+        [(of.filter("source >= 4"), 1)],
+        [(of.filter("source = 0 and file_id % 13 <> 0"), 2), (of.filter("source = 4"), 2), (of.filter("source = 1 and file_id % 2 = 0"), 0)],
+    ]
+    for lists in arrivals:
+        for rows, version in lists:
+            rows.repartition(7, "source").withColumn("version", F.lit(version)).select("source", "version", "path").write.mode("append").partitionBy("source", "version").text(folder)
+        t.poll_source(v.spark, folder, check, out, named=r"source=([^/]+)/version=(\d+)/[^/]+$", most_files=1)
+    return t.polled_elements(v.spark, out).select(F.col("source").cast("long").alias("source"), "path", "withdrawn")
+
+
+add("STR-1_poll_three_batches", _polled_thrice,
+    "SELECT CAST(file_id % 7 AS BIGINT) AS source, path, file_id % 7 = 0 AND file_id % 13 = 0 AS withdrawn FROM files WHERE CASE WHEN file_id % 7 = 0 THEN file_id % 11 <> 0 OR file_id % 13 <> 0 WHEN file_id % 7 < 4 THEN file_id % 11 <> 0 ELSE true END")
 REPEATS = ", l AS (SELECT event_id, subject, message, lag(message) OVER (PARTITION BY subject ORDER BY ts, event_id) AS p FROM messages) SELECT event_id, subject, message FROM l WHERE p IS NULL OR p <> message"
 add("STR-2_suppress_repeats", lambda v: t.suppress_repeats(v.messages).select("event_id", "subject", "message"), REPEATS)
 

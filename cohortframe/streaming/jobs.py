@@ -11,12 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.sets import reconcile_elements
+from ..sources.paths import stored
 
 
-def stream_source(spark: SparkSession, folder: str, checkpoint: str, on_batch) -> object:
-    """STR-1: polls a folder of lists (a path a line); each batch's elements go to on_batch(current, batch_id), which reconciles them."""
-    lines = spark.readStream.text(folder).filter("value <> '' and not value like '#%'")
-    return lines.writeStream.foreachBatch(lambda df, i: on_batch(df.select(F.array("value").alias("paths")), i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+#: How a list's file name says which source it belongs to, and which version of its list it is: `name` or `name@version`.
+NAMED = r"([^/@]+)(?:@(\d+))?$"
+SNAPSHOT = {"lists": "source string, version long, address string", "elements": "source string, path string, withdrawn boolean", "changes": "source string, path string, what string, withdrawn boolean"}
+
+
+def stream_source(spark: SparkSession, folder: str, checkpoint: str, on_batch, named: str = NAMED, most_files: int | None = None) -> object:
+    """STR-1: polls a folder of lists (a path a line) and hands each batch's lines (source, version, path; null for a comment or an
+    empty line, by which a list without elements is seen) to on_batch(lines, batch_id)."""
+    reader = spark.readStream.option("recursiveFileLookup", True)
+    lines = (reader.option("maxFilesPerTrigger", most_files) if most_files else reader).text(folder)
+    file = F.col("_metadata.file_path")
+    version = F.coalesce(F.nullif(F.regexp_extract(file, named, 2), F.lit("")).cast("long"), F.lit(0).cast("long")) if "(" in named.partition(")")[2] else F.lit(0).cast("long")
+    path = F.when((F.col("value") != "") & ~F.col("value").startswith("#"), F.col("value"))
+    rows = lines.select(F.regexp_extract(file, named, 1).alias("source"), version.alias("version"), path.alias("path"))
+    return rows.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def source_changed(previous: DataFrame, current: DataFrame) -> DataFrame:
@@ -24,14 +36,71 @@ def source_changed(previous: DataFrame, current: DataFrame) -> DataFrame:
     return reconcile_elements(previous, current).filter("what not in ('kept', 'still withdrawn')")
 
 
-def poll_source(spark: SparkSession, folder: str, checkpoint: str, known: DataFrame, target: str) -> None:
-    """STR-1: takes what is new in a folder of lists and writes, a subfolder a batch of target, how its elements reconcile with the known
-    ones (paths, withdrawn). A batch that is run again writes the same subfolder."""
-
-    def reconcile(current: DataFrame, batch_id: int) -> None:
-        reconcile_elements(known, current).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-
-    stream_source(spark, folder, checkpoint, reconcile).awaitTermination()
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _last_batch(spark: SparkSession, target: str) -> int | None:
+    """The last batch whose snapshot is whole: that of the greatest marker."""
+    fs, p = _hadoop(spark, f"{target}/done")
+    return max((int(x.getPath().getName()) for x in fs.listStatus(p)), default=None) if fs.exists(p) else None
+
+
+def _snapshot(spark: SparkSession, target: str, what: str) -> DataFrame:
+    last = _last_batch(spark, target)
+    return spark.createDataFrame([], SNAPSHOT[what]) if last is None else spark.read.schema(SNAPSHOT[what]).parquet(f"{target}/{what}/batch={last}")
+
+
+def polled_elements(spark: SparkSession, target: str) -> DataFrame:
+    """STR-1: the elements of all lists polled so far: source, path, withdrawn."""
+    return _snapshot(spark, target, "elements")
+
+
+def polled_changes(spark: SparkSession, target: str) -> DataFrame:
+    """STR-1: what each batch did to the elements of the lists that it brought: batch, source, path, what, withdrawn."""
+    return spark.read.schema(SNAPSHOT["changes"] + ", batch int").parquet(f"{target}/changes")
+
+
+def take_lists(spark: SparkSession, lines: DataFrame, batch_id: int, target: str, known: DataFrame | None = None) -> None:
+    """STR-1: brings the versioned element table at target up to date with a batch of lists (source, version, path).
+
+    Elements belong to their source's list. A list with the content that its source last had, or of a version that isn't later, changes nothing; a
+    later one withdraws what it no longer names and returns what it names again; lists that no file of the batch
+    belongs to are left alone. A snapshot of lists and elements is written for the batch, and becomes the current one by its marker, written
+    last; a batch that comes again after its marker changes nothing. known has elements from before the first batch."""
+    last = _last_batch(spark, target)
+    if last is not None and last >= batch_id:
+        return
+    lists = _snapshot(spark, target, "lists")
+    elements = known.select("source", "path", "withdrawn") if last is None and known is not None else _snapshot(spark, target, "elements")
+    latest = lines.groupBy("source").agg(F.max("version").alias("version"))
+    arrived = stored(lines.join(latest, ["source", "version"]).distinct(), "arrived")
+    # the address doesn't depend on the lines' order, and no list is gathered for it
+    parts = [F.sum(F.xxhash64("path", F.lit(i)).cast("decimal(38,0)")).cast("string") for i in (1, 2)]
+    now = arrived.groupBy("source", "version").agg(F.concat_ws(".", F.count("path").cast("string"), *parts).alias("address"))
+    before = lists.toDF("source", "_version", "_address")
+    new = stored(now.join(before, "source", "left").filter("_version is null or version > _version"), "new-lists")
+    other = new.filter("_address is null or address <> _address").select("source")
+    current = arrived.filter("path is not null").join(other, "source", "left_semi").select("source", "path", F.lit(True).alias("_now"))
+    mine = elements.join(other, "source", "left_semi").withColumnRenamed("withdrawn", "_was")
+    what = F.when(F.col("_was").isNull(), "new").when(F.col("_now").isNull(), F.when(F.col("_was"), "still withdrawn").otherwise("withdrawn")).when(F.col("_was"), "returned").otherwise("kept")
+    met = stored(mine.join(current, ["source", "path"], "full_outer").select("source", "path", what.alias("what"), F.col("_now").isNull().alias("withdrawn")), "reconciled")
+    kept_lists = lists.join(new, "source", "left_anti").unionByName(new.select("source", "version", "address"))
+    kept_elements = elements.join(other, "source", "left_anti").unionByName(met.select("source", "path", "withdrawn"))
+    for name, df in (("lists", kept_lists), ("elements", kept_elements), ("changes", met)):
+        df.write.mode("overwrite").parquet(f"{target}/{name}/batch={batch_id}")
+    fs, marker = _hadoop(spark, f"{target}/done/{batch_id}")
+    fs.create(marker, True).close()
+    for name in ("lists", "elements"):  # the one before stays for readers that have begun
+        for x in fs.listStatus(marker.getParent().getParent().suffix(f"/{name}")):
+            if int(x.getPath().getName().partition("=")[2]) < (last if last is not None else batch_id):
+                fs.delete(x.getPath(), True)
+
+
+def poll_source(spark: SparkSession, folder: str, checkpoint: str, target: str, known: DataFrame | None = None, named: str = NAMED, most_files: int | None = None) -> None:
+    """STR-1: takes all lists that are new in a folder into the element table at target, and ends; a later call goes on where this one ended."""
+    stream_source(spark, folder, checkpoint, lambda lines, i: take_lists(spark, lines, i, target, known), named, most_files).awaitTermination()
 
 
 def suppress_repeats(events: DataFrame, subject: str = "subject", message: str = "message", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
