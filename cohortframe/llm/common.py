@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -85,10 +87,13 @@ def keep_cache(owner: str, empty: Callable[[], None]) -> None:
 
 
 def only_cache(owner: str | None) -> None:
-    """At the start of a task: a worker that lives on lets go of what other operators remembered there."""
+    """At the start of a task: a worker that lives on lets go of what other operators remembered there, and of memory freed since."""
     for name, empty in _CACHES.items():
         if name != owner:
             empty()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can give freed memory back
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -38,12 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, free_name, only_cache, slices, smaller_batches, stored
+from .common import as_bytes, free_name, only_cache, released, slices, smaller_batches, stored
 from .components import components
 
 WORDS, KEEP, COMMON, RARE_LISTS, COMMON_LISTS = 5, 96, 32, 40, 16
 #: Members and values of sets of a block, about, at most.
 MEMBERS, VALUES, STRIP = 2048, 1 << 18, 512
+#: Values whose occurrence in a block is compared at once.
+COLUMNS = 256
 #: Classes whose tables are one task's work.
 ROWS_A_TASK = 20_000
 #: Rows up to which a table of keys is broadcast; beyond it the join is shuffled.
@@ -291,14 +293,19 @@ def block_links(entries: DataFrame, sets: DataFrame, percent: int, tasks: int) -
         _, place, often = np.unique(values, return_inverse=True, return_counts=True)
         number = np.cumsum(often > 1) - 1
         kept = often[place] > 1
-        row, place = np.repeat(np.arange(len(n), dtype=np.int32), np.diff(ends))[kept], number[place[kept]].astype(np.int32)
-        total = int(number[-1]) + 1 if len(number) else 0
+        # rows of one block first, those of the other behind them, so that either is a view of what is filled
+        turn = np.zeros(len(n), np.int32)
+        turn[left if i == j else np.r_[left, right]] = np.arange(len(n), dtype=np.int32)
+        row, place = np.repeat(turn, np.diff(ends))[kept], number[place[kept]].astype(np.int32)
+        by_place = np.argsort(place, kind="stable")
+        row, place = row[by_place], place[by_place]
+        total = int(place[-1]) + 1 if len(place) else 0
         shared = np.zeros((len(left), len(right)), np.float32)
-        for a in range(0, total, 2048):
-            part = (place >= a) & (place < a + 2048)
-            seen = np.zeros((len(n), 2048), np.float32)
-            seen[row[part], place[part] - a] = 1
-            shared += seen[left] @ seen[right].T if i != j else seen @ seen.T
+        for a in range(0, total, COLUMNS):
+            x, y = np.searchsorted(place, (a, a + COLUMNS))
+            seen = np.zeros((len(n), COLUMNS), np.float32)
+            seen[row[x:y], place[x:y] - a] = 1
+            shared += seen[: len(left)] @ (seen[len(left) :] if i != j else seen).T
         upper = group.column("upper").to_numpy(zero_copy_only=False)
         found = [np.zeros((2, 0), np.int64)]
         for a in range(0, len(left), STRIP):
@@ -325,6 +332,7 @@ def linked_classes(classes: DataFrame, docs: DataFrame, percent: int, rounds: in
     marked, sent = _with_common(classes, stored(counts.coalesce(tasks), "common"))
     links = verified(stored(rare_pairs(marked, sent, percent).coalesce(tasks), "pairs"), classes, docs, percent)
     labels = stored(components(links), "labels").toDF("key", "comp")
+    released(classes.sparkSession)  # broadcast keys as well as shuffles
     entries = stored(list_entries(marked, sent, rare=False).coalesce(tasks), "common-lists")
     if entries.isEmpty():
         return labels
@@ -336,6 +344,7 @@ def linked_classes(classes: DataFrame, docs: DataFrame, percent: int, rounds: in
         found = stored(linked(leader_pairs(labelled, r, percent, tasks), sets, percent).coalesce(tasks), "verified")
         if not found.isEmpty():
             labels = relabelled(labels, found)
+        released(classes.sparkSession)
     labelled = stored(_labelled(entries, labels).coalesce(tasks), "labelled")
     found = stored(block_links(labelled, sets, percent, tasks), "verified")
     return labels if found.isEmpty() else relabelled(labels, found)
