@@ -118,30 +118,6 @@ def merge_sites_with_genotypes(sites: DataFrame, genotypes: DataFrame) -> DataFr
     return both.select("chrom", "pos", "ref", "alt", F.when(F.coalesce(whole, F.lit(False)), F.col("qual")).otherwise(F.raise_error(F.lit("site and genotype don't match")).cast("int")).alias("qual"), "gt")
 
 
-def merge_samples(genotypes: DataFrame) -> DataFrame:
-    """JON-12: sites (chrom, pos, ref) of all call sets as one matrix row each: alts, the alternative alleles of all sets, sorted, and calls, a
-    map of sample to genotype with its alleles numbered by alts.
-
-    genotypes: chrom, pos, ref, alt (comma-separated), sample, gt. Of a sample
-    called twice at a site the greater genotype text counts. No join: a site's
-    calls are merged where they meet, and numbers of alleles are looked up in
-    the row. Samples that a site lacks are filled in by `matrix_rows`."""
-    each = F.split("alt", ",")
-    g = genotypes.groupBy("chrom", "pos", "ref").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(each)))).alias("alts"), F.collect_set(F.struct("sample", each.alias("own"), "gt")).alias("_c"))
-    number = lambda c, alts: lambda x: F.when(~x.rlike(r"^[1-9]\d*$"), x).otherwise(F.array_position(alts, F.get(c["own"], x.cast("int") - 1)).cast("string"))
-    numbered = lambda c, alts: F.transform(F.split(c["gt"], "[/|]"), number(c, alts))
-    renumbered = lambda c, alts: F.when(c["gt"].contains("|"), F.array_join(numbered(c, alts), "|")).otherwise(F.array_join(numbered(c, alts), "/"))
-    pairs = F.transform("_c", lambda c: F.struct(c["sample"].alias("s"), renumbered(c, F.col("alts")).alias("g")))
-    last = F.aggregate(F.array_sort(pairs), F.expr("map()").cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["s"]), F.map_from_arrays(F.array(p["s"]), F.array(p["g"]))))
-    return g.select("chrom", "pos", "ref", "alts", last.alias("calls"))
-
-
-def matrix_rows(merged: DataFrame, samples: list[str]) -> DataFrame:
-    """JON-12: chrom, pos, ref, alt and gts, the genotypes of the given samples in their order, './.' where a site has none."""
-    gts = F.transform(text_array(samples), lambda s: F.coalesce(F.try_element_at("calls", s), F.lit("./.")))
-    return merged.select("chrom", "pos", "ref", F.array_join("alts", ",").alias("alt"), gts.alias("gts"))
-
-
 def control_first(files: DataFrame, group: str, key: str, pattern: str) -> DataFrame:
     """JON-13: files of each group numbered with its control first (the first by path that matches), then by path; error where there is none."""
     is_control = F.col(key).cast("string").rlike(pattern)
@@ -179,17 +155,6 @@ def assign_sex(files: DataFrame, table: DataFrame, assumed: str | None = None) -
     return out.withColumn("sex", F.when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("no sex for "), F.col("sample"))).cast("string"))).drop("_t")
 
 
-def pairwise_discordance(genotypes: DataFrame) -> DataFrame:
-    """JON-17: each pair of samples with shared sites: sites, discordant ones and the average least depth.
-
-    Sites are joined with themselves by (chrom, pos): a site's pairs are bounded by its samples, and counts are merged before they move."""
-    a = genotypes.select("chrom", "pos", F.col("sample").alias("sample_a"), F.col("gt").alias("gt_a"), F.col("dp").alias("dp_a"))
-    b = genotypes.select("chrom", "pos", F.col("sample").alias("sample_b"), F.col("gt").alias("gt_b"), F.col("dp").alias("dp_b"))
-    met = a.join(b, ["chrom", "pos"]).filter("sample_a < sample_b")
-    out = met.groupBy("sample_a", "sample_b").agg(F.count("*").alias("sites"), F.count_if(F.col("gt_a") != F.col("gt_b")).alias("discordant"), F.avg(F.least("dp_a", "dp_b")).alias("avg_min_depth"))
-    return out.withColumn("type", F.when(F.col("sites") < 100, "fluidigm").otherwise("genotype"))
-
-
 def match_to_panel(query: DataFrame, panel: DataFrame) -> DataFrame:
     """JON-18: concordance, sites and average depth of each query sample against each panel sample."""
     q = query.select("chrom", "pos", F.col("sample").alias("query"), F.col("gt").alias("q_gt"), F.col("dp").alias("q_dp"))

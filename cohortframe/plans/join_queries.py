@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import cohorts as c
 from ..operators import joins as j
 from .book import Book
 
@@ -31,11 +32,11 @@ add("JON-13_merge_samples_control_first", lambda v: j.control_first(v.files.sele
        SELECT path, c IS NOT NULL AS has_control, row_number() OVER (PARTITION BY f.sample ORDER BY coalesce(path = c, false) DESC, path) AS column_no FROM files f JOIN c USING (sample)""")
 add("JON-14_merge_call_sets", lambda v: j.merge_call_sets(v.variants.select("chrom", "pos", "qual", F.lit("gatk").alias("caller")).filter("pos % 2 = 0").unionByName(v.variants.select("chrom", "pos", (F.col("qual") + 100).alias("qual"), F.lit("samtools").alias("caller"))), ["gatk", "samtools"]),
     "SELECT chrom, pos, CASE WHEN pos % 2 = 0 THEN 'gatk' ELSE 'samtools' END AS caller, CASE WHEN pos % 2 = 0 THEN qual ELSE qual + 100 END AS qual FROM variants")
-add("JON-15_sample_region_ploidy", lambda v: j.sample_region_ploidy(v.sequences.filter("idx <= 4").select(F.col("sn").alias("chrom"), F.lit(1).alias("from"), F.col("ln").alias("to"), (F.col("idx") % 2).alias("male"), (F.col("idx") % 3).alias("female")), v.samples.select("sample", F.when(F.col("gender") == "Female", "F").when(F.col("gender") == "male", "M").alias("sex"))),
-    """, x AS (SELECT sample, sn AS chrom, 1 AS "from", ln AS "to", CASE WHEN gender = 'Female' THEN idx % 3 ELSE idx % 2 END AS ploidy FROM samples, sequences WHERE idx <= 4) SELECT * FROM x WHERE ploidy > 0""")
+add("JON-15_sample_region_ploidy", lambda v: j.sample_region_ploidy(v.sequences.select(F.col("sn").alias("chrom"), F.lit(1).alias("from"), F.col("ln").alias("to"), (F.col("idx") % 2).alias("male"), (F.col("idx") % 3).alias("female")), v.samples.select("sample", F.when(F.col("gender") == "Female", "F").when(F.col("gender") == "male", "M").alias("sex"))),
+    """, x AS (SELECT sample, sn AS chrom, 1 AS "from", ln AS "to", CASE WHEN gender = 'Female' THEN idx % 3 ELSE idx % 2 END AS ploidy FROM samples, sequences) SELECT * FROM x WHERE ploidy > 0""")
 add("JON-16_assign_sex", lambda v: j.assign_sex(v.files.select("file_id", "sample", F.when(F.col("file_id") % 5 == 0, "X").alias("sex")), v.samples.select("sample", F.col("gender").alias("sex")), "M"),
     "SELECT file_id, f.sample, coalesce(CASE WHEN file_id % 5 = 0 THEN 'X' END, gender, 'M') AS sex FROM files f LEFT JOIN samples s USING (sample)")
-add("JON-17_pairwise_discordance", lambda v: j.pairwise_discordance(v.genotypes).withColumn("avg_min_depth", F.round("avg_min_depth", 4)),
+add("JON-17_pairwise_discordance", lambda v: c.pairwise_discordance(v.genotypes).withColumn("avg_min_depth", F.round("avg_min_depth", 4)),
     """SELECT a.sample AS sample_a, b.sample AS sample_b, count(*) AS sites, count(*) FILTER (a.gt <> b.gt) AS discordant, round(avg(least(a.dp, b.dp)), 4) AS avg_min_depth, CASE WHEN count(*) < 100 THEN 'fluidigm' ELSE 'genotype' END AS type
        FROM genotypes a JOIN genotypes b ON a.chrom = b.chrom AND a.pos = b.pos AND a.sample < b.sample GROUP BY a.sample, b.sample""")
 add("JON-18_match_to_panel", lambda v: j.match_to_panel(v.genotypes.filter("sample in ('s1', 's2')"), v.genotypes.filter("sample not in ('s1', 's2')")).select("query", "panel_sample", "sites", F.round("concordance", 6).alias("concordance"), F.round("avg_depth", 4).alias("avg_depth")),
@@ -81,12 +82,16 @@ CALLS = """g AS (SELECT chrom, pos, sample, CASE WHEN pos % 10 = 0 AND sample IN
     a AS (SELECT chrom, pos, ref, unnest(CASE k WHEN 1 THEN ['T', 'C'] WHEN 2 THEN ['G'] ELSE ['C'] END) AS x FROM g), u AS (SELECT chrom, pos, ref, list_sort(list(DISTINCT x)) AS alts FROM a GROUP BY 1, 2, 3),
     c AS (SELECT g.*, alts, list_position(alts, CASE k WHEN 1 THEN 'T' WHEN 2 THEN 'G' ELSE 'C' END) AS n1, list_position(alts, 'C') AS n2 FROM g JOIN u ON u.chrom = g.chrom AND u.pos = g.pos AND u.ref = g.ref),
     r AS (SELECT chrom, pos, ref, sample, alts, CASE WHEN gt = '0/0' THEN gt WHEN gt = '0/1' THEN concat('0/', n1) WHEN k = 1 THEN concat(n1, '|', n2) ELSE concat(n1, '/', n1) END AS gt FROM c)"""
-add("JON-12_merge_samples", lambda v: j.merge_samples(_calls(v)).select("chrom", "pos", "ref", F.array_join("alts", ",").alias("alt"), F.explode("calls").alias("sample", "gt")), f", {CALLS} SELECT chrom, pos, ref, array_to_string(alts, ',') AS alt, sample, gt FROM r")
-_names = lambda v: sorted(x["sample"] for x in v.genotypes.select("sample").distinct().collect())
-add("JON-12_matrix_rows", lambda v: j.matrix_rows(j.merge_samples(_calls(v)), _names(v)).withColumn("gts", F.array_join("gts", " ")),
+def _merged(v, finish):
+    samples = c.sample_dictionary(v.genotypes)
+    return finish(c.merge_samples(_calls(v), samples), samples)
+
+
+add("JON-12_merge_samples", lambda v: _merged(v, c.named_calls).select("chrom", "pos", "ref", F.array_join("alts", ",").alias("alt"), "sample", "gt"), f", {CALLS} SELECT chrom, pos, ref, array_to_string(alts, ',') AS alt, sample, gt FROM r")
+add("JON-12_matrix_rows", lambda v: _merged(v, c.matrix_rows).withColumn("gts", F.array_join("gts", " ")),
     f", {CALLS}, s AS (SELECT DISTINCT sample FROM genotypes), m AS (SELECT u.chrom, u.pos, u.ref, u.alts, s.sample FROM u, s) SELECT m.chrom, m.pos, m.ref, array_to_string(any_value(m.alts), ',') AS alt, string_agg(coalesce(gt, './.'), ' ' ORDER BY m.sample) AS gts FROM m LEFT JOIN r ON r.chrom = m.chrom AND r.pos = m.pos AND r.ref = m.ref AND r.sample = m.sample GROUP BY 1, 2, 3")
-add("JON-15_ploidy_by_sex_list", lambda v: j.sample_region_ploidy(v.sequences.filter("idx <= 4").select(F.col("sn").alias("chrom"), F.lit(1).alias("from"), F.col("ln").alias("to"), (F.col("idx") % 2).alias("male"), (F.col("idx") % 3).alias("female")), v.samples.select("sample", F.lit("M").alias("sex")), sexes=v.samples.filter("sample_id % 2 = 0").select("sample", F.when(F.col("sample_id") % 4 == 0, "F").alias("sex"))),
-    """, x AS (SELECT sample, sn AS chrom, 1 AS "from", ln AS "to", CASE WHEN sample_id % 4 = 0 THEN idx % 3 ELSE idx % 2 END AS ploidy FROM samples, sequences WHERE idx <= 4 AND sample_id % 2 = 0) SELECT * FROM x WHERE ploidy > 0""")
+add("JON-15_ploidy_by_sex_list", lambda v: j.sample_region_ploidy(v.sequences.select(F.col("sn").alias("chrom"), F.lit(1).alias("from"), F.col("ln").alias("to"), (F.col("idx") % 2).alias("male"), (F.col("idx") % 3).alias("female")), v.samples.select("sample", F.lit("M").alias("sex")), sexes=v.samples.filter("sample_id % 2 = 0").select("sample", F.when(F.col("sample_id") % 4 == 0, "F").alias("sex"))),
+    """, x AS (SELECT sample, sn AS chrom, 1 AS "from", ln AS "to", CASE WHEN sample_id % 4 = 0 THEN idx % 3 ELSE idx % 2 END AS ploidy FROM samples, sequences WHERE sample_id % 2 = 0) SELECT * FROM x WHERE ploidy > 0""")
 add("JON-25_profiles_in_tag_order", lambda v: j.merge_profiles(v.genotypes.select(F.col("sample").alias("table"), F.col("chrom").alias("key1"), F.col("pos").alias("key2"), F.concat("sample", F.when(F.col("sample").isin("s3", "s4"), "_ctl").otherwise("_x")).alias("column"), F.col("dp").alias("value")), 12, ["_ctl", "_x"]).select("key1", "key2", F.array_join(F.transform("values", lambda x: F.concat(x["column"], F.lit("="), x["value"].cast("string"))), ",").alias("cells")),
     """SELECT chrom AS key1, pos AS key2, string_agg(concat(sample, CASE WHEN sample IN ('s3', 's4') THEN '_ctl' ELSE '_x' END, '=', dp), ',' ORDER BY CASE WHEN sample IN ('s3', 's4') THEN 0 ELSE 1 END, concat(sample, CASE WHEN sample IN ('s3', 's4') THEN '_ctl' ELSE '_x' END)) AS cells FROM genotypes GROUP BY 1, 2 HAVING count(DISTINCT sample) = 12""")
 _annotation = lambda v, lacking, odd: v.files.select(*(F.when(F.col("file_id") % odd == 0, F.lit("other")).otherwise(F.col("lane")).alias(c) if c == "SYMBOL" else F.col("path").alias(c) for c in j.ANNOTATION_COLUMNS if c != lacking))

@@ -11,7 +11,7 @@ from cohortframe.operators import filters as f
 from cohortframe.operators import graph as g
 from cohortframe.operators import intervals as i
 from cohortframe.operators import joins as j
-from cohortframe.operators import ordering, qc, sets
+from cohortframe.operators import cohorts, ordering, qc, sets
 from cohortframe.operators import windows as w
 from cohortframe.sources import text as t
 
@@ -140,7 +140,8 @@ def test_orders_do_not_gather_a_group(spark):
 
 def test_alternative_alleles_are_joined_and_renumbered(spark):
     calls = spark.createDataFrame([("1", 5, "A", "C", "x", "0/1"), ("1", 5, "A", "G,C", "y", "1|2"), ("1", 5, "AT", "A", "z", "1/1"), ("1", 5, "A", "T", "w", "./.")], "chrom string, pos long, ref string, alt string, sample string, gt string")
-    got = {(r.ref, r.alt): list(r.gts) for r in j.matrix_rows(j.merge_samples(calls), ["w", "x", "y", "z"]).collect()}
+    samples = cohorts.sample_dictionary(calls)
+    got = {(r.ref, r.alt): list(r.gts) for r in cohorts.matrix_rows(cohorts.merge_samples(calls, samples), samples).collect()}
     assert got == {("A", "C,G,T"): ["./.", "0/1", "2|1", "./."], ("AT", "A"): ["./.", "./.", "./.", "1/1"]}
 
 
