@@ -52,6 +52,37 @@ def related(
     return out
 
 
+def nearest_labelled(edges: DataFrame, nodes: DataFrame, start: DataFrame, labels: list[str], most: int = 20) -> DataFrame:
+    """GRF-1 with labels, for all starts (id) at once: start, label, nearest and depth of the nearest node of each label at most `most` steps up
+    (against the edges), the smallest id of several.
+
+    Labelled nodes send (depth, smallest id) down the edges; a node takes the first that comes, the least of its round, and sends that
+    on, so the work is edges times rounds, whatever the number of starts. Starts that have the label themselves, whose own
+    place may hide another's, are walked from one by one by `related`."""
+    own = stored(nodes.filter(F.col("label").isin(labels)).select(F.col("id").alias("node"), "label").distinct(), "labelled")
+    steps = stored(edges.select(F.col("src").alias("f"), F.col("dst").alias("node")).distinct(), "steps")
+    front, given = own.withColumn("nearest", F.col("node")), []
+    seen = own
+    for depth in range(1, most + 1):
+        sent = front.withColumnRenamed("node", "f").join(steps, "f").groupBy("node", "label").agg(F.min("nearest").alias("nearest"))
+        front = stored(sent.join(seen, ["node", "label"], "left_anti"), "front")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front.select("node", "label"))
+        given.append(front.withColumn("depth", F.lit(depth)))
+    asked = start.select(F.col("id").alias("start")).distinct()
+    reached = reduce(DataFrame.unionByName, given) if given else own.withColumn("nearest", F.col("node")).withColumn("depth", F.lit(0)).limit(0)
+    out = asked.join(reached, F.col("start") == F.col("node")).select("start", "label", "nearest", "depth")
+    themselves = stored(asked.join(own, F.col("start") == F.col("node")).select("start", "label"), "themselves")
+    for label in labels:
+        few = themselves.filter(F.col("label") == label).select(F.col("start").alias("id"))
+        if not few.isEmpty():
+            walked = related(edges, few, "in", 1, most, nodes=nodes, label=label)
+            first = walked.groupBy("start").agg(F.min(F.struct("depth", "node")).alias("m"))
+            out = out.unionByName(first.select("start", F.lit(label).alias("label"), F.col("m.node").alias("nearest"), F.col("m.depth").alias("depth")))
+    return out
+
+
 def _of_spec(nodes: DataFrame, label: str, props: dict[str, str] | None) -> DataFrame:
     out = nodes.filter(F.col("label") == label)
     for k, v in (props or {}).items():

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.paths import stored
 from .filters import latest_first
-from .graph import related
+from .graph import nearest_labelled
 
 
 def sequencing_hierarchy(nodes: DataFrame, edges: DataFrame, start: DataFrame, only_preferred: bool = False) -> DataFrame:
@@ -18,9 +19,9 @@ def sequencing_hierarchy(nodes: DataFrame, edges: DataFrame, start: DataFrame, o
     nodes: id, label; edges: src, dst, type, preferred. The preferred study of
     the sample counts, the smallest id of several; else, unless only that is
     wanted, its smallest. A start without lane and section has no row."""
-    up = lambda label, of: related(edges, of, "in", 1, 20, nodes=nodes, label=label).groupBy("start").agg(F.min("node").alias("lane"))
-    lanes = up("Lane", start)
-    sections = up("Section", start.join(lanes, F.col("id") == F.col("start"), "left_anti"))
+    above = stored(nearest_labelled(edges, nodes, start, ["Lane", "Section"]), "above")
+    lanes = above.filter("label = 'Lane'").select("start", F.col("nearest").alias("lane"))
+    sections = above.filter("label = 'Section'").select("start", F.col("nearest").alias("lane")).join(lanes.select("start"), "start", "left_anti")
     to = lambda kind, src, dst: edges.filter(F.col("type") == kind).groupBy(F.col("dst").alias(dst)).agg(F.min("src").alias(src))
     sequenced = lanes.join(to("sequenced", "library", "lane"), "lane").join(to("prepared", "sample", "library"), "library")
     placed = sections.join(to("section", "library", "lane"), "lane").join(to("placed", "sample", "lane"), "lane")

@@ -80,3 +80,22 @@ def test_no_whole_group_median_in_the_library():
     from cohortframe.operators import aggregates
 
     assert "F.median" not in inspect.getsource(aggregates)
+
+
+def test_nearest_labelled_is_what_walks_find(spark):
+    """Against a walk from each start: random graphs with cycles, several labels, starts that are labelled themselves."""
+    import random
+
+    from cohortframe.operators import graph
+
+    rng = random.Random(5)
+    names = [f"n{i}" for i in range(60)]
+    nodes = spark.createDataFrame([(n, rng.choice(["Lane", "Section", "File", "File", "File"]), {}) for n in names], "id string, label string, props map<string,string>")
+    edges = spark.createDataFrame([(rng.choice(names), rng.choice(names), "x") for _ in range(90)], "src string, dst string, type string")
+    start = nodes.select("id")
+    got = {(r.start, r.label): (r.depth, r.nearest) for r in graph.nearest_labelled(edges, nodes, start, ["Lane", "Section"], 8).collect()}
+    want = {}
+    for label in ("Lane", "Section"):
+        for r in graph.related(edges, start, "in", 1, 8, nodes=nodes, label=label).collect():
+            want[r.start, label] = min(want.get((r.start, label), (99, "")), (r.depth, r.node))
+    assert got == want
