@@ -51,6 +51,7 @@ def reads_to_regions(reads: DataFrame, regions: DataFrame, include_mate: bool =
     return own.unionByName(mate).distinct()
 
 
+#: Fixed value: names of sequences that are no chromosomes.
 NON_CHROMOSOMAL = r"^(?:N[TC]_\d+|GL\d+|hs\S+)"
 
 
