@@ -7,6 +7,9 @@ texts turns it into finite features, and one-versus-rest kernel ridge
 regression is solved on them. Texts are scored in blocks: a presence matrix
 times the landmark matrix times the weights.
 
+Landmarks are dealt evenly among the languages, and their number grows with
+that of the languages; the sample's bytes are bounded over all languages.
+
 Cases: null text and text without a letter give `und` with score 1; an empty
 table gives no rows; without training rows every other text gives `und`
 with score 0; equal outputs go to the alphabetically first language; repeated
@@ -43,16 +46,31 @@ def presence(texts: list[str]) -> np.ndarray:
     return seen.astype(np.float32)
 
 
+def landmark_rows(of: np.ndarray, classes: int, landmarks: int) -> list[int]:
+    """Which rows are landmarks, of rows with class numbers `of`: as near as can be the same number of each class, spread over its rows."""
+    order = np.argsort(of, kind="stable")
+    ends = np.r_[0, np.cumsum(np.bincount(of, minlength=classes))]
+    own = [order[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    quota = np.zeros(classes, np.int64)
+    while quota.sum() < min(landmarks, len(of)):
+        left = min(landmarks, len(of)) - quota.sum()
+        open_ones = np.flatnonzero(quota < np.diff(ends))
+        quota[open_ones[:left] if left < len(open_ones) else open_ones] += 1
+    return sorted(int(rows[k * len(rows) // q]) for rows, q in zip(own, quota, strict=True) for k in range(q))
+
+
 class KernelModel:
     """Landmarks and weights; texts to language and score."""
 
     def __init__(self, texts: list[str], labels: list[str], landmarks: int = 128, ridge: float = 1e-3):
+        """Texts in an order of their own; where two languages are equally likely the alphabetically first is taken."""
         self.labels = sorted(set(labels))
         if not texts:
             self.columns = np.zeros(0, np.int64)
             return
-        every = max(1, len(texts) // landmarks)
-        marks = presence(texts[::every][:landmarks])
+        classes, of = np.unique(np.array(labels), return_inverse=True)
+        chosen = landmark_rows(of, len(classes), landmarks)
+        marks = presence([texts[i] for i in chosen])
         self.columns = np.flatnonzero(marks.any(axis=0))
         self.norms = np.sqrt(marks.sum(axis=1))
         self.marks = np.ascontiguousarray(marks[:, self.columns].T)
@@ -60,13 +78,17 @@ class KernelModel:
         values, vectors = np.linalg.eigh(own.astype(np.float64))
         kept = values > 1e-6 * values.max()
         whiten = vectors[:, kept] / np.sqrt(values[kept])
-        z = np.concatenate([self.kernel(texts[i : i + BLOCK]) for i in range(0, len(texts), BLOCK)]).astype(np.float64) @ whiten
-        z = np.hstack([z, np.ones((len(z), 1))])
-        y = np.where(np.array(labels)[:, None] == np.array(self.labels)[None, :], 1.0, -1.0)
-        # classes weigh the same, however common
-        weight = np.sqrt(1 / np.array([labels.count(x) for x in self.labels]))[[self.labels.index(x) for x in labels]][:, None]
-        zw = z * weight
-        solved = np.linalg.solve(zw.T @ zw + ridge * np.eye(z.shape[1]), zw.T @ (y * weight))
+        # normal equations, summed block by block; classes weigh the same, however common
+        weight = 1 / np.bincount(of)[of]
+        square, target = np.zeros((whiten.shape[1] + 1,) * 2), np.zeros((whiten.shape[1] + 1, len(classes)))
+        for i in range(0, len(texts), BLOCK):
+            z = self.kernel(texts[i : i + BLOCK]).astype(np.float64) @ whiten
+            z = np.hstack([z, np.ones((len(z), 1))])
+            y = np.where(of[i : i + BLOCK, None] == np.arange(len(classes))[None, :], 1.0, -1.0)
+            zw = z * weight[i : i + BLOCK, None]
+            square += z.T @ zw
+            target += zw.T @ y
+        solved = np.linalg.solve(square + ridge * np.eye(len(square)), target)
         self.weights = (whiten @ solved[:-1]).astype(np.float32)
         self.bias = solved[-1].astype(np.float32)
 
@@ -88,14 +110,20 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def train_language_model(rows: DataFrame, each: int = 400, landmarks: int = 128, longest: int = 1 << 16) -> KernelModel:
+def train_language_model(rows: DataFrame, each: int = 400, landmarks: int = 128, longest: int = 1 << 16, total: int = 1 << 27, most_rows: int = 100_000, a_class: int = 3, most_landmarks: int = 2048) -> KernelModel:
     """Fits on a bounded sample of rows (doc_id, text, lang): about `each` texts of every language, of at most `longest` bytes each.
 
-    Those bounds are the documented parameters; predictions cover all rows and whole texts."""
+    All languages share `total` bytes and `most_rows` texts: where that many texts of the rows' mean size would be more, each has fewer, at least one.
+    There are `landmarks` of them, or `a_class` a language if that is more, up to `most_landmarks`. Those bounds are the
+    documented parameters; predictions cover all rows and whole texts."""
     wanted = rows.select("doc_id", F.col("text").cast("string").alias("text"), "lang").filter((F.octet_length("text") <= longest) & F.col("text").rlike(r"\p{L}"))
+    sizes = wanted.filter("lang is not null").groupBy("lang").agg(F.avg(F.octet_length("text")).alias("mean"))
+    seen = sizes.agg(F.count("*").alias("classes"), F.sum("mean").alias("bytes")).first()  # bytes: of one text of each language
+    if seen["classes"]:
+        each = max(1, min(each, int(total / max(seen["bytes"], 1.0)), most_rows // seen["classes"]))
     sample = per_class(wanted, "lang", "doc_id", each).toPandas()
     sample = sample.sort_values(["doc_id", "text"])
-    return KernelModel(sample["text"].tolist(), sample["lang"].tolist(), landmarks)
+    return KernelModel(sample["text"].tolist(), sample["lang"].tolist(), max(landmarks, min(most_landmarks, a_class * seen["classes"])))
 
 
 def identify(docs: DataFrame, model: KernelModel, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
