@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as g
 from ..operators import sets as s
-from ..sources.paths import new_dir
+from ..sources.paths import new_dir, stored
 from ..streaming import jobs as t
+from ..streaming.in_order import rocksdb_state
 from .book import Book
 
 QUERIES = Book()
@@ -141,7 +142,30 @@ def _streamed(v, name: str, plan, schema_from) -> object:
     return v.spark.read.schema(stream.schema).parquet(out)
 
 
-add("STR-2_suppress_repeats_stream", lambda v: _streamed(v, "repeats", t.suppress_repeats_stream, v.messages), REPEATS)
+def _shuffled(v, name: str, plan, days: int = 6) -> object:
+    """Runs a stream over the messages in files of some days each, every third of whose rows come a file later, and last
+    an event of a subject of its own, long after all others, so that the watermark passes them."""
+    source, out, check = (new_dir(v.spark, f"{name}-{x}") for x in ("in", "out", "check"))
+    rows = v.messages.withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = rows.agg(F.date_trunc("day", F.min("ts")), F.max("ts")).first()
+    span = lambda: F.floor((F.unix_seconds("ts") - F.lit(int(first.timestamp()))) / (days * 86400)).cast("int")
+    files = (last - first).days // days + 2
+    files = (last - first).days // days + 2
+    held = stored(rows.withColumn("_file", F.greatest(F.lit(0), F.least(F.lit(files - 1), span() + (F.col("event_id") % 3 == 0).cast("int")))), "shuffled")
+    for i in range(files):
+        held.filter(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(source)
+    rows.limit(0).unionByName(v.spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).alias("subject").cast(rows.schema["subject"].dataType), F.lit("end").alias("message"), (F.lit(last) + F.expr(f"interval {4 * days} days")).alias("ts"))).coalesce(1).write.mode("append").parquet(source)
+    stream = plan(v.spark.readStream.option("maxFilesPerTrigger", 1).schema(rows.schema).parquet(source))
+    with rocksdb_state(v.spark):
+        q = stream.writeStream.format("parquet").option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start(out)
+    q.awaitTermination()
+    return v.spark.read.schema(stream.schema).parquet(out).filter("subject <> -1")
+
+
+add("STR-2_suppress_repeats_stream", lambda v: _shuffled(v, "repeats", lambda df: t.suppress_repeats_stream(df, "14 days")), REPEATS)
+IDLE = ", l AS (SELECT event_id, subject, message, ts, lag(message) OVER w AS p, lag(ts) OVER w AS p_ts FROM messages WINDOW w AS (PARTITION BY subject ORDER BY ts, event_id)) SELECT event_id, subject, message FROM l WHERE p IS NULL OR p <> message OR ts - p_ts >= INTERVAL 12 HOUR"
+add("STR-2_suppress_repeats_idle", lambda v: t.suppress_repeats(v.messages, idle="12 hours").select("event_id", "subject", "message"), IDLE)
+add("STR-2_suppress_repeats_idle_stream", lambda v: _shuffled(v, "idle", lambda df: t.suppress_repeats_stream(df, "14 days", "12 hours")), IDLE)
 add("STR-3_log_search", lambda v: t.log_search(v.messages, ["c%", "%rr%"], list(range(50)), "2024-01-01 00:00:00", "2024-01-20 00:00:00").select("event_id"),
     "SELECT event_id FROM messages WHERE (message LIKE 'c%' OR message LIKE '%rr%') AND subject < 50 AND ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-20'")
 _at = lambda df: df.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
@@ -153,3 +177,6 @@ add("STR-4_rolling_step_stats_stream", lambda v: _streamed(v, "rolling", lambda
     ", h AS (SELECT step, date_trunc('hour', ts) AS w FROM step_facts WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM step_facts) - INTERVAL 10 MINUTE) SELECT step, count(DISTINCT w) AS windows FROM h GROUP BY step")
 add("STR-5_throttled_refresh", lambda v: t.throttled_refresh(v.messages).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")),
     "SELECT subject, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, arg_min(event_id, (ts, event_id)) AS event_id FROM messages GROUP BY 1, 2")
+REFRESHES = ", g AS (SELECT subject, min((ts, event_id)) AS e FROM messages GROUP BY subject UNION ALL SELECT g.subject, (SELECT min((m.ts, m.event_id)) FROM messages m WHERE m.subject = g.subject AND m.ts >= g.e[1] + INTERVAL 24 HOUR) FROM g WHERE g.e IS NOT NULL) SELECT m.event_id, m.subject, m.message FROM messages m JOIN g ON g.subject = m.subject AND g.e[2] = m.event_id"
+add("STR-5_refreshes_since_last", lambda v: t.refreshes_since_last(v.messages), REFRESHES)
+add("STR-5_refreshes_stream", lambda v: _shuffled(v, "refreshes", lambda df: t.refreshes_stream(df, late="14 days")), REFRESHES)

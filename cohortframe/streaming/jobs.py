@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.ordering import last_known
 from ..operators.sets import reconcile_elements
 from ..sources.paths import stored
-
+from .in_order import InOrder, judged_in_order, microseconds
 
 #: How a list's file name says which source it belongs to, and which version of its list it is: `name` or `name@version`.
 NAMED = r"([^/@]+)(?:@(\d+))?$"
@@ -103,26 +101,26 @@ def poll_source(spark: SparkSession, folder: str, checkpoint: str, target: str,
     stream_source(spark, folder, checkpoint, lambda lines, i: take_lists(spark, lines, i, target, known), named, most_files).awaitTermination()
 
 
-def suppress_repeats(events: DataFrame, subject: str = "subject", message: str = "message", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """STR-2, batch: messages that differ from their subject's previous one (A, B, A emits three)."""
+def suppress_repeats(events: DataFrame, subject: str = "subject", message: str = "message", order: tuple[str, ...] = ("ts", "event_id"), idle: str | None = None) -> DataFrame:
+    """STR-2, batch: messages that differ from their subject's previous one (A, B, A emits three), or with `idle` come at least
+    that long after it (order's first column being the time)."""
     w = Window.partitionBy(subject).orderBy(*order)
-    return events.withColumn("_p", F.lag(message).over(w)).filter(F.col("_p").isNull() | (F.col("_p") != F.col(message))).drop("_p")
+    passes = F.col("_p").isNull() | (F.col("_p") != F.col(message))
+    if idle:
+        passes = passes | (F.unix_micros(F.col(order[0]).cast("timestamp")) - F.col("_at") >= microseconds(idle))
+    before = events.withColumn("_p", F.lag(message).over(w)).withColumn("_at", F.unix_micros(F.lag(order[0]).over(w).cast("timestamp")) if idle else F.lit(None))
+    return before.filter(passes).drop("_p", "_at")
 
 
-def suppress_repeats_stream(events: DataFrame) -> DataFrame:
-    """STR-2, stream of (event_id, subject, message, ts): one remembered message a subject, in order within a batch."""
+def suppress_repeats_stream(events: DataFrame, late: str = "1 day", idle: str | None = None) -> DataFrame:
+    """STR-2, stream of (event_id, subject, message, ts): as the batch form, whatever batches bring the events in, up to `late`
+    behind the newest; an event is emitted when the watermark has passed it. With `idle` a subject is forgotten that long after its last event."""
+    gap = microseconds(idle) if idle else None
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        last = state.get[0] if state.exists else None
-        keep = []
-        for m in rows["message"]:
-            keep.append(m != last)
-            last = m
-        state.update((last,))
-        yield rows[keep][["event_id", "subject", "message"]]
+    def passes(last: tuple | None, at: int, message: str) -> bool:
+        return last is None or last[1] is None or (message is not None and message != last[1]) or (gap is not None and at - last[0] >= gap)
 
-    return events.groupBy("subject").applyInPandasWithState(step, "event_id long, subject long, message string", "last string", "append", GroupStateTimeout.NoTimeout)
+    return judged_in_order(events, late, InOrder(passes, True, gap))
 
 
 def log_search(events: DataFrame, like: list[str] | None = None, ids: list[int] | None = None, start: str | None = None, stop: str | None = None) -> DataFrame:
@@ -152,3 +150,34 @@ def throttled_refresh(markers: DataFrame, interval: str = "24 hours") -> DataFra
     """STR-5: the first event of each source and interval is the one that refreshes it."""
     g = markers.groupBy("subject", F.window("ts", interval).alias("w")).agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
     return g.select("subject", F.col("w.start").alias("window_start"), "event_id")
+
+
+def refreshes_since_last(markers: DataFrame, interval: str = "24 hours") -> DataFrame:
+    """STR-5, batch: the events (event_id, subject, message) that refresh their source: its first one, then each first one at least
+    the interval after the last refresh.
+
+    Every event points to the one that would refresh next after it; from the first events the
+    pointers lead to all refreshes, and as many as were followed are followed at once in the next round. No
+    source is gathered. Events without a time or subject refresh nothing."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = markers.filter("ts is not null and subject is not null").select("subject", at.alias("at"), "event_id", "message")
+    held = stored(rows, "markers")
+    first = held.groupBy("subject").agg(F.min(F.struct("at", "event_id")).alias("e"))
+    # downwards in time, a question meets the earliest event that isn't earlier than it; events of its time come before it
+    marks = held.select("subject", (-F.col("at")).alias("down"), F.lit(0).alias("kind"), (-F.col("event_id")).alias("_o"), F.struct("at", "event_id").alias("next"), F.lit(None).cast("struct<at:bigint,event_id:bigint>").alias("e"))
+    asked = held.select("subject", (-(F.col("at") + microseconds(interval))).alias("down"), F.lit(1).alias("kind"), (-F.col("event_id")).alias("_o"), F.lit(None).cast("struct<at:bigint,event_id:bigint>").alias("next"), F.struct("at", "event_id").alias("e"))
+    swept = last_known(marks.unionByName(asked), "next", "subject", "down", "kind", "_o").filter("kind = 1 and next is not null")
+    pointers = stored(swept.select("subject", "e", "next").distinct(), "pointers")
+    found = stored(first, "refreshes")
+    while not pointers.isEmpty():
+        found = stored(found.unionByName(found.join(pointers, ["subject", "e"]).select("subject", F.col("next").alias("e"))), "refreshes")
+        pointers = stored(pointers.join(pointers.toDF("subject", "next", "further"), ["subject", "next"]).select("subject", "e", F.col("further").alias("next")), "pointers")
+    chosen = found.select("subject", F.col("e.at").alias("at"), F.col("e.event_id").alias("event_id"))
+    return held.dropDuplicates(["subject", "at", "event_id"]).join(chosen, ["subject", "at", "event_id"], "left_semi").select("event_id", "subject", "message")
+
+
+def refreshes_stream(markers: DataFrame, interval: str = "24 hours", late: str = "1 day") -> DataFrame:
+    """STR-5, stream: as the batch form, whatever batches bring the events in, up to `late` behind the newest; a source is
+    forgotten when the interval after its last refresh is over, since the next event refreshes it anyway."""
+    gap = microseconds(interval)
+    return judged_in_order(markers, late, InOrder(lambda last, at, message: last is None or at - last[0] >= gap, False, gap))

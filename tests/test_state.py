@@ -1,15 +1,18 @@
 """A polled source over several batches, and medians of groups that no task holds."""
 
+import datetime
 import os
+import random
 import statistics
 import tempfile
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cohortframe.operators.aggregates import mean_mad
 from cohortframe.operators.ordering import group_medians
-from cohortframe.streaming import jobs
+from cohortframe.streaming import in_order, jobs
 
 
 def put(folder, name, *lines):
@@ -99,3 +102,80 @@ def test_nearest_labelled_is_what_walks_find(spark):
         for r in graph.related(edges, start, "in", 1, 8, nodes=nodes, label=label).collect():
             want[r.start, label] = min(want.get((r.start, label), (99, "")), (r.depth, r.node))
     assert got == want
+
+
+def streamed(spark, plan, files, schema):
+    base = tempfile.mkdtemp(prefix="spark-")
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = plan(spark.readStream.option("maxFilesPerTrigger", 1).schema(schema).parquet(f"{base}/in"))
+    with in_order.rocksdb_state(spark):
+        q = stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/check").outputMode("append").trigger(availableNow=True).start(f"{base}/out")
+    q.awaitTermination()
+    return sorted((r.subject, r.event_id) for r in spark.read.schema(stream.schema).parquet(f"{base}/out").collect() if r.subject != "end")
+
+
+def test_streams_judge_events_in_order_of_time(spark):
+    """Against plain loops: out of order, ties, nulls, a subject with most events, one event that comes too late, and state that is forgotten."""
+    rng = random.Random(2)
+    start = datetime.datetime(2024, 1, 1)
+    at = lambda hours: start + datetime.timedelta(hours=hours)
+    schema = "event_id long, subject string, message string, ts timestamp"
+    events = [(i, rng.choice(["a", "a", "a", "b", "c"]), rng.choice(["x", "x", "y", None]), at(rng.randint(0, 300) / 2)) for i in range(150)]
+    files = [[e for e in events if e[3] < at(60)], [e for e in events if e[3] >= at(60)]]
+    files[0], moved = [e for e in files[0] if e[3] < at(50) or e[0] % 2], [e for e in files[0] if e[3] >= at(50) and not e[0] % 2]
+    files[1] += moved
+    odd = [(900, None, "x", at(1)), (901, "a", "x", None)]
+    end = [(-1, "end", "end", at(900))]
+    too_late = [(902, "a", "z", at(2)), (903, "end", "end", at(901))]
+    given = [files[0] + odd, files[1], end, too_late]
+    want_repeats, want_refreshes = [], []
+    for s in "abc":
+        last = refreshed = None
+        for e in sorted((e for e in events if e[1] == s), key=lambda e: (e[3], e[0])):
+            if last is None or last[2] is None or (e[2] is not None and e[2] != last[2]) or e[3] - last[3] >= datetime.timedelta(hours=9):
+                want_repeats.append((s, e[0]))
+            last = e
+            if refreshed is None or e[3] - refreshed >= datetime.timedelta(hours=24):
+                want_refreshes.append((s, e[0]))
+                refreshed = e[3]
+    got = streamed(spark, lambda df: jobs.suppress_repeats_stream(df, "120 hours", "9 hours"), given, schema)
+    assert got == sorted(want_repeats)
+    got = streamed(spark, lambda df: jobs.refreshes_stream(df, "24 hours", "120 hours"), given, schema)
+    assert got == sorted(want_refreshes)
+    df = spark.createDataFrame(events + odd, schema)
+    assert sorted((r.subject, r.event_id) for r in jobs.refreshes_since_last(df).collect()) == sorted(want_refreshes)
+    assert sorted((r.subject, r.event_id) for r in jobs.suppress_repeats(df.filter("subject is not null and ts is not null"), idle="9 hours").collect()) == sorted(want_repeats)
+    assert jobs.refreshes_since_last(df.limit(0)).count() == 0
+    assert spark.conf.get(in_order.PROVIDER, None) != in_order.ROCKSDB
+
+
+def test_a_subject_is_forgotten():
+    """The processor by itself: what it remembers goes when the interval is over."""
+
+    class Held:
+        def __init__(self):
+            self.v = None
+
+        exists = lambda self: self.v is not None
+        get = lambda self: self.v
+        update = put = lambda self, v: setattr(self, "v", v)
+        clear = lambda self: setattr(self, "v", None)
+        appendList = lambda self, v: setattr(self, "v", (self.v or []) + v)
+
+    class Handle:
+        timers = []
+        getListState = getValueState = lambda self, *a: Held()
+        registerTimer = lambda self, t: self.timers.append(t)
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    p = in_order.InOrder(lambda last, at, message: True, True, 5_000)
+    p.init(Handle())
+    list(p.handleInputRows(("k",), iter([pd.DataFrame({"at": [3_000, 1_000], "event_id": [1, 2], "message": ["x", None]})]), Now(0)))
+    assert Handle.timers == [1]
+    assert [list(d["event_id"]) for d in p.handleExpiredTimer(("k",), Now(1), None)] == [[2]] and p.waiting.v == [(3_000, 1, "x")] and p.last.v == (1_000, None)
+    assert [list(d["event_id"]) for d in p.handleExpiredTimer(("k",), Now(4), None)] == [[1]] and p.waiting.v is None and p.last.v == (3_000, "x")
+    assert Handle.timers[-1] == 8 and [len(d) for d in p.handleExpiredTimer(("k",), Now(8), None)] == [0] and p.last.v is None
