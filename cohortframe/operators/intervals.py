@@ -139,8 +139,8 @@ def chunk_sites(variants: DataFrame, chunk: int = 100_000, buffer: int = 0) -> D
     return made.groupBy("chrom", F.col("k2").alias("chunk_no")).agg(F.min("from").alias("from"), F.max("to").alias("to"), F.sum("n").alias("n"))
 
 
-def chunk_genome(sequences: DataFrame, size: int = 1_000_000, overlap: int = 0, chroms: list[str] | None = None, ploidy: list[tuple[str, int, int, int, int]] = ()) -> DataFrame:
-    """WIN-4: chrom, from, to, male, female and seq_no. ploidy: (chrom, from, to, male, female), elsewhere 2 and 2.
+def chunk_genome(sequences: DataFrame, size: int = 1_000_000, overlap: int = 0, chroms: list[str] | None = None, ploidy: list[tuple[str, int, int, int, int]] = (), default: tuple[int, int] = (2, 2)) -> DataFrame:
+    """WIN-4, UDF-2: chrom, from, to, male, female and seq_no. ploidy: (chrom, from, to, male, female), elsewhere the default (male, female).
 
     A new chunk begins while its start is before the region's end, so a tail of one base is dropped; size 0 gives a chunk a region."""
     bare = lambda c: F.lower(F.regexp_replace(c, "(?i)^chr(om)?", ""))
@@ -151,16 +151,17 @@ def chunk_genome(sequences: DataFrame, size: int = 1_000_000, overlap: int = 0,
     for c, a, b, m, f in sorted(ploidy):
         by_chrom.setdefault(c.lower().removeprefix("chrom").removeprefix("chr"), []).append((a, b, m, f))
     part = lambda a, b, m, f: F.struct(*(x.cast("long").alias(n) for n, x in zip(("a", "b", "m", "f"), (a, b, m, f), strict=True)))
-    whole = F.array(part(F.lit(1), F.col("ln"), F.lit(2), F.lit(2)))
+    rest = tuple(F.lit(x) for x in default)
+    whole = F.array(part(F.lit(1), F.col("ln"), *rest))
     regions = whole
     for c, rows in by_chrom.items():
         parts, at = [], 1
         for a, b, m, f in rows:
             if a > at:
-                parts.append(part(F.lit(at), F.lit(a - 1), F.lit(2), F.lit(2)))
+                parts.append(part(F.lit(at), F.lit(a - 1), *rest))
             parts.append(part(F.lit(a), F.least(F.lit(b), F.col("ln")), F.lit(m), F.lit(f)))
             at = b + 1
-        tail = F.when(F.col("ln") >= at, F.array(part(F.lit(at), F.col("ln"), F.lit(2), F.lit(2)))).otherwise(F.array().cast("array<struct<a:long,b:long,m:long,f:long>>"))
+        tail = F.when(F.col("ln") >= at, F.array(part(F.lit(at), F.col("ln"), *rest))).otherwise(F.array().cast("array<struct<a:long,b:long,m:long,f:long>>"))
         regions = F.when(F.col("_c") == c, F.concat(F.array(*parts), tail)).otherwise(regions)
     r = kept.select("sn", "idx", F.explode(regions).alias("r")).filter("r.a <= r.b")
     if size:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..operators import intervals as i
+from ..sources.paths import new_dir
+from ..sources.text import read_ploidy
 from .book import Book
 
 QUERIES = Book()
@@ -36,6 +40,21 @@ add("WIN-4_chunk_genome", lambda v: i.chunk_genome(v.sequences, 50_000), f""", {
 add("WIN-4_chunk_genome_ploidy", lambda v: i.chunk_genome(v.sequences, 50_000, 100, ["1", "chr2"], [("1", 10_000, 15_000, 1, 2)]),
     """, p AS (SELECT * FROM (VALUES (1, 'chr1', 1, 9999, 2, 2), (1, 'chr1', 10000, 15000, 1, 2), (1, 'chr1', 15001, 21003, 2, 2), (2, 'chr2', 1, 28004, 2, 2)) t(o, chrom, a, b, male, female))
        SELECT chrom, a AS "from", b AS "to", male, female, row_number() OVER (ORDER BY o, a) AS seq_no FROM p""")
+PLOIDY = {"default": 3, "1": [{"from": 10_000, "to": 15_000, "M": 1}], "chr2": [{"from": 5, "to": 90, "M": 0, "F": 1}]}
+
+
+def _ploidy(v):
+    """The definition written as a JSON text, read back, and applied to every sequence."""
+    path = new_dir(v.spark, "ploidy")
+    v.spark.createDataFrame([(json.dumps(PLOIDY),)], "value string").coalesce(1).write.text(path)
+    ploidy, default = read_ploidy(v.spark, path)
+    return i.chunk_genome(v.sequences, 0, ploidy=ploidy, default=default)
+
+
+add("UDF-2_ploidy_definition", _ploidy,
+    """, p AS (SELECT sn AS chrom, idx, a, least(b, ln) AS b, male, female FROM sequences JOIN (VALUES ('chr1', 1, 9999, 3, 3), ('chr1', 10000, 15000, 1, 3), ('chr1', 15001, 1000000000, 3, 3), ('chr2', 1, 4, 3, 3), ('chr2', 5, 90, 0, 1), ('chr2', 91, 1000000000, 3, 3)) t(c, a, b, male, female) ON sn = c
+        UNION ALL SELECT sn, idx, 1, ln, 3, 3 FROM sequences WHERE sn NOT IN ('chr1', 'chr2'))
+       SELECT chrom, a AS "from", b AS "to", male, female, row_number() OVER (ORDER BY idx, a) AS seq_no FROM p WHERE a <= b""")
 add("JON-35_variants_to_windows", lambda v: i.variants_to_windows(v.variants.withColumn("pos", F.col("pos") % 20000 + 1), v.sequences, 5000),
     """, w AS (SELECT sn, a AS "from", least(a + 4999, ln) AS "to", row_number() OVER (ORDER BY idx, a) AS seq_no FROM sequences, unnest(range(1, ln + 1, 5000)) AS t(a)),
        x AS (SELECT chrom, pos % 20000 + 1 AS pos, ref FROM variants)

@@ -13,8 +13,8 @@ add = QUERIES.add
 
 
 
-add("JON-5_add_to_all_elements", lambda v: j.add_to_all_elements(v.files.select(F.col("file_id").alias("element"), F.array("path").alias("paths")), v.sequences.filter("idx <= 2").select(F.col("sn").alias("path"))).select("element", F.array_join("paths", ",").alias("paths")),
-    "SELECT file_id AS element, concat(path, ',chr1,chr2') AS paths FROM files")
+add("JON-5_add_to_all_elements", lambda v: j.add_to_all_elements(v.files.select(F.col("file_id").alias("element"), F.array("path").alias("paths")), v.sequences.select(F.col("sn").alias("path"))).select("element", F.array_join("paths", ",").alias("paths")),
+    "SELECT file_id AS element, concat(path, ',', (SELECT string_agg(sn, ',' ORDER BY sn) FROM sequences)) AS paths FROM files")
 add("JON-6_enrich_from_warehouse", lambda v: j.enrich_from_warehouse(v.files.select("file_id", "sample"), v.samples, v.samples.filter("sample_id % 5 <> 0").select("sample", F.col("study_id"), F.concat(F.lit("study"), F.col("study_id").cast("string")).alias("study"))
     .unionByName(v.samples.filter("sample_id % 4 = 0").select("sample", F.lit(99).alias("study_id"), F.lit("study99").alias("study"))), 99).select("file_id", "donor", "sex", "study", F.array_join("studies", ",").alias("studies")),
     """, b AS (SELECT sample, study_id, concat('study', study_id) AS study FROM samples WHERE sample_id % 5 <> 0 UNION ALL SELECT sample, 99, 'study99' FROM samples WHERE sample_id % 4 = 0),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -299,6 +301,18 @@ def read_qc_json(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path).select(j.alias("j")).select("j.sample", F.coalesce("j.pass", F.lit(0)).alias("pass"), F.coalesce("j.sample_name_match.matched_sample_name", F.lit("n/a")).alias("matched"))
 
 
+def read_ploidy(spark: SparkSession, path: str) -> tuple[list[tuple[str, int, int, int, int]], tuple[int, int]]:
+    """UDF-2: ploidy and default, as chunk_genome takes them, of a definition in JSON: {"default": 2, "X": [{"from": 1, "to": 60000, "M": 1}]}.
+
+    A region's sex that isn't given has the default, which is 2 where the definition has none. The definition is data and never evaluated."""
+    given = json.loads(spark.read.text(path, wholetext=True).first()["value"])
+    usual = int(given.pop("default", 2))
+    regions = [(c, int(r["from"]), int(r["to"]), int(r.get("M", usual)), int(r.get("F", usual))) for c, rows in given.items() for r in rows]
+    if wrong := [r for r in regions if r[1] < 1 or r[2] < r[1]]:
+        raise ValueError(f"regions that end before they begin, or begin before 1: {wrong}")
+    return regions, (usual, usual)
+
+
 def read_contamination(spark: SparkSession, path: str, columns: int | None = 19, one_row: bool = True) -> DataFrame:
     """SRC-21: seq_id, and VBID_* keys and values of self-match tables; RG and NA go and # becomes N_.
 

@@ -57,6 +57,15 @@ def test_genome_chunks_cover_and_drop_a_tail_of_one_base(spark):
     assert i.chunk_genome(seqs, 0, chroms=["1"]).count() == 1
 
 
+def test_ploidy_definitions(spark, tmp_path):
+    put = lambda text: (tmp_path / "p.json").write_text(text) and str(tmp_path / "p.json")
+    assert t.read_ploidy(spark, put('{"X": [{"from": 1, "to": 60000, "M": 1}, {"from": 70001, "to": 80000, "M": 1}], "Y": [{"from": 1, "to": 9, "M": 1, "F": 0}]}')) == ([("X", 1, 60000, 1, 2), ("X", 70001, 80000, 1, 2), ("Y", 1, 9, 1, 0)], (2, 2))
+    assert t.read_ploidy(spark, put('{"default": 4}')) == ([], (4, 4))
+    for bad in ('{"X": [{"from": 9, "to": 1}]}', '{default => 2}'):
+        with pytest.raises(ValueError):
+            t.read_ploidy(spark, put(bad))
+
+
 def test_cycles_stop(spark):
     files = spark.createDataFrame([(1, 2), (2, 3), (3, None), (4, 5), (5, 4)], "file_id long, moved_to long")
     assert {r.file_id: r.current for r in g.resolve_files(files).collect()} == {1: 3, 2: 3, 3: 3, 4: None, 5: None}
