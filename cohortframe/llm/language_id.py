@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, only_cache, slices, smaller_batches
+from .common import as_bytes, slices, smaller_batches, tidied
 from .samples import per_class
 
 BUCKETS, LONGEST, BLOCK = 1 << 14, 4, 128
@@ -134,7 +134,6 @@ def identify(docs: DataFrame, model: KernelModel, names: tuple[str, str] = ("lan
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_cache(None)
         own = sent.value
         for batch in batches:
             for part in slices(batch, "text"):
@@ -150,7 +149,7 @@ def identify(docs: DataFrame, model: KernelModel, names: tuple[str, str] = ("lan
     plain = docs.withColumn("text", F.col("text").cast("string"))
     kept = plain.select(*[c for c in plain.columns if c.lower() not in {x.lower() for x in names}])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
+    return kept.mapInArrow(tidied(run), f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out(modulus: int, remainder: int):

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, free_name, only_cache, released, slices, smaller_batches, stored
+from .common import as_bytes, free_name, released, slices, smaller_batches, stored, tidied
 from .components import components
 
 WORDS, KEEP, COMMON, RARE_LISTS, COMMON_LISTS = 5, 96, 32, 40, 16
@@ -76,13 +76,12 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, key (128-bit hash of the whole set), n (its size) and sketch (its KEEP smallest values)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_cache(None)
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = [shingle_set(x) for x in as_bytes(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([_key(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x[:KEEP] for x in sets], pa.list_(pa.int64()))], ["doc_id", "key", "n", "sketch"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key binary, n long, sketch array<long>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, key binary, n long, sketch array<long>")
 
 
 def with_set_key(docs: DataFrame) -> DataFrame:
@@ -97,7 +96,7 @@ def with_set_key(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([_key(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64())], [*part.schema.names, *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-    return plain.mapInArrow(run, f"{schema}, `{names[0]}` binary, `{names[1]}` long")
+    return plain.mapInArrow(tidied(run), f"{schema}, `{names[0]}` binary, `{names[1]}` long")
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +138,7 @@ def list_entries(classes: DataFrame, sent: object, rare: bool) -> DataFrame:
             rows = pa.array(np.concatenate(of), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out), pa.int64()), batch.column("key").take(rows), batch.column("n").take(rows)], ["value", "key", "n"])
 
-    return classes.select("key", "n", "sketch", "shared").mapInArrow(run, "value long, key binary, n long")
+    return classes.select("key", "n", "sketch", "shared").mapInArrow(tidied(run), "value long, key binary, n long")
 
 
 def _fits(n: str, m: str, percent: int) -> F.Column:
@@ -172,7 +171,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask), pa.array(exact).filter(mask)], ["a", "b", "exact"])
 
-    return both.mapInArrow(run, "a binary, b binary, exact boolean")
+    return both.mapInArrow(tidied(run), "a binary, b binary, exact boolean")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -190,7 +189,7 @@ def full_sets(keys: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["key", "set"])
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(_small(asked.select("doc_id").distinct()), "doc_id", "left_semi").select("text")
-    sets = stored(texts.mapInArrow(make, "key binary, set array<long>"), "sets")
+    sets = stored(texts.mapInArrow(tidied(make), "key binary, set array<long>"), "sets")
     return sets.groupBy("key").agg(F.any_value("set").alias("set")) if sets.count() != asked.count() else sets
 
 
@@ -209,7 +208,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["u", "v"])
 
-    return both.select("a", "b", "s_a", "s_b").mapInArrow(compare, "u binary, v binary")
+    return both.select("a", "b", "s_a", "s_b").mapInArrow(tidied(compare), "u binary, v binary")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:

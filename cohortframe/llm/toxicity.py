@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, only_cache, slices, smaller_batches
+from .common import as_bytes, slices, smaller_batches, tidied
 from .samples import per_class
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 4, 3, 6
@@ -242,7 +242,6 @@ def score_toxicity(docs: DataFrame, model: SubwordModel, name: str = "toxicity")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_cache(None)
         own = sent.value
         for batch in batches:
             for part in slices(batch, "text"):
@@ -253,7 +252,7 @@ def score_toxicity(docs: DataFrame, model: SubwordModel, name: str = "toxicity")
     plain = docs.withColumn("text", F.col("text").cast("string"))
     kept = plain.select(*[c for c in plain.columns if c.lower() != name.lower()])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(run, f"{schema}, `{name}` double")
+    return kept.mapInArrow(tidied(run), f"{schema}, `{name}` double")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

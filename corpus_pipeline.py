@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortframe.llm.common import free_name, stored
+from cohortframe.llm.common import free_name, smaller_batches, stored
 from cohortframe.llm.language_id import UNKNOWN, held_out, identify, train_language_model
 from cohortframe.llm.minhash_dedup import BROADCAST_ROWS, near_duplicates, with_set_key
 from cohortframe.llm.packing import pack
@@ -29,6 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row has both letters and a language; repeated rows and rows of one doc_id,
     or of none, are judged each by their text; an empty table gives none; all
     columns of docs come back as they were, whatever their names."""
+    smaller_batches(spark)
     model = train_language_model(docs.filter(~held_out(4, 2)))
     names = free_name(docs, "lang_pred"), free_name(docs, "score")
     return identify(docs, model, names).filter(F.col(names[0]) != UNKNOWN).select(*docs.columns)
