@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import compress
 
 import numpy as np
 
@@ -77,24 +78,32 @@ class WordEncoder:
     def _learn(self, words: list[bytes]) -> None:
         if self.plain is None:
             return self._keep(words, self._encoded(self.library, [w.decode("utf-8", "replace") for w in words]))
+        # lower-case ASCII letters are a stem as they stand
+        lower = [w for w in words if w.islower() and w.isalpha()]
+        self._keep(lower, self._encoded(self.plain, b" ".join(lower).decode().split(), self.ends))
+        if len(lower) == len(words):
+            return
+        known, before = self.words, self.older
+        words = [w for w in words if w not in known]
         text = b"\n".join(words).decode("utf-8", "replace")
         lower = text.lower().split("\n")
         stems = [x.rstrip(MARKS) for x in lower]
         # letters up to ÿ are left alone by composition and have one lower-case form
         narrow = text.isascii() or all(x <= "ÿ" for x in set(text))
         plain = [x.isalpha() and (narrow or x.isascii() or max(x) <= "ÿ") for x in stems]
-        get, before = self.words.get, self.older.get
-        own = {x: get(key) or before(key) for x, key in {x: x.encode() for x, ok in zip(stems, plain, strict=True) if ok}.items()}
-        new = [x for x, ids in own.items() if ids is None]
-        found = self._encoded(self.plain, new, self.ends)
-        own.update(zip(new, found, strict=True))
-        self._keep([x.encode() for x in new], found)
-        marks = {x[len(stem) :] for x, stem, ok in zip(lower, stems, plain, strict=True) if ok}
-        marks = {x: np.array(self._ids(x), "<u4").tobytes() for x in marks}
-        dressed = [(w, own[stem] + marks[x[len(stem) :]]) for w, x, stem, ok in zip(words, lower, stems, plain, strict=True) if ok and w not in self.words]
-        self._keep([w for w, _ in dressed], [ids for _, ids in dressed])
-        rest = [w for w, ok in zip(words, plain, strict=True) if not ok]
-        self._keep(rest, self._encoded(self.library, [w.decode("utf-8", "replace") for w in rest]))
+        if not all(plain):
+            rest = [w for w, ok in zip(words, plain, strict=True) if not ok]
+            self._keep(rest, self._encoded(self.library, [w.decode("utf-8", "replace") for w in rest]))
+            words, lower, stems = (list(compress(x, plain)) for x in (words, lower, stems))
+        keys = "\n".join(stems).encode().split(b"\n") if stems else []
+        if new := {key: stem for key, stem in zip(keys, stems, strict=True) if key not in known}:
+            if again := [key for key in new if key in before]:
+                self._keep(again, [before[key] for key in again])
+                new = {key: stem for key, stem in new.items() if key not in before}
+            self._keep(list(new), self._encoded(self.plain, list(new.values()), self.ends))
+        marks = {x: np.array(self._ids(x), "<u4").tobytes() for x in {x[len(stem) :] for x, stem in zip(lower, stems, strict=True)}}
+        dressed = {w: known[key] + marks[x[len(stem) :]] for w, key, x, stem in zip(words, keys, lower, stems, strict=True) if w != key}
+        self._keep(list(dressed), list(dressed.values()))
 
     def _keep(self, words: list[bytes], ids: list[bytes]) -> None:
         self.words.update(zip(words, ids, strict=True))
@@ -105,10 +114,13 @@ class WordEncoder:
         out: list[bytes] = []
         for i in range(0, len(texts), JOINED):
             part = texts[i : i + JOINED]
-            found = library.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            cuts = np.r_[0, np.flatnonzero(ends[ids]) + 1] if ends is not None else ids[:0]
+            cuts = ids = np.zeros(0, "<u4")
+            if ends is not None:  # without offsets, which take the library longer
+                ids = np.array(library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+                cuts = np.r_[0, np.flatnonzero(ends[ids]) + 1]
             if len(cuts) != len(part) + 1:
+                found = library.encode(" ".join(part), add_special_tokens=False)
+                ids = np.array(found.ids, "<u4")
                 starts = np.cumsum([0, *(len(x) + 1 for x in part)])
                 cuts = np.searchsorted(np.fromiter((a for a, _ in found.offsets), np.int64, len(ids)), starts)
             flat, cuts = ids.tobytes(), (4 * cuts).tolist()
@@ -130,10 +142,10 @@ class WordEncoder:
         split = [x.split() for x in texts]
         get = self.words.get
         found = [list(map(get, ws)) for ws in split]
-        if missing := list(dict.fromkeys(w for ws, ids in zip(split, found, strict=True) if None in ids for w, x in zip(ws, ids, strict=True) if x is None)):
+        if missing := list(dict.fromkeys([w for ws, ids in zip(split, found, strict=True) for w, x in zip(ws, ids, strict=True) if x is None])):
             self._meet(missing)
             known = self.words
-            return [b"".join([known[w] if x is None else x for w, x in zip(ws, ids, strict=True)] if None in ids else ids) for ws, ids in zip(split, found, strict=True)]
+            return [b"".join([known[w] if x is None else x for w, x in zip(ws, ids, strict=True)]) for ws, ids in zip(split, found, strict=True)]
         return [b"".join(ids) for ids in found]
 
 
@@ -141,8 +153,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def _forget() -> None:
-    for e in _ENCODERS.values():
-        e.words, e.older, e.held = {}, {}, 0
+    _ENCODERS.clear()
 
 
 def encoder(path: str) -> WordEncoder:

@@ -28,3 +28,23 @@ def test_a_tidied_task_gives_memory_back_when_it_begins_and_ends(monkeypatch):
     task = common.tidied(lambda batches: iter([b for b in batches]))
     assert list(task(iter([batch, batch]))) == [batch, batch]
     assert seen == [None, None]
+
+
+def test_a_stem_met_in_a_dressed_word_stays_known():
+    coder = WordEncoder(default_tokenizer())
+    (ids,) = coder.encode([b"cat"])
+    coder.older, coder.words = coder.words, {}
+    coder.encode([b"Cat."])
+    assert coder.words[b"cat"] == ids
+
+
+def test_lower_case_words_are_encoded_as_they_stand(monkeypatch):
+    coder = WordEncoder(default_tokenizer())
+    texts = [b"the cat sat", b"The CAT, a caf\xc3\xa9! \xff x1 \xc4\xb0x", b""]
+    expected = [[i for w in t.split() for i in coder._ids(w.decode("utf-8", "replace"))] for t in texts]
+    asked = []
+    kept = coder._encoded
+    monkeypatch.setattr(coder, "_encoded", lambda library, words, ends=None: asked.append((library is coder.plain, list(words))) or kept(library, words, ends))
+    found = coder.encode(texts)
+    assert [list(memoryview(x).cast("I")) for x in found] == expected
+    assert asked[0] == (True, ["the", "cat", "sat", "a"])
