@@ -14,9 +14,10 @@ Counts: a first pass over documents gives sorted blocks of distinct pairs with
 their documents. Merged in a tree, they are the distinct pairs, which get a
 minimal perfect hash, shard by shard: levels of bits that just one key hits, an
 index being a bit's rank. Blocks are then added into dense count vectors at those
-indexes, the key kept there being verified, and the vectors are summed in a tree. A
-second pass aligns the documents again and looks its pairs up: in all shards
-broadcast, if they are within a bound, else by a join.
+indexes, the key kept there being verified, and the vectors are summed in a tree. The
+first pass also writes the aligned documents, slice by slice, as places of units and
+pairs; the second looks the pairs up in all shards broadcast, if they are within a
+bound. Else it aligns the documents again and joins.
 
 Cases: texts null, empty, or whose tokens' bytes aren't the space and the text
 have zeros and an empty digest; the strings of special tokens are plain text;
@@ -357,9 +358,27 @@ def _u8(column) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u8") for x in column.to_pylist()]
 
 
-def pair_counts(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
-    """Shards of the distinct pairs that documents hold linked: shard, n, hash, keys and counts (documents of each pair), both in the hash's order."""
+ALIGNED = "docs array<struct<doc_id: bigint, n_a: bigint, n_b: bigint, n_groups: bigint, n_links: bigint, groups_sha256: string, groups: string>>, lengths binary, units binary, sizes binary, links binary, pairs binary"
+BLOCKS = "block long, n long, keys binary, counts binary"
+
+
+def _small_ints(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, in as many bytes each as the largest needs; the first byte says how many."""
+    top = int(x.max(initial=0))
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _ints(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
+
+
+def aligned_and_counted(docs: DataFrame, paths: tuple[str, str], with_groups: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Shards of the distinct pairs that documents hold linked: shard, n, hash, keys and counts (documents of each pair), both in the hash's order;
+    and the aligned documents, a row a slice of a task's texts: its documents, their units as places among the slice's, and the units' links as places among its pairs."""
     spark = docs.sparkSession
+    doc = pa.struct([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("groups", pa.string())])
+    shape = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("docs", pa.list_(doc)), *((c, pa.binary()) for c in ("lengths", "units", "sizes", "links", "pairs"))])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held, part = aligner(paths), [], TaskContext.get().partitionId()
@@ -370,15 +389,26 @@ def pair_counts(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
             held[:] = [(keys, n)]
             return len(keys)
 
+        def row(**given):
+            return pa.RecordBatch.from_arrays([pa.array([given.get(f.name)], f.type) for f in shape], schema=shape)
+
+        def aligned_slice(some: pa.RecordBatch, units: Units, texts: list[np.ndarray], pairs: np.ndarray):
+            own, groups = _digests(units, texts)
+            made = _batch(some, own, groups, with_groups).to_pylist()
+            flat = np.concatenate(texts) if texts else np.zeros(0, np.int64)
+            places = np.searchsorted(pairs, units.links)
+            return row(docs=made, lengths=_small_ints(np.array([len(t) for t in texts], np.int64)), units=_small_ints(flat), sizes=_small_ints(np.diff(units.starts)), links=_small_ints(places), pairs=pairs.tobytes())
+
         def block(number: int):
             (keys, n) = held.pop()
-            return pa.RecordBatch.from_pydict({"block": pa.array([part * 10_000 + number], pa.int64()), "n": pa.array([len(keys)], pa.int64()), "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary())})
+            return row(block=part * 10_000 + number, n=len(keys), keys=keys.tobytes(), counts=n.tobytes())
 
         number = entries = 0
         for batch in batches:
             for some in slices(batch, "text", SLICE):
                 units, texts = own.aligned(as_bytes(some.column("text")))
                 _, pair, _, pairs = _in_documents(units, texts)
+                yield aligned_slice(some, units, texts, pairs)
                 held.append((pairs, np.bincount(pair, minlength=len(pairs))))
                 held[-1] = held[-1][0][held[-1][1] > 0], held[-1][1][held[-1][1] > 0]
                 entries += len(pairs)
@@ -390,7 +420,8 @@ def pair_counts(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
         if held and joined():
             yield block(number)
 
-    found, path = stored_at(docs.select("text").mapInArrow(blocks, "block long, n long, keys binary, counts binary"), "pair-blocks")
+    both, path = stored_at(docs.select("doc_id", "text").mapInArrow(blocks, f"{BLOCKS}, {ALIGNED}"), "pair-blocks")
+    found = both.filter("block is not null").select("block", "n", "keys", "counts")
     of, entries, most = found.agg(F.count("*"), F.sum("n"), F.max("n")).first()
     # sizes only: shards and nodes of a tree by what the blocks hold
     shards, nodes = max(1, -(-min(entries or 0, FAN * (most or 0)) // SHARD)), max(1, -(-of // FAN))
@@ -439,9 +470,14 @@ def pair_counts(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     vectors = parts.groupBy("shard", "node").cogroup(at_nodes.groupBy("s", "m")).applyInArrow(added, "shard int, node int, counts binary")
     total = _tree(vectors.withColumn("node", F.floor(F.col("node") / FAN).cast("int")), -(-nodes // FAN), summed, "shard int, node int, counts binary")
     out, _ = stored_at(hashes.join(total.select("shard", "counts"), "shard"), "pair-counts")
-    discard(spark, path, path2)
+    discard(spark, path2)
     released(spark)
-    return out
+    return out, both.filter("block is null").drop("block", "n", "keys", "counts")
+
+
+def pair_counts(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
+    """The shards of counts alone."""
+    return aligned_and_counted(docs.select(F.lit(None).cast("long").alias("doc_id"), "text"), paths)[0]
 
 
 def _unshard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -466,7 +502,7 @@ def align_tokens(docs: DataFrame, a: str | None = None, b: str | None = None, wi
     smaller_batches(spark)
     paths = a or default_bytes(), b or default_model()
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    counts = pair_counts(plain, paths)
+    counts, aligned = aligned_and_counted(plain, paths, with_groups)
     # a row for each id of A at most
     best = counts.select("keys", "counts").mapInArrow(_unshard, "key long, a long, n long").groupBy("a").agg(F.max("n").alias("most"))
     if (counts.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_PAIRS:
@@ -474,7 +510,7 @@ def align_tokens(docs: DataFrame, a: str | None = None, b: str | None = None, wi
         of = best.toArrow()
         most = np.zeros(max(of.column("a").to_pylist(), default=0) + 1, np.int64)
         most[of.column("a").to_numpy()] = of.column("most").to_numpy()
-        return _looked_up(plain, paths, spark.sparkContext.broadcast(([(bytes(r.hash), bytes(r.keys), bytes(r.counts)) for r in shards], counts.agg(F.max("shard")).first()[0] or 0, most)), with_groups)
+        return _looked_up(aligned, spark.sparkContext.broadcast(([(bytes(r.hash), bytes(r.keys), bytes(r.counts)) for r in shards], counts.agg(F.max("shard")).first()[0] or 0, most)), with_groups)
     return _joined(plain, paths, counts, best, with_groups)
 
 
@@ -490,15 +526,14 @@ def _batch(some: pa.RecordBatch, own: np.ndarray, groups: list[bytes], with_grou
     return pa.RecordBatch.from_pydict(columns | ({"groups": pa.array([g.decode() for g in groups], pa.string())} if with_groups else {}))
 
 
-def _looked_up(docs: DataFrame, paths: tuple, sent, with_groups: bool) -> DataFrame:
+def _looked_up(aligned: DataFrame, sent, with_groups: bool) -> DataFrame:
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = aligner(paths)
         blobs, last, most = sent.value
         shards = [(PerfectHash.read(h), np.frombuffer(k, "<u8"), np.frombuffer(n, "<u8")) for h, k, n in blobs]
         for batch in batches:
-            for some in slices(batch, "text", SLICE):
-                units, texts = own.aligned(as_bytes(some.column("text")))
-                pairs, number = np.unique(units.links, return_inverse=True)
+            for at_row in range(batch.num_rows):
+                cell = lambda c, i=at_row, b=batch: b.column(c)[i].as_py()
+                pairs, lengths, units, sizes, number = np.frombuffer(cell("pairs"), "<u8"), *(_ints(cell(c)) for c in ("lengths", "units", "sizes", "links"))
                 n, to = np.zeros(len(pairs), np.int64), _shard(pairs, last + 1)
                 for s, (made, keys, counted) in enumerate(shards):
                     i = np.flatnonzero(to == s)
@@ -507,13 +542,19 @@ def _looked_up(docs: DataFrame, paths: tuple, sent, with_groups: bool) -> DataFr
                     n[i[good]] = counted[at[good]].astype(np.int64)
                 top = most[np.minimum((pairs >> np.uint64(32)).astype(np.int64), len(most) - 1)]
                 is_best = (n > 0) & (n == top)
-                # sums of each unit, then of each text
-                of = np.repeat(np.arange(len(units.groups)), np.diff(units.starts))
-                sums = [np.bincount(of, x[number], len(units.groups)).astype(np.int64) for x in (is_best, n)]
-                bests, totals = ([int(x[t].sum()) for t in texts] for x in sums)
-                yield _batch(some, *_digests(units, texts), with_groups, n_best=pa.array(bests, pa.int64()), count_sum=pa.array(totals, pa.int64()))
-
-    return docs.mapInArrow(look, OUT + ", n_best long, count_sum long, groups_sha256 string" + ", groups string" * with_groups)
+                # sums of each unit, then of each text: differences of running totals, which whole numbers allow
+                totals = []
+                for x in (is_best.astype(np.int64), n):
+                    of_unit = np.diff(np.r_[0, np.cumsum(x[number])][np.r_[0, np.cumsum(sizes)]])
+                    totals.append(np.diff(np.r_[0, np.cumsum(of_unit[units])][np.r_[0, np.cumsum(lengths)]]))
+                docs = batch.column("docs").slice(at_row, 1).flatten()
+                own = dict(zip((f.name for f in docs.type), docs.flatten(), strict=True))
+                names = [c.split()[0] for c in schema.split(", ")]
+                own |= {"n_best": pa.array(totals[0], pa.int64()), "count_sum": pa.array(totals[1], pa.int64())}
+                yield pa.RecordBatch.from_arrays([own[c] for c in names], names)
+
+    schema = OUT + ", n_best long, count_sum long, groups_sha256 string" + ", groups string" * with_groups
+    return aligned.mapInArrow(look, schema)
 
 
 def _joined(docs: DataFrame, paths: tuple, counts: DataFrame, best: DataFrame, with_groups: bool) -> DataFrame:

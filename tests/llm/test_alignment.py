@@ -113,3 +113,30 @@ def test_perfect_hash(n):
     made = A.PerfectHash.read(A.PerfectHash.of(keys).written())
     assert sorted(made.index(keys).tolist()) == list(range(len(keys)))
     assert len(made.written()) < 64 + n
+
+
+def test_documents_are_aligned_once(spark, tmp_path, monkeypatch):
+    """Every alignment leaves a mark on disk, as tasks run in other processes: no more slices are aligned than the table has."""
+    mark, aligned = str(tmp_path / "aligned"), A.Aligner.aligned
+
+    def counted(self, texts):
+        with open(mark, "a") as f:
+            f.write("x" * len(texts))
+        return aligned(self, texts)
+
+    monkeypatch.setattr(A, "aligner", _Counting(counted))
+    rows = [(i, t) for i, t in enumerate(["hello world", None, "", "Hello, world! x", "a\nb"])]
+    out = A.align_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()
+    assert [r.doc_id for r in out] == [0, 1, 2, 3, 4] and out[1].n_a == 0 and out[3].n_links > 0
+    with open(mark) as f:
+        assert len(f.read()) == len(rows)
+
+
+class _Counting:
+    def __init__(self, aligned):
+        self.aligned = aligned
+
+    def __call__(self, paths):
+        own = A.Aligner(*paths)
+        own.aligned = self.aligned.__get__(own)
+        return own
