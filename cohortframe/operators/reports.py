@@ -83,10 +83,10 @@ def sample_discordance(results: DataFrame, samples: DataFrame, studies: DataFram
     groups: name, study_id. Others that failed QC are left out. rank orders
     them: likely the same individual (discordance below 3 on over 15 sites)
     first, then by sites that agree, controls first, then public name."""
-    own = asked.join(studies, "sample").join(groups.filter("name <> 'all_studies'"), "study_id").select("sample", "name").distinct()
-    allowed = own.join(groups, "name").join(studies.withColumnRenamed("sample", "other"), "study_id").select("sample", "other").distinct()
-    meta = samples.filter("not qc_failed").select(F.col("sample").alias("other"), "public_name", "control", "donor")
-    found = _comparisons(results, "fluidigm").drop("key").join(allowed, ["sample", "other"]).join(meta, "other")
+    # pairs come from the comparisons alone, each with both samples' groups; no group is paired with itself
+    own = studies.join(groups.filter("name <> 'all_studies'"), "study_id").groupBy("sample").agg(F.collect_set("name").alias("names"))
+    meta = samples.filter("not qc_failed").select(F.col("sample").alias("other"), "public_name", "control", "donor").join(own.toDF("other", "other_names"), "other")
+    found = _comparisons(results.join(asked.select("sample"), "sample", "left_semi"), "fluidigm").drop("key").join(own, "sample").join(meta, "other").filter(F.arrays_overlap("names", "other_names"))
     same = F.coalesce((F.col("discordance") < 3) & (F.col("sites") > 15), F.lit(False))
     order = F.struct((~same).alias("a"), (F.col("discordance") - F.col("sites")).alias("b"), (~F.col("control")).alias("c"), F.col("public_name").alias("d"), F.col("other").alias("e"))
     return found.select("sample", "other", "discordance", "sites", "avg_min_depth", "public_name", "control", "donor", order.alias("rank"))
