@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortframe.operators import reports
 
@@ -58,3 +59,17 @@ def planned(spark):
 def test_no_pairs_but_those_compared(planned):
     df = ring(planned, 2_000)
     assert most_rows(df) == 2_000 and df.count() == 2_000
+
+
+def test_first_of_each_order(spark):
+    """The likely same individual comes first, then sites that agree, controls, public name, and the sample itself."""
+    cns = {str(i): x for i, x in enumerate([["2", "16", "1", "b"], ["3", "40", "1", "c"], ["1", "15", "1", "d"], ["2", "16", "1", "e"], ["2", "16", "1", "f"]])}
+    for left_out, first in (("", "f"), ("f", "b"), ("fb", "e"), ("fbe", "c"), ("fbec", "d")):
+        samples = [(s, "p", s == "f", "d1", s in left_out) for s in "abcdef"]
+        df = compared(spark, {"a": cns}, samples, [(s, 1) for s in "abcdef"], [("g", 1)], ["a"])
+        assert [tuple(r) for r in df.groupBy("sample").agg(F.min_by("other", "rank")).collect()] == [("a", first)]
+
+
+def test_first_of_each_makes_no_pairs(planned):
+    df = ring(planned, 2_000).groupBy("sample").agg(F.min_by("other", "rank").alias("first"))
+    assert most_rows(df) == 2_000 and df.filter("cast(substr(first, 2) as int) = (cast(substr(sample, 2) as int) + 1) % 2000").count() == 2_000
