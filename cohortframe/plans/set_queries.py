@@ -147,15 +147,17 @@ def _shuffled(v, name: str, plan, days: int = 6) -> object:
     an event of a subject of its own, long after all others, so that the watermark passes them."""
     source, out, check = (new_dir(v.spark, f"{name}-{x}") for x in ("in", "out", "check"))
     rows = v.messages.withColumn("ts", F.col("ts").cast("timestamp"))
-    first, last = rows.agg(F.date_trunc("day", F.min("ts")), F.max("ts")).first()
-    span = lambda: F.floor((F.unix_seconds("ts") - F.lit(int(first.timestamp()))) / (days * 86400)).cast("int")
+    first, last, n = rows.agg(F.date_trunc("day", F.min("ts")), F.max("ts"), F.count("*")).first()
+    span = F.floor((F.unix_seconds("ts") - F.lit(int(first.timestamp()))) / (days * 86400)).cast("int")
     files = (last - first).days // days + 2
-    files = (last - first).days // days + 2
-    held = stored(rows.withColumn("_file", F.greatest(F.lit(0), F.least(F.lit(files - 1), span() + (F.col("event_id") % 3 == 0).cast("int")))), "shuffled")
+    # a file is as many parts as tasks write it, and a batch takes as many
+    parts = max(1, min(n // files // 50_000, int(v.spark.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = rows.withColumn("_file", F.greatest(F.lit(0), F.least(F.lit(files - 1), span + (F.col("event_id") % 3 == 0).cast("int"))))
     for i in range(files):
-        held.filter(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(source)
+        one = dealt.filter(F.col("_file") == i).drop("_file")
+        (one.repartition(parts) if parts > 1 else one.coalesce(1)).write.mode("append").parquet(source)
     rows.limit(0).unionByName(v.spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).alias("subject").cast(rows.schema["subject"].dataType), F.lit("end").alias("message"), (F.lit(last) + F.expr(f"interval {4 * days} days")).alias("ts"))).coalesce(1).write.mode("append").parquet(source)
-    stream = plan(v.spark.readStream.option("maxFilesPerTrigger", 1).schema(rows.schema).parquet(source))
+    stream = plan(v.spark.readStream.option("maxFilesPerTrigger", parts).schema(rows.schema).parquet(source))
     with rocksdb_state(v.spark):
         q = stream.writeStream.format("parquet").option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start(out)
     q.awaitTermination()

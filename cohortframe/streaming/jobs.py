@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.ordering import last_known
 from ..operators.sets import reconcile_elements
 from ..sources.paths import stored
-from .in_order import InOrder, judged_in_order, microseconds
+from .in_order import BUCKETS, judged_in_order, microseconds
 
 #: How a list's file name says which source it belongs to, and which version of its list it is: `name` or `name@version`.
 NAMED = r"([^/@]+)(?:@(\d+))?$"
@@ -112,7 +112,7 @@ def suppress_repeats(events: DataFrame, subject: str = "subject", message: str =
     return before.filter(passes).drop("_p", "_at")
 
 
-def suppress_repeats_stream(events: DataFrame, late: str = "1 day", idle: str | None = None) -> DataFrame:
+def suppress_repeats_stream(events: DataFrame, late: str = "1 day", idle: str | None = None, buckets: int | None = BUCKETS) -> DataFrame:
     """STR-2, stream of (event_id, subject, message, ts): as the batch form, whatever batches bring the events in, up to `late`
     behind the newest; an event is emitted when the watermark has passed it. With `idle` a subject is forgotten that long after its last event."""
     gap = microseconds(idle) if idle else None
@@ -120,7 +120,7 @@ def suppress_repeats_stream(events: DataFrame, late: str = "1 day", idle: str |
     def passes(last: tuple | None, at: int, message: str) -> bool:
         return last is None or last[1] is None or (message is not None and message != last[1]) or (gap is not None and at - last[0] >= gap)
 
-    return judged_in_order(events, late, InOrder(passes, True, gap))
+    return judged_in_order(events, late, passes, True, gap, buckets)
 
 
 def log_search(events: DataFrame, like: list[str] | None = None, ids: list[int] | None = None, start: str | None = None, stop: str | None = None) -> DataFrame:
@@ -176,8 +176,8 @@ def refreshes_since_last(markers: DataFrame, interval: str = "24 hours") -> Data
     return held.dropDuplicates(["subject", "at", "event_id"]).join(chosen, ["subject", "at", "event_id"], "left_semi").select("event_id", "subject", "message")
 
 
-def refreshes_stream(markers: DataFrame, interval: str = "24 hours", late: str = "1 day") -> DataFrame:
+def refreshes_stream(markers: DataFrame, interval: str = "24 hours", late: str = "1 day", buckets: int | None = BUCKETS) -> DataFrame:
     """STR-5, stream: as the batch form, whatever batches bring the events in, up to `late` behind the newest; a source is
     forgotten when the interval after its last refresh is over, since the next event refreshes it anyway."""
     gap = microseconds(interval)
-    return judged_in_order(markers, late, InOrder(lambda last, at, message: last is None or at - last[0] >= gap, False, gap))
+    return judged_in_order(markers, late, lambda last, at, message: last is None or at - last[0] >= gap, False, gap, buckets)
