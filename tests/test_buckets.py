@@ -126,3 +126,24 @@ def test_settings_of_state_come_back(spark):
     with in_order.rocksdb_state(spark):
         assert spark.conf.get(in_order.PROVIDER) == in_order.ROCKSDB
     assert [spark.conf.get(k, None) for k in keys] == before
+
+
+def test_refreshes_of_a_bucket_against_loops():
+    """Only what refreshed is remembered, until the interval after it is over; calls don't grow with the subjects."""
+    rng = random.Random(6)
+    late, gap = 60 * MINUTE, 45 * MINUTE
+    calls = {}
+    for n in (5, 500):
+        events = [(rng.randrange(n), 100 * MINUTE + rng.randrange(300 * MINUTE), i, "x") for i in range(n * 20)]
+        events.sort(key=lambda e: e[1] + rng.randrange(40 * MINUTE))
+        want, last = [], {}
+        for s, at, i, _ in sorted(events, key=lambda e: (e[1], e[2])):
+            if s not in last or at - last[s] >= gap:
+                want.append((s, i))
+                last[s] = at
+        p, handle = in_order.InOrderByBucket(lambda last, at, m: last is None or at - last[0] >= gap, False, gap, late // in_order.PARTS), Handle()
+        got = run(p, handle, [events[i : i + n] for i in range(0, len(events), n)], late // 1000)
+        assert sorted(x for b in got for x in b) == sorted(want)
+        assert len(handle.value.v) == 0 or handle.timers
+        calls[n] = handle.map.calls + handle.value.calls
+    assert calls[500] < 4 * calls[5]  # of a hundred times the subjects and events
