@@ -147,3 +147,12 @@ def test_refreshes_of_a_bucket_against_loops():
         assert len(handle.value.v) == 0 or handle.timers
         calls[n] = handle.map.calls + handle.value.calls
     assert calls[500] < 4 * calls[5]  # of a hundred times the subjects and events
+
+
+def test_a_bucket_remembers_without_idle():
+    """What a subject said last counts however long ago; a message of null after it isn't another, and is remembered."""
+    p, handle = in_order.InOrderByBucket(lambda last, at, m: last is None or last[1] is None or (m is not None and m != last[1]), True, None, 5 * MINUTE), Handle()
+    day = 1440 * MINUTE
+    batches = [[("a", MINUTE, 1, "x"), ("b", MINUTE, 2, "x")], [("a", 9 * day, 4, "y"), ("a", 8 * day, 3, "x"), ("b", 8 * day, 5, None)], [("b", 20 * day, 6, "x"), ("a", 20 * day, 7, "y")]]
+    assert sorted(x for b in run(p, handle, batches, 60_000) for x in b) == [("a", 1), ("a", 4), ("b", 2), ("b", 6)]
+    assert handle.value.v and not handle.map.v
